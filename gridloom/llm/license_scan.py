@@ -76,7 +76,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str
     """Verified spans: doc_id, __gl_key, label, template, first_word, last_word, score."""
     grams = template_grams(docs.sparkSession, templates, k)
     words = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("__gl_key"), scan_words(F.col(text)).alias("w"))
-    rolling = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, k), " ")))
+    rolling = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.concat_ws(" ", *[F.col("w")[i + j] for j in range(k)])))
     placed = words.select("doc_id", "__gl_key", F.posexplode(rolling).alias("p", "gram")).withColumn("h", F.xxhash64("gram"))
     hits = placed.join(F.broadcast(grams), (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
     key = ["doc_id", "__gl_key", "t"]
@@ -101,7 +101,7 @@ def label(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: st
     joined = seen.alias("a").join(spans.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__gl_key") == F.col("b.__gl_key")), "left")
     return joined.select(
         "a.doc_id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(F.sort_array("base"), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
     )

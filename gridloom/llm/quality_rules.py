@@ -46,20 +46,27 @@ RULES = (
 
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words in WINDOW-word windows found twice or more in the text, the first of them included."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    def bind(value: Column, f) -> Column:
+        """f(value), with value worked out once however often f uses it."""
+        return F.transform(F.array(value), f)[0]
 
-    def marked(h: Column) -> Column:
-        # equal windows stand side by side once sorted; starts of repeated ones, back in text order
-        s = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        same = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
-        starts = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull()))))
+    def covered(starts: Column) -> Column:
         steps = F.zip_with(F.slice(starts, 1, F.size(starts) - 1), F.slice(starts, 2, F.size(starts) - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
         return F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda acc, x: acc + x)
 
-    # one-element arrays bind what is used twice, so that it is worked out once
-    bound = F.transform(F.array(hashed), lambda wh: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(wh, i, WINDOW))))
-    found = F.transform(bound, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), marked(h)).otherwise(F.lit(0).cast("long")))
-    return F.when(n > WINDOW, found[0]).otherwise(F.lit(0).cast("long"))
+    def starts(s: Column) -> Column:
+        # equal windows stand side by side once sorted; starts of repeated ones, back in text order
+        same = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull()))))
+
+    def repeated(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), bind(bind(pairs, starts), covered)).otherwise(F.lit(0).cast("long"))
+
+    # element by element: slice() inside a lambda would copy the whole array each time
+    windows = lambda wh: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[wh[i + j] for j in range(WINDOW)]))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(n > WINDOW, bind(bind(hashed, windows), repeated)).otherwise(F.lit(0).cast("long"))
 
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

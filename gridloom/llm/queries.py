@@ -39,8 +39,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op6_url_filter, op7_sentencepiece, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op3_license_scan, op4_near_dedup, op6_url_filter, op7_sentencepiece, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
