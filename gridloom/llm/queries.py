@@ -45,8 +45,20 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_near_dedup, op6_url_filter, op7_sentencepiece, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
