@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.strip(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
 
@@ -58,7 +64,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
