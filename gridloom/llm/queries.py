@@ -13,6 +13,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.strip(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
 
@@ -64,7 +70,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
