@@ -178,3 +178,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     out = placed.join(ids, "root", "left")
     component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with their own columns, of which the smallest doc_id of each group stays (and one of its rows, if rows repeat it)."""
+    d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    gone = groups(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gl_gone")).distinct()
+    left = docs.join(gone, d == F.col("__gl_gone"), "left_anti")
+    return left
