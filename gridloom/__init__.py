@@ -1,0 +1 @@
+"""Spark-native analytics for site-level time-series forecasting."""
