@@ -1 +1,74 @@
-ORACLES = {}
+"""DuckDB SQL for the operators that SQL can express; the others have brute-force tests."""
+
+from __future__ import annotations
+
+from .chat_format import END, START
+from .license_scan import GAP, GRAM, MIN_SCORE, NOT_WORD, PHRASES, TEMPLATES
+from .quality_rules import RULES, SYMBOLS
+from .url_filter import RULES as URL_RULES
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
+u AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT rid, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 8))}) AS k, lead(x, 7) OVER o AS last FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+c AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS n FROM r) GROUP BY 1),
+m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines
+  FROM w LEFT JOIN c USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT ({" OR ".join(f"({r.rejects})" for r in RULES)}) AS kept FROM m
+"""
+
+
+def _url() -> str:
+    fits = [(f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))]
+    case = lambda f: "CASE " + " ".join(f"WHEN {c} THEN '{f(r)}'" for c, r in fits) + " END"
+    return rf"""
+WITH p AS (SELECT page_id, url, {LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS ps FROM p),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS canonical FROM q),
+l AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS v, canonical IN (SELECT canonical FROM l) AS hit FROM c)
+SELECT page_id, host, path, rule, v IS NULL AND coalesce(hit, false) AS listed, coalesce(v, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict FROM r
+"""
+
+
+def _license() -> str:
+    rows = ", ".join(f"({t}, '{label}', {len(w)}, {q}, '{' '.join(w[q : q + GRAM])}')" for t, (label, text) in enumerate(TEMPLATES) for w in [text.split()] for q in range(len(w) - GRAM + 1))
+    joined = "' ' || array_to_string(ws, ' ') || ' '"
+    at = {label: f"list_filter(range(0, len(ws)), lambda i: {' AND '.join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(p.split()))})" for p, label in PHRASES}
+    return rf"""
+WITH t(t, label, n, q, gram) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '{NOT_WORD}'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT rid, doc_id, len(ws) AS n_words, {", ".join(f"CASE WHEN contains({joined}, ' {p.split()[-1]} ') THEN {at[label]} ELSE [] END AS {label}" for p, label in PHRASES)} FROM d),
+u AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS p FROM d),
+g AS (SELECT rid, p, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS gram FROM u WINDOW o AS (PARTITION BY rid ORDER BY p)),
+hits AS (SELECT rid, t, label, n, q, p - q AS diagonal FROM g JOIN t USING (gram)),
+diag AS (SELECT DISTINCT rid, t, diagonal FROM hits),
+runs AS (SELECT rid, t, diagonal, sum(CASE WHEN gap IS NULL OR gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, t ORDER BY diagonal) AS run FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) AS gap FROM diag)),
+covered AS (SELECT DISTINCT rid, t, run, label, n, unnest(range(q, q + {GRAM})) AS w FROM hits JOIN runs USING (rid, t, diagonal)),
+spans AS (SELECT rid, label, count(*) / any_value(n) AS score FROM covered GROUP BY rid, t, run, label),
+more AS (SELECT rid, list(DISTINCT label) FILTER (score >= {MIN_SCORE}) AS more, max(score) AS score FROM spans GROUP BY 1),
+a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places, list_filter([{", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for _, label in PHRASES)}], lambda x: x IS NOT NULL) AS base FROM b LEFT JOIN more USING (rid))
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, round(coalesce(score, 0), 6) AS score FROM a
+"""
+
+
+CHAT = f"""
+WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations),
+seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
+r AS (SELECT s.conv_id, perspective, turn, speaker, said, speaker = perspective AS trained,
+  '{START}' || CASE WHEN speaker = 'system' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head FROM s JOIN seats ON s.conv_id IS NOT DISTINCT FROM seats.conv_id),
+w AS (SELECT *, head || said || '{END}' || chr(10) AS segment FROM r),
+p AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said ROWS UNBOUNDED PRECEDING) AS stop FROM w)
+SELECT conv_id, perspective, turn, speaker, segment, trained, CAST(stop - length(segment) AS BIGINT) AS char_start, CAST(stop AS BIGINT) AS char_end,
+  CAST(CASE WHEN trained THEN stop - length(segment) + length(head) END AS BIGINT) AS mask_start, CAST(CASE WHEN trained THEN stop - 1 END AS BIGINT) AS mask_end FROM p
+"""
+
+ORACLES = {"op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
