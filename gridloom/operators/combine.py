@@ -12,13 +12,13 @@ def average(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bcp_weights(pred: DataFrame, keys: list[str], method: str = "method") -> DataFrame:
-    """Bayesian weights of methods without gaps, in closed form: softmax of -sum (y - y_hat)^2 / (2 pi sigma^2), sigma the population deviation of the residual."""
+    """Bayesian weights of methods without gaps, in closed form: softmax of -sum (y - y_hat)^2 / (2 pi sigma^2), sigma the population deviation of the residual. A method without deviation has no weight."""
     e = F.col("y") - F.col("y_hat")
     stats = pred.groupBy(*keys, method).agg(F.sum(e * e).alias("s"), F.stddev_pop(e).alias("sd"))
     stats = stats.withColumn("log_w", -F.try_divide("s", 2 * F.pi() * F.col("sd") * F.col("sd")))
     w = Window.partitionBy(*keys)
-    stats = stats.withColumn("raw", F.exp(F.col("log_w") - F.max("log_w").over(w)))
-    return stats.select(*keys, method, (F.col("raw") / F.sum("raw").over(w)).alias("weight"))
+    stats = stats.withColumn("raw", F.coalesce(F.exp(F.col("log_w") - F.max("log_w").over(w)), F.lit(0.0)))
+    return stats.select(*keys, method, F.try_divide(F.col("raw"), F.sum("raw").over(w)).alias("weight"))
 
 
 def weighted(pred: DataFrame, weights: DataFrame, keys: list[str], on: list[str]) -> DataFrame:

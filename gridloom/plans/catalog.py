@@ -315,7 +315,7 @@ def combine_average(spark, sf):
     return combine.average(predictions(spark, sf), ["project", "hour"]).select("project", "hour", r6("y_hat", 4))
 
 
-BCP_SQL = f"{PRED_SQL}, s AS (SELECT project, method, sum(pow(y - y_hat, 2)) AS s, stddev_pop(y - y_hat) AS sd FROM pred WHERE hour % 24 = 12 GROUP BY 1, 2), l AS (SELECT project, method, -s / (2 * pi() * sd * sd) AS l FROM s), e AS (SELECT project, method, exp(l - max(l) OVER (PARTITION BY project)) AS e FROM l), w AS (SELECT project, method, e / sum(e) OVER (PARTITION BY project) AS weight FROM e)"
+BCP_SQL = f"{PRED_SQL}, s AS (SELECT project, method, sum(pow(y - y_hat, 2)) AS s, stddev_pop(y - y_hat) AS sd FROM pred WHERE hour % 24 = 12 GROUP BY 1, 2), l AS (SELECT project, method, -s / nullif(2 * pi() * sd * sd, 0) AS l FROM s), e AS (SELECT project, method, coalesce(exp(l - max(l) OVER (PARTITION BY project)), 0) AS e FROM l), w AS (SELECT project, method, e / nullif(sum(e) OVER (PARTITION BY project), 0) AS weight FROM e)"
 
 
 def noon_weights(spark, sf):
