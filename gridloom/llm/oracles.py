@@ -18,7 +18,7 @@ g AS (SELECT rid, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER o" for k i
 r AS (SELECT rid, i FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 c AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS n FROM r) GROUP BY 1),
 m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines
+  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_stutter
   FROM w LEFT JOIN c USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT ({" OR ".join(f"({r.rejects})" for r in RULES)}) AS kept FROM m

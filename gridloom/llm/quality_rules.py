@@ -39,7 +39,8 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
+    Rule("stutter", "10 * n_stutter > 3 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
 )
 
@@ -70,7 +71,7 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    """`keep` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stutter (words equal to the one before) and n_repeat_words (long)."""
     t = F.coalesce(F.col(text), F.lit(""))
     inner = docs.select(*keep, t.alias("__gl_text"), words_of(t).alias("__gl_words"), F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("__gl_lines"))
     t, w, lines = F.col("__gl_text"), F.col("__gl_words"), F.col("__gl_lines")
@@ -81,6 +82,7 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.when(F.size(w) > 1, F.size(F.filter(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: a == b), lambda x: x))).otherwise(0).cast("long").alias("n_stutter"),
         _repeat_words(w, F.size(w)).alias("n_repeat_words"),
     )
 
