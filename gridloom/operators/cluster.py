@@ -76,3 +76,22 @@ def davies_bouldin(member: DataFrame, centres: DataFrame) -> DataFrame:
     both = gaps.union(gaps.select("b", "a", "d2"))
     r = both.join(s.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(s.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
     return r.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.sqrt("d2")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def dunn(member: DataFrame, centres: DataFrame) -> DataFrame:
+    """Smallest gap of centres over the widest cluster (twice the largest distance to its centre): the centroid form, linear in the rows."""
+    hard = member.groupBy("id").agg(F.min(F.struct("d2", "c")).alias("x")).select(F.sqrt("x.d2").alias("d"))
+    wide = hard.agg((2 * F.max("d")).alias("wide"))
+    gap = centre_gaps(centres).agg(F.sqrt(F.min("d2")).alias("gap"))
+    return gap.crossJoin(wide).select(F.try_divide("gap", F.col("wide")).alias("dunn"))  # one row each
+
+
+def pbmf(member: DataFrame, centres: DataFrame, m: float = 2.0) -> DataFrame:
+    """(e1 / (k * jm) * widest gap) squared; e1: distances to the mean vector, jm: weighted distances to the centres."""
+    dims = member.filter(F.col("c") == 0).select("id", F.posexplode("features").alias("dim", "x"))
+    mean = dims.groupBy("dim").agg(F.avg("x").alias("value"))
+    mean = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("mean"))
+    e1 = member.filter(F.col("c") == 0).crossJoin(F.broadcast(mean)).agg(F.sum(F.sqrt(squared_distance(F.col("features"), F.col("mean")))).alias("e1"))  # one row
+    jm = member.agg(F.sum(F.pow("u", F.lit(m)) * F.sqrt("d2")).alias("jm"), F.count_distinct("c").alias("k"))
+    gap = centre_gaps(centres).agg(F.sqrt(F.max("d2")).alias("gap"))
+    return e1.crossJoin(jm).crossJoin(gap).select(F.pow(F.col("e1") / (F.col("k") * F.col("jm")) * F.col("gap"), F.lit(2)).alias("pbmf"))  # one row each

@@ -217,3 +217,57 @@ def adasyn_counts(rows: DataFrame, label: int, n_new: int, k: int = 5) -> DataFr
 def adasyn(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:
     own = rows.filter(F.col("label") == label)
     return interpolated(own, adasyn_counts(rows, label, n_new, k).select("id", "n"), nearest(own, own, k), seed, each=True)
+
+
+def one_sided(rows: DataFrame, minority: int, seeds: list[int]) -> DataFrame:
+    """One-sided selection: of the other classes, the seeds and what 1-NN on minority and seeds gets wrong; then Tomek links lose their majority member."""
+    few = rows.filter(F.col("label") == minority)
+    store = few.union(rows.filter(F.col("id").isin(seeds) & (F.col("label") != minority)))
+    rest = rows.filter((F.col("label") != minority) & ~F.col("id").isin(seeds))
+    wrong = nearest(rest, store, 1).join(rest.select("id", "label"), "id").filter(F.col("other_label") != F.col("label")).select("id")
+    left = store.union(rest.join(wrong, "id", "left_semi").select(*rows.columns))
+    return without_tomek(left, minority)
+
+
+def without_tomek(rows: DataFrame, minority: int | None = None) -> DataFrame:
+    """Rows without Tomek links' members: of both sides, or, with `minority`, of the other classes only."""
+    links = tomek_links(rows)
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    gone = rows.join(ends, "id", "left_semi").filter(F.lit(True) if minority is None else F.col("label") != minority).select("id")
+    return rows.join(gone, "id", "left_anti")
+
+
+def _numbered(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """Old and synthetic rows with distinct ids: synthetic ones are negative, by their source and copy."""
+    return rows.select("id", "label", "features").union(made.select((-(F.col("id") * 1_000_000 + F.col("copy") + 1)).alias("id"), "label", "features"))
+
+
+def smote_enn(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:
+    return edited(_numbered(rows, smote(rows, label, n_new, k, seed)), 3, "all")
+
+
+def smote_tomek(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:
+    return without_tomek(_numbered(rows, smote(rows, label, n_new, k, seed)))
+
+
+def cluster_centroids(rows: DataFrame, targets: dict[int, int], seed: int = 1) -> DataFrame:
+    """label, features: of each class in `targets`, that many k-means centres in place of its rows; other classes stay."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = rows.sparkSession
+    out = rows.filter(~F.col("label").isin(list(targets))).select("label", "features")
+    for label, n in sorted(targets.items()):
+        model = KMeans(k=n, seed=seed, featuresCol="v").fit(rows.filter(F.col("label") == label).select(array_to_vector("features").alias("v")))
+        out = out.union(spark.createDataFrame([(label, [float(x) for x in c]) for c in model.clusterCenters()], "label int, features array<double>"))
+    return out
+
+
+def bins_by_deviation(rows: DataFrame, value: str, least: int = 2) -> DataFrame:
+    """Right-closed bins of one standard deviation from the minimum, with counts; bins under `least` rows join the one before."""
+    s = rows.agg(F.min(value).alias("__lo"), F.stddev_pop(value).alias("__sd"))
+    binned = rows.crossJoin(F.broadcast(s)).withColumn("bin", F.greatest(F.ceil((F.col(value) - F.col("__lo")) / F.col("__sd")), F.lit(0)).cast("int"))  # one row
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("bin")  # a few bins
+    kept = counts.withColumn("into", F.last(F.when(F.col("n") >= least, F.col("bin")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return kept.groupBy(F.coalesce("into", "bin").alias("bin")).agg(F.sum("n").alias("n"))

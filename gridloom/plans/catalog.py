@@ -538,3 +538,60 @@ def recursive_short_term(spark, sf):
     fits = rules.regressions(series.lag_vector(s, "hour", [1], keys=("project",)), ["project"], "y", "lag_0")
     last = T.read(spark, sf, "events").agg(F.max(T.hour_number("ts"))).collect()[0][0]
     return online.recursive(s, fits, last, 4, ["project"]).select("project", "hour", "step", r6("y_hat", 4))
+
+
+@query(f"WITH {CENTRES_SQL}, h AS (SELECT id, min(d2) AS d2 FROM d GROUP BY 1), g AS (SELECT min(list_distance(a.centre, b.centre)) AS gap FROM cs a JOIN cs b ON a.c < b.c) SELECT round(any_value(gap) / (2 * max(sqrt(d2))), 5) AS dunn FROM h, g")
+def dunn_index(spark, sf):
+    return cluster.dunn(member(spark, sf), first_centres(spark, sf)).select(r6("dunn", 5))
+
+
+@query(f"WITH {CENTRES_SQL}, e AS (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM v), m AS (SELECT list(x ORDER BY dim) AS mean FROM (SELECT dim, avg(x) AS x FROM e GROUP BY 1)), e1 AS (SELECT sum(list_distance(f, mean)) AS e1 FROM v, m), g AS (SELECT max(list_distance(a.centre, b.centre)) AS gap FROM cs a JOIN cs b ON a.c < b.c), j AS (SELECT sum(u * u * sqrt(d2)) AS jm FROM u) SELECT round(pow(e1 / (3 * jm) * gap, 2), 5) AS pbmf FROM e1, j, g")
+def pbmf_index(spark, sf):
+    return cluster.pbmf(member(spark, sf), first_centres(spark, sf)).select(r6("pbmf", 5))
+
+
+@query(f"WITH {SERIES_SQL}, s AS (SELECT min(y) AS lo, stddev_pop(y) AS sd FROM series), b AS (SELECT CAST(greatest(ceil((y - lo) / sd), 0) AS INTEGER) AS bin FROM series, s), c AS (SELECT bin, count(*) AS n FROM b GROUP BY 1), k AS (SELECT bin, n, last_value(CASE WHEN n >= 2 THEN bin END IGNORE NULLS) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS j FROM c) SELECT coalesce(j, bin) AS bin, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1")
+def deviation_bins(spark, sf):
+    return resample.bins_by_deviation(hourly(spark, sf), "y")
+
+
+@query("WITH c AS (SELECT p_partkey, p_retailprice AS a, p_size AS b FROM part) SELECT p_partkey FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))")
+def pareto_front(spark, sf):
+    from ..operators import search
+
+    parts = T.read(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("a"), F.col("p_size").alias("b"))
+    return search.pareto_front(parts, "a", "b").select("p_partkey")
+
+
+@query(f"WITH {DAILY_SQL}, c AS (SELECT unnest(range((SELECT min(day) FROM daily), (SELECT max(day) FROM daily) + 1)) AS day) SELECT day FROM c WHERE day NOT IN (SELECT day FROM daily) UNION ALL SELECT day + 100000 FROM daily WHERE day % 50 = 0")
+def missing_days(spark, sf):
+    """Calendar days that no file covers, and (offset) the covered days that are due for a check."""
+    have = daily(spark, sf).select("day")
+    ends = have.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(have, "day", "left_anti").union(have.filter("day % 50 = 0").select(F.col("day") + 100000))
+
+
+@query(f"WITH {SERIES_SQL} SELECT project, hour // 24 AS run_day, hour, round(y, 4) AS y FROM series WHERE hour // 24 IN (SELECT DISTINCT hour // 24 + 1 FROM series)")
+def run_selection(spark, sf):
+    """Hours that the day-ahead run of the day before covers: runs become hours first, then an equi-join."""
+    runs = hourly(spark, sf).select(F.floor(F.col("hour") / 24).alias("run_day")).distinct()
+    valid = series.days_of(runs).select("hour")
+    return hourly(spark, sf).join(valid, "hour").select("project", F.floor(F.col("hour") / 24).alias("run_day"), "hour", r6("y", 4))
+
+
+@query(f"WITH {XS_SQL}, {ACT_SQL}, h AS (SELECT max(hour) - 24 AS h FROM series) SELECT DISTINCT project, rule FROM act, h WHERE act >= 0.6 AND hour > h")
+def rules_to_retrain(spark, sf):
+    """Rules that the last day's rows activate."""
+    last = T.read(spark, sf, "events").agg((F.max(T.hour_number("ts")) - 24).alias("h"))
+    rows = xs(spark, sf).crossJoin(F.broadcast(last)).filter("hour > h").drop("h")  # one row
+    return rules.partitioned(rows, rules.rule_base({"x": _GAUSS}), 0.6).select("project", "rule").distinct()
+
+
+@query()
+def one_sided_selection(spark, sf):
+    return resample.one_sided(vec(spark, sf), 0, [1, 2, 3]).select("id", "label")
+
+
+@query()
+def smote_tomek(spark, sf):
+    return resample.smote_tomek(vec(spark, sf), 1, 30).select("id", "label")

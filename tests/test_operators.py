@@ -104,3 +104,19 @@ def test_windowed_stream(spark, tmp_path):
     q = online.windowed(stream, "ts", "k", "v").writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.y for r in spark.sql("SELECT * FROM win").collect()) == [3.0, 4.0]
+
+
+def test_search_finds_the_branin_minimum(spark):
+    from gridloom.operators import search
+
+    assert abs(search.branin(3.141592653589793, 2.275) - 0.397887) < 1e-5
+    at, cost = search.minimise(spark, search.branin, [(-5.0, 10.0), (0.0, 15.0)], calls=48, rounds=5)
+    assert len(at) == 2 and cost < 0.45
+
+
+def test_acquisition_values(spark):
+    from gridloom.operators import search
+
+    row = spark.createDataFrame([(0.0, 1.0), (5.0, 0.0)], "m double, s double").select(*[search.acquisition(k, F.col("m"), F.col("s"), 0.0, 0.0).alias(k) for k in ("lcb", "pi", "ei")]).collect()
+    assert abs(row[0].lcb + 1.96) < 1e-9 and abs(row[0].pi - 0.5) < 1e-6 and abs(row[0].ei - 0.398942) < 1e-6 and row[1].ei == 0
+    assert search.task_grid(spark, ["a", "b"], ["rule.0"], {"lr": [1, 2], "width": [3, 4, 5]}).count() == 12
