@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: for each node, its larger neighbours go to the smallest of all neighbours and itself
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         # small star: smaller neighbours and the node itself go to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")

@@ -4,12 +4,13 @@ Texts with equal words (A-Z lower-cased, between blanks) are one node, by MD5 of
 carry them. Of each node's set of 5-word shingles, BANDS x ROWS MinHash values are taken; nodes that agree in a band
 share a bucket. The samples are also folded into an odd sketch: a bitmap of SKETCH_BITS in which each sample flips one
 bit, so that the bits of the XOR of two sketches tell how many samples differ. Pairs whose sketches are too far apart
-(SKETCH_LEAST, five standard deviations under the threshold) are left out; all others are checked on the full sets.
+(SKETCH_LEAST, over four standard deviations under the threshold) are left out; all others are checked on the full sets.
 
-Pairs are few: first every node of a bucket with the bucket's smallest node only. Then, among buckets that still hold
-two components or more, each node outside the bucket's largest component with the nodes of other components, so no link
-between components of a bucket is lost and no pair within a component is made. A pair at 0.75 shares no band with a
-probability of 5e-6.
+Pairs are few. Every node is first held against one other: of the smallest nodes of its buckets, the one that most of
+its bands name. Then, in buckets that still hold two components or more, each node outside the largest component is held
+against that one's smallest node; at last, where components still differ, against the nodes of other components, by
+finer sketches (FINE_SAMPLES) first. So no link between components of a bucket is lost, and no pair within a component
+is made. A pair at 0.75 shares no band with a probability of 5e-6.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows and ids are members like any other (a null id counts as
@@ -33,11 +34,13 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
-SKETCH_LEAST = 0.56
+SKETCH_LEAST = 0.54
+#: The finer sketches, of nodes whose buckets hold several components: samples, bits, and four and a half deviations under what 0.75 shows as.
+FINE_SAMPLES, FINE_BITS, FINE_LEAST = 4096, 16384, 0.7
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 
 
 def plain(text: Column) -> Column:
@@ -45,11 +48,11 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.btrim(lower_az(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), BLANK_RUN, " ")
 
 
-def min_hashes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of BANDS * ROWS samples for each set that isn't empty."""
+def min_hashes(h: np.ndarray, bounds: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+    """A row of MinHash samples for each set that isn't empty."""
     at = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(at), len(_A)), np.uint64)
-    for k in range(len(_A)):
+    out = np.empty((len(at), samples), np.uint64)
+    for k in range(samples):
         v = h ^ _B[k]
         v *= _A[k]
         v ^= v >> np.uint64(32)
@@ -68,21 +71,40 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS / 64 words for each row of samples: sample k with value v flips bit hash(k, v)."""
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """bits / 64 words for each row of samples: sample k with value v flips bit hash(k, v)."""
     from .kernels import mix
 
     n, k = samples.shape
-    bit = (mix(samples + np.arange(k, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.zeros(n * SKETCH_BITS, np.uint8)
-    np.add.at(odd, (np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), 1)
-    return np.packbits(odd.reshape(n, SKETCH_BITS) & 1, axis=1, bitorder="little").view(np.int64)
+    bit = (mix(samples + np.arange(k, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount((np.arange(n)[:, None] * bits + bit).ravel(), minlength=n * bits).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits) & 1, axis=1, bitorder="little").view(np.int64)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> Column:
     """The similarity that two odd sketches (arrays of long) tell."""
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return 1 + SKETCH_BITS / (4.0 * BANDS * ROWS) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * differ / SKETCH_BITS))
+    return 1 + bits / (4.0 * samples) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * differ / bits))
+
+
+def fine_sketches(nodes: DataFrame) -> DataFrame:
+    """node, fine (array of long) of nodes (node, text) with shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .kernels import shingle_sets
+
+        for batch in batches:
+            for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
+                full = np.flatnonzero(np.diff(bounds) > 0)
+                for at in range(0, len(full), 128):  # the samples of a text take 32 KB
+                    part = full[at : at + 128]
+                    lo, hi = bounds[part[0]], bounds[part[-1] + 1]
+                    inside = bounds[part[0] : part[-1] + 2] - lo
+                    words = odd_sketches(min_hashes(h[lo:hi], inside, FINE_SAMPLES), FINE_BITS)
+                    fine = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), FINE_BITS // 64).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + part)), fine], ["node", "fine"])
+
+    return nodes.select("node", "text").mapInArrow(run, "node binary, fine array<long>")
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
@@ -157,21 +179,36 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         with_b = with_a.join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
         return with_b.filter(likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST).select("a", "b")
 
-    star = banded.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(verified(likely(star), nodes), "links")
+    star = banded.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
+    links = cut(verified(likely(best), nodes), "links")
     roots = cut(graph.components(links), "roots")
-    # buckets that still hold several components
-    known = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    known = cut(known.join(mixed, "band").join(sketches, "node"), "mixed")
-    largest = known.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
-    small = known.join(largest, "band").filter("root <> top").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    others = known.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    more = small.join(others, (small["band"] == others["band"]) & (F.col("ra") != F.col("rb")) & (likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tied = cut(verified(more, nodes), "links")
-    if tied.head(1):
-        roots = cut(graph.components(links.union(tied)), "roots")
+
+    def mixed() -> tuple[DataFrame, DataFrame]:
+        """Of the buckets that hold several components: their nodes, with sketches; each one's largest component, with its smallest node."""
+        known = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+        known = cut(known.join(several, "band").join(sketches, "node"), "mixed")
+        parts = known.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
+        return known, parts.groupBy("band").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"))
+
+    def tie(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        more = cut(verified(pairs, nodes), "links")
+        if more.head(1):
+            links = links.union(more)
+            roots = cut(graph.components(links), "roots")
+
+    known, top = mixed()
+    tie(likely(known.join(top, "band").filter(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.head").alias("b")).distinct()))
+    known, top = mixed()
+    fine = cut(fine_sketches(nodes.join(known.select("node").distinct(), "node", "left_semi")), "fine")
+    known = known.join(fine, "node")
+    small = known.join(top, "band").filter(F.col("root") != F.col("top.root")).select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"))
+    others = known.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
+    close = (likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST) & (likeness(F.col("fa"), F.col("fb"), FINE_SAMPLES, FINE_BITS) >= FINE_LEAST)
+    more = small.join(others, (small["band"] == others["band"]) & (F.col("ra") != F.col("rb")) & close)
+    tie(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     placed = members.join(sigs.select("node", "n_shingles"), "node").join(roots, "node", "left")
     placed = placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
     ids = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -181,8 +218,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with their own columns, of which the smallest doc_id of each group stays (and one of its rows, if rows repeat it)."""
+    """The documents, with their own columns, of which the smallest doc_id of each group stays (rows that share it are that document, and stay too)."""
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     gone = groups(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gl_gone")).distinct()
-    left = docs.join(gone, d == F.col("__gl_gone"), "left_anti")
-    return left
+    return docs.join(gone, d == F.col("__gl_gone"), "left_anti")
