@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,18 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that `cut` has written in this process; results that still read them must have been saved before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in blocks of about so many bytes (a longer text is a block of its own), which bounds memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))

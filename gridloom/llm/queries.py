@@ -10,7 +10,7 @@ from .common import table
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
-    return suffix_dedup.strip(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.strip(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

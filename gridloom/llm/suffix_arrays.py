@@ -37,7 +37,7 @@ def _deal(lists: list[list[np.ndarray]], at: np.ndarray, s: np.ndarray) -> None:
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -46,7 +46,7 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> tuple[lis
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
     _deal(heads, leftmost, s)
-    _deal(larger, np.array([n - 1]), s)
+    _deal(larger, np.array([n - 1], np.int32), s)
     ls: list[np.ndarray] = []
     for c in range(256):
         k = 0
@@ -60,7 +60,7 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> tuple[lis
         _deal(larger, head[head > 0] - 1, s)  # what stands before a leftmost S suffix is L
         ls.append(_joined(larger[c]))
     smaller: list[list[np.ndarray]] = [[] for _ in range(256)]
-    ss: list[np.ndarray] = [np.zeros(0, np.int64)] * 256
+    ss: list[np.ndarray] = [np.zeros(0, np.int32)] * 256
     for c in range(255, -1, -1):  # from the largest: all orders are reversed
         k = 0
         while k < len(smaller[c]):
@@ -115,7 +115,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     small = _classes(s)
     is_left = np.zeros(n, bool)
     is_left[1:] = small[1:] & ~small[:-1]
-    left = np.flatnonzero(is_left)
+    left = np.flatnonzero(is_left).astype(np.int32)
     both = lambda ls, ss: np.concatenate([x for c in range(256) for x in (ls[c], ss[c])])
     ls, ss = _induce(s, small, left)  # sorts the leftmost substrings
     if not len(left):
@@ -123,7 +123,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     by_substring = np.concatenate(ss)
     by_substring = by_substring[is_left[by_substring]]
     # equal neighbours: of one length, and byte by byte in rounds
-    end = np.full(n, n)
+    end = np.full(n, n, np.int32)
     end[left[:-1]] = left[1:]
     length = end[by_substring] - by_substring + 1
     same = length[1:] == length[:-1]
@@ -150,7 +150,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[0]] = -1
     before[sa[1:]] = sa[:-1]
     place = np.arange(n)

@@ -31,10 +31,12 @@ from .common import cut, row_key
 WIDTH = 200
 GRAM = 24
 STRETCH = 1 << 19
-HOT_CONTEXTS = 128
+HOT_CONTEXTS = 4096
 SPLITS = (16, 1)
 #: Bytes of contexts in one suffix array, and the byte between them, which UTF-8 never has.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Contexts handed on at a time.
+ROWS_OUT = 4096
 BETWEEN = 255
 _NO_ID = -(1 << 63)
 OCCURRENCES = "d long, k long, lo int, hi int, anchor int, g long, c long"
@@ -161,12 +163,22 @@ def segments(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """g, c, n and the bytes of each distinct context; reps: d, k, lo, hi, g, c, n."""
     fields = ["lo", "hi", "g", "c", "n"]
 
+    def packed(held: list) -> pa.RecordBatch:
+        cols = [pa.array(np.concatenate([r[f] for r, _ in held])) for f in ("g", "c", "n")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([x for _, seg in held for x in seg], pa.binary())], ["g", "c", "n", "seg"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for _, data, r in _lists(batch, fields):
                 raw = data.tobytes()
-                seg = [raw[lo : hi + WIDTH] for lo, hi in zip(r["lo"].tolist(), r["hi"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["g"]), pa.array(r["c"]), pa.array(r["n"]), pa.array(seg, pa.binary())], ["g", "c", "n", "seg"])
+                held.append((r, [raw[lo : hi + WIDTH] for lo, hi in zip(r["lo"].tolist(), r["hi"].tolist(), strict=True)]))
+                n += len(r["lo"])
+                if n >= ROWS_OUT:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     return _with_text(reps, docs, fields).select("d", "k", "rows", "text").mapInArrow(run, "g long, c long, n long, seg binary")
 
@@ -252,8 +264,8 @@ def removed(docs: DataFrame) -> DataFrame:
     return out
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: the bytes that stay)."""
+def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary: the bytes that stay)."""
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     gone = removed(ids.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
 
@@ -278,7 +290,9 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 left = b"".join(out)
                 size.append(len(raw))
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                if with_kept:
+                    kept.append(left)
+            cols = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_kept else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)])
 
-    return ids.join(gone, ["d", "k"], "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return ids.join(gone, ["d", "k"], "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
