@@ -5,10 +5,9 @@ one shuffle with map-side sums. The VOCAB most frequent words are tokens of thei
 times its share of the rare words' counts, so the probabilities of all words, unseen ones included, sum to one. Words
 fall into classes of about equal mass, so a token costs a softmax over the classes and one over its class.
 
-Training: every training text gives a stretch of one TRAIN_SHARE-th of its tokens (a window at least) from a place its
-hash picks, so the training set grows with the corpus; it is learned in windows of WINDOW tokens by truncated
-backpropagation, the state carried from window to window. Every partition trains a replica on its stretches; replicas
-are averaged, FAN_IN at a time, ROUNDS times. Only counts of KNOWN words at most and averaged weights, both of fixed
+Training: every token of every training text is learned, each text from its start in windows of WINDOW tokens by
+truncated backpropagation, the state carried from window to window. Every partition trains a replica on its texts;
+replicas are averaged, FAN_IN at a time, ROUNDS times. Only counts of KNOWN words at most and averaged weights, both of fixed
 size, reach the driver. Scoring runs whole texts in windows with the state carried, many texts side by side.
 
 Counts of words that aren't among the KNOWN most frequent join by a shuffle; no word is left out.
@@ -37,7 +36,6 @@ CLASSES = 64
 HIDDEN = 16
 WINDOW = 32
 LANES = 64
-TRAIN_SHARE = 16
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
 REPLICA_TOKENS = 500_000
@@ -227,17 +225,18 @@ class Model:
         groups = [sorted(texts[k : k + 16 * LANES], key=len) for k in range(0, len(texts), 16 * LANES)]
         lane_groups = [g[k : k + LANES] for g in groups for k in range(0, len(g), LANES)]
         for n in np.random.default_rng(len(texts)).permutation(len(lane_groups)):
-            lanes = lane_groups[n]
-            size = max(map(len, lanes))
-            y = np.full((size, len(lanes)), -1, np.int64)
-            for j, t in enumerate(lanes):
-                y[: len(t), j] = t
+            lanes = lane_groups[n]  # by length, so the lanes that go on are the last ones
+            sizes = np.array([len(t) for t in lanes])
             h, x = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), len(self.cls))
-            for t in range(0, size, WINDOW):
-                part = y[t : t + WINDOW]
+            for t in range(0, int(sizes[-1]), WINDOW):
+                done = int(np.searchsorted(sizes, t, "right"))
+                lanes, sizes, h, x = lanes[done:], sizes[done:], h[done:], x[done:]
+                part = np.full((min(WINDOW, int(sizes[-1]) - t), len(lanes)), -1, np.int64)
+                for j, text in enumerate(lanes):
+                    piece = text[t : t + WINDOW]
+                    part[: len(piece), j] = piece
                 h = self.train_window(part, x, h)
-                for row in part:
-                    x = np.where(row >= 0, row, x)
+                x = part[-1]  # a lane that has ended goes out before its state is used
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -271,21 +270,16 @@ def counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def stretches(train: DataFrame, held) -> DataFrame:
-    """ids: the token numbers of each text's training stretch."""
+def sequences(train: DataFrame, held) -> DataFrame:
+    """ids: the token numbers of each whole training text, its end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
         for batch in batches:
-            out = []
             for _, h, bounds in _tokens(batch.column("text")):
                 ids, _ = voc.look(h)
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    n = b - a + 1
-                    size = min(n, max(WINDOW, -(-n // TRAIN_SHARE)))
-                    start = int(h[a] % np.uint64(n - size + 1)) if b > a else 0
-                    out.append(np.r_[ids[a:b], np.int32(END)][start : start + size])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["ids"])
+                out = [np.r_[ids[a:b], np.int32(END)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["ids"])
 
     return train.select("text").mapInArrow(run, "ids array<int>")
 
@@ -347,7 +341,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n, v = words + texts, kinds + (texts > 0)
     voc = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, texts)
     held = sc.broadcast(voc)
-    weights = sc.broadcast(fit(cut(stretches(train, held), "stretches"), held))
+    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences"), held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
