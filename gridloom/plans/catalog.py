@@ -519,7 +519,7 @@ def rls_weights(spark, sf):
 @query()
 def rbf_ols(spark, sf):
     wide = features.scaled(series.lag_vector(hourly(spark, sf), "hour", [24, 48], keys=("project",)), ["y", "lag_0", "lag_1"], ("project",))
-    return models.rbf_ols(wide, "project", ["lag_0", "lag_1"], "y", 2.0, 12, 500)
+    return models.rbf_ols(wide, "project", ["lag_0", "lag_1"], "y", 2.0)
 
 
 @query()
