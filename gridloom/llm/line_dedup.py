@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment: overlapping documents are found through shared rare lines, aligned by patience
 diff, and the aligned common blocks are deleted from the later document (the larger doc_id).
 
-Keys that make documents meet are a line of MIN_CHARS characters or more, or two lines with words in a row: such
-keys are rare, unlike short lines (headings, boilerplate) alone. All later holders of a key are aligned with its first
-holder only, so pairs grow with the lines however many documents share a key, and every block that an earlier document
-holds has a first holder. A common block is a run of lines, aligned one to one, of MIN_CHARS characters in all or more;
-what is in no such block stays. Blocks are judged on the input texts, and all pairs' deletions add up.
+Keys that make documents meet are windows: from each line on, and up to each line, the fewest lines in a row with
+MIN_CHARS characters or more and a word. The windows of a common block cover it, so documents with a common block share
+a key, and blank lines within a block don't part it. All later holders of a key are aligned with its first holder only,
+so pairs grow with the lines however many documents share a key. A common block is a run of lines, aligned one to one, of MIN_CHARS characters
+in all or more; what is in no such block stays. Blocks are judged on the input texts, and all pairs' deletions add up.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines without a word make no key by
 themselves; rows equal in id and text are one document and share a result; a null doc_id comes before all others;
@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,25 @@ from pyspark.sql import functions as F
 from .common import BLANKS, cut, row_key
 
 MIN_CHARS = 100
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+def windows(h: np.ndarray, n: np.ndarray, w: np.ndarray, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First lines, lines after the last, and keys of a text's windows; h: hashes, n: characters, w: has a word, of its lines."""
+    chars, worded = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(w)]
+    at = np.arange(len(n))
+    # from each line on, and up to each line
+    a = np.r_[at, np.minimum(np.searchsorted(chars, chars[1:] - least, "right"), np.searchsorted(worded, worded[1:] - 1, "right")) - 1]
+    b = np.r_[np.maximum(np.searchsorted(chars, chars[:-1] + least), np.searchsorted(worded, worded[:-1] + 1)), at + 1]
+    ok = (a >= 0) & (b <= len(n))
+    a, b = np.divmod(np.unique(a[ok] * (len(n) + 1) + b[ok]), len(n) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(h.view(np.uint64) * _powers(_BACK, len(h))[:-1])]
+    return a, b, ((sums[b] - sums[a]) * _powers(_ODD, len(h))[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -84,6 +104,12 @@ def blocks(a: list[int], b: list[int], sizes: list[int], least: int = MIN_CHARS)
     return found
 
 
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, characters and has-a-word flags of each row's lines."""
+    for h, n, w in zip(batch.column("h"), batch.column("n"), batch.column("w"), strict=True):
+        yield h.values.to_numpy(), n.values.to_numpy().astype(np.int64), w.values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """d, k (the document) and gone (array of line numbers from 0) of each document that loses lines."""
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
@@ -91,20 +117,25 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     # the line hashes are a small part of the texts; one row for equal rows
     lines = docs.select(d.alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.transform(split, lambda x: F.xxhash64(x)).alias("h"), F.transform(split, lambda x: F.length(x)).alias("n"), F.transform(split, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("w"))
     lines = cut(lines.groupBy("d", "k").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("w").alias("w")), "lines")
-    places = F.sequence(F.lit(0), F.size("h") - 1)
-    single = F.transform(F.filter(places, lambda i: (F.col("n")[i] >= least) & F.col("w")[i]), lambda i: F.col("h")[i])
-    double = F.transform(F.filter(places, lambda i: (i + 1 < F.size("h")) & F.col("w")[i] & F.when(i + 1 < F.size("h"), F.get(F.col("w"), i + 1)).otherwise(False)), lambda i: F.xxhash64(F.col("h")[i], F.get(F.col("h"), i + 1)))
-    keys = lines.select("d", "k", F.explode(F.array_distinct(F.concat(single, double))).alias("key"))
-    first = keys.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key", "a")
-    pairs = keys.join(first, "key").filter((F.col("a.d") != F.col("d")) | (F.col("a.k") != F.col("k"))).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k").distinct()
-    earlier = lines.select(F.col("d").alias("ad"), F.col("k").alias("ak"), F.col("h").alias("ah"))
-    both = pairs.join(earlier, ["ad", "ak"]).join(lines.select("d", "k", "h", "n"), ["d", "k"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.unique(windows(h, n, w, least)[2]) for h, n, w in _arrays(batch)]
+            rows = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(rows), batch.column("k").take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *got]))], ["d", "k", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [blocks(a.as_py(), b.as_py(), n.as_py(), least) for a, b, n in zip(batch.column("ah"), batch.column("h"), batch.column("n"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["d", "k", "gone"]).filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
+    earlier = lines.select(F.col("d").alias("ad"), F.col("k").alias("ak"), F.col("h").alias("ah"))
+    own = lines.select("d", "k", "h", "n", "w")
+    kind = "d long, k long, key long"
+    holders = cut(own.mapInArrow(keyed, kind), "holders")
+    first = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key", "a")
+    pairs = holders.join(first, "key").filter((F.col("a.d") != F.col("d")) | (F.col("a.k") != F.col("k"))).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k").distinct()
+    both = pairs.join(earlier, ["ad", "ak"]).join(own, ["d", "k"])
     lost = both.select("d", "k", "ah", "h", "n").mapInArrow(run, "d long, k long, gone array<int>")
     return lost.select("d", "k", F.explode("gone").alias("line")).groupBy("d", "k").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 

@@ -1,6 +1,6 @@
 """Operators do their whole job: nothing is sampled, capped or passed over."""
 
-from gridloom.llm import lm_scoring
+from gridloom.llm import line_dedup, lm_scoring
 
 
 def test_lm_trains_on_every_token(spark, monkeypatch):
@@ -26,3 +26,13 @@ def test_lm_carries_states_through_a_text(monkeypatch):
     model.train([np.arange(n) % 20 for n in (5, 40, 70)])
     assert [n for n, *_ in seen] == [69, 40, 6]
     assert [b for _, b, _ in seen] == [[20, 20, 20], [31 % 20, 31 % 20], [63 % 20]] and [c for *_, c in seen] == [False, True, True]
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: r.kept_text for r in line_dedup.report(docs).collect()}
+
+
+def test_lines_parted_by_blank_lines_are_a_block(spark):
+    block = "\n\n".join(c * 80 for c in "pqr")
+    assert kept(spark, {1: f"one\n{block}\nx", 2: f"two\n{block}\ny"})[2] == "two\ny"
