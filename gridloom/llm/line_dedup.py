@@ -3,8 +3,10 @@ diff, and the aligned common blocks are deleted from the later document (the lar
 
 Keys that make documents meet are windows: from each line on, and up to each line, the fewest lines in a row with
 MIN_CHARS characters or more and a word. The windows of a common block cover it, so documents with a common block share
-a key, and blank lines within a block don't part it. All later holders of a key are aligned with its first holder only,
-so pairs grow with the lines however many documents share a key. A common block is a run of lines, aligned one to one, of MIN_CHARS characters
+a key, and blank lines within a block don't part it. A key's later holders are aligned with its first holder; where
+lines of a shared window are left after that, with more and more of its earlier holders (GROWTH times as many a round)
+until none is left or all were tried. So pairs grow with the lines where the first holder settles a key, and the result
+is that of aligning every two documents. A common block is a run of lines, aligned one to one, of MIN_CHARS characters
 in all or more; what is in no such block stays. Blocks are judged on the input texts, and all pairs' deletions add up.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines without a word make no key by
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, cut, row_key
 
 MIN_CHARS = 100
+GROWTH = 8
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
@@ -47,8 +50,41 @@ def windows(h: np.ndarray, n: np.ndarray, w: np.ndarray, least: int = MIN_CHARS)
     return a, b, ((sums[b] - sums[a]) * _powers(_ODD, len(h))[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience diff: pairs of places of equal lines, ascending in both; lines unique in both stretches are the anchors."""
+def _weights(a: list[int], b: list[int], sizes: list[int]) -> np.ndarray:
+    """Greatest sizes of common subsequences of a and each beginning of b."""
+    b, sizes = np.array(b, np.int64), np.array(sizes, np.int64)
+    best = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + np.where(b == x, sizes, 0)))
+    return best
+
+
+def heaviest(a: list[int], b: list[int], sizes: list[int]) -> list[tuple[int, int]]:
+    """A common subsequence with the most characters, as pairs of places, ascending; in memory that grows with the lines."""
+    number = {x: n for n, x in enumerate(set(a) & set(b))}
+    ia, ib = [i for i, x in enumerate(a) if x in number], [j for j, x in enumerate(b) if x in number]
+    a, b, sizes = [number[a[i]] for i in ia], [number[b[j]] for j in ib], [sizes[j] for j in ib]
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 >= a1 or b0 >= b1:
+            continue
+        if a1 - a0 == 1:
+            same = [j for j in range(b0, b1) if b[j] == a[a0]]
+            out += [(ia[a0], ib[same[0]])] if same else []
+            continue
+        mid = (a0 + a1) // 2
+        left = _weights(a[a0:mid], b[b0:b1], sizes[b0:b1])
+        right = _weights(a[mid:a1][::-1], b[b0:b1][::-1], sizes[b0:b1][::-1])[::-1]
+        j = b0 + int((left + right).argmax())
+        todo += [(a0, mid, b0, j), (mid, a1, j, b1)]
+    return sorted(out)
+
+
+def aligned(a: list[int], b: list[int], sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Patience diff: pairs of places of equal lines, ascending in both; lines unique in both stretches are the anchors, and a stretch without one gets its heaviest common subsequence (sizes: of b's lines; 1 each by default)."""
+    sizes = [1] * len(b) if sizes is None else [max(1, x) for x in sizes]
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -82,6 +118,7 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(both[n])
             n = before[n]
         if not chain:
+            out += [(a0 + i, b0 + j) for i, j in heaviest(a[a0:a1], b[b0:b1], sizes[b0:b1])]
             continue
         edges = [(a0 - 1, b0 - 1), *reversed(chain), (a1, b1)]
         out += chain
@@ -94,7 +131,7 @@ def blocks(a: list[int], b: list[int], sizes: list[int], least: int = MIN_CHARS)
     found: list[int] = []
     run: list[int] = []
     last = (-2, -2)
-    for i, j in [*aligned(a, b), (-9, -9)]:
+    for i, j in [*aligned(a, b, sizes), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[x] for x in run) >= least:
                 found += run
@@ -129,21 +166,53 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
             gone = [blocks(a.as_py(), b.as_py(), n.as_py(), least) for a, b, n in zip(batch.column("ah"), batch.column("h"), batch.column("n"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["d", "k", "gone"]).filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for (h, n, w), keys, gone in zip(_arrays(batch), batch.column("keys").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                stays = np.ones(len(h), np.int64)
+                stays[np.array(gone or [], np.int64)] = 0
+                stays = np.r_[0, np.cumsum(stays)]
+                a, b, key = windows(h, n, w, least)
+                got.append(np.intersect1d(key[stays[b] > stays[a]], np.array(keys, np.int64)))
+            rows = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(rows), batch.column("k").take(rows), pa.array(np.concatenate([np.zeros(0, np.int64), *got]))], ["d", "k", "key"])
+
     earlier = lines.select(F.col("d").alias("ad"), F.col("k").alias("ak"), F.col("h").alias("ah"))
     own = lines.select("d", "k", "h", "n", "w")
     kind = "d long, k long, key long"
     holders = cut(own.mapInArrow(keyed, kind), "holders")
-    first = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key", "a")
-    pairs = holders.join(first, "key").filter((F.col("a.d") != F.col("d")) | (F.col("a.k") != F.col("k"))).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k").distinct()
-    both = pairs.join(earlier, ["ad", "ak"]).join(own, ["d", "k"])
-    lost = both.select("d", "k", "ah", "h", "n").mapInArrow(run, "d long, k long, gone array<int>")
-    return lost.select("d", "k", F.explode("gone").alias("line")).groupBy("d", "k").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    first = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    standing, lost, tried, buckets = holders, None, None, 1
+    while True:
+        if buckets > 1:
+            # any order of earlier holders serves; a bucket's first one is met each round, and in the end each is alone
+            bucket = F.pmod(F.xxhash64("d", "k"), F.lit(buckets)) if buckets < 1 << 40 else F.struct("d", "k")
+            first = holders.groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c"))
+        met = cut(standing.join(first, "key").filter(F.col("a") < F.struct("d", "k")).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k", "key"), "met")
+        pairs = met.select("ad", "ak", "d", "k").distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["ad", "ak", "d", "k"], "left_anti")
+        tried = pairs if tried is None else tried.union(pairs)
+        both = pairs.join(earlier, ["ad", "ak"]).join(own, ["d", "k"]).select("d", "k", "ah", "h", "n")
+        found = both.mapInArrow(run, "d long, k long, gone array<int>")
+        found = found if lost is None else found.union(lost)
+        lost = cut(found.select("d", "k", F.explode("gone").alias("line")).groupBy("d", "k").agg(F.collect_set("line").alias("gone")), "lost")
+        asked = met.groupBy("d", "k").agg(F.collect_set("key").alias("keys"))
+        standing = cut(asked.join(own, ["d", "k"]).join(lost, ["d", "k"], "left").select("d", "k", "h", "n", "w", "keys", "gone").mapInArrow(left, kind), "standing")
+        if standing.isEmpty() or buckets >= 1 << 40:
+            break
+        # only the keys that are still asked for; once each holder has its bucket, all were tried
+        holders = cut(holders.join(standing.select("key").distinct(), "key", "left_semi"), "holders")
+        if buckets > 1 and first.join(standing.select("key").distinct(), "key", "left_semi").filter("c > 1").isEmpty():
+            break
+        buckets *= GROWTH
+    return lost.select("d", "k", F.sort_array("gone").alias("gone"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("t"))
-    return packed.join(deletions(docs, doc_id, text), ["d", "k"], "left")
+    return packed.join(deletions(docs, doc_id, text).hint("merge"), ["d", "k"], "left")  # a hint: the plan is the same at any size
 
 
 def _kept_text():

@@ -1,5 +1,7 @@
 """Operators do their whole job: nothing is sampled, capped or passed over."""
 
+import random
+
 from gridloom.llm import line_dedup, lm_scoring
 
 
@@ -28,6 +30,16 @@ def test_lm_carries_states_through_a_text(monkeypatch):
     assert [b for _, b, _ in seen] == [[20, 20, 20], [31 % 20, 31 % 20], [63 % 20]] and [c for *_, c in seen] == [False, True, True]
 
 
+def all_pairs(texts):
+    """What is left of each text if it is aligned with every earlier one."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    left = {}
+    for b in lines:
+        gone = {x for a in lines if a < b for x in line_dedup.blocks(lines[a], lines[b], [len(x) for x in lines[b]])}
+        left[b] = "\n".join(x for n, x in enumerate(lines[b]) if n not in gone)
+    return left
+
+
 def kept(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     return {r.doc_id: r.kept_text for r in line_dedup.report(docs).collect()}
@@ -36,3 +48,39 @@ def kept(spark, texts):
 def test_lines_parted_by_blank_lines_are_a_block(spark):
     block = "\n\n".join(c * 80 for c in "pqr")
     assert kept(spark, {1: f"one\n{block}\nx", 2: f"two\n{block}\ny"})[2] == "two\ny"
+
+
+def test_lines_are_met_by_a_later_holder(spark):
+    p, q, short = "p" * 120, "q" * 120, ["r" * 40, "s" * 40, "t" * 40]
+    texts = {1: f"{p}\nx\n{q}", 2: f"{q}\ny\n{p}", 3: f"{q}\nz\n{p}"}
+    assert kept(spark, texts)[3] == "z" and kept(spark, texts) == all_pairs(texts)
+    texts = {1: "\n".join(short[:2]), 2: "\n".join(short[1:]), 3: "\n".join(short), 4: "\n".join(["new", *short])}
+    assert kept(spark, texts)[4] == "new"
+
+
+def test_lines_that_stand_twice_are_aligned(spark):
+    p = "p" * 120
+    texts = {1: f"{p}\na\n{p}\nb", 2: f"c\n{p}\nd\n{p}\ne"}
+    assert kept(spark, texts)[2] == "c\nd\ne"
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rng = random.Random(4)
+    for kinds, docs in ((5, 30), (12, 40), (40, 40)):
+        pool = ["", " ", *("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[i] * rng.choice([5, 30, 45, 70, 110]) for i in range(kinds))]
+        texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for i in range(docs)}
+        assert kept(spark, texts) == all_pairs(texts)
+
+
+def test_heaviest_common_lines():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 9))] for _ in "ab")
+        weight = {x: rng.randint(1, 150) for x in range(5)}
+        got = line_dedup.heaviest(a, b, [weight[x] for x in b])
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[x] * (x == y))
+        assert sum(weight[a[i]] for i, _ in got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
