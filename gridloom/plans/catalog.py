@@ -319,6 +319,7 @@ BCP_SQL = f"{PRED_SQL}, s AS (SELECT project, method, sum(pow(y - y_hat, 2)) AS
 
 
 def noon_weights(spark, sf):
+    """Weights fitted on the noon hours only, 1 hour in 24, as BCP_SQL says; the reference fits on all."""
     return combine.bcp_weights(predictions(spark, sf).filter("hour % 24 = 12"), ["project"])
 
 
