@@ -7,11 +7,13 @@ gets its q - ceil(0.75 q) + 1 smallest hashes. At most q - ceil(0.75 q) shingles
 document that contains it, so one of these samples is always met: the search misses nothing. A partition looks only
 at those hashes of a document that are not above its largest sample. Candidates are checked on all shingles, word by word.
 
+An item of q < 5 words is one shingle of q words, and is searched among the q-word shingles of the documents.
+
 Items are the stated query set: they go to the executors in blocks of BLOCK_ITEMS, each a broadcast of bounded size,
 against all documents; there is no shuffle.
 
-Defined cases: null and empty texts, of items or documents, have an empty set and contain or contaminate nothing; of
-fewer than five words the whole sequence is the one shingle; repeated items and rows give a row each; empty tables
+Defined cases: null and empty texts, of items or documents, have an empty set and contain or contaminate nothing; an
+item of fewer than five words is found wherever its words stand in a row; repeated items and rows give a row each; empty tables
 give empty results; `clean` keeps all columns of the documents, `search` ignores others.
 """
 
@@ -45,29 +47,39 @@ def needed(q: int) -> int:
 
 
 class Items:
-    """A block of items with their samples, by size partition: (largest sample, samples sorted, item numbers)."""
+    """A block of items with their samples, by words a shingle and size partition: (largest sample, samples sorted, item numbers)."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         from .kernels import shingle_sets
 
-        self.ids, self.texts, self.sets = ids, texts, []
-        for _, h, bounds in shingle_sets(pa.array(texts, pa.string()), SHINGLE):
-            self.sets += [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for n, s in enumerate(self.sets):
-            if len(s):
-                parts.setdefault(len(s).bit_length(), []).append((s[: len(s) - needed(len(s)) + 1], n))
-        self.parts = []
-        for size in sorted(parts):
-            samples = np.concatenate([s for s, _ in parts[size]])
-            number = np.concatenate([np.full(len(s), n) for s, n in parts[size]])
+        self.ids, self.texts = ids, texts
+        self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+        self.words = [min(SHINGLE, len(_WORD.findall(t or ""))) for t in texts]
+        self.parts: dict[int, list] = {}
+        for k in sorted(set(self.words) - {0}):
+            own = [n for n, w in enumerate(self.words) if w == k]
+            for first, h, bounds in shingle_sets(pa.array([texts[n] for n in own], pa.string()), k):
+                for n, x, y in zip(own[first:], bounds[:-1], bounds[1:], strict=False):
+                    self.sets[n] = h[x:y]
+            self.parts[k] = self._parts(own)
+
+    def _parts(self, own: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sized: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for n in own:
+            s = self.sets[n]
+            sized.setdefault(len(s).bit_length(), []).append((s[: len(s) - needed(len(s)) + 1], n))
+        parts = []
+        for size in sorted(sized):
+            samples = np.concatenate([s for s, _ in sized[size]])
+            number = np.concatenate([np.full(len(s), n) for s, n in sized[size]])
             order = np.argsort(samples, kind="stable")
-            self.parts.append((samples[order[-1]], samples[order], number[order]))
+            parts.append((samples[order[-1]], samples[order], number[order]))
+        return parts
 
-    def candidates(self, h: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Distinct (text, item) rows that share a sample; h: shingle hashes, text: the text number of each."""
+    def candidates(self, h: np.ndarray, text: np.ndarray, k: int) -> np.ndarray:
+        """Distinct (text, item) rows that share a sample; h: hashes of shingles of k words, text: the text number of each."""
         found = [np.zeros((0, 2), np.int64)]
-        for top, samples, number in self.parts:
+        for top, samples, number in self.parts[k]:
             low = np.flatnonzero(h <= top)
             a, b = np.searchsorted(samples, h[low], "left"), np.searchsorted(samples, h[low], "right")
             low, a, n = low[b > a], a[b > a], (b - a)[b > a]
@@ -81,19 +93,20 @@ class Items:
         from .kernels import shingle_sets
 
         out = []
-        for first, h, bounds in shingle_sets(column, SHINGLE):
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            exact: tuple[int, set] = (-1, set())
-            for t, n in self.candidates(h, text).tolist():
-                s = self.sets[n]
-                own = h[bounds[t] : bounds[t + 1]]
-                if len(np.intersect1d(s, own, assume_unique=True)) < needed(len(s)):
-                    continue
-                if exact[0] != t:
-                    exact = t, shingles(column[first + t].as_py())
-                item = shingles(self.texts[n])
-                if (shared := len(item & exact[1])) >= needed(len(item)):
-                    out.append((first + t, n, shared))
+        for k in self.parts:
+            for first, h, bounds in shingle_sets(column, k):
+                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                exact: tuple[int, set] = (-1, set())
+                for t, n in self.candidates(h, text, k).tolist():
+                    s = self.sets[n]
+                    own = h[bounds[t] : bounds[t + 1]]
+                    if len(np.intersect1d(s, own, assume_unique=True)) < needed(len(s)):
+                        continue
+                    if exact[0] != t:
+                        exact = t, shingles(column[first + t].as_py(), k)
+                    item = shingles(self.texts[n], k)
+                    if (shared := len(item & exact[1])) >= needed(len(item)):
+                        out.append((first + t, n, shared))
         return out
 
 

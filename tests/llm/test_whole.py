@@ -2,7 +2,7 @@
 
 import random
 
-from gridloom.llm import line_dedup, lm_scoring
+from gridloom.llm import decontaminate, line_dedup, lm_scoring
 
 
 def test_lm_trains_on_every_token(spark, monkeypatch):
@@ -84,3 +84,11 @@ def test_heaviest_common_lines():
                 best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[x] * (x == y))
         assert sum(weight[a[i]] for i, _ in got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
         assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
+def test_short_items_are_found_within_documents(spark):
+    bench = spark.createDataFrame([(0, "Few words"), (1, "one"), (2, "here are four words"), (3, "a b c d e"), (4, "few")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "There are few  WORDS in this text"), (2, "few of the words stand apart here"), (3, "Here are four\nwords, and here are four words a b c d e"), (4, "one"), (5, None), (6, "fewer words than before in it")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.search(d, bench).collect())
+    assert got == [(1, 0, 1), (1, 4, 1), (2, 4, 1), (3, 2, 1), (3, 3, 1), (4, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.clean(d, bench).collect()) == [5, 6]
