@@ -28,8 +28,10 @@ def weighted(pred: DataFrame, weights: DataFrame, keys: list[str], on: list[str]
     return j.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.try_divide(F.sum(F.col("y_hat") * F.col("weight")), F.sum(present))).alias("y_hat"))
 
 
-def rls_weights(wide: DataFrame, key: str, time: str, methods: list[str], passes: int = 3, forget: float = 0.99, rows: int = 7001) -> DataFrame:
-    """Recursive least squares weights on the simplex, by key: order matters, so each key is one ordered group of at most `rows` latest rows a pass (the operator's own limit)."""
+def rls_weights(wide: DataFrame, key: str, time: str, methods: list[str], passes: int = 3, rows: int = 7001) -> DataFrame:
+    """Recursive least squares weights on the simplex, by key: order matters, so each key is one ordered group of at most `rows` latest rows a pass (the operator's own limit). The forgetting factor is 0.75 + 0.249 f, f the share of the scaled squared errors so far that are below chi-square draws, which are seeded by the key."""
+    import zlib
+
     import pandas as pd
 
     latest = Window.partitionBy(key).orderBy(F.desc(time))
@@ -41,11 +43,22 @@ def rls_weights(wide: DataFrame, key: str, time: str, methods: list[str], passes
         g = group.sort_values(time)
         x, y = g[methods].to_numpy(float), g["y"].to_numpy(float)
         w, p = np.full(len(methods), 1 / len(methods)), np.eye(len(methods)) * 1e-4
+        rng = np.random.default_rng(zlib.crc32(str(g[key].iloc[0]).encode()))
+        scaled, n, mean, squares = np.empty(passes * len(y)), 0, 0.0, 0.0
         for _ in range(passes):
             for a, b in zip(x, y, strict=True):
-                gain = p @ a / (forget + a @ p @ a)
-                w = w + gain * (b - a @ w)
+                e, spread = b - a @ w, a @ p @ a
+                var = squares / n if n else 1.0
+                scaled[n] = e * e * spread / (var * (1 + spread)) if var > 0 else np.inf
+                n += 1
+                forget = 0.75 + 0.249 * np.mean(rng.chisquare(len(methods), n) > scaled[:n])
+                gain = p @ a / (forget + spread)
+                w = w + gain * e
                 p = (p - np.outer(gain, a @ p)) / forget
+                # running variance of the errors
+                off = e - mean
+                mean += off / n
+                squares += off * (e - mean)
                 w = np.maximum(w, 0)
                 w = w / w.sum() if w.sum() > 0 else np.full(len(methods), 1 / len(methods))
         return pd.DataFrame({key: g[key].iloc[0], "method": methods, "weight": w})

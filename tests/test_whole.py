@@ -1,8 +1,11 @@
 """Catalog queries do their whole job: nothing is sampled or capped below the operators' own limits."""
 
 import inspect
+import zlib
 
-from gridloom.operators import models
+import numpy as np
+
+from gridloom.operators import combine, models
 from gridloom.plans import catalog
 
 from . import duck
@@ -20,3 +23,23 @@ def test_rbf_ols_keeps_all_rows_and_centres(spark, monkeypatch):
     rows = catalog.rbf_ols(spark, duck.SF).collect()
     assert (asked[0].arguments["rows"], asked[0].arguments["centres"]) == (3000, 48)
     assert max(r.step for r in rows) >= 12
+
+
+def test_rls_forgets_by_the_residuals(spark):
+    """Against the recursion written out, with the variance and the draws taken anew at each row."""
+    rng = np.random.default_rng(1)
+    x = rng.uniform(1, 9, (40, 2))
+    y = x @ [0.7, 0.3] + rng.normal(0, 0.5, 40)
+    rows = spark.createDataFrame([("s", i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(40)], "project string, hour long, y double, a double, b double")
+    got = {r.method: r.weight for r in combine.rls_weights(rows, "project", "hour", ["a", "b"]).collect()}
+    draws, w, p, errors, c = np.random.default_rng(zlib.crc32(b"s")), np.full(2, 0.5), np.eye(2) * 1e-4, [], []
+    for _ in range(3):
+        for a, b in zip(x, y, strict=True):
+            e, sigma = b - w @ a, np.std(errors) ** 2 if errors else 1.0
+            c.append(e * e * (a @ p @ a) / (sigma * (1 + a @ p @ a)) if sigma > 0 else np.inf)
+            forget = 0.75 + (0.999 - 0.75) * np.mean(draws.chisquare(2, len(c)) > c)
+            p = (p - p @ np.outer(a, a) @ p / (forget + a @ p @ a)) / forget
+            w = np.maximum(w + p @ a * e, 0)
+            w /= w.sum()
+            errors.append(e)
+    assert np.allclose([got["a"], got["b"]], w, atol=1e-6)
