@@ -1,25 +1,30 @@
 """Near-duplicate groups by MinHash bands, odd sketches and exact checks.
 
-Texts with equal words (A-Z lower-cased, between blanks) are one node, by MD5 of the words, however many documents
-carry them. Of each node's set of 5-word shingles, BANDS x ROWS MinHash values are taken; nodes that agree in a band
-share a bucket. The samples are also folded into an odd sketch: a bitmap of SKETCH_BITS in which each sample flips one
-bit, so that the bits of the XOR of two sketches tell how many samples differ. Pairs whose sketches are too far apart
-(SKETCH_LEAST, over four standard deviations under the threshold) are left out; all others are checked on the full sets.
+One pass takes of every document the MD5 of its words (A-Z lower-cased, between blanks), its number of distinct 5-word
+shingles, BANDS x ROWS MinHash values and, folded from these, an odd sketch: a bitmap of SKETCH_BITS in which each
+sample flips one bit, so that the bits of the XOR of two sketches tell how many samples differ. Documents with equal
+words are one node, however many they are; nodes that agree in a band share a bucket. Pairs whose sketches are too far
+apart (SKETCH_LEAST, over four standard deviations under the threshold) are left out; all others are checked on the
+full sets. Texts are shuffled only of nodes that share a bucket, found behind a Bloom filter of bounded size.
 
 Pairs are few. Every node is first held against one other: of the smallest nodes of its buckets, the one that most of
-its bands name. Then, in buckets that still hold two components or more, each node outside the largest component is held
-against that one's smallest node; at last, where components still differ, against the nodes of other components, by
-finer sketches (FINE_SAMPLES) first. So no link between components of a bucket is lost, and no pair within a component
-is made. A pair at 0.75 shares no band with a probability of 5e-6.
+its bands name. Where a bucket then still holds several components, its nodes are held against those of other
+components with which they share one of their rarest shingles: of a set of q, in an order that all sets have in common,
+the first q - ceil(0.75 q) + 1, of which two linked sets always share one. So no link between nodes of a bucket is lost,
+no pair within a component is made, and texts that share only what many share make no pair. A pair at 0.75 shares no
+band with a probability of 5e-6. Sets are of 64-bit hashes of shingles: two of a pair's n shingles coincide with n * n
+chances in 2^64, about 1e-11 for 10,000 words.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five
-words the whole sequence is the one shingle; repeated rows and ids are members like any other (a null id counts as
-larger than all); an empty table gives an empty one; other columns are ignored. Texts are taken whole.
+words the whole sequence is the one shingle; repeated rows and ids are members like any other; a document without id is
+a member, but no id of a group: it is kept only where its whole group has none; an empty table gives an empty one;
+other columns are ignored. Texts are taken whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import BLANK_RUN, BLANKS, cut, lower_az
+from .common import cut, row_key
+from .url_filter import blocks_for, bloom, marked, possible
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -35,17 +41,15 @@ SKETCH_BITS = 512
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
 SKETCH_LEAST = 0.54
-#: The finer sketches, of nodes whose buckets hold several components: samples, bits, and four and a half deviations under what 0.75 shows as.
-FINE_SAMPLES, FINE_BITS, FINE_LEAST = 4096, 16384, 0.7
+#: Counters of shingles (a broadcast of 8 bytes each, at any size), and nodes of a shingle that one task takes.
+COUNTERS = 1 << 19
+SPREAD = 1024
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_A = _rng.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
-
-
-def plain(text: Column) -> Column:
-    """The words of a text in lower case with one blank between them; null gives an empty text."""
-    return F.regexp_replace(F.btrim(lower_az(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), BLANK_RUN, " ")
+_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def min_hashes(h: np.ndarray, bounds: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
@@ -87,34 +91,32 @@ def likeness(a: Column, b: Column, samples: int = BANDS * ROWS, bits: int = SKET
     return 1 + bits / (4.0 * samples) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * differ / bits))
 
 
-def fine_sketches(nodes: DataFrame) -> DataFrame:
-    """node, fine (array of long) of nodes (node, text) with shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernels import shingle_sets
-
-        for batch in batches:
-            for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
-                full = np.flatnonzero(np.diff(bounds) > 0)
-                for at in range(0, len(full), 128):  # the samples of a text take 32 KB
-                    part = full[at : at + 128]
-                    lo, hi = bounds[part[0]], bounds[part[-1] + 1]
-                    inside = bounds[part[0] : part[-1] + 2] - lo
-                    words = odd_sketches(min_hashes(h[lo:hi], inside, FINE_SAMPLES), FINE_BITS)
-                    fine = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), FINE_BITS // 64).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + part)), fine], ["node", "fine"])
+def words_only(data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
+    """Of each text: its words in lower case (A-Z), one blank between two of them."""
+    from .kernels import _BLANK, _FOLD
 
-    return nodes.select("node", "text").mapInArrow(run, "node binary, fine array<long>")
+    blank = _BLANK[data]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # the first blank after a word stays
+    heads = off[:-1][off[:-1] < off[1:]]
+    keep[heads] = ~blank[heads]
+    at = np.r_[0, np.cumsum(keep)][off].tolist()
+    out = _FOLD[data[keep]]
+    out[blank[keep]] = 0x20
+    raw = out.tobytes()
+    for a, b in zip(at, at[1:], strict=False):
+        yield raw[a : b - (b > a and raw[b - 1] == 0x20)]
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """node, n_shingles, bands (array of long; none for an empty set), sketch (array of long)."""
+def prints(docs: DataFrame) -> DataFrame:
+    """d, k, node (MD5 of the words), n_shingles, bands (array of long) and sketch (array of long; both null for an empty set) of docs (d, k, text). One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernels import shingle_sets
+        from .kernels import blocks, shingle_sets
 
         for batch in batches:
-            sizes, bands, sketches, n = [], [], [], 0
+            nodes = [md5(words).digest() for _, data, off in blocks(batch.column("text")) for words in words_only(data, off)]
+            at = 0
             for _, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
                 size = np.diff(bounds)
                 full = size > 0
@@ -122,15 +124,12 @@ def signatures(nodes: DataFrame) -> DataFrame:
                 if full.any():
                     samples = min_hashes(h, bounds)
                     keys[full], odd[full] = band_keys(samples), odd_sketches(samples)
-                sizes.append(size)
-                bands.append(keys)
-                sketches.append(odd)
-                n += len(size)
-            listed = lambda parts, width: pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parts).ravel()), width).cast(pa.list_(pa.int64()))
-            if n:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.concatenate(sizes).astype(np.int64)), listed(bands, BANDS), listed(sketches, SKETCH_BITS // 64)], ["node", "n_shingles", "bands", "sketch"])
+                listed = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()), mask=pa.array(~full)) for x in (keys, odd)]
+                part = batch.slice(at, len(size))
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("k"), pa.array(nodes[at : at + len(size)], pa.binary()), pa.array(size.astype(np.int64)), *listed], ["d", "k", "node", "n_shingles", "bands", "sketch"])
+                at += len(size)
 
-    return nodes.select("node", "text").mapInArrow(run, "node binary, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.select("d", "k", "text").mapInArrow(run, "d long, k long, node binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -162,63 +161,131 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _overlaps(with_a.join(t.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b"))
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"))
-    members = rows.select("doc_id", F.unhex(F.md5("text")).alias("node"))
-    # one text for each node: partial first() before the shuffle keeps one copy a task
-    nodes = cut(rows.groupBy(F.unhex(F.md5("text")).alias("node")).agg(F.first("text").alias("text")), "nodes")
-    sigs = cut(signatures(nodes), "sigs")
-    banded = sigs.filter("n_shingles > 0").select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    banded = cut(banded.join(shared, "band"), "bands")
-    sketches = sigs.select("node", "sketch")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
-        with_b = with_a.join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        return with_b.filter(likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST).select("a", "b")
-
-    star = banded.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b"))
-    links = cut(verified(likely(best), nodes), "links")
-    roots = cut(graph.components(links), "roots")
-
-    def mixed() -> tuple[DataFrame, DataFrame]:
-        """Of the buckets that hold several components: their nodes, with sketches; each one's largest component, with its smallest node."""
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """d (a null id: less than all), k (of id and text) and text."""
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text"))
+
+
+def rare_counts(texts: DataFrame) -> np.ndarray:
+    """How many of the texts hold shingles of each counter (a hash's remainder by COUNTERS): COUNTERS numbers, whatever the size of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .kernels import shingle_sets
+
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, h, _ in shingle_sets(batch.column("text"), SHINGLE):
+                total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    got = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def rarest(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """node, h: of each text's shingles, in order of (counter, hash), the first q - ceil(0.75 q) + 1 whose counter isn't one. Two linked texts share one of them."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .kernels import shingle_sets
+
+        for batch in batches:
+            for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
+                size = np.diff(bounds)
+                text = np.repeat(np.arange(len(size)), size)
+                n = held.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((h, n, text))
+                place = np.arange(len(h)) - bounds[:-1][text]
+                keep = (place < (size - -(-PERCENT * size // 100) + 1)[text]) & (n[order] > 1)  # a counter of one: no other text has it
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + text[keep])), pa.array(h[order][keep].view(np.int64))], ["node", "h"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, h long")
+
+
+class Groups:
+    """The steps of one grouping."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str):
+        self.rows = keyed(docs, doc_id, text)
+        self.seen = cut(prints(self.rows), "prints")
+        full = self.seen.filter("n_shingles > 0")
+        #: One row a node: `at` tells the document that its text is read from, `least` the smallest id.
+        self.nodes = cut(full.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("d", "k")).alias("at"), F.min(F.when(F.col("d") != NO_ID, F.col("d"))).alias("least")), "nodes")
+        self.sketches = self.nodes.select("node", "sketch")
+
+    def buckets(self) -> DataFrame:
+        """band, node of all buckets with two nodes or more; only the bands' hashes, and these buckets' rows, are shuffled."""
+        banded = self.nodes.select("node", F.explode("bands").alias("band"))
+        shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "shared")
+        n = blocks_for(shared.count())
+        return cut(possible(banded, bloom(shared, "band", n), "band", n).join(shared, "band"), "bands")
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """node, text of these nodes. A Bloom filter leaves out most other texts before the shuffle."""
+        asked = cut(self.nodes.join(nodes, "node", "left_semi").select("node", "at.d", "at.k"), "asked")
+        n = blocks_for(asked.count())
+        found = possible(self.rows, bloom(asked, "k", n), "k", n).groupBy("d", "k").agg(F.first("text").alias("text"))
+        return cut(found.join(asked, ["d", "k"]).select("node", "text"), "texts")
+
+    def links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b): those that are links, by sketches first, then by full sets."""
+        with_a = pairs.join(self.sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
+        with_b = with_a.join(self.sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
+        likely = cut(with_b.filter(likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST).select("a", "b"), "pairs")
+        return cut(verified(likely, texts), "links")
+
+    def components(self) -> DataFrame:
+        """node, root of all linked nodes."""
+        banded = self.buckets()
+        texts = self.texts(banded.select("node").distinct())
+        leaders = banded.groupBy("band").agg(F.min("node").alias("leader"))
+        star = banded.join(leaders, "band").filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+        links = self.links(star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b")), texts)
+        roots = cut(graph.components(links), "roots")
+        # of the buckets that hold several components: their nodes, by the shingles that few of them have
         known = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        known = cut(known.join(several, "band").join(sketches, "node"), "mixed")
-        parts = known.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
-        return known, parts.groupBy("band").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"))
-
-    def tie(pairs: DataFrame) -> None:
-        nonlocal links, roots
-        more = cut(verified(pairs, nodes), "links")
-        if more.head(1):
-            links = links.union(more)
-            roots = cut(graph.components(links), "roots")
-
-    known, top = mixed()
-    tie(likely(known.join(top, "band").filter(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.head").alias("b")).distinct()))
-    known, top = mixed()
-    fine = cut(fine_sketches(nodes.join(known.select("node").distinct(), "node", "left_semi")), "fine")
-    known = known.join(fine, "node")
-    small = known.join(top, "band").filter(F.col("root") != F.col("top.root")).select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"))
-    others = known.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
-    close = (likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST) & (likeness(F.col("fa"), F.col("fb"), FINE_SAMPLES, FINE_BITS) >= FINE_LEAST)
-    more = small.join(others, (small["band"] == others["band"]) & (F.col("ra") != F.col("rb")) & close)
-    tie(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    placed = members.join(sigs.select("node", "n_shingles"), "node").join(roots, "node", "left")
-    placed = placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
-    ids = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(ids, "root", "left")
-    component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        mixed = cut(known.join(several, "band", "left_semi").select("node", "root").distinct(), "mixed")
+        if mixed.isEmpty():
+            return roots
+        theirs = texts.join(mixed.select("node"), "node", "left_semi")
+        rare = cut(rarest(theirs, rare_counts(theirs)).join(mixed, "node"), "rare")
+        parts = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
+        tops = parts.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        # every node outside a shingle's largest component against all of other components, in stretches of SPREAD nodes
+        spread = F.ceil(F.col("n") / SPREAD).cast("int")
+        held = rare.join(tops, "h")
+        few = held.filter("root <> top").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))
+        all_ = held.select("h", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.hash("node"), spread).alias("part"))
+        pairs = few.join(all_, ["h", "part"]).filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = self.links(pairs, texts)
+        return roots if more.isEmpty() else cut(graph.components(links.union(more)), "roots")
+
+    def members(self) -> DataFrame:
+        """d, k, doc_id, n_shingles, component_id and kept of every row."""
+        of_node = self.nodes.select("node", "least").join(self.components(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = of_node.groupBy("root").agg(F.min("least").alias("component"))
+        found = of_node.join(least, "root").select("node", "component")
+        own = F.when(F.col("d") != NO_ID, F.col("d"))
+        out = self.seen.select("d", "k", "node", "n_shingles").join(found, "node", "left").withColumn("doc_id", own)
+        out = out.select("d", "k", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(own).alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+    return Groups(docs, doc_id, text).members().select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with their own columns, of which the smallest doc_id of each group stays (rows that share it are that document, and stay too)."""
-    d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    gone = groups(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gl_gone")).distinct()
-    return docs.join(gone, d == F.col("__gl_gone"), "left_anti")
+    """The documents, with their own columns, of which the smallest doc_id of each group stays. Rows equal in id and text are that one document, told apart by nothing, and stay together."""
+    gone = cut(Groups(docs, doc_id, text).members().filter("NOT kept").select(F.col("d").alias("__gl_d"), F.col("k").alias("__gl_k")).distinct(), "gone")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__gl_id"), row_key(F.col(doc_id), F.col(text)).alias("__gl_key"))
+    # a Bloom filter of what goes: all other texts pass without a shuffle
+    n = blocks_for(gone.count())
+    seen = marked(packed, bloom(gone, "__gl_k", n), "__gl_key", n)
+    unsure = seen.filter("__gl_may").join(gone, (F.col("__gl_id") == F.col("__gl_d")) & (F.col("__gl_key") == F.col("__gl_k")), "left_anti")
+    return seen.filter("NOT __gl_may").select("__gl_row.*").union(unsure.select("__gl_row.*"))

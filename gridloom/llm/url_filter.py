@@ -100,14 +100,25 @@ def bloom(listed: DataFrame, url: str = "canonical", n_blocks: int = MAX_BLOCKS)
     return rows.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(4)])
 
 
-def possible(urls: DataFrame, filt: DataFrame, url: str = "canonical", n_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The rows of `urls` whose bits are all set in their block: every listed one, and some others."""
+def blocks_for(n: int) -> int:
+    """Blocks of a filter of n keys: a power of two, MAX_BLOCKS at most."""
+    return min(MAX_BLOCKS, 1 << max(0, n // URLS_PER_BLOCK).bit_length())
+
+
+def marked(rows: DataFrame, filt: DataFrame, url: str = "canonical", n_blocks: int = MAX_BLOCKS, flag: str = "__gl_may") -> DataFrame:
+    """The rows with a boolean column: whether all bits of the key are set in their block."""
     c = F.col(url)
-    probe = urls.withColumns({"__gl_block": _block(c, n_blocks), **{f"__gl_b{i}": b for i, b in enumerate(_bits(c))}})
-    hit = probe.join(F.broadcast(filt), F.col("__gl_block") == F.col("block"))
+    probe = rows.withColumns({"__gl_block": _block(c, n_blocks), **{f"__gl_b{i}": b for i, b in enumerate(_bits(c))}})
+    hit = probe.join(F.broadcast(filt.withColumnsRenamed({"block": "__gl_at", **{f"b{i}": f"__gl_f{i}" for i in range(4)}})), F.col("__gl_block") == F.col("__gl_at"), "left")
+    every = F.lit(True)
     for i in range(4):
-        hit = hit.filter(F.col(f"b{i}").bitwiseAND(F.col(f"__gl_b{i}")) == F.col(f"__gl_b{i}"))
-    return hit.select(*urls.columns)
+        every = every & (F.col(f"__gl_f{i}").bitwiseAND(F.col(f"__gl_b{i}")) == F.col(f"__gl_b{i}"))
+    return hit.withColumn(flag, F.coalesce(every, F.lit(False))).select(*rows.columns, flag)
+
+
+def possible(urls: DataFrame, filt: DataFrame, url: str = "canonical", n_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The rows of `urls` whose bits are all set in their block: every listed one, and some others."""
+    return marked(urls, filt, url, n_blocks).filter("__gl_may").select(*urls.columns)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -115,7 +126,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULE
     u = F.col(url)
     base = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical"))
     listed = listed.select("canonical").filter(F.col("canonical").isNotNull()).distinct()
-    n_blocks = min(MAX_BLOCKS, 1 << max(0, (listed.count() // URLS_PER_BLOCK)).bit_length())
+    n_blocks = blocks_for(listed.count())
     filt = bloom(listed, n_blocks=n_blocks)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = base.withColumns({"rule": name, "__gl_v": verdict})
