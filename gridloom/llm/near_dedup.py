@@ -8,12 +8,12 @@ apart (SKETCH_LEAST, over four standard deviations under the threshold) are left
 full sets. Texts are shuffled only of nodes that share a bucket, found behind a Bloom filter of bounded size.
 
 Pairs are few. Every node is first held against one other: of the smallest nodes of its buckets, the one that most of
-its bands name. Where a bucket then still holds several components, its nodes are held against those of other
-components with which they share one of their rarest shingles: of a set of q, in an order that all sets have in common,
-the first q - ceil(0.75 q) + 1, of which two linked sets always share one. So no link between nodes of a bucket is lost,
-no pair within a component is made, and texts that share only what many share make no pair. A pair at 0.75 shares no
-band with a probability of 5e-6. Sets are of 64-bit hashes of shingles: two of a pair's n shingles coincide with n * n
-chances in 2^64, about 1e-11 for 10,000 words.
+its bands name; then, where a bucket holds several components, against the likeliest head of a bucket's largest one
+(MERGE_ROUNDS). Buckets that hold several components after that are searched whole, by finer sketches (FINE_SAMPLES):
+nodes outside a bucket's largest component against all of other components, in parts of bounded size that a task holds
+at once; only pairs near enough leave it, each from the first of its buckets. So no link between nodes of a bucket is
+lost, and no pair within a component is made. A pair at 0.75 shares no band with a probability of 5e-6. Sets are of
+64-bit hashes of shingles: two of a pair's n shingles coincide with n * n chances in 2^64, about 1e-11 for 10,000 words.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows and ids are members like any other; a document without id is
@@ -41,15 +41,17 @@ SKETCH_BITS = 512
 #: Links need 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
 SKETCH_LEAST = 0.54
-#: Counters of shingles (a broadcast of 8 bytes each, at any size), and nodes of a shingle that one task takes.
-COUNTERS = 1 << 19
-SPREAD = 1024
+#: The finer sketches, of nodes whose buckets hold several components: samples, bits, and four and a half deviations under what 0.75 shows as.
+FINE_SAMPLES, FINE_BITS, FINE_LEAST = 2048, 8192, 0.68
+#: Rounds of one pair a node before the buckets that still hold several components are searched, and nodes of a bucket in a part.
+MERGE_ROUNDS = 2
+PART = 512
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(7))
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 
 
 def min_hashes(h: np.ndarray, bounds: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
@@ -166,43 +168,87 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("text"))
 
 
-def rare_counts(texts: DataFrame) -> np.ndarray:
-    """How many of the texts hold shingles of each counter (a hash's remainder by COUNTERS): COUNTERS numbers, whatever the size of the table."""
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """node, fine (array of long) of texts (node, text) with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernels import shingle_sets
 
-        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, h, _ in shingle_sets(batch.column("text"), SHINGLE):
-                total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    got = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def rarest(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """node, h: of each text's shingles, in order of (counter, hash), the first q - ceil(0.75 q) + 1 whose counter isn't one. Two linked texts share one of them."""
-    held = texts.sparkSession.sparkContext.broadcast(counts)
+            for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
+                full = np.flatnonzero(np.diff(bounds) > 0)
+                for at in range(0, len(full), 128):  # the samples of a text take 16 KB
+                    part = full[at : at + 128]
+                    lo, hi = bounds[part[0]], bounds[part[-1] + 1]
+                    inside = bounds[part[0] : part[-1] + 2] - lo
+                    words = odd_sketches(min_hashes(h[lo:hi], inside, FINE_SAMPLES), FINE_BITS)
+                    fine = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), FINE_BITS // 64).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + part)), fine], ["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, fine array<long>")
+
+
+def near_in_buckets(rows: DataFrame) -> DataFrame:
+    """a, b: nodes of different components that share a bucket and whose finer sketches are near enough, each pair in the first of its buckets only.
+
+    rows: band, fa, fb (a part of the bucket's nodes outside its largest component, and a part of all its nodes), outside
+    (whether the row is of the first part), node, root, bands, fine. A part has about PART nodes, so a task holds two
+    parts, whatever the bucket's size, and only near pairs leave it.
+    """
+
+    def compare(key: int, group: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+        flags = group.column("outside").to_numpy(zero_copy_only=False)
+        nodes, roots = (np.array(group.column(c).to_pylist(), "V16") for c in ("node", "root"))
+        _, root = np.unique(roots, return_inverse=True)
+        _, name = np.unique(nodes, return_inverse=True)  # by their bytes, so of one order in all groups
+        bands = group.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        fine = group.column("fine").flatten().to_numpy().reshape(-1, FINE_BITS // 64)
+        top = group.column("top").to_numpy(zero_copy_only=False)
+        own, others = np.flatnonzero(flags), np.flatnonzero(~flags)
+        if not len(own) or not len(others):
+            return [], []
+        place = int(np.flatnonzero(bands[own[0]] == key)[0])
+        earlier, at, their, names = bands[others, :place], root[others], fine[others], nodes[others]
+        a, b = [], []
+        for x in own:
+            # both outside the largest component: the pair is met twice, and taken once
+            ok = (at != root[x]) & (top[others] | (name[others] > name[x]))
+            ok &= ~(earlier == bands[x, :place]).any(1)
+            cand = np.flatnonzero(ok)
+            if len(cand):
+                differ = np.bitwise_count(their[cand].view(np.uint64) ^ fine[x].view(np.uint64)).sum(1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    alike = 1 + FINE_BITS / (4.0 * FINE_SAMPLES) * np.log(np.maximum(1e-9, 1 - 2.0 * differ / FINE_BITS))
+                for y in cand[alike >= FINE_LEAST]:
+                    a.append(nodes[x].tobytes())
+                    b.append(names[y].tobytes())
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernels import shingle_sets
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = compare(last[0], pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held.clear()
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
-                size = np.diff(bounds)
-                text = np.repeat(np.arange(len(size)), size)
-                n = held.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((h, n, text))
-                place = np.arange(len(h)) - bounds[:-1][text]
-                keep = (place < (size - -(-PERCENT * size // 100) + 1)[text]) & (n[order] > 1)  # a counter of one: no other text has it
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + text[keep])), pa.array(h[order][keep].view(np.int64))], ["node", "h"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "fa", "fb")), strict=True))
+            start = 0
+            for i, key in enumerate(keys):
+                if key != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield from flush()
+                    last, start = key, i
+            if start < len(keys):
+                held.append(batch.slice(start))
+        yield from flush()
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, h long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 class Groups:
@@ -230,11 +276,15 @@ class Groups:
         found = possible(self.rows, bloom(asked, "k", n), "k", n).groupBy("d", "k").agg(F.first("text").alias("text"))
         return cut(found.join(asked, ["d", "k"]).select("node", "text"), "texts")
 
-    def links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b): those that are links, by sketches first, then by full sets."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """a, b, alike: the pairs (a, b) whose sketches are near enough."""
         with_a = pairs.join(self.sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
         with_b = with_a.join(self.sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        likely = cut(with_b.filter(likeness(F.col("sa"), F.col("sb")) >= SKETCH_LEAST).select("a", "b"), "pairs")
+        return with_b.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("alike")).filter(F.col("alike") >= SKETCH_LEAST)
+
+    def links(self, pairs: DataFrame, texts: DataFrame, known: bool = False) -> DataFrame:
+        """Of candidate pairs (a, b): those that are links, by sketches first (unless known to be near), then by full sets."""
+        likely = cut(pairs if known else self.likely(pairs).select("a", "b"), "pairs")
         return cut(verified(likely, texts), "links")
 
     def components(self) -> DataFrame:
@@ -245,25 +295,38 @@ class Groups:
         star = banded.join(leaders, "band").filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
         links = self.links(star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b")), texts)
         roots = cut(graph.components(links), "roots")
-        # of the buckets that hold several components: their nodes, by the shingles that few of them have
-        known = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        several = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        mixed = cut(known.join(several, "band", "left_semi").select("node", "root").distinct(), "mixed")
+        for _ in range(MERGE_ROUNDS):  # one pair a node again: with the likeliest head of a bucket's largest component
+            mixed = self.mixed(banded, roots)
+            heads = mixed.filter("root = top").groupBy("band").agg(F.min("node").alias("b"))
+            asked = mixed.filter("root <> top").select("band", F.col("node").alias("a")).join(heads, "band").select("a", "b").distinct()
+            found = self.links(self.likely(asked).groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")), texts, True)
+            if found.isEmpty():
+                break
+            links = links.union(found)
+            roots = cut(graph.components(links), "roots")
+        mixed = self.mixed(banded, roots)
         if mixed.isEmpty():
             return roots
-        theirs = texts.join(mixed.select("node"), "node", "left_semi")
-        rare = cut(rarest(theirs, rare_counts(theirs)).join(mixed, "node"), "rare")
-        parts = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
-        tops = parts.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        # every node outside a shingle's largest component against all of other components, in stretches of SPREAD nodes
-        spread = F.ceil(F.col("n") / SPREAD).cast("int")
-        held = rare.join(tops, "h")
-        few = held.filter("root <> top").select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))
-        all_ = held.select("h", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.hash("node"), spread).alias("part"))
-        pairs = few.join(all_, ["h", "part"]).filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = self.links(pairs, texts)
+        theirs = cut(mixed.select("node").distinct(), "theirs")
+        fine = cut(fine_sketches(texts.join(theirs, "node", "left_semi")), "fine")
+        parts = mixed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("nb"), F.ceil(F.count_if(F.col("root") != F.col("top")) / PART).cast("int").alias("na"))
+        rows = mixed.join(parts, "band").withColumn("top", F.col("root") == F.col("top"))
+        dealt = lambda n: F.pmod(F.hash("node"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outside = rows.filter("NOT top").select("band", dealt("na").alias("fa"), every("nb").alias("fb"), F.lit(True).alias("outside"), "top", "node", "root")
+        all_ = rows.select("band", every("na").alias("fa"), dealt("nb").alias("fb"), F.lit(False).alias("outside"), "top", "node", "root")
+        both = outside.union(all_).join(self.nodes.select("node", "bands"), "node").join(fine, "node")
+        both = both.repartition("band", "fa", "fb").sortWithinPartitions("band", "fa", "fb").select("band", "fa", "fb", "outside", "top", "node", "root", "bands", "fine")
+        more = self.links(near_in_buckets(both), texts, True)
         return roots if more.isEmpty() else cut(graph.components(links.union(more)), "roots")
 
+    def mixed(self, banded: DataFrame, roots: DataFrame) -> DataFrame:
+        """band, node, root, top (the root of the bucket's largest component) of the buckets that hold several components."""
+        known = banded.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        sizes = known.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        tops = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "top")
+        return cut(known.join(tops, "band"), "mixed")
+
     def members(self) -> DataFrame:
         """d, k, doc_id, n_shingles, component_id and kept of every row."""
         of_node = self.nodes.select("node", "least").join(self.components(), "node", "left").withColumn("root", F.coalesce("root", "node"))
