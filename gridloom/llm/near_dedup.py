@@ -8,12 +8,12 @@ apart (SKETCH_LEAST, over four standard deviations under the threshold) are left
 full sets. Texts are shuffled only of nodes that share a bucket, found behind a Bloom filter of bounded size.
 
 Pairs are few. Every node is first held against one other: of the smallest nodes of its buckets, the one that most of
-its bands name; then, where a bucket holds several components, against the likeliest head of a bucket's largest one
-(MERGE_ROUNDS). Buckets that hold several components after that are searched whole, by finer sketches (FINE_SAMPLES):
+its bands name. Buckets that hold several components after that are searched whole, by finer sketches (FINE_SAMPLES):
 nodes outside a bucket's largest component against all of other components, in parts of bounded size that a task holds
-at once; only pairs near enough leave it, each from the first of its buckets. So no link between nodes of a bucket is
-lost, and no pair within a component is made. A pair at 0.75 shares no band with a probability of 5e-6. Sets are of
-64-bit hashes of shingles: two of a pair's n shingles coincide with n * n chances in 2^64, about 1e-11 for 10,000 words.
+at once; only pairs near enough leave it, each from the first of its buckets, and of a node and a component only the
+nearest where that is SURE. So no link between nodes of a bucket is lost, and no pair within a component is made, but for
+chances of about 5e-6: that two texts at 0.75 share no band, or that a sketch is four and a half deviations off. Sets
+are of 64-bit hashes of shingles: two of a pair's n shingles coincide with n * n chances in 2^64, 1e-11 for 10,000 words.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows and ids are members like any other; a document without id is
@@ -42,9 +42,10 @@ SKETCH_BITS = 512
 PERCENT = 75
 SKETCH_LEAST = 0.54
 #: The finer sketches, of nodes whose buckets hold several components: samples, bits, and four and a half deviations under what 0.75 shows as.
-FINE_SAMPLES, FINE_BITS, FINE_LEAST = 2048, 8192, 0.68
-#: Rounds of one pair a node before the buckets that still hold several components are searched, and nodes of a bucket in a part.
-MERGE_ROUNDS = 2
+FINE_SAMPLES, FINE_BITS, FINE_LEAST = 4096, 16384, 0.7
+#: A pair that the finer sketches show as this near, four and a half deviations over 0.75, stands for the node and that component.
+SURE = 0.8
+#: Nodes of a bucket in a part.
 PART = 512
 #: Stands for a null id.
 NO_ID = -(1 << 63)
@@ -177,7 +178,7 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
                 full = np.flatnonzero(np.diff(bounds) > 0)
-                for at in range(0, len(full), 128):  # the samples of a text take 16 KB
+                for at in range(0, len(full), 128):  # the samples of a text take 32 KB
                     part = full[at : at + 128]
                     lo, hi = bounds[part[0]], bounds[part[-1] + 1]
                     inside = bounds[part[0] : part[-1] + 2] - lo
@@ -219,7 +220,12 @@ def near_in_buckets(rows: DataFrame) -> DataFrame:
                 differ = np.bitwise_count(their[cand].view(np.uint64) ^ fine[x].view(np.uint64)).sum(1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     alike = 1 + FINE_BITS / (4.0 * FINE_SAMPLES) * np.log(np.maximum(1e-9, 1 - 2.0 * differ / FINE_BITS))
-                for y in cand[alike >= FINE_LEAST]:
+                near = np.flatnonzero(alike >= FINE_LEAST)
+                near = near[np.lexsort((-alike[near], at[cand[near]]))]  # by component, the likeliest first
+                theirs_ = at[cand[near]]
+                head = np.r_[True, theirs_[1:] != theirs_[:-1]] if len(near) else np.zeros(0, bool)
+                sure = (alike[near] >= SURE)[np.flatnonzero(head)][np.cumsum(head) - 1]
+                for y in cand[near[head | ~sure]]:
                     a.append(nodes[x].tobytes())
                     b.append(names[y].tobytes())
         return a, b
@@ -295,15 +301,6 @@ class Groups:
         star = banded.join(leaders, "band").filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
         links = self.links(star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b")), texts)
         roots = cut(graph.components(links), "roots")
-        for _ in range(MERGE_ROUNDS):  # one pair a node again: with the likeliest head of a bucket's largest component
-            mixed = self.mixed(banded, roots)
-            heads = mixed.filter("root = top").groupBy("band").agg(F.min("node").alias("b"))
-            asked = mixed.filter("root <> top").select("band", F.col("node").alias("a")).join(heads, "band").select("a", "b").distinct()
-            found = self.links(self.likely(asked).groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b")), texts, True)
-            if found.isEmpty():
-                break
-            links = links.union(found)
-            roots = cut(graph.components(links), "roots")
         mixed = self.mixed(banded, roots)
         if mixed.isEmpty():
             return roots
