@@ -1,8 +1,8 @@
-"""Suffix arrays by induced sorting in numpy, a bucket at a time instead of a suffix at a time.
+"""Suffix arrays by induced sorting; of bytes in numpy, a bucket at a time instead of a suffix at a time.
 
 Suffixes are classified (L: larger than the next, S: smaller), the substrings between leftmost S suffixes are sorted by
-inducing, named, and the string of their names is ordered: at once if the names differ, else by doubling, as its
-alphabet has no buckets worth stepping through; from that order all suffixes are induced in linear time. Common
+inducing and numbered, and the string of their numbers is ordered: at once if they differ, else recursively in the same
+way, each level being a third of the one before or so; from that order all suffixes are induced in linear time. Common
 prefixes are permuted (text order): only irreducible ones are compared, the others follow by subtraction.
 """
 
@@ -76,35 +76,68 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> tuple[lis
     return ls, ss
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names, by doubling of what still ties."""
-    m = len(names)
-    rank = names.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    while True:
-        r = rank[order]
-        edge = np.r_[True, r[1:] != r[:-1]]
-        if edge.all():
-            return order
-        start = np.flatnonzero(edge)
-        size = np.diff(np.r_[start, m])
-        tied = np.repeat(size > 1, size)
-        at = np.flatnonzero(tied)
-        o = order[at]
-        after = o + step
-        key = np.where(after < m, rank[np.minimum(after, m - 1)], 0)
-        group = np.repeat(start, size)[at]
-        new = np.argsort(group * np.int64(m + 2) + key, kind="stable")
-        o, key, group = o[new], key[new], group[new]
-        order[at] = o
-        # a rank is the first place of its group, counted from 1, so ranks stay comparable
-        if step == 1:
-            rank[order] = np.repeat(start, size) + 1
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        first = np.maximum.accumulate(np.where(fresh, at, 0))
-        rank[o] = first + 1
-        step *= 2
+def _order_of_numbers(s: np.ndarray, kinds: int) -> list[int]:
+    """The suffix array of a string of numbers under `kinds`, by induced sorting of itself: its buckets are too many and too small for numpy, so it steps through them one suffix at a time."""
+    n = len(s)
+    if n < 2:
+        return list(range(n))
+    flag = _classes(s)
+    is_left = np.zeros(n, bool)
+    is_left[1:] = flag[1:] & ~flag[:-1]
+    left = np.flatnonzero(is_left)
+    ends = np.cumsum(np.bincount(s, minlength=kinds))
+    starts = np.r_[0, ends[:-1]]
+    c, small = s.tolist(), flag.tolist()
+
+    def induce(order: list[int]) -> list[int]:
+        sa, tail = [-1] * n, ends.tolist()
+        for i in reversed(order):
+            tail[c[i]] -= 1
+            sa[tail[c[i]]] = i
+        head = starts.tolist()
+        sa[head[c[-1]]] = n - 1
+        head[c[-1]] += 1
+        for i in sa:  # grows ahead of the loop
+            if i > 0 and not small[i - 1]:
+                k = c[i - 1]
+                sa[head[k]] = i - 1
+                head[k] += 1
+        tail = ends.tolist()
+        for at in range(n - 1, -1, -1):
+            i = sa[at]
+            if i > 0 and small[i - 1]:
+                k = c[i - 1]
+                tail[k] -= 1
+                sa[tail[k]] = i - 1
+        return sa
+
+    if len(left) < 2:
+        return induce(left.tolist())
+    by_substring = np.array(induce(left.tolist()))
+    by_substring = by_substring[is_left[by_substring]]
+    names, different = _names(s, left, by_substring)
+    return induce((by_substring if different == len(left) else left[_order_of_numbers(names, different)]).tolist())
+
+
+def _names(s: np.ndarray, left: np.ndarray, by_substring: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of the leftmost substrings in text order: numbers by their order, equal ones alike; and how many differ."""
+    n = len(s)
+    end = np.full(n, n, np.int64)
+    end[left[:-1]] = left[1:]
+    length = end[by_substring] - by_substring + 1
+    same = length[1:] == length[:-1]
+    live = np.flatnonzero(same)
+    k = 0
+    padded = np.r_[s.astype(np.int64), -1, -1]
+    while len(live):  # neighbours of one length, place by place
+        a, b = by_substring[live], by_substring[live + 1]
+        equal = padded[a + k] == padded[b + k]
+        same[live[~equal]] = False
+        k += 1
+        live = live[equal & (length[live] > k)]
+    number = np.empty(n, np.int64)
+    number[by_substring] = np.r_[0, np.cumsum(~same)]
+    return number[left], int(len(left) - same.sum())
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -122,25 +155,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return both(ls, ss)
     by_substring = np.concatenate(ss)
     by_substring = by_substring[is_left[by_substring]]
-    # equal neighbours: of one length, and byte by byte in rounds
-    end = np.full(n, n, np.int32)
-    end[left[:-1]] = left[1:]
-    length = end[by_substring] - by_substring + 1
-    same = length[1:] == length[:-1]
-    live = np.flatnonzero(same)
-    k = 0
-    padded = np.r_[s, np.zeros(2, np.uint8)].astype(np.int16)
-    padded[n:] = -1
-    while len(live):
-        a, b = by_substring[live], by_substring[live + 1]
-        equal = padded[a + k] == padded[b + k]
-        same[live[~equal]] = False
-        k += 1
-        live = live[equal & (length[live] > k)]
-    name_of = np.empty(n, np.int64)
-    name_of[by_substring] = np.r_[0, np.cumsum(~same)]
-    names = name_of[left]
-    sorted_left = by_substring if same.sum() == 0 else left[_order_of_names(names)]
+    names, different = _names(s, left, by_substring)
+    sorted_left = by_substring if different == len(left) else left[_order_of_numbers(names, different)]
     return both(*_induce(s, small, sorted_left))
 
 

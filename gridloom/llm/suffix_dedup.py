@@ -2,10 +2,12 @@
 
 A suffix array of all texts would be one sequential task, so the strings are dealt to shards by content. Of each
 200-byte string the 24-byte gram of smallest hash is its anchor; equal strings have equal anchors at equal places. The
-starts that share an anchor's place make a context (the bytes of all their strings). Contexts whose anchor occurs once
-hold no repeat. The others go, by anchor, to shards, each distinct context twice at most (a third copy changes nothing,
-so a group of any number of copies is two contexts); each shard's suffix array is built by induced sorting, and permuted
-common prefixes of 200 bytes or more mark starts, which go back to all documents with that context.
+starts that share an anchor's place make a context (the bytes of all their strings). A first pass only counts anchors:
+contexts whose anchor occurs once hold no repeat. A second one keeps the others (behind a Bloom filter of bounded size).
+They go, by anchor, to shards, each distinct context once, with its number of copies; each shard's suffix array is built
+by induced sorting, and permuted common prefixes of 200 bytes or more, or the copies, mark starts, which go back to all
+documents with that context. Contexts are told apart by 64-bit hashes of their anchor and of their bytes. Texts are
+shuffled only of documents that stand for a context, and at the end of those that lose bytes.
 
 An anchor with more than HOT_CONTEXTS distinct contexts (a passage in very many documents, with other text around it) is
 split: its contexts are cut into SPLITS starts, keyed by all bytes that these strings share, then into single strings.
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key
+from .url_filter import blocks_for, bloom, marked, possible
 
 WIDTH = 200
 GRAM = 24
 STRETCH = 1 << 19
+#: Bits of a place in a block of texts or a stretch.
+PLACE_BITS = 20
 HOT_CONTEXTS = 4096
 SPLITS = (16, 1)
 #: Bytes of contexts in one suffix array, and the byte between them, which UTF-8 never has.
@@ -76,7 +81,7 @@ def contexts(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int =
     h = Rolling(data)
     at = np.arange(n - gram + 1)
     grams = h(at, at + gram)
-    bits = np.uint64(max(1, (n - 1).bit_length()))
+    bits = np.uint64(max(PLACE_BITS, (n - 1).bit_length()))  # the same for all blocks, so that equal strings have equal anchors
     least = sliding_least((grams >> bits << bits) | at.astype(np.uint64), width - gram + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
@@ -118,10 +123,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, OCCURRENCES)
 
 
+def anchors(docs: DataFrame) -> DataFrame:
+    """g of the anchors that two contexts or more have, of all texts; only hashes and counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in _stretches(batch.column("text")):
+                g, n = np.unique(contexts(data, off)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], ["g", "n"])
+
+    return docs.select("text").mapInArrow(run, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
+
+
+def _behind_filter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the keys, and few others: by a Bloom filter of bounded size, without a shuffle."""
+    n = blocks_for(keys.count())
+    return possible(rows, bloom(keys, key, n), key, n)
+
+
 def _with_text(rows: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
-    """The rows of each document in one list (no longer than its text) beside the text."""
+    """The rows of each document in one list (no longer than its text) beside the text; other texts aren't shuffled."""
     listed = rows.groupBy("d", "k").agg(F.collect_set(F.struct(*fields)).alias("rows"))
-    return listed.join(docs, ["d", "k"])
+    return listed.join(_behind_filter(docs, rows.select("k").distinct(), "k").dropDuplicates(["d", "k"]), ["d", "k"])
 
 
 def _lists(batch: pa.RecordBatch, fields: list[str]) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
@@ -184,19 +207,18 @@ def segments(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeats(segs: list[bytes], copies: list[int], width: int = WIDTH) -> list[np.ndarray]:
-    """For each context, which of its starts repeat: by the suffix array of all of them, those of two copies or more twice."""
+    """For each context, which of its starts repeat: by the suffix array of all of them. A context of two copies or more stands once, for all: each of its starts is that of several equal strings."""
     from .suffix_arrays import permuted_lcp, suffix_array
 
-    between = bytes([BETWEEN])
-    twice = [s for s, n in zip(segs, copies, strict=True) if n > 1]
-    data = np.frombuffer(between.join([*segs, *twice]), np.uint8)
+    data = np.frombuffer(bytes([BETWEEN]).join(segs), np.uint8)
     sa = suffix_array(data)
     long = permuted_lcp(data, sa) >= width
     marked = long.copy()
     marked[sa[:-1][long[sa[1:]]]] = True
     out, at = [], 0
-    for s in segs:
-        out.append(np.flatnonzero(marked[at : at + len(s) - width + 1]))  # later starts reach into the next context
+    for s, n in zip(segs, copies, strict=True):
+        own = marked[at : at + len(s) - width + 1]  # later starts reach into the next context
+        out.append(np.arange(len(own)) if n > 1 else np.flatnonzero(own))
         at += len(s) + 1
     return out
 
@@ -224,26 +246,29 @@ def marks(segs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield shard(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3]) * (1 + (row[2] > 1))
+                size += len(row[3])
         if rows:
             yield shard(rows)
 
     return segs.repartition("g").sortWithinPartitions("g").select("g", "c", "n", "seg").mapInArrow(run, "g long, c long, a int, b int")
 
 
-def _level(occ: DataFrame, docs: DataFrame, starts: int) -> tuple[DataFrame, DataFrame | None]:
+def _level(occ: DataFrame, docs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(d, k, lo, hi of repeated starts; the occurrences of anchors with too many contexts, null if there are none)."""
-    seen = occ.groupBy("g").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("g")
-    occ = cut(occ.join(seen, "g", "left_semi"), "repeated")
     distinct = cut(occ.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "k", "lo", "hi")).alias("at")), "contexts")
-    many = distinct.groupBy("g").count().filter(F.col("count") > HOT_CONTEXTS).select("g") if starts > 1 else None
-    hot = None
-    if many is not None:
-        many = cut(many, "hot")
-        if many.head(1):
-            distinct = distinct.join(many, "g", "left_anti")
-            hot = occ.join(many, "g", "left_semi")
-    found = cut(marks(segments(distinct.select("at.*", "g", "c", "n"), docs)), "marks")
+    sizes = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("holders"))
+    calm, hot = distinct, None
+    if not last:
+        many = cut(sizes.filter(F.col("kinds") > HOT_CONTEXTS).select("g"), "hot")
+        if not many.isEmpty():
+            # crowded anchors, and the few that the filter takes for one, leave before any shuffle by g
+            n = blocks_for(many.count())
+            filt = bloom(many, "g", n)
+            calm = marked(distinct, filt, "g", n).filter("NOT __gl_may").drop("__gl_may")
+            hot = possible(occ, filt, "g", n)
+    several = calm.groupBy("g").agg(F.sum("n").alias("holders")).filter("holders > 1").select("g")
+    reps = cut(calm.join(several, "g", "left_semi").select("at.*", "g", "c", "n"), "reps")
+    found = cut(marks(segments(reps, docs)), "marks")
     # a join, so that contexts that very many documents hold are dealt out
     return occ.join(found, ["g", "c"]).select("d", "k", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")), hot
 
@@ -251,23 +276,21 @@ def _level(occ: DataFrame, docs: DataFrame, starts: int) -> tuple[DataFrame, Dat
 def removed(docs: DataFrame) -> DataFrame:
     """d, k, lo, hi: stretches of starts whose 200-byte strings are elsewhere too; docs: d, k, text."""
     docs = docs.filter(F.length("text") > 0)
-    single = docs
-    if docs.select("d", "k").groupBy("d", "k").count().filter("count > 1").head(1):
-        single = docs.dropDuplicates(["d", "k"])  # rows equal in id and text: both count, one stands for their bytes
-    out, occ = None, cut(occurrences(docs), "contexts")
-    for starts in (WIDTH, *SPLITS):
-        found, hot = _level(occ, single, starts)
+    seen = cut(anchors(docs), "anchors")
+    out, occ = None, cut(_behind_filter(occurrences(docs), seen, "g"), "occurrences")
+    for n in range(len(SPLITS) + 1):
+        found, hot = _level(occ, docs, n == len(SPLITS))
         out = found if out is None else out.union(found)
         if hot is None:
             break
-        occ = cut(split(hot, single, SPLITS[0] if starts == WIDTH else SPLITS[1]), "split")
+        occ = cut(split(hot, docs, SPLITS[n]), "split")
     return out
 
 
 def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary: the bytes that stay)."""
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    gone = removed(ids.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    gone = cut(removed(ids.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,4 +318,9 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept
             cols = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_kept else [])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)])
 
-    return ids.join(gone, ["d", "k"], "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    # a text that loses nothing isn't shuffled
+    n = blocks_for(gone.count())
+    seen = marked(ids, bloom(gone, "k", n), "k", n)
+    whole = seen.filter("NOT __gl_may").select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    both = whole.union(seen.filter("__gl_may").join(gone, ["d", "k"], "left").select("doc_id", "text", "gone"))
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
