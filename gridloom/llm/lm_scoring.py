@@ -6,11 +6,13 @@ times its share of the rare words' counts, so the probabilities of all words, un
 fall into classes of about equal mass, so a token costs a softmax over the classes and one over its class.
 
 Training: every token of every training text is learned, each text from its start in windows of WINDOW tokens by
-truncated backpropagation, the state carried from window to window. Every partition trains a replica on its texts;
-replicas are averaged, FAN_IN at a time, ROUNDS times. Only counts of KNOWN words at most and averaged weights, both of fixed
-size, reach the driver. Scoring runs whole texts in windows with the state carried, many texts side by side.
+truncated backpropagation, the state carried from window to window. Texts are dealt to replicas by a hash of id and text,
+so the result doesn't depend on the input's partitions; replicas are averaged, FAN_IN at a time, ROUNDS times. Only
+counts of KNOWN words at most and averaged weights, both of fixed size, reach the driver. Scoring runs whole texts in
+windows with the state carried, many texts side by side.
 
-Counts of words that aren't among the KNOWN most frequent join by a shuffle; no word is left out.
+Counts of words that aren't among the KNOWN most frequent join by a shuffle; no word is left out. Words are told apart
+by 64-bit hashes: among v distinct words two coincide with about v * v chances in 2^65, 3e-6 for ten million.
 
 Defined cases: null and empty texts are one end token; a null doc_id is held out; rows equal in id and text get the
 same scores; a corpus without training texts gives every text the uniform base and an untrained model; an empty table
@@ -22,6 +24,7 @@ from __future__ import annotations
 import io
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,13 @@ KNOWN = 1 << 18
 CLASSES = 64
 HIDDEN = 16
 WINDOW = 32
-LANES = 64
+LANES = 256
+#: Lanes whose mean gradient a step has the size of, whatever LANES is.
+RATE_LANES = 64
+SCORE_LANES = 1024
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
-REPLICA_TOKENS = 500_000
+REPLICA_TOKENS = 4_000_000
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
@@ -74,6 +80,43 @@ class Vocabulary:
         return np.where(found, self.number[at], RARE).astype(np.int32), np.where(found, self.counts[at], -1.0)
 
 
+def packed(sizes: list[int], lanes: int) -> list[list[int]]:
+    """The numbers of texts dealt to `lanes` lanes at most, the longest first to the lane that is least full; lanes by length."""
+    heap = [(0, n) for n in range(min(lanes, len(sizes)))]
+    out: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        full, n = heappop(heap)
+        out[n].append(i)
+        heappush(heap, (full + sizes[i], n))
+    return sorted(out, key=lambda lane: sum(sizes[i] for i in lane))
+
+
+class Lanes:
+    """Texts one after the other in lanes side by side, by window; `first` stands before each text's first token."""
+
+    def __init__(self, texts: list[np.ndarray], lanes: list[list[int]], first: int):
+        order = [i for lane in lanes for i in lane]
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
+        self.tokens = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int32)
+        self.of = np.repeat(np.array(order, np.int64), sizes)
+        self.begins = np.zeros(len(self.tokens) + 1, bool)
+        self.begins[np.r_[0, np.cumsum(sizes)]] = True
+        self.size = np.array([sum(len(texts[i]) for i in lane) for lane in lanes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.longest, self.first = int(self.size.max(initial=0)), first
+
+    def window(self, t: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many lanes more have ended since the window before, and, time by lane: the tokens (-1 past an end), those before them, whether a text begins, and its number."""
+        done, before = (int(np.searchsorted(self.size, x, "right")) for x in (t, max(0, t - WINDOW)))
+        steps = t + np.arange(min(WINDOW, self.longest - t))[:, None]
+        on = steps < self.size[done:]
+        at = np.where(on, self.start[done:] + steps, 0)
+        fresh = self.begins[at] & on
+        y = np.where(on, self.tokens[at], -1)
+        given = np.where(fresh | ~on, self.first, self.tokens[at - 1])
+        return done - (before if t else 0), y, given, fresh, self.of[at]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -109,134 +152,136 @@ class Model:
         c = np.tanh(g[:, 2 * H :] + (r * h) @ p["n"])
         return z, r, c, c + z * (h - c)
 
+    @staticmethod
+    def _soft(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logs of the shares at the numbers `at`, and the shares' numerators (in place) and their sums."""
+        if len(logits) and logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        rows = np.arange(len(at))
+        out = logits[rows, at].astype(np.float64)
+        np.exp(logits, out=logits)
+        total = logits.sum(1)
+        return out - np.log(total), logits, total
+
     def log_prob(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
-        """Natural logs of the probabilities of tokens y after states h; with learn, also the gradients."""
+        """Natural logs of the probabilities of tokens y after states h; with learn, also the gradients (of the states, and by table)."""
         p = self.p
-        out = np.empty(len(y), np.float64)
-        dh = np.zeros_like(h) if learn else None
-        grads = []
+        order = np.argsort(self.cls[y].astype(np.uint16), kind="stable")
+        h, y = h[order], y[order]  # each class in one stretch
         cls = self.cls[y]
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        logits = h @ p["wc"].T + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out[:] = logits[np.arange(len(y)), cls] - np.log(total)
+        got, e, total = self._soft(h @ p["wc"].T + p["bc"], cls)
+        grads = {}
+        dh = None
         if learn:
             e /= total[:, None]
             e[np.arange(len(y)), cls] -= 1
-            grads += [("wc", None, e.T @ h), ("bc", None, e.sum(0))]
-            dh += e @ p["wc"]
-        bounds = np.r_[0, np.cumsum(np.bincount(cls, minlength=len(self.edges) - 1))]
+            grads = {"wc": e.T @ h, "bc": e.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+            dh = e @ p["wc"]
+        bounds = np.searchsorted(cls, np.arange(len(self.edges)))
         for c in np.flatnonzero(np.diff(bounds)):
             a, b = self.edges[c], self.edges[c + 1]
             if b - a == 1:
                 continue
-            rows = order[bounds[c] : bounds[c + 1]]
+            rows = slice(bounds[c], bounds[c + 1])
             hc, t = h[rows], y[rows] - a
-            logits = hc @ p["wo"][a:b].T + p["bo"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            out[rows] += logits[np.arange(len(t)), t] - np.log(total)
+            more, e, total = self._soft(hc @ p["wo"][a:b].T + p["bo"][a:b], t)
+            got[rows] += more
             if learn:
                 e /= total[:, None]
                 e[np.arange(len(t)), t] -= 1
-                grads += [("wo", slice(a, b), e.T @ hc), ("bo", slice(a, b), e.sum(0))]
+                grads["wo"][a:b] = e.T @ hc
+                grads["bo"][a:b] = e.sum(0)
                 dh[rows] += e @ p["wo"][a:b]
+        out = np.empty(len(y), np.float64)
+        out[order] = got
+        if learn:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh, grads
 
-    def score(self, texts: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
-        """log10 probabilities of token sequences: windows of all texts side by side, states carried."""
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probabilities of token sequences: whole texts one after the other in lanes side by side, states carried from window to window, and new at each text."""
         out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for c in range(0, len(order), chunk):
-            rows = order[c : c + chunk]
-            size = np.array([len(texts[i]) for i in rows])
-            flat = np.concatenate([texts[i] for i in rows]) if rows else np.zeros(0, np.int32)
-            base = np.r_[0, np.cumsum(size)[:-1]]
-            h = np.zeros((len(rows), HIDDEN), np.float32)
-            last = np.full(len(rows), len(self.cls))
-            for t0 in range(0, int(size[0]) if len(size) else 0, WINDOW):
-                states, ys, who = [], [], []
-                for t in range(t0, min(t0 + WINDOW, int(size[0]))):
-                    k = int(np.searchsorted(-size, -t, "left"))  # texts longer than t come first
-                    y = flat[base[:k] + t]
-                    h[:k] = self.step(self.p["x"][last[:k]], h[:k])[3]
-                    states.append(h[:k].copy())
-                    ys.append(y)
-                    who.append(np.arange(k))
-                    last[:k] = y
-                got, _, _ = self.log_prob(np.concatenate(states), np.concatenate(ys))
-                part = np.bincount(np.concatenate(who), got, len(rows))
-                out[rows] += part
+        total = sum(map(len, texts))
+        if not total:
+            return out
+        lanes = -(-total // max(max(map(len, texts)), total // SCORE_LANES))
+        side = Lanes(texts, packed([len(t) for t in texts], lanes), len(self.cls))
+        h = np.zeros((len(side.size), HIDDEN), np.float32)
+        for t0 in range(0, side.longest, WINDOW):
+            done, y, given, fresh, of = side.window(t0)
+            h = h[done:]
+            states = np.empty((*y.shape, HIDDEN), np.float32)
+            g = self.p["x"][given]
+            anew = fresh.any(1)
+            for t in range(len(y)):
+                if anew[t]:
+                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                states[t] = h = self.step(g[t], h)[3]
+            on = y >= 0
+            out += np.bincount(of[on], self.log_prob(states[on], y[on])[0], len(texts))
         return out / np.log(10)
 
-    def train_window(self, y: np.ndarray, before: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One window of LANES texts at most (tokens: time by lane, -1 past an end); returns the states after it."""
+    def train_window(self, y: np.ndarray, before: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> np.ndarray:
+        """One window of some lanes (y: time by lane, -1 past an end; fresh: where a text begins within a lane); returns the states after it."""
         p, H = self.p, HIDDEN
         T, B = y.shape
-        saved, states = [], []
-        x = before
+        given = np.concatenate([before[None], y[:-1]])
+        if fresh is not None:
+            given = np.where(fresh, len(self.cls), given)
+        g = p["x"][given]
+        starts, z, r, c, states = (np.empty((T, B, H), np.float32) for _ in range(5))
+        anew = np.zeros(T, bool) if fresh is None else fresh.any(1)
         for t in range(T):
-            on = (y[t] >= 0)[:, None]
-            z, r, c, h2 = self.step(p["x"][x], h)
-            saved.append((x, h, z, r, c, on))
-            h = np.where(on, h2, h)
-            states.append(h)
-            x = np.where(y[t] >= 0, y[t], x)
-        mask = y.ravel() >= 0
-        hs = np.concatenate(states)
-        _, dh_out, grads = self.log_prob(hs[mask], y.ravel()[mask], learn=True)
-        scale = 1.0 / max(1, mask.sum())
-        dhs = np.zeros_like(hs)
-        dhs[mask] = dh_out
-        dhs = dhs.reshape(T, B, H)
+            if anew[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            starts[t] = h
+            z[t], r[t], c[t], h = self.step(g[t], h)
+            states[t] = h
+        on = y >= 0
+        _, dh_out, grads = self.log_prob(states[on], y[on], learn=True)
+        dhs = np.zeros((T, B, H), np.float32)
+        dhs[on] = dh_out
+        dg = np.empty((T, B, 3 * H), np.float32)
+        rh = r * starts
+        inner_z, inner_c, inner_r = (starts - c) * z * (1 - z), (1 - z) * (1 - c * c), starts * r * (1 - r)
         dh = np.zeros((B, H), np.float32)
-        du, dn, dx, at = np.zeros_like(p["u"]), np.zeros_like(p["n"]), [], []
-        for t in range(T - 1, -1, -1):
-            x, h0, z, r, c, on = saved[t]
+        nt, ut = np.ascontiguousarray(p["n"].T), np.ascontiguousarray(p["u"].T)
+        for t in range(T - 1, -1, -1):  # past an end nothing comes back, so nothing need be masked
             d = dh + dhs[t]
-            live = np.where(on, d, 0)
-            dz = live * (h0 - c) * z * (1 - z)
-            dc = live * (1 - z) * (1 - c * c)
-            drh = dc @ p["n"].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            du += h0.T @ dzr
-            dn += (r * h0).T @ dc
-            dx.append(np.concatenate([dzr, dc], 1))
-            at.append(x)
-            dh = np.where(on, live * z + drh * r + dzr @ p["u"].T, d)
-        at, dx = np.concatenate(at), np.concatenate(dx)
-        rows, inv = np.unique(at, return_inverse=True)
-        gx = np.zeros((len(rows), 3 * H), np.float32)
-        np.add.at(gx, inv, dx)
-        for name, where, g in [*grads, ("u", None, du), ("n", None, dn), ("x", rows, gx)]:
-            where = slice(None) if where is None else where
-            g = np.clip(g * scale * LANES, -1, 1)
-            self.sums[name][where] += g * g
-            p[name][where] -= RATE * g / np.sqrt(self.sums[name][where])
+            dg[t, :, :H] = d * inner_z[t]
+            dg[t, :, 2 * H :] = dc = d * inner_c[t]
+            drh = dc @ nt
+            dg[t, :, H : 2 * H] = drh * inner_r[t]
+            dh = d * z[t] + drh * r[t] + dg[t, :, : 2 * H] @ ut
+            if anew[t]:
+                dh = np.where(fresh[t][:, None], np.float32(0), dh)
+        flat = dg.reshape(T * B, 3 * H)
+        grads["u"] = starts.reshape(T * B, H).T @ flat[:, : 2 * H]
+        grads["n"] = rh.reshape(T * B, H).T @ flat[:, 2 * H :]
+        at = np.where(given < 0, len(self.cls), given).ravel()
+        order = np.argsort(at, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        grads["x"] = at[order[edge]], np.add.reduceat(flat[order], edge)
+        scale = np.float32(RATE_LANES / max(1, int(on.sum())))
+        for name, g in grads.items():
+            where, g = g if isinstance(g, tuple) else (slice(None), g)
+            g = np.clip(g * scale, -1, 1)
+            sums = self.sums[name]
+            sums[where] += g * g
+            p[name][where] -= RATE * g / np.sqrt(sums[where])
         return states[-1]
 
     def train(self, texts: list[np.ndarray]) -> None:
-        # in an order that their content scatters, since the last ones weigh most; neighbours in a lane group have like lengths
+        """Every token once, each text from its start; texts stand one after the other in lanes of about equal length, in an order that their content scatters."""
         texts = sorted(texts, key=lambda t: zlib.crc32(t.tobytes()))
-        groups = [sorted(texts[k : k + 16 * LANES], key=len) for k in range(0, len(texts), 16 * LANES)]
-        lane_groups = [g[k : k + LANES] for g in groups for k in range(0, len(g), LANES)]
-        for n in np.random.default_rng(len(texts)).permutation(len(lane_groups)):
-            lanes = lane_groups[n]  # by length, so the lanes that go on are the last ones
-            sizes = np.array([len(t) for t in lanes])
-            h, x = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), len(self.cls))
-            for t in range(0, int(sizes[-1]), WINDOW):
-                done = int(np.searchsorted(sizes, t, "right"))
-                lanes, sizes, h, x = lanes[done:], sizes[done:], h[done:], x[done:]
-                part = np.full((min(WINDOW, int(sizes[-1]) - t), len(lanes)), -1, np.int64)
-                for j, text in enumerate(lanes):
-                    piece = text[t : t + WINDOW]
-                    part[: len(piece), j] = piece
-                h = self.train_window(part, x, h)
-                x = part[-1]  # a lane that has ended goes out before its state is used
+        side = Lanes(texts, [sorted(lane) for lane in packed([len(t) for t in texts], LANES)], len(self.cls))
+        h = np.zeros((len(side.size), HIDDEN), np.float32)
+        for t in range(0, side.longest, WINDOW):
+            done, y, given, fresh, _ = side.window(t)
+            # a lane that has ended goes out before its state is used
+            h = self.train_window(y, given[0], h[done:], *((fresh,) if t and fresh.any() or fresh[1:].any() else ()))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -271,25 +316,37 @@ def counts(train: DataFrame) -> DataFrame:
 
 
 def sequences(train: DataFrame, held) -> DataFrame:
-    """ids: the token numbers of each whole training text, its end included."""
+    """k, ids: the token numbers of each whole training text, its end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
         for batch in batches:
-            for _, h, bounds in _tokens(batch.column("text")):
+            for first, h, bounds in _tokens(batch.column("text")):
                 ids, _ = voc.look(h)
                 out = [np.r_[ids[a:b], np.int32(END)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, len(out)), pa.array(out, pa.list_(pa.int32()))], ["k", "ids"])
+
+    return train.select("k", "text").mapInArrow(run, "k long, ids array<int>")
+
 
-    return train.select("text").mapInArrow(run, "ids array<int>")
+def most_frequent(counted: DataFrame, most: int = KNOWN) -> DataFrame:
+    """w, c of words that are all more frequent than any other: as many as fit into `most`, by a histogram of counts in steps of a sixteenth of a power of two."""
+    step = F.floor(F.log2("c") * 16)
+    left, least = most, 1 << 12
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):  # 1024 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return counted.filter(step >= least)
 
 
 def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
-    """Average of the replicas that the partitions of `parts` (ids) train, `rounds` times over; means of FAN_IN at a time till a few are left."""
+    """Average of the replicas that the partitions of `parts` (k, ids; dealt by k) train, `rounds` times over; means of FAN_IN at a time till a few are left."""
     sc = parts.sparkSession.sparkContext
     tokens = parts.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).collect()[0][0]
     replicas = max(8, tokens // REPLICA_TOKENS)
-    parts = parts.repartition(replicas)
+    parts = parts.repartition(replicas, "k").select("ids")
     voc = held.value
     blob = Model(voc.cls, voc.mass).dump()
 
@@ -337,7 +394,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counted = cut(counts(train), "counts")
     words, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     texts = train.count()
-    top = counted.orderBy(F.desc("c"), "w").limit(KNOWN).toArrow()
+    top = most_frequent(counted).toArrow()
     n, v = words + texts, kinds + (texts > 0)
     voc = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, texts)
     held = sc.broadcast(voc)
