@@ -5,8 +5,9 @@ is hashed and joined with the positions of the same gram in the license template
 so broadcast); the join also compares the grams themselves, so that a hash collision gives no vote. A hit at word p
 of a document and word q of a template votes for the diagonal p - q. Votes are summed by (document, template,
 diagonal), diagonals at most GAP apart are merged (an inserted or dropped word moves a match to the next one), and
-each merged span is verified: the template words under its hits, over the template's length. Spans with a share of
-MIN_SCORE or more give their label.
+each merged span is verified: the template words under its hits, over the template's length or, if that is more, the
+span's own. So a span that drifts, with foreign words in between, loses. Spans with a share of MIN_SCORE or more give
+their label.
 
 Defined cases: null and empty texts have no words and no labels; fewer than GRAM words give base phrases only;
 repeated rows get the same result each; an empty table gives none; other columns are ignored.
@@ -22,6 +23,8 @@ from .common import lower_az, row_key
 GRAM = 3
 GAP = 3
 MIN_SCORE = 0.8
+#: Grams of all templates, which are broadcast.
+MAX_GRAMS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the task and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -50,8 +53,12 @@ def scan_words(text: Column) -> Column:
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """t, label, n (words of the template), q (position), gram, h: a row for each gram of each template."""
-    rows = [(t, label, len(w), q, " ".join(w[q : q + k])) for t, (label, text) in enumerate(templates) for w in [text.split()] for q in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "t int, label string, n int, q int, tgram string").withColumn("th", F.xxhash64("tgram"))
+    rows = [f"({t}, '{label}', {len(w)}, {q}, '{' '.join(w[q : q + k])}')" for t, (label, text) in enumerate(templates) for w in [text.split()] for q in range(len(w) - k + 1)]
+    if len(rows) > MAX_GRAMS:
+        raise ValueError(f"the templates have {len(rows)} grams, more than the {MAX_GRAMS} that are broadcast")
+    if not rows:
+        return spark.sql("SELECT 0 AS t, '' AS label, 0 AS n, 0 AS q, '' AS tgram, 0L AS th WHERE false")
+    return spark.sql(f"SELECT *, xxhash64(tgram) AS th FROM VALUES {', '.join(rows)} AS g(t, label, n, q, tgram)")
 
 
 def phrase_places(words: Column, phrase: str) -> Column:
@@ -87,7 +94,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str
     merged = votes.withColumn("run", F.sum(fresh.cast("int")).over(along)).groupBy(*key, "run")
     spans = merged.agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + k - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + (k - 1))))))
-    return spans.select("doc_id", "__gl_key", "label", F.col("t").alias("template"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), (covered / F.col("n")).alias("score"))
+    return spans.select("doc_id", "__gl_key", "label", F.col("t").alias("template"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), (covered / F.greatest(F.col("n"), F.col("last_word") - F.col("first_word") + 1)).alias("score"))
 
 
 def label(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -48,11 +48,12 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex
 b AS (SELECT rid, doc_id, len(ws) AS n_words, {", ".join(f"CASE WHEN contains({joined}, ' {p.split()[-1]} ') THEN {at[label]} ELSE [] END AS {label}" for p, label in PHRASES)} FROM d),
 u AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS p FROM d),
 g AS (SELECT rid, p, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS gram FROM u WINDOW o AS (PARTITION BY rid ORDER BY p)),
-hits AS (SELECT rid, t, label, n, q, p - q AS diagonal FROM g JOIN t USING (gram)),
+hits AS (SELECT rid, t, label, n, p, q, p - q AS diagonal FROM g JOIN t USING (gram)),
 diag AS (SELECT DISTINCT rid, t, diagonal FROM hits),
 runs AS (SELECT rid, t, diagonal, sum(CASE WHEN gap IS NULL OR gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, t ORDER BY diagonal) AS run FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) AS gap FROM diag)),
 covered AS (SELECT DISTINCT rid, t, run, label, n, unnest(range(q, q + {GRAM})) AS w FROM hits JOIN runs USING (rid, t, diagonal)),
-spans AS (SELECT rid, label, count(*) / any_value(n) AS score FROM covered GROUP BY rid, t, run, label),
+long AS (SELECT rid, t, run, max(p) + {GRAM} - min(p) AS long FROM hits JOIN runs USING (rid, t, diagonal) GROUP BY 1, 2, 3),
+spans AS (SELECT rid, label, count(*) / greatest(any_value(n), any_value(long)) AS score FROM covered JOIN long USING (rid, t, run) GROUP BY rid, t, run, label),
 more AS (SELECT rid, list(DISTINCT label) FILTER (score >= {MIN_SCORE}) AS more, max(score) AS score FROM spans GROUP BY 1),
 a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places, list_filter([{", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for _, label in PHRASES)}], lambda x: x IS NOT NULL) AS base FROM b LEFT JOIN more USING (rid))
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
@@ -61,7 +62,7 @@ SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, l
 
 
 CHAT = f"""
-WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations),
+WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, translate(replace(coalesce(role, 'unknown'), '<|im_', '<| im_'), chr(13) || chr(10), '  ') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations),
 seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
 r AS (SELECT s.conv_id, perspective, turn, speaker, said, speaker = perspective AS trained,
   '{START}' || CASE WHEN speaker = 'system' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head FROM s JOIN seats ON s.conv_id IS NOT DISTINCT FROM seats.conv_id),
