@@ -9,8 +9,9 @@ at those hashes of a document that are not above its largest sample. Candidates
 
 An item of q < 5 words is one shingle of q words, and is searched among the q-word shingles of the documents.
 
-Items are the stated query set: they go to the executors in blocks of BLOCK_ITEMS, each a broadcast of bounded size,
-against all documents; there is no shuffle.
+Items are the stated query set: they go to the executors in blocks of about BLOCK_ITEMS items and BLOCK_BYTES bytes,
+each a broadcast of bounded size, against all documents, which are read once for each block; there is no shuffle of
+documents. Equal items of one id are searched once.
 
 Defined cases: null and empty texts, of items or documents, have an empty set and contain or contaminate nothing; an
 item of fewer than five words is found wherever its words stand in a row; repeated items and rows give a row each; empty tables
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 PERCENT = 75
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -49,10 +51,10 @@ def needed(q: int) -> int:
 class Items:
     """A block of items with their samples, by words a shingle and size partition: (largest sample, samples sorted, item numbers)."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], times: list[int]):
         from .kernels import shingle_sets
 
-        self.ids, self.texts = ids, texts
+        self.ids, self.texts, self.times = ids, texts, times
         self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
         self.words = [min(SHINGLE, len(_WORD.findall(t or ""))) for t in texts]
         self.parts: dict[int, list] = {}
@@ -111,12 +113,13 @@ class Items:
 
 
 def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_items: int = BLOCK_ITEMS) -> Iterator:
-    """Broadcasts of at most about block_items items each."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
-    n = max(1, -(-rows.count() // block_items))
+    """Broadcasts of about block_items items and BLOCK_BYTES bytes each at most, by expectation; equal rows are one item, with their number."""
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).groupBy("i", "t").agg(F.count(F.lit(1)).alias("n"))
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).collect()[0]
+    n = max(1, -(-count // block_items), -(-size // BLOCK_BYTES))
     for k in range(n):
         got = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() if n > 1 else rows.collect()
-        yield items.sparkSession.sparkContext.broadcast(Items([r.i for r in got], [r.t for r in got]))
+        yield items.sparkSession.sparkContext.broadcast(Items([r.i for r in got], [r.t for r in got], [r.n for r in got]))
 
 
 def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -126,7 +129,7 @@ def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) ->
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = held.value.search(batch.column("text"))
+                hits = [x for x in held.value.search(batch.column("text")) for _ in range(held.value.times[x[1]])]
                 q = [len(held.value.sets[n]) for _, n, _ in hits]
                 cols = [batch.column("doc_id").take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([held.value.ids[n] for _, n, _ in hits], pa.int64()), pa.array(q, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([s for *_, s in hits], pa.int64()), pa.array([s / n for (*_, s), n in zip(hits, q, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
