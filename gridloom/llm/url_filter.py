@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import cut, lower_az
 
 MAX_BLOCKS = 1 << 18
 URLS_PER_BLOCK = 16
@@ -125,16 +125,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULE
     """A row for each row of `pages`: page_id, host, path, rule, listed (boolean) and verdict. `listed`: a column `canonical`."""
     u = F.col(url)
     base = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical"))
-    listed = listed.select("canonical").filter(F.col("canonical").isNotNull()).distinct()
+    listed = cut(listed.select("canonical").filter(F.col("canonical").isNotNull()).distinct(), "listed")
     n_blocks = blocks_for(listed.count())
     filt = bloom(listed, n_blocks=n_blocks)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    ruled = base.withColumns({"rule": name, "__gl_v": verdict})
-    # only urls that no rule decides are looked up; each distinct one once
-    asked = ruled.filter(F.col("__gl_v").isNull() & F.col("canonical").isNotNull()).select("canonical").distinct()
+    # written once: the urls are a small part of the pages, and their canonical form is dear
+    ruled = cut(base.withColumns({"rule": name, "__gl_v": verdict}), "urls")
+    # only urls that no rule decides are looked up, each distinct one once; the others never meet the join
+    open_ = F.col("__gl_v").isNull() & F.col("canonical").isNotNull()
+    asked = ruled.filter(open_).select("canonical").distinct()
     hits = possible(asked, filt, n_blocks=n_blocks).join(listed, "canonical").select("canonical", F.lit(True).alias("__gl_hit"))
-    out = ruled.join(hits, "canonical", "left")
-    on = F.col("__gl_v").isNull() & F.coalesce(F.col("__gl_hit"), F.lit(False))
+    out = ruled.filter(open_).join(hits, "canonical", "left").select(*ruled.columns, "__gl_hit").union(ruled.filter(~open_).withColumn("__gl_hit", F.lit(False)))
+    on = F.coalesce(F.col("__gl_hit"), F.lit(False))
     return out.select("page_id", "host", "path", "rule", on.alias("listed"), F.coalesce("__gl_v", F.when(on, "block").otherwise("allow")).alias("verdict"))
 
 
