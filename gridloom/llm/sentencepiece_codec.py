@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, groupby
@@ -31,11 +32,41 @@ MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 CACHE_PARTS = 150_000
 CACHE_PAIRS = 400_000
+#: Characters of a word whose matches are held at once, twice over.
+STRETCH = 1 << 16
 #: Kinds of characters, each a pattern; texts are cut between kinds that no piece joins. One character a part: digits and line ends.
 KINDS = {"mark": MARK, "letter": r"[^\W\d_]", "digit": r"\d", "line": r"\n", "sign": rf"(?:_|[^\w\n{MARK}])"}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def matches(trie, s: str, a: int, b: int, end: int) -> list[list[tuple[int, int]]]:
+    """(length, id) of the pieces that start at each place from a to b and stop by `end`, the shortest first."""
+    starts: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+    for last, found in trie.iter(s, a, end):  # ends ascend, so the lengths at each start do too
+        at = last + 1 - found[0] - a
+        if at < b - a:
+            starts[at].append(found)
+    return starts
+
+
+class Matches:
+    """`matches` of a very long word, by place; two stretches of it are held at a time, and others are found again when the search goes back."""
+
+    def __init__(self, trie, s: str, longest: int):
+        self.trie, self.s, self.longest = trie, s, longest
+        self.held: dict[int, list[list[tuple[int, int]]]] = {}
+
+    def __getitem__(self, i: int) -> list[tuple[int, int]]:
+        number, at = divmod(i, STRETCH)
+        got = self.held.get(number)
+        if got is None:
+            if len(self.held) > 1:
+                del self.held[max(self.held, key=lambda x: abs(x - number))]
+            b = min(len(self.s), (number + 1) * STRETCH)
+            got = self.held[number] = matches(self.trie, self.s, number * STRETCH, b, min(len(self.s), b + self.longest))
+        return got[at]
+
+
 class Codec:
     """Encoder and decoder of one model. The library is asked for the vocabulary and for decode(), never to encode."""
 
@@ -83,6 +114,7 @@ class Codec:
             if len(p) == 1 or set(p) != {MARK}:
                 self.trie.add_word(p, (len(p), i))
         self.trie.make_automaton()
+        self.longest = max(map(len, self.ids))
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
         self.old_words: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -131,14 +163,13 @@ class Codec:
     def pieces(self, s: str) -> list[int]:
         """The ids of s, whose characters are all pieces, and of which only the first may be a blank mark."""
         n, pairs, base = len(s), self.pairs, self.n
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.trie.iter(s):  # ends ascend, so the lengths at each start do too
-            starts[end + 1 - found[0]].append(found)
+        starts = Matches(self.trie, s, self.longest) if n > STRETCH else matches(self.trie, s, 0, n, n)
         if starts[0][-1][0] == n:
             return [starts[0][-1][1]]
         failed = bytearray((n >> 3) + 1)
-        out: list[int] = []
-        where, tries, i, k = [0], [], 0, len(starts[0])
+        # of a very long word, numbers in 8 bytes each
+        out, where, tries = (array("q"), array("q", [0]), array("q")) if n > STRETCH else ([], [0], [])
+        i, k = 0, len(starts[0])
         while i < n:
             at = starts[i]
             while k:
@@ -168,7 +199,7 @@ class Codec:
                 where.pop()
                 out.pop()
                 i, k = where[-1], tries.pop()
-        return out
+        return list(out)
 
     def word(self, s: str) -> list[int]:
         """The ids of s, of which only the first character may be a blank mark; characters without a piece become bytes."""
