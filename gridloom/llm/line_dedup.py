@@ -3,11 +3,14 @@ diff, and the aligned common blocks are deleted from the later document (the lar
 
 Keys that make documents meet are windows: from each line on, and up to each line, the fewest lines in a row with
 MIN_CHARS characters or more and a word. The windows of a common block cover it, so documents with a common block share
-a key, and blank lines within a block don't part it. A key's later holders are aligned with its first holder; where
-lines of a shared window are left after that, with more and more of its earlier holders (GROWTH times as many a round)
-until none is left or all were tried. So pairs grow with the lines where the first holder settles a key, and the result
-is that of aligning every two documents. A common block is a run of lines, aligned one to one, of MIN_CHARS characters
-in all or more; what is in no such block stays. Blocks are judged on the input texts, and all pairs' deletions add up.
+a key, and blank lines within a block don't part it. How many documents hold a key is counted. First the later holders
+of rare keys (RARE holders at most) are aligned with the key's first holder. Where lines of a shared window are left
+after that, their holders are aligned with the first holder of that window, however common it is, and then with more and
+more of its earlier holders (GROWTH times as many a round) until none is left or all were tried. So pairs grow with the
+lines where the first holder settles a key, a passage that very many documents share costs pairs only where no rarer
+line has settled it, and the result is that of aligning every two documents. A common block is a run of lines, aligned
+one to one, of MIN_CHARS characters in all or more; what is in no such block stays. Blocks are judged on the input
+texts, and all pairs' deletions add up.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines without a word make no key by
 themselves; rows equal in id and text are one document and share a result; a null doc_id comes before all others;
@@ -26,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, cut, row_key
+from .url_filter import blocks_for, bloom, marked, possible
 
 MIN_CHARS = 100
+#: Holders of a key that is rare: documents first meet by these.
+RARE = 64
 GROWTH = 8
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -182,22 +188,29 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     own = lines.select("d", "k", "h", "n", "w")
     kind = "d long, k long, key long"
     holders = cut(own.mapInArrow(keyed, kind), "holders")
-    first = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    standing, lost, tried, buckets = holders, None, None, 1
+    shared = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = cut(shared, "shared")
+    n_keys = blocks_for(shared.count())
+    holders = cut(possible(holders, bloom(shared, "key", n_keys), "key", n_keys).join(shared.select("key"), "key", "left_semi"), "holders")
+    # rare keys first; then, of what stands, every key with its first holder; then with more and more of them
+    standing, lost, tried, buckets, first = holders, None, None, 0, shared
     while True:
         if buckets > 1:
             # any order of earlier holders serves; a bucket's first one is met each round, and in the end each is alone
             bucket = F.pmod(F.xxhash64("d", "k"), F.lit(buckets)) if buckets < 1 << 40 else F.struct("d", "k")
             first = holders.groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c"))
-        met = cut(standing.join(first, "key").filter(F.col("a") < F.struct("d", "k")).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k", "key"), "met")
+        asked = standing.join(first, "key").filter(F.col("a") < F.struct("d", "k")).select(F.col("a.d").alias("ad"), F.col("a.k").alias("ak"), "d", "k", "key", "c")
+        asked = cut(asked, "asked")
+        met = asked.filter(F.col("c") <= RARE) if buckets == 0 else asked
         pairs = met.select("ad", "ak", "d", "k").distinct()
         pairs = pairs if tried is None else pairs.join(tried, ["ad", "ak", "d", "k"], "left_anti")
+        pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         both = pairs.join(earlier, ["ad", "ak"]).join(own, ["d", "k"]).select("d", "k", "ah", "h", "n")
         found = both.mapInArrow(run, "d long, k long, gone array<int>")
         found = found if lost is None else found.union(lost)
         lost = cut(found.select("d", "k", F.explode("gone").alias("line")).groupBy("d", "k").agg(F.collect_set("line").alias("gone")), "lost")
-        asked = met.groupBy("d", "k").agg(F.collect_set("key").alias("keys"))
+        asked = asked.groupBy("d", "k").agg(F.collect_set("key").alias("keys"))
         standing = cut(asked.join(own, ["d", "k"]).join(lost, ["d", "k"], "left").select("d", "k", "h", "n", "w", "keys", "gone").mapInArrow(left, kind), "standing")
         if standing.isEmpty() or buckets >= 1 << 40:
             break
@@ -205,19 +218,25 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
         holders = cut(holders.join(standing.select("key").distinct(), "key", "left_semi"), "holders")
         if buckets > 1 and first.join(standing.select("key").distinct(), "key", "left_semi").filter("c > 1").isEmpty():
             break
-        buckets *= GROWTH
+        buckets = buckets * GROWTH if buckets else 1
     return lost.select("d", "k", F.sort_array("gone").alias("gone"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row, t (the text), gone (null: nothing): texts that lose nothing, but for a few that a Bloom filter passes, aren't shuffled."""
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(text).alias("t"))
-    return packed.join(deletions(docs, doc_id, text).hint("merge"), ["d", "k"], "left")  # a hint: the plan is the same at any size
+    gone = cut(deletions(docs, doc_id, text), "gone")
+    n = blocks_for(gone.count())
+    seen = marked(packed, bloom(gone, "k", n), "k", n)
+    whole = seen.filter("NOT __gl_may").select("row", "t", F.lit(None).cast("array<int>").alias("gone"))
+    return whole.union(seen.filter("__gl_may").join(gone.hint("merge"), ["d", "k"], "left").select("row", "t", "gone"))  # a hint: the plan is the same at any size
 
 
 def _kept_text():
-    numbered = F.filter(F.split("t", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    return F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(numbered, "\n"))
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    rest = F.transform(F.array(F.split("t", "\n", -1)), lambda lines: F.array_join(F.transform(numbers(lines), lambda i: lines[i]), "\n"))[0]
+    return F.when(F.col("gone").isNull(), F.col("t")).otherwise(rest)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
