@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in SQL functions only.
 
-Each rule rejects documents by one measurement. On a bounded sample the cost (seconds) and the selectivity
-(share rejected) of every rule are measured, and the rules are put in order of rejections per second. The
-cascade is one CASE expression, which Spark evaluates lazily from the first rule on, so a dear rule only sees
-what the cheap ones let pass. The order never changes which documents are kept, only which rule names them.
+Each rule rejects documents by one or two measurements. On a sample of about SAMPLE_ROWS rows from all over the table
+the cost (seconds) and the selectivity (share rejected) of every rule are measured, and the rules are put in order of
+rejections per second. The cascade is one lazy expression over a text and its words, which are split once: a CASE whose
+branches hold the rules' own measurements, so a dear one is only taken of what the cheaper rules let pass. The order
+never changes which documents are kept, only which rule names them.
 
 Defined cases: a null or empty text has no words and fails `few_words`; repeated rows are judged alike; an
 empty table gives an empty table; columns besides the id and the text are ignored by `judge`, and kept as
@@ -13,6 +14,7 @@ they are by `keep`; texts of any length are judged whole.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,29 +30,55 @@ SAMPLE_ROWS = 1000
 
 @dataclass(frozen=True)
 class Rule:
-    """name, and the SQL condition, over the columns of `measured`, under which a document is rejected."""
+    """name; the SQL condition, over the measurements, under which a document is rejected; the same as a Column, of a function from a measurement's name to its Column."""
 
     name: str
     rejects: str
+    test: Callable[[Callable[[str], Column]], Column]
 
 
 #: The first two are the base rules.
 RULES = (
-    Rule("few_words", "n_words < 20"),
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
-    Rule("stutter", "10 * n_stutter > 3 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule("few_words", "n_words < 20", lambda m: m("n_words") < 20),
+    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    Rule("symbols", "10 * n_symbols > n_words", lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines", lambda m: bind(m("lines"), lambda x: (F.size(x) >= 4) & (2 * _doubles(x) > F.size(x)))),
+    Rule("stutter", "10 * n_stutter > 3 * n_words", lambda m: 10 * m("n_stutter") > 3 * m("n_words")),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", lambda m: bind(m("word_chars"), lambda x: (x < 2 * m("n_words")) | (x > 20 * m("n_words")))),
 )
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _doubles(x: Column) -> Column:
+    """Elements equal to an earlier one."""
+    return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+
+def _stutter(w: Column) -> Column:
+    """Words equal to the one before."""
+    same = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: a == b)
+    return F.when(F.size(w) > 1, F.size(F.filter(same, lambda x: x))).otherwise(0).cast("long")
+
+
+def measurement(name: str, t: Column, w: Column) -> Column:
+    """A measurement of a text t with words w; `lines`: its lines with a word."""
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    return {
+        "n_words": lambda: F.size(w).cast("long"),
+        "word_chars": lambda: F.length(F.translate(t, BLANKS, "")).cast("long"),
+        "n_symbols": lambda: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "lines": lambda: lines,
+        "n_stutter": lambda: _stutter(w),
+        "n_repeat_words": lambda: _repeat_words(w, F.size(w)),
+    }[name]()
+
+
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words in WINDOW-word windows found twice or more in the text, the first of them included."""
-    def bind(value: Column, f) -> Column:
-        """f(value), with value worked out once however often f uses it."""
-        return F.transform(F.array(value), f)[0]
-
     def covered(starts: Column) -> Column:
         steps = F.zip_with(F.slice(starts, 1, F.size(starts) - 1), F.slice(starts, 2, F.size(starts) - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
         return F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda acc, x: acc + x)
@@ -70,38 +98,46 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n > WINDOW, bind(bind(hashed, windows), repeated)).otherwise(F.lit(0).cast("long"))
 
 
+def rejection(rules: list[Rule] | tuple[Rule, ...], text: Column) -> Column:
+    """The cascade: the name of the first rule that rejects the text; null: none does. A rule's measurements are worked out only if those before it let the text pass."""
+
+    def first(v: Column) -> Column:
+        of = lambda name: measurement(name, v["t"], v["w"])
+        out = F.when(rules[0].test(of), rules[0].name)
+        for rule in rules[1:]:
+            out = out.when(rule.test(of), rule.name)
+        return out
+
+    t = F.coalesce(text, F.lit(""))
+    return bind(F.struct(t.alias("t"), words_of(t).alias("w")), first)
+
+
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stutter (words equal to the one before) and n_repeat_words (long)."""
+    """`keep` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stutter and n_repeat_words (long) of every document."""
     t = F.coalesce(F.col(text), F.lit(""))
-    inner = docs.select(*keep, t.alias("__gl_text"), words_of(t).alias("__gl_words"), F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("__gl_lines"))
-    t, w, lines = F.col("__gl_text"), F.col("__gl_words"), F.col("__gl_lines")
-    return inner.select(
-        *keep,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(w) > 1, F.size(F.filter(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: a == b), lambda x: x))).otherwise(0).cast("long").alias("n_stutter"),
-        _repeat_words(w, F.size(w)).alias("n_repeat_words"),
-    )
+    w = words_of(t)
+    inner = docs.select(*keep, t.alias("__gl_text"), w.alias("__gl_words"), measurement("lines", t, w).alias("__gl_lines"))
+    of = lambda name: measurement(name, F.col("__gl_text"), F.col("__gl_words")).alias(name)
+    lines = F.col("__gl_lines")
+    return inner.select(*keep, of("n_words"), of("word_chars"), of("n_symbols"), F.size(lines).cast("long").alias("n_lines"), _doubles(lines).alias("n_dup_lines"), of("n_stutter"), of("n_repeat_words"))
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second, measured on at most sample_rows rows; one that rejects nothing there comes late."""
-    sample = cut(docs.select(text).limit(sample_rows), "rules")
-    seen = measured(sample, text, ())
+    """The rules by rejections per second, each measured alone on a sample of about sample_rows rows; one that rejects nothing there comes late."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = cut(docs.select(F.col(text).alias("t")).sample(share, seed=1).limit(2 * sample_rows), "rules").coalesce(1)
     rates = {}
     for rule in rules:
-        seen.agg(F.count_if(F.expr(rule.rejects))).collect()  # compiles the code, which isn't the rule's cost
+        alone = sample.agg(F.count(rejection([rule], F.col("t"))))
+        alone.collect()  # compiles the code, which isn't the rule's cost
         began = time.perf_counter()
-        n = seen.agg(F.count_if(F.expr(rule.rejects))).collect()[0][0]
+        n = alone.collect()[0][0]
         rates[rule] = (n + 0.5) / max(time.perf_counter() - began, 1e-3)
     return sorted(rules, key=lambda r: -rates[r])
 
 
 def first_rejection(rules: list[Rule] | tuple[Rule, ...]) -> Column:
-    """The name of the first rule that rejects, over the columns of `measured`; null: none does."""
+    """The same cascade over the columns of `measured`."""
     out = F.when(F.expr(rules[0].rejects), rules[0].name)
     for rule in rules[1:]:
         out = out.when(F.expr(rule.rejects), rule.name)
@@ -109,13 +145,11 @@ def first_rejection(rules: list[Rule] | tuple[Rule, ...]) -> Column:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each document: `keep`, the measurements, rejected_by (string, null if kept) and kept (boolean)."""
+    """A row for each document: `keep`, all measurements, rejected_by (string, null if kept) and kept (boolean)."""
     by = first_rejection(ordered(docs, rules, text))
     return measured(docs, text, keep).withColumn("rejected_by", by).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns, whatever their names."""
-    by = first_rejection(ordered(docs, rules, text))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row"), F.col(text).alias("__gl_t"))
-    return measured(packed, "__gl_t", ("__gl_row",)).filter(by.isNull()).select("__gl_row.*")
+    return docs.filter(rejection(ordered(docs, rules, text), F.col(f"`{text}`")).isNull())
