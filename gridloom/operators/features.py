@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import before, bounds_of, range_of
+
 
 def scaled(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), kind: str = "minmax") -> DataFrame:
     """minmax: (x - min) / (max - min); maxabs: x / max|x|. Statistics are one small aggregate, joined back."""
@@ -17,9 +19,20 @@ def scaled(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), kind:
 
 
 def correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """feature and its correlation with the target, strongest first (constant ones, which have none, last)."""
+    """feature, corr with the target and rank: the strongest (by size, whatever the sign) is first; constant ones, which have none, are last; ties by name."""
     row = df.agg(*[F.corr(c, target).alias(c) for c in columns])
-    return row.unpivot([], columns, "feature", "corr")
+    long = row.unpivot([], columns, "feature", "corr")
+    return long.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("corr").desc_nulls_last(), "feature")))  # a row for each column
+
+
+def column_order(df: DataFrame, columns: list[str], target: str) -> list[str]:
+    """Column names, strongest correlation first; a few rows reach the driver."""
+    return [r.feature for r in sorted(correlations(df, columns, target).collect(), key=lambda r: r.rank)]
+
+
+def reordered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The columns of a saved order, then all others: what was fitted in one order is scored in the same."""
+    return df.select(*order, *[c for c in df.columns if c not in order])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,12 +43,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column's average ranks: distinct values are counted and ranked, and joined back, so no row-wise sort takes one task."""
+    """Each column's average ranks: distinct values are counted, numbered by ranges (so no task holds them all), and joined back."""
     out = df
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(F.col(c).alias("__v"), (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).withColumn("part", range_of(F.col(c).cast("double"), bounds_of(df, c)))
+        base = before(counts.groupBy("part").agg(F.sum("n").alias("n")), [], "part", "n")
+        w = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = counts.withColumn("own", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(base), "part")
+        ranks = ranks.select(F.col(c).alias("__v"), (F.col("base") + F.col("own") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
         out = out.join(ranks, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
     return out
 
@@ -55,6 +70,26 @@ def constant_features(df: DataFrame, columns: list[str], share: float = 0.9) ->
     return counts.groupBy("feature").agg((F.max("n") / F.sum("n")).alias("top_share")).withColumn("constant", F.col("top_share") > share)
 
 
+def inverse_scaled(df: DataFrame, stats: DataFrame, columns: list[str], kind: str = "minmax") -> DataFrame:
+    """Scaled columns back in their own units; stats: feature, lo, hi (`scale_stats`), a row for each column."""
+    of = {r.feature: (r.lo, r.hi) for r in stats.collect()}
+    back = {c: F.col(c) * (of[c][1] - of[c][0]) + of[c][0] if kind == "minmax" else F.col(c) * max(abs(of[c][0]), abs(of[c][1])) for c in columns}
+    return df.withColumns(back)
+
+
+def scale_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, lo, hi: what a scaler keeps, as a table that can be saved."""
+    row = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")) for c in columns]).alias("s"))
+    return row.select(F.inline("s"))
+
+
+def apply_scale(df: DataFrame, stats: DataFrame, columns: list[str], kind: str = "minmax") -> DataFrame:
+    """Columns scaled by saved statistics (not by their own)."""
+    of = {r.feature: (r.lo, r.hi) for r in stats.collect()}
+    one = lambda c: F.try_divide(F.col(c) - of[c][0], F.lit(of[c][1] - of[c][0])) if kind == "minmax" else F.try_divide(F.col(c), F.lit(max(abs(of[c][0]), abs(of[c][1]))))
+    return df.withColumns({c: one(c) for c in columns})
+
+
 def complete_columns(df: DataFrame) -> list[str]:
     """Names of the columns without a null, counted in one pass."""
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).collect()[0]

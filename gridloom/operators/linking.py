@@ -10,7 +10,7 @@ def aligned_pairs(series: DataFrame) -> DataFrame:
     """p1 < p2 and their values at common times: an equi-join on time, as wide as there are sites."""
     a = series.select(F.col("project").alias("p1"), "hour", F.col("y").alias("y1"))
     b = series.select(F.col("project").alias("p2"), "hour", F.col("y").alias("y2"))
-    return a.join(b, "hour").filter("p1 < p2")
+    return a.join(b, (F.col("p1") < F.col("p2")) & (a["hour"] == b["hour"])).select(a["hour"], "p1", "y1", "p2", "y2")
 
 
 def best_lags(series: DataFrame, reach: int = 4) -> DataFrame:

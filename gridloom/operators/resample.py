@@ -1,64 +1,171 @@
-"""Resampling of imbalanced classes. Neighbours come from one operator: exact k nearest by blocks.
+"""Resampling of imbalanced classes. Neighbours come from one operator: exact k nearest by cells and blocks.
 
-The searched vectors go to the executors in blocks of BLOCK_ROWS (a broadcast of bounded size each); every task keeps
-its queries' k best in each block, and a merge of k rows a block gives the k best of all. Nothing is a cross join, and
-distances never leave the task.
+The searched vectors are dealt to cells (the nearest of a bounded number of pivots) and blocks of about BLOCK_ROWS; queries go
+to the blocks that can hold one of their k nearest, and a task holds one block and one part of its queries. Nothing is a
+cross join, no vectors but the pivots reach the driver, and distances never leave the task: a merge of k rows a visited
+block gives the k best of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
-
+from .ranks import by_share, by_value
 
-def strategy(counts: DataFrame, kind: str, mode: str = "auto") -> DataFrame:
-    """label, n, target (rows after resampling): over tops classes up to the largest, under cuts them to the smallest."""
-    w = Window.partitionBy()
+BLOCK_ROWS = 20_000
+#: Queries of a task, and the most pivots.
+QUERY_ROWS = 2048
+MAX_PIVOTS = 256
+_FOUND = "id long, other long, other_label int, dist double"
+
+
+def strategy(counts: DataFrame, kind: str, mode="auto") -> DataFrame:
+    """label, n, target (rows after resampling): over tops classes up to the largest, under cuts them to the smallest, clean names the classes that may lose rows (target 0).
+
+    mode: all, majority, not majority, minority, not minority, auto (over: not majority; else: not minority); a dict of
+    targets; a list of labels (clean only); a float (two classes: smaller over larger after resampling); or a function
+    from a dict of counts to a dict of targets. A few class counts reach the driver for the last four.
+    """
+    if not isinstance(mode, str):
+        n = {r.label: r.n for r in counts.collect()}
+        targets = mode(dict(n)) if callable(mode) else mode
+        if isinstance(targets, list | tuple | set):
+            if kind != "clean":
+                raise ValueError("a list names classes to clean")
+            targets = {c: 0 for c in targets}
+        elif isinstance(targets, float):
+            if len(n) != 2 or kind == "clean":
+                raise ValueError("a share needs two classes")
+            few, many = sorted(n, key=lambda c: (n[c], -c))
+            targets = {few: int(targets * n[many])} if kind == "over" else {many: int(n[few] / targets)}
+        if unknown := set(targets) - set(n):
+            raise ValueError(f"no rows of the classes {sorted(unknown)}")
+        for c, t in targets.items():
+            if kind == "over" and t < n[c] or kind == "under" and t > n[c]:
+                raise ValueError(f"class {c} has {n[c]} rows, {t} were asked for")
+        listed = counts.sparkSession.createDataFrame([(c, int(t)) for c, t in targets.items()], "label int, target long")
+        return counts.join(F.broadcast(listed), "label", "left").select("label", "n", F.coalesce("target", "n").alias("target"))
+    w = Window.partitionBy()  # a row for each class
     top, low = F.max("n").over(w), F.min("n").over(w)
     first = F.row_number().over(Window.orderBy(F.desc("n"), "label")) == 1
     last = F.row_number().over(Window.orderBy("n", "label")) == 1
     applies = {"all": F.lit(True), "majority": first, "minority": last, "not majority": ~first, "not minority": ~last}
     mode = ("not majority" if kind == "over" else "not minority") if mode == "auto" else mode
-    return counts.withColumn("target", F.when(applies[mode], top if kind == "over" else low).otherwise(F.col("n")))
-
-
-def nearest(queries: DataFrame, searched: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id, other, other_label, dist, rank (1 to k): the k nearest of `searched` (id, label, features) to each query, itself left out; ties by id."""
-    sc = queries.sparkSession.sparkContext
-    n = max(1, -(-searched.count() // block_rows))
-    out = None
-    for b in range(n):
-        rows = searched.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).select("id", "label", "features").orderBy("id").collect() if n > 1 else searched.select("id", "label", "features").orderBy("id").collect()
-        held = sc.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.label for r in rows], np.int32), np.array([r.features for r in rows], float)))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, labels, x = held.value
-            for batch in batches:
-                own = batch.column("id").to_numpy()
-                q = np.array(batch.column("features").to_pylist(), float)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                step = max(1, 4_000_000 // max(1, x.size))
-                for a in range(0, len(own), step):
-                    d = ((q[a : a + step, None, :] - x[None]) ** 2).sum(-1)
-                    d[own[a : a + step, None] == ids[None]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    dist = np.take_along_axis(d, best, 1)
-                    keep = np.isfinite(dist)
-                    for col, v in zip(cols, (np.repeat(own[a : a + step], best.shape[1]).reshape(best.shape), ids[best], labels[best], np.sqrt(dist)), strict=True):
-                        col.append(v[keep])
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["id", "other", "other_label", "dist"])
-
-        part = queries.select(F.col("id").cast("long").alias("id"), "features").mapInArrow(run, "id long, other long, other_label int, dist double") if rows else None
-        out = part if out is None else out if part is None else out.union(part)
+    return counts.withColumn("target", F.when(applies[mode], {"over": top, "under": low, "clean": F.lit(0)}[kind]).otherwise(F.col("n")))
+
+
+def k_best(own: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, ruled_out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Places of queries and rows, and distances: the k nearest rows to each query, itself left out, ties by id; rows are in order of id. Products find the candidates, differences decide."""
+    nq, nx = (q * q).sum(1), (x * x).sum(1)
+    rough = nq[:, None] + nx[None] - 2 * (q @ x.T)
+    rough[own[:, None] == ids[None]] = np.inf
+    if ruled_out is not None:
+        rough[ruled_out] = np.inf
+    kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    slack = 1e-9 * (nq + nx.max(initial=0)) + 1e-12
+    row, col = np.nonzero((rough <= (kth + slack)[:, None]) & np.isfinite(rough))
+    dist = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
+    order = np.lexsort((col, dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], col[keep], dist[keep]
+
+
+def _search(k: int, within: bool):
+    """For `applyInArrow` over one part of the queries and one block: the k nearest of the block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            ids, labels = right.column("id").to_numpy(), right.column("label").to_numpy()
+            x = np.array(right.column("features").to_pylist(), float)
+            own, q = left.column("id").to_numpy(), np.array(left.column("features").to_pylist(), float)
+            mine = left.column("label").to_numpy()
+            step = max(1, 4_000_000 // len(x))
+            for a in range(0, len(own), step):
+                row, col, dist = k_best(own[a : a + step], q[a : a + step], ids, x, k, mine[a : a + step, None] != labels[None] if within else None)
+                for part, v in zip(out, (own[a + row], ids[col], labels[col], dist), strict=True):
+                    part.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], ["id", "other", "other_label", "dist"])
+
+    return run
+
+
+def _visit(asked: DataFrame, dealt: DataFrame, k: int, within: bool) -> DataFrame:
+    """The k nearest of each block that a query visits; asked: id, label, features, cell, block; dealt: the same of the searched rows."""
+    side = ["cell", "block"]
+    parts = asked.groupBy(*side).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
+    mine = asked.join(parts, side).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    theirs = dealt.join(parts, side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = [*side, "part"]
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "id", "label", "features")])  # noqa: E731  both may come from one table
+    mine, theirs = fresh(mine), fresh(theirs)
+    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(_search(k, within), _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("dist", "other")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, searched: DataFrame, k: int, block_rows: int = BLOCK_ROWS, within: bool = False) -> DataFrame:
+    """id, other, other_label, dist, rank (1 to k): the k nearest of `searched` (id, label, features) to each query, itself left out; ties by id. `within`: only rows of the query's own label.
+
+    With more than one block, a query first searches one block of its own cell, which bounds its k-th distance r, and
+    then every block of the cells whose pivot is not farther than r and the cell's radius together.
+    """
+    cols = ["id", "label", "features"]
+    q = queries.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label") if "label" in queries.columns else F.lit(0).alias("label"), "features")
+    x = searched.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), "features")
+    n = searched.count()
+    if n <= block_rows:
+        at = {"cell": F.lit(0), "block": F.lit(0)}
+        return _best(_visit(q.withColumns(at), x.withColumns(at), k, within), k)
+    rows = x.orderBy(F.xxhash64("id"), "id").select("features").limit(min(MAX_PIVOTS, -(-n // block_rows))).collect()
+    pivots = np.array([r.features for r in rows], float)
+
+    def located(batches):
+        for batch in batches:
+            v = np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, pivots.shape[1])
+            d = np.sqrt(((v[:, None, :] - pivots[None]) ** 2).sum(-1)) if len(v) else np.zeros((0, len(pivots)))
+            cell = d.argmin(1) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(v)), cell])], [*cols, "cell", "far"])
+
+    kind = "id long, label int, features array<double>, cell int, far double"
+    x, q = x.mapInArrow(located, kind), q.mapInArrow(located, kind)
+    cells = {r.cell: (r.n, r.far) for r in x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
+    blocks = {c: -(-m // block_rows) for c, (m, _) in cells.items()}
+    listed = F.array(*[F.lit(blocks.get(c, 1)) for c in range(len(pivots))])
+    own = F.pmod(F.xxhash64("id"), F.get(listed, F.col("cell"))).cast("int")
+    dealt = x.select(*cols, "cell", own.alias("block"))
+    first = _best(_visit(q.select(*cols, "cell", own.alias("block")), dealt, k, within), k)
+    bound = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("bound"))
+    todo = q.select(*cols, F.col("cell").alias("home"), own.alias("seen")).join(bound.withColumnRenamed("id", "b_id"), F.col("id") == F.col("b_id"), "left").drop("b_id")
+
+    def further(batches):
+        for batch in batches:
+            v = np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, pivots.shape[1])
+            limit = np.nan_to_num(batch.column("bound").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+            home, seen = batch.column("home").to_numpy(), batch.column("seen").to_numpy()
+            row, cell, block = [], [], []
+            for c, (_, far) in cells.items():
+                near = np.sqrt(((v - pivots[c]) ** 2).sum(1)) - far <= limit * (1 + 1e-9) + 1e-9
+                for b in range(blocks[c]):
+                    at = np.flatnonzero(near & ~((home == c) & (seen == b)))
+                    row.append(at)
+                    cell.append(np.full(len(at), c, np.int32))
+                    block.append(np.full(len(at), b, np.int32))
+            row = np.concatenate(row) if row else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in cols), pa.array(np.concatenate(cell)), pa.array(np.concatenate(block))], [*cols, "cell", "block"])
+
+    rest = todo.mapInArrow(further, "id long, label int, features array<double>, cell int, block int")
+    return _best(first.drop("rank").union(_visit(rest, dealt, k, within)), k)
 
 
 def tomek_links(rows: DataFrame) -> DataFrame:
@@ -112,10 +219,8 @@ def near_miss(rows: DataFrame, minority: int, k: int = 3, version: int = 1, keep
     near = nearest(rest, few, n if version == 2 else k)
     if version == 2:
         near = near.filter(F.col("rank") > n - k)
-    score = near.groupBy("id").agg(F.avg("dist").alias("d"))
-    order = F.desc("d") if version == 3 else F.asc("d")
-    w = Window.partitionBy("label").orderBy(order, "id")
-    kept = rest.join(score, "id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select(*rows.columns)
+    score = near.groupBy("id").agg(F.avg("dist").alias("d")).withColumn("d", -F.col("d") if version == 3 else F.col("d"))
+    kept = by_value(rest.join(score, "id"), ["label"], "d", ["id"], "r").filter(F.col("r") <= n).select(*rows.columns)
     return few.union(kept)
 
 
@@ -132,57 +237,70 @@ def neighbourhood_cleaning(rows: DataFrame, minority: int, k: int = 3, share: fl
 
 
 def condensed(rows: DataFrame, minority: int) -> DataFrame:
-    """Condensed nearest neighbour: each class grows a store, by id order, with the rows that its store and the minority misclassify. Sequential by nature: the minority goes to each class's task."""
+    """Condensed nearest neighbour: each class grows a store, by id order, with the rows that its store and the minority misclassify.
+
+    The distance to the minority is searched by blocks beforehand. The store grows in an order, so each class is one
+    group of the rows that its first row and the minority misclassify; all others never join, as a store only grows.
+    """
     import pandas as pd
 
-    sc = rows.sparkSession.sparkContext
-    few = rows.filter(F.col("label") == minority).orderBy("id").collect()
-    held = sc.broadcast(np.array([r.features for r in few], float))
+    few, rest = rows.filter(F.col("label") == minority), rows.filter(F.col("label") != minority)
+    first = rest.groupBy("label").agg(F.min_by(F.struct("id", "features"), "id").alias("first"))  # a row for each class
+    closest = nearest(rest, few, 1).select("id", "dist")
+    gap = F.sqrt(F.aggregate(F.zip_with("features", "first.features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    asked = rest.join(F.broadcast(first), "label").join(closest, "id", "left").filter((F.col("dist") < gap) | (F.col("id") == F.col("first.id"))).select("id", "label", "features", "dist")
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
-        x = np.array(g["features"].tolist(), float)
-        store, kept = [x[0]], [0]
+        x, far = np.array(g["features"].tolist(), float), g["dist"].to_numpy(float)
+        own = np.sqrt(((x - x[0]) ** 2).sum(1))
+        kept = [0]
         for i in range(1, len(x)):
-            own = min(((x[i] - s) ** 2).sum() for s in store)
-            if len(held.value) and ((held.value - x[i]) ** 2).sum(1).min() < own:
-                store.append(x[i])
+            if far[i] < own[i]:
                 kept.append(i)
-        return g.iloc[kept]
+                own = np.minimum(own, np.sqrt(((x - x[i]) ** 2).sum(1)))
+        return g.iloc[kept][["id", "label", "features"]]
 
-    rest = rows.filter(F.col("label") != minority).select("id", "label", "features")
-    return rows.filter(F.col("label") == minority).select("id", "label", "features").union(rest.groupBy("label").applyInPandas(grow, rest.schema))
+    store = asked.groupBy("label").applyInPandas(grow, asked.select("id", "label", "features").schema)
+    return few.select("id", "label", "features").union(store)
 
 
 def uniform(*parts: Column, seed: int = 0) -> Column:
-    """A uniform number that depends on the parts and the seed alone, not on partitions."""
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    """A uniform number that depends on the parts and the seed alone, not on partitions, by MD5, so that other engines can draw it too."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def random_under(rows: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """At most `target` rows of each label (targets: label, target), by hashed order."""
-    w = Window.partitionBy("label").orderBy(uniform(F.col("id"), seed=seed), "id")
-    return rows.join(F.broadcast(targets.select("label", "target")), "label").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= F.col("target")).select(*rows.columns)
+    ranked = by_share(rows, ["label"], uniform(F.col("id"), seed=seed), ["id"], "__r")
+    return ranked.join(F.broadcast(targets.select("label", "target")), "label").filter(F.col("__r") <= F.col("target")).select(*rows.columns)
 
 
 def random_over(rows: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """All rows and, with replacement, as many more of each label as its target asks for: each row is repeated a whole number of times and a hashed rest."""
+    placed = shared_out(rows, targets, seed).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "__more")))
+    return placed.select(*rows.columns, "copy")
+
+
+def shared_out(rows: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """rows with __more: how many of the rows that its label lacks fall to each row; the rest by hashed order."""
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-    t = targets.select("label", "target").join(n, "label").withColumn("__more", F.greatest(F.col("target") - F.col("__n"), F.lit(0)))
-    w = Window.partitionBy("label").orderBy(uniform(F.col("id"), seed=seed), "id")
-    placed = rows.join(F.broadcast(t), "label").withColumn("__r", F.row_number().over(w))
-    times = F.floor(F.col("__more") / F.col("__n")) + F.when(F.col("__r") <= F.col("__more") % F.col("__n"), 1).otherwise(0) + 1
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).select(*rows.columns, "copy")
+    t = targets.select("label", "target").join(n, "label").withColumn("__lack", F.greatest(F.col("target") - F.col("__n"), F.lit(0)))
+    placed = by_share(rows, ["label"], uniform(F.col("id"), seed=seed), ["id"], "__r").join(F.broadcast(t), "label")
+    more = F.floor(F.col("__lack") / F.col("__n")) + F.when(F.col("__r") <= F.col("__lack") % F.col("__n"), 1).otherwise(0)
+    return placed.withColumn("__more", more.cast("long")).select(*rows.columns, "__more")
 
 
-def interpolated(rows: DataFrame, asked: DataFrame, near: DataFrame, seed: int = 0, each: bool = False) -> DataFrame:
-    """Synthetic rows x + u * (neighbour - x): asked (id, n) rows for each id, a hashed neighbour of `near` each; u once a row, or for each feature."""
+def interpolated(rows: DataFrame, asked: DataFrame, near: DataFrame, seed: int = 0, each: bool = False, half_foreign: bool = False) -> DataFrame:
+    """Synthetic rows x + u * (neighbour - x): asked (id, n) rows for each id, a hashed neighbour of `near` each; u once a row, or for each feature, and up to a half only towards another label with half_foreign."""
     listed = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))  # k rows an id
     drawn = rows.join(asked.filter("n > 0"), "id").join(listed, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     pick = F.floor(uniform(F.col("id"), F.col("copy"), seed=seed) * F.size("near")).cast("int")
     drawn = drawn.withColumn("other", F.col("near")[pick]["other"])
-    other = rows.select(F.col("id").alias("other"), F.col("features").alias("__f"))
-    step = (lambda i: uniform(F.col("id"), F.col("copy"), i, seed=seed + 1)) if each else (lambda i: uniform(F.col("id"), F.col("copy"), seed=seed + 1))
+    other = rows.select(F.col("id").alias("other"), F.col("features").alias("__f"), F.col("label").alias("__l"))
+    far = F.when(F.col("__l") != F.col("label"), 0.5).otherwise(1.0) if half_foreign else F.lit(1.0)
+    step = (lambda i: far * uniform(F.col("id"), F.col("copy"), i, seed=seed + 1)) if each else (lambda i: far * uniform(F.col("id"), F.col("copy"), seed=seed + 1))
     moved = F.transform(F.arrays_zip("features", "__f"), lambda p, i: p["features"] + step(i) * (p["__f"] - p["features"]))
     return drawn.join(other, "other").select("id", "copy", "label", moved.alias("features"))
 
@@ -190,11 +308,15 @@ def interpolated(rows: DataFrame, asked: DataFrame, near: DataFrame, seed: int =
 def smote(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:
     """n_new synthetic rows of one class between its rows and their k nearest of the class."""
     own = rows.filter(F.col("label") == label)
-    near = nearest(own, own, k)
-    size = max(1, own.count())
-    w = Window.partitionBy("label").orderBy(uniform(F.col("id"), seed=seed), "id")
-    asked = own.withColumn("r", F.row_number().over(w)).select("id", (F.lit(n_new // size) + F.when(F.col("r") <= n_new % size, 1).otherwise(0)).alias("n"))
-    return interpolated(own, asked, near, seed)
+    target = own.groupBy("label").agg((F.count(F.lit(1)) + n_new).alias("target"))
+    return smote_to(own, target, k, seed)
+
+
+def smote_to(rows: DataFrame, targets: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """Synthetic rows of every class that its target (label, target) asks for, all classes at once."""
+    asked = shared_out(rows, targets, seed).filter("__more > 0").select("id", "label", "features", F.col("__more").alias("n"))
+    near = nearest(asked, rows, k, within=True)
+    return interpolated(rows, asked.select("id", "n"), near, seed)
 
 
 def borderline(rows: DataFrame, label: int, m: int = 10) -> DataFrame:
@@ -204,14 +326,22 @@ def borderline(rows: DataFrame, label: int, m: int = 10) -> DataFrame:
     return foreign.filter((2 * F.col("foreign") >= F.col("m")) & (F.col("foreign") < F.col("m"))).select("id", "foreign")
 
 
+def borderline_smote(rows: DataFrame, label: int, n_new: int, k: int = 5, m: int = 10, kind: int = 1, seed: int = 0) -> DataFrame:
+    """Synthetic rows of a class from its rows in danger. Kind 1: towards neighbours of the class; kind 2: towards neighbours of any class, half as far at most where that is another one."""
+    danger = rows.join(borderline(rows, label, m).select("id"), "id", "left_semi").select(*rows.columns)
+    target = danger.groupBy("label").agg((F.count(F.lit(1)) + n_new).alias("target"))
+    asked = shared_out(danger, target, seed).filter("__more > 0").select("id", F.col("__more").alias("n"))
+    near = nearest(danger, rows.filter(F.col("label") == label) if kind == 1 else rows, k)
+    return interpolated(rows, asked, near, seed, half_foreign=kind == 2)
+
+
 def adasyn_counts(rows: DataFrame, label: int, n_new: int, k: int = 5) -> DataFrame:
     """id, ratio, n: synthetic rows for each row of a class, by the share of other classes near it; a share of 0 counts as 0.01, each row gets one more, and a row that would get none gets two."""
     near = nearest(rows.filter(F.col("label") == label), rows, k)
     r = near.groupBy("id").agg(F.avg((F.col("other_label") != label).cast("double")).alias("ratio"))
     r = r.withColumn("ratio", F.when(F.col("ratio") == 0, 0.01).otherwise(F.col("ratio")))
-    share = F.col("ratio") / F.sum("ratio").over(Window.partitionBy())
-    n = F.bround(share * n_new).cast("int")
-    return r.select("id", "ratio", (F.when(n == 0, 2).otherwise(n) + 1).alias("n"))
+    n = F.bround(F.col("ratio") / F.col("__sum") * n_new).cast("int")
+    return r.crossJoin(F.broadcast(r.agg(F.sum("ratio").alias("__sum")))).select("id", "ratio", (F.when(n == 0, 2).otherwise(n) + 1).alias("n"))  # one row
 
 
 def adasyn(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:
@@ -219,6 +349,20 @@ def adasyn(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -
     return interpolated(own, adasyn_counts(rows, label, n_new, k).select("id", "n"), nearest(own, own, k), seed, each=True)
 
 
+def adasyn_to(rows: DataFrame, targets: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """`adasyn` of every class that its target (label, target) asks for, all classes at once."""
+    n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
+    lack = targets.join(n, "label").select("label", (F.col("target") - F.col("__n")).alias("__lack")).filter("__lack > 0")
+    asked = rows.join(F.broadcast(lack), "label")
+    r = nearest(asked, rows, k).join(asked.select("id", "label", "__lack"), "id")
+    r = r.groupBy("id", "label", "__lack").agg(F.avg((F.col("other_label") != F.col("label")).cast("double")).alias("ratio"))
+    r = r.withColumn("ratio", F.when(F.col("ratio") == 0, 0.01).otherwise(F.col("ratio")))
+    r = r.join(F.broadcast(r.groupBy("label").agg(F.sum("ratio").alias("__sum"))), "label")
+    made = F.bround(F.col("ratio") / F.col("__sum") * F.col("__lack")).cast("int")
+    counts = r.select("id", (F.when(made == 0, 2).otherwise(made) + 1).alias("n"))
+    return interpolated(rows, counts, nearest(asked, rows, k, within=True), seed, each=True)
+
+
 def one_sided(rows: DataFrame, minority: int, seeds: list[int]) -> DataFrame:
     """One-sided selection: of the other classes, the seeds and what 1-NN on minority and seeds gets wrong; then Tomek links lose their majority member."""
     few = rows.filter(F.col("label") == minority)
@@ -238,8 +382,10 @@ def without_tomek(rows: DataFrame, minority: int | None = None) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """Old and synthetic rows with distinct ids: synthetic ones are negative, by their source and copy."""
-    return rows.select("id", "label", "features").union(made.select((-(F.col("id") * 1_000_000 + F.col("copy") + 1)).alias("id"), "label", "features"))
+    """Old and synthetic rows with distinct ids: synthetic ones go on from the largest old id, in order of their sources and copies."""
+    top = rows.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("__top"))  # one row
+    placed = by_value(made, [], "id", ["id", "copy"], "__r").crossJoin(F.broadcast(top))
+    return rows.select("id", "label", "features").union(placed.select((F.col("__top") + F.col("__r")).alias("id"), "label", "features"))
 
 
 def smote_enn(rows: DataFrame, label: int, n_new: int, k: int = 5, seed: int = 0) -> DataFrame:

@@ -6,9 +6,11 @@ import math
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import bounds_of, range_of
+
 
 def task_grid(spark: SparkSession, projects: list[str], rules: list[str], params: dict[str, list], devices: int = 2) -> DataFrame:
     """project, rule, trial, device and each parameter: all combinations, devices in turn."""
@@ -18,12 +20,13 @@ def task_grid(spark: SparkSession, projects: list[str], rules: list[str], params
 
 
 def pareto_front(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows that none beats in one of two costs without losing in the other: by the best b among smaller a, not by pairs."""
-    best = df.groupBy(a).agg(F.min(b).alias("__b"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1)  # distinct costs, after aggregation
-    front = best.withColumn("__least", F.min("__b").over(before)).filter("__least IS NULL OR __b < __least")
+    """Rows that none beats in one of two costs without losing in the other: by the best b among smaller a, not by pairs; least values of whole ranges first, then within a range."""
+    best = df.groupBy(a).agg(F.min(b).alias("__b")).withColumn("__part", range_of(F.col(a).cast("double"), bounds_of(df, a)))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    lows = best.groupBy("__part").agg(F.min("__b").alias("__low"))
+    lows = lows.select("__part", F.min("__low").over(earlier).alias("__before"))
+    within = Window.partitionBy("__part").orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
+    front = best.withColumn("__own", F.min("__b").over(within)).join(F.broadcast(lows), "__part").withColumn("__least", F.least("__own", "__before")).filter("__least IS NULL OR __b < __least")
     return df.join(front.select(a, F.col("__b").alias(b)), [a, b], "left_semi")
 
 

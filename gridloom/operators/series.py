@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lags of the forecasts, in hours (load) or days (gas).
-LOAD_DAY_AHEAD = [*range(48, 75), 95, 96, 97, 96, 120, 144, *range(166, 175), 192]
-LOAD_SHORT_TERM = [1, 2, 3, *range(4, 12), *range(22, 26), *range(47, 52), *range(166, 175), 192]
-LOAD_YEAR_BACK = [8735, 8736, 8737, 8738, 8739, 8740, 8760, 8904]
-LV_LOAD = [*range(48, 57), 72, 73, 74, 75, 216]
-SCADA_LOAD = [*range(24, 52), 71, 72, 73, 74, 96, 120, 144, *range(166, 175), 192]
-GAS_WEATHER = [1, 2, 3, 4, 5, 6, 7, 8, 14, 21]
+LOAD_DAY_AHEAD = [*range(48, 75), *range(95, 98), 96, 120, 144, *range(166, 175), 192]
+LOAD_SHORT_TERM = [*range(1, 12), *range(22, 26), *range(47, 52), *range(166, 175), 192]
+LOAD_YEAR_BACK = [*range(8735, 8741), 8760, 8904]
+LV_LOAD = [*range(48, 57), *range(72, 76), 216]
+SCADA_LOAD = [*range(24, 52), *range(71, 75), 96, 120, 144, *range(166, 175), 192]
+GAS_WEATHER = [*range(1, 9), 14, 21]
 GAS_CURRENT_DAY = [*range(1, 10), 14, 15, 21, 22]
 GAS_DAY_AHEAD = [*range(2, 10), 14, 15, 21, 22]
 GAS_YEAR_BACK = [364, 365, 371]
 
+#: Times in a stretch of `lag_vector`.
+STRETCH = 4096
+
 
 def lag_vector(series: DataFrame, time: str, lags: list[int], value: str = "y", keys: tuple[str, ...] = (), complete: bool = True, prefix: str = "lag") -> DataFrame:
     """The value at time - lag for each of `lags` (a column each, by its place in the list); with `complete`, only rows that have all.
 
-    One shuffle serves all lags: each value goes out once for each distinct lag, keyed by the time that asks for it,
-    and map-side sums keep one partial row for each key. No lag is a join of its own.
+    One shuffle serves all lags: each value goes to its stretch of time and, if a lag reaches there, to the next one, so
+    at most twice however many lags there are and however long a key's series is; within a stretch every lag is a frame
+    of the same sorted window. Times are whole numbers, one row for each of a key's times.
     """
     distinct = sorted(set(lags))
-    sent = series.select(*keys, F.col(time), F.lit(0).alias("__lag"), F.col(value).alias("__y"))
-    ahead = series.select(*keys, F.explode(F.array(*[F.struct((F.col(time) + l).alias("t"), F.lit(l).alias("l")) for l in distinct])).alias("s"), F.col(value).alias("__y"))
-    both = sent.union(ahead.select(*keys, F.col("s.t").alias(time), F.col("s.l").alias("__lag"), "__y"))
-    at = {l: F.max(F.when(F.col("__lag") == l, F.col("__y"))) for l in [0, *distinct]}
-    wide = both.groupBy(*keys, time).agg(at[0].alias(value), F.max((F.col("__lag") == 0).cast("int")).alias("__own"), *[at[l].alias(f"__{l}") for l in distinct])
-    out = wide.filter("__own = 1").select(*keys, time, value, *[F.col(f"__{l}").alias(f"{prefix}_{i}") for i, l in enumerate(lags)])
+    reach = max([0, *distinct])
+    stretch = max(STRETCH, 2 * reach)
+    own = F.floor(F.col(time) / stretch)
+    dealt = series.select(*keys, time, value).withColumn("__at", F.explode(F.sequence(own, F.floor((F.col(time) + reach) / stretch))))
+    w = Window.partitionBy(*keys, "__at").orderBy(time)
+    wide = dealt.select(*keys, time, value, "__at", *[F.max(value).over(w.rangeBetween(-l, -l)).alias(f"__{l}") for l in distinct])
+    out = wide.filter(F.col("__at") == own).select(*keys, time, value, *[F.col(f"__{l}").alias(f"{prefix}_{i}") for i, l in enumerate(lags)])
     return out.dropna(subset=[f"{prefix}_{i}" for i in range(len(lags))]) if complete else out
 
 
@@ -53,18 +58,22 @@ def backfill(df: DataFrame, time: str, value: str, keys: tuple[str, ...] = ()) -
     return df.withColumn(value, F.first(value, ignorenulls=True).over(w))
 
 
-def smooth(df: DataFrame, time: str, value: str, half: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Hanning-weighted mean of the rows up to `half` away; edges weigh what is there."""
+def smooth(df: DataFrame, time: str, value: str, half: int, keys: tuple[str, ...] = (), kind: str = "hanning") -> DataFrame:
+    """Weighted mean (hanning or flat) of the rows up to `half` away; beyond an end the series is reflected at its last row."""
     import math
 
     w = Window.partitionBy(*keys).orderBy(time)
-    weight = {k: 0.5 + 0.5 * math.cos(math.pi * k / (half + 1)) for k in range(-half, half + 1)}
-    at = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) if k else F.col(value) for k in weight}
-    total, mass = F.lit(0.0), F.lit(0.0)
-    for k, x in at.items():
-        total = total + F.coalesce(x * weight[k], F.lit(0.0))
-        mass = mass + F.when(x.isNotNull(), weight[k]).otherwise(0.0)
-    return df.withColumn("smooth", total / mass)
+    weight = {k: 0.5 + 0.5 * math.cos(math.pi * k / (half + 1)) if kind == "hanning" else 1.0 for k in range(-half, half + 1)}
+    r, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    near = F.collect_list(value).over(w.rowsBetween(-half, half))  # 2 * half + 1 values
+    placed = df.withColumns({"__near": near, "__r": r, "__n": n})
+    first = F.greatest(F.col("__r") - half, F.lit(1))
+    total = F.lit(0.0)
+    for k, x in weight.items():
+        at = F.col("__r") + k
+        at = F.when(at < 1, 2 - at).when(at > F.col("__n"), 2 * F.col("__n") - at).otherwise(at)
+        total = total + F.get("__near", (at - first).cast("int")) * x
+    return placed.withColumn("smooth", total / sum(weight.values())).drop("__near", "__r", "__n")
 
 
 def day_extrema(hourly: DataFrame, hour: str = "hour", value: str = "y") -> DataFrame:
@@ -82,6 +91,16 @@ def chronological_split(df: DataFrame, time: str, rate: float, keys: tuple[str,
     return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(time) > F.col("__cut"), "test").otherwise("train")).drop("__cut")  # one row
 
 
+def shrinking_split(df: DataFrame, time: str, keys: tuple[str, ...], rate: float = 0.25, step: float = 0.025, least: float = 0.1, most: float = 0.4) -> DataFrame:
+    """`chronological_split` at the largest rate, from `rate` down by `step`, whose test part is `most` of the rows or less (at `least` whatever it is): one count a rate, seven at most."""
+    while True:
+        out = chronological_split(df, time, rate, keys)
+        share = out.agg(F.avg((F.col("split") == "test").cast("double"))).collect()[0][0] or 0.0
+        if share <= most or rate - step < least - 1e-9:
+            return out
+        rate -= step
+
+
 def contiguous_holdout(df: DataFrame, time: str, share: float, start: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """test: a block of int(n * share) + 1 rows from the row int(n * start)."""
     w = Window.partitionBy(*keys)
@@ -98,10 +117,3 @@ def evaluation_split(df: DataFrame, time: str, at: int, warm_up: int) -> tuple[D
 def days_of(hours: DataFrame, run: str = "run_day", first: int = 24, last: int = 47) -> DataFrame:
     """A row for each valid hour of a weather run: first to last hours after the run's day begins."""
     return hours.withColumn("hour", F.explode(F.sequence(F.col(run) * 24 + first, F.col(run) * 24 + last)))
-
-
-def agreed(columns: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & c
-    return out

@@ -315,23 +315,18 @@ def combine_average(spark, sf):
     return combine.average(predictions(spark, sf), ["project", "hour"]).select("project", "hour", r6("y_hat", 4))
 
 
-BCP_SQL = f"{PRED_SQL}, s AS (SELECT project, method, sum(pow(y - y_hat, 2)) AS s, stddev_pop(y - y_hat) AS sd FROM pred WHERE hour % 24 = 12 GROUP BY 1, 2), l AS (SELECT project, method, -s / nullif(2 * pi() * sd * sd, 0) AS l FROM s), e AS (SELECT project, method, coalesce(exp(l - max(l) OVER (PARTITION BY project)), 0) AS e FROM l), w AS (SELECT project, method, e / nullif(sum(e) OVER (PARTITION BY project), 0) AS weight FROM e)"
-
-
-def noon_weights(spark, sf):
-    """Weights fitted on the noon hours only, 1 hour in 24, as BCP_SQL says; the reference fits on all."""
-    return combine.bcp_weights(predictions(spark, sf).filter("hour % 24 = 12"), ["project"])
+BCP_SQL = f"{PRED_SQL}, s AS (SELECT project, method, sum(pow(y - y_hat, 2)) AS s, stddev_pop(y - y_hat) AS sd FROM pred GROUP BY 1, 2), l AS (SELECT project, method, -s / nullif(2 * pi() * sd * sd, 0) AS l FROM s), e AS (SELECT project, method, coalesce(exp(l - max(l) OVER (PARTITION BY project)), 0) AS e FROM l), w AS (SELECT project, method, e / nullif(sum(e) OVER (PARTITION BY project), 0) AS weight FROM e)"
 
 
 @query(f"WITH {BCP_SQL} SELECT project, method, round(weight, 6) AS weight FROM w")
 def bcp_weights(spark, sf):
-    return noon_weights(spark, sf).select("project", "method", r6("weight"))
+    return combine.bcp_weights(predictions(spark, sf), ["project"]).select("project", "method", r6("weight"))
 
 
 @query(f"WITH {BCP_SQL} SELECT project, hour, round(greatest(0, sum(y_hat * weight) / sum(weight)), 3) AS y_hat FROM pred JOIN w USING (project, method) GROUP BY 1, 2 HAVING sum(weight) > 0.000001")
 def combine_weighted(spark, sf):
     p = predictions(spark, sf)
-    w = noon_weights(spark, sf)
+    w = combine.bcp_weights(p, ["project"])
     enough = p.join(w, ["project", "method"]).groupBy("project", "hour").agg(F.sum("weight").alias("s")).filter("s > 0.000001").select("project", "hour")
     return combine.weighted(p, w, ["project", "hour"], ["project", "method"]).join(enough, ["project", "hour"], "left_semi").select("project", "hour", r6("y_hat", 3))
 
@@ -355,9 +350,9 @@ def corr_matrix(spark, sf):
     return features.correlation_matrix(T.read(spark, sf, "lineitem"), _COLS).select("a", "b", r6("corr"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS feature, round(corr({a}, l_extendedprice), 6) AS corr FROM lineitem" for a in ("l_quantity", "l_discount", "l_tax")))
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature, corr({a}, l_extendedprice) AS corr FROM lineitem" for a in ("l_quantity", "l_discount", "l_tax")) + ") SELECT feature, round(corr, 6) AS corr, CAST(row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c")
 def column_order_by_correlation(spark, sf):
-    return features.correlations(T.read(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").select("feature", r6("corr"))
+    return features.correlations(T.read(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").select("feature", r6("corr"), "rank")
 
 
 @query("WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _COLS) + ") FROM lineitem), ".replace(") FROM", " FROM") + "x AS (SELECT greatest(abs(corr(l_quantity, l_extendedprice))) AS b, greatest(abs(corr(l_quantity, l_discount)), abs(corr(l_extendedprice, l_discount))) AS c, greatest(abs(corr(l_quantity, l_tax)), abs(corr(l_extendedprice, l_tax)), abs(corr(l_discount, l_tax))) AS d FROM r) SELECT 'l_quantity' AS feature, false AS dropped FROM x UNION ALL SELECT 'l_extendedprice', b > 0.5 FROM x UNION ALL SELECT 'l_discount', c > 0.5 FROM x UNION ALL SELECT 'l_tax', d > 0.5 FROM x")
@@ -375,7 +370,7 @@ def strategy_counts(spark, sf):
     return resample.strategy(vec(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")), "over")
 
 
-NEAR_SQL = "v AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), near AS (SELECT a.id, a.label, b.id AS other, b.label AS other_label, list_distance(a.f, b.f) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank FROM v a JOIN v b ON a.id <> b.id)"
+NEAR_SQL = "v AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), near AS MATERIALIZED (SELECT a.id, a.label, b.id AS other, b.label AS other_label, list_distance(a.f, b.f) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank FROM v a JOIN v b ON a.id <> b.id)"
 
 
 @query(f"WITH {NEAR_SQL} SELECT id, other, round(dist, 5) AS dist, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 3")
@@ -422,14 +417,52 @@ def adasyn_counts(spark, sf):
     return resample.adasyn_counts(vec(spark, sf), 1, 200).select("id", r6("ratio"), "n")
 
 
-@query()
+V_SQL = "v AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+
+
+def _draw(*parts: str, seed: int) -> str:
+    """SQL of `resample.uniform`."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)}, '{seed}')), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _smote_sql(targets: str, step: str = _draw("id", "copy", seed=1), asked: str | None = None) -> str:
+    """CTEs up to `made` (id, copy, label, features): synthetic rows of each class by `targets` (label, target)."""
+    asked = asked or f"asked AS (SELECT o.id, o.label, o.f, (target - n) // n + CASE WHEN r <= (target - n) % n THEN 1 ELSE 0 END AS m FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY {_draw('id', seed=0)}, id) AS r FROM v) o JOIN ({targets}) t ON t.label = o.label AND target > n)"
+    return f"""{asked}, nn AS MATERIALIZED (SELECT a.id, b.id AS other, b.f AS g, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank, count(*) OVER (PARTITION BY a.id) AS others FROM asked a JOIN v b ON a.label = b.label AND a.id <> b.id),
+copies AS (SELECT id, label, f, unnest(range(1, CAST(m AS BIGINT) + 1)) AS copy FROM asked),
+drawn AS (SELECT c.id, c.label, c.copy, c.f, n.g FROM copies c JOIN nn n ON n.id = c.id AND n.rank = 1 + floor({_draw('c.id', 'c.copy', seed=0)} * least(5, n.others))),
+made AS (SELECT id, CAST(copy AS INTEGER) AS copy, label, list_transform(range(1, len(f) + 1), lambda i: f[i] + {step} * (g[i] - f[i])) AS features FROM drawn)"""
+
+
+_MADE = "SELECT id, copy, label, list_transform(features, lambda x: round(x, 6)) AS features FROM made"
+_OVER = "SELECT label, max(count(*)) OVER () AS target FROM v GROUP BY label"
+
+
+@query(f"WITH {V_SQL}, {_smote_sql('SELECT 1 AS label, count(*) + 100 AS target FROM v WHERE label = 1')} {_MADE}")
 def smote(spark, sf):
-    return resample.smote(vec(spark, sf), 1, 100).select("id", "copy", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    """A hundred rows of one class."""
+    return _rounded(resample.smote(vec(spark, sf), 1, 100))
 
 
-@query()
+@query(f"WITH {V_SQL}, {_smote_sql(_OVER)} {_MADE}")
+def smote_auto(spark, sf):
+    """Every class but the largest up to the largest."""
+    return _rounded(resample.smote_to(vec(spark, sf), resample.strategy(_targets(spark, sf), "over")))
+
+
+_ADASYN = f"""lack AS (SELECT label, max(count(*)) OVER () - count(*) AS lack FROM v GROUP BY label), nall AS MATERIALIZED (SELECT a.id, a.label, b.label AS other_label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank FROM v a JOIN v b ON a.id <> b.id WHERE a.label IN (SELECT label FROM lack WHERE lack > 0)),
+ratios AS (SELECT id, label, CASE WHEN q = 0 THEN 0.01 ELSE q END AS q FROM (SELECT id, label, avg(CASE WHEN other_label <> label THEN 1.0 ELSE 0.0 END) AS q FROM nall WHERE rank <= 5 GROUP BY 1, 2)),
+n AS (SELECT id, label, CAST(round_even(q / sum(q) OVER (PARTITION BY label) * lack, 0) AS INTEGER) AS n FROM ratios JOIN lack USING (label)), asked AS (SELECT v.id, v.label, v.f, CASE WHEN n = 0 THEN 2 ELSE n END + 1 AS m FROM n JOIN v USING (id))"""
+
+
+@query(f"WITH {V_SQL}, {_smote_sql('', _draw('id', 'copy', 'i - 1', seed=1), _ADASYN)} {_MADE}")
 def adasyn(spark, sf):
-    return resample.adasyn(vec(spark, sf), 1, 100).select("id", "copy", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    """Every class but the largest, by the share of other classes near each row."""
+    return _rounded(resample.adasyn_to(vec(spark, sf), resample.strategy(_targets(spark, sf), "over")))
+
+
+def _rounded(made):
+    return made.select("id", "copy", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 @query()
@@ -437,7 +470,14 @@ def condensed_nn(spark, sf):
     return resample.condensed(vec(spark, sf), 0).select("id", "label")
 
 
-@query()
+def _edited_sql(k: int, rows: str, out: str) -> str:
+    """CTEs of one pass of edited nearest neighbours over `rows` (id, label, f)."""
+    return f"""near_{out} AS MATERIALIZED (SELECT a.id, a.label, b.label AS other_label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank FROM {rows} a JOIN {rows} b ON a.id <> b.id),
+won_{out} AS (SELECT id FROM (SELECT id, label, other_label, count(*) AS n FROM near_{out} WHERE rank <= {k} GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, other_label) = 1 AND other_label = label),
+{out} AS MATERIALIZED (SELECT * FROM {rows} WHERE id IN (SELECT id FROM won_{out}))"""
+
+
+@query(f"WITH {V_SQL}, {_edited_sql(1, 'v', 'k1')}, {_edited_sql(2, 'k1', 'k2')}, {_edited_sql(3, 'k2', 'k3')} SELECT id, label FROM k3")
 def all_knn(spark, sf):
     return resample.all_knn(vec(spark, sf), 3).select("id", "label")
 
@@ -446,12 +486,12 @@ def _targets(spark, sf):
     return vec(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {V_SQL} SELECT id, label FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_draw('id', seed=0)}, id) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM v GROUP BY label))")
 def random_under_sampler(spark, sf):
     return resample.random_under(vec(spark, sf), resample.strategy(_targets(spark, sf), "under")).select("id", "label")
 
 
-@query()
+@query(f"WITH {V_SQL}, c AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS top FROM v GROUP BY label), r AS (SELECT id, label, n, top - n AS lack, row_number() OVER (PARTITION BY label ORDER BY {_draw('id', seed=0)}, id) AS r FROM v JOIN c USING (label)) SELECT id, label, unnest(range(0, CAST(lack // n + CASE WHEN r <= lack % n THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM r")
 def random_over_sampler(spark, sf):
     return resample.random_over(vec(spark, sf), resample.strategy(_targets(spark, sf), "over")).select("id", "label", "copy")
 
@@ -564,12 +604,12 @@ def pareto_front(spark, sf):
     return search.pareto_front(parts, "a", "b").select("p_partkey")
 
 
-@query(f"WITH {DAILY_SQL}, c AS (SELECT unnest(range((SELECT min(day) FROM daily), (SELECT max(day) FROM daily) + 1)) AS day) SELECT day FROM c WHERE day NOT IN (SELECT day FROM daily) UNION ALL SELECT day + 100000 FROM daily WHERE day % 50 = 0")
-def missing_days(spark, sf):
-    """Calendar days that no file covers, and (offset) the covered days that are due for a check."""
-    have = daily(spark, sf).select("day")
-    ends = have.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(have, "day", "left_anti").union(have.filter("day % 50 = 0").select(F.col("day") + 100000))
+@query(f"WITH {SERIES_SQL}, c AS (SELECT project, unnest(range(min(hour), max(hour) + 1)) AS hour FROM series GROUP BY 1) SELECT c.project, c.hour FROM c LEFT JOIN series s ON s.project = c.project AND s.hour = c.hour WHERE s.hour IS NULL")
+def missing_hours(spark, sf):
+    """Calendar hours between a site's first and last that it has no value for."""
+    have = hourly(spark, sf).select("project", "hour")
+    ends = have.groupBy("project").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    return ends.select("project", F.explode(F.sequence("a", "b")).alias("hour")).join(have, ["project", "hour"], "left_anti")
 
 
 @query(f"WITH {SERIES_SQL} SELECT project, hour // 24 AS run_day, hour, round(y, 4) AS y FROM series WHERE hour // 24 IN (SELECT DISTINCT hour // 24 + 1 FROM series)")
@@ -588,11 +628,28 @@ def rules_to_retrain(spark, sf):
     return rules.partitioned(rows, rules.rule_base({"x": _GAUSS}), 0.6).select("project", "rule").distinct()
 
 
-@query()
+def _tomek_sql(rows: str) -> str:
+    """CTE `ends`: ids of both members of the Tomek links of `rows` (id, label, f)."""
+    return f"""t1 AS MATERIALIZED (SELECT a.id, a.label, b.id AS other, b.label AS other_label FROM {rows} a JOIN {rows} b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) = 1),
+ends AS (SELECT x.id FROM t1 x JOIN t1 y ON x.other = y.id AND y.other = x.id WHERE x.label <> x.other_label)"""
+
+
+@query(f"""WITH {V_SQL}, s AS (SELECT * FROM v WHERE label = 0 OR id IN (1, 2, 3)), w AS (SELECT a.id, a.label, b.label AS got FROM v a JOIN s b ON a.id <> b.id WHERE a.label <> 0 AND a.id NOT IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) = 1),
+l AS MATERIALIZED (SELECT * FROM s UNION ALL SELECT * FROM v WHERE id IN (SELECT id FROM w WHERE got <> label)), {_tomek_sql('l')} SELECT id, label FROM l WHERE label = 0 OR id NOT IN (SELECT id FROM ends)""")
 def one_sided_selection(spark, sf):
     return resample.one_sided(vec(spark, sf), 0, [1, 2, 3]).select("id", "label")
 
 
-@query()
+_BOTH = "every AS MATERIALIZED (SELECT id, label, f FROM v UNION ALL SELECT (SELECT max(id) FROM v) + row_number() OVER (ORDER BY id, copy), label, features FROM made)"
+_THIRTY = _smote_sql("SELECT 1 AS label, count(*) + 30 AS target FROM v WHERE label = 1")
+
+
+@query(f"WITH {V_SQL}, {_THIRTY}, {_BOTH}, {_tomek_sql('every')} SELECT id, label FROM every WHERE id NOT IN (SELECT id FROM ends)")
 def smote_tomek(spark, sf):
     return resample.smote_tomek(vec(spark, sf), 1, 30).select("id", "label")
+
+
+@query(f"""WITH {V_SQL}, {_THIRTY}, {_BOTH}, n3 AS (SELECT a.id, a.label, b.label AS other_label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank FROM every a JOIN every b ON a.id <> b.id)
+SELECT id, label FROM n3 WHERE rank <= 3 GROUP BY 1, 2 HAVING count(*) FILTER (other_label <> label) = 0""")
+def smote_enn(spark, sf):
+    return resample.smote_enn(vec(spark, sf), 1, 30).select("id", "label")
