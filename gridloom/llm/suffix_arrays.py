@@ -1,15 +1,21 @@
 """Suffix arrays by induced sorting; of bytes in numpy, a bucket at a time instead of a suffix at a time.
 
 Suffixes are classified (L: larger than the next, S: smaller), the substrings between leftmost S suffixes are sorted by
-inducing and numbered, and the string of their numbers is ordered: at once if they differ, else recursively in the same
-way, each level being a third of the one before or so; from that order all suffixes are induced in linear time. Common
-prefixes are permuted (text order): only irreducible ones are compared, the others follow by subtraction.
+inducing and numbered, and the string of their numbers is ordered: at once if they differ, else recursively, each level
+being a third of the one before or so; from that order all suffixes are induced in linear time. The numbers of a deeper
+level have too many buckets to step through, so there both sortings are of the heads that induction would walk along
+(a suffix up to its next leftmost S place, and that place's rank); a string of long runs, whose heads have no bound, is
+ordered by doubling. Common prefixes are permuted (text order): only irreducible ones are compared, the others follow by
+subtraction.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Rounds, of a few numbers each, in which heads are compared before a string counts as one of long runs.
+HEAD = 64
+
 
 def _classes(s: np.ndarray) -> np.ndarray:
     """True where the suffix is S-type; the end of the string counts as smaller than any byte."""
@@ -76,47 +82,84 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> tuple[lis
     return ls, ss
 
 
-def _order_of_numbers(s: np.ndarray, kinds: int) -> list[int]:
-    """The suffix array of a string of numbers under `kinds`, by induced sorting of itself: its buckets are too many and too small for numpy, so it steps through them one suffix at a time."""
+def _by_heads(s: np.ndarray, is_left: np.ndarray, at: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The suffixes at these places in order of their heads: their numbers up to the next leftmost S place, with it, and then that place's rank (if ranks are known). Also which equal the one before. None if heads are longer than HEAD."""
+    n, m = len(s), len(at)
+    token = np.r_[2 * (s + 1) + is_left, 1]  # the end is a place of its own, smaller than all
+    stop = np.r_[is_left, True]
+    bits = int(max(token.max(), 0 if rank is None else rank.max())).bit_length()
+    each = max(1, 62 // bits)
+    place, first = at.astype(np.int64), True
+    stage = np.zeros(m, np.int8)  # 0: among numbers, 1: at its stop, the rank comes next, 2: read to its end
+    order, group = np.arange(m), np.zeros(m, np.int64)  # both by place in the order
+    live = np.arange(m)
+    for _ in range(HEAD):
+        who = order[live]
+        key = np.zeros(len(who), np.int64)
+        p, g = place[who], stage[who]
+        for _ in range(each):
+            now = np.where(g == 0, 2 * (s[np.minimum(p, n - 1)] + 1) if first else token[p], 0)
+            if rank is not None:
+                now = np.where(g == 1, rank[p], now)
+            key = (key << bits) | now
+            ends = (g == 0) & (stop[p] if not first else False)
+            p = np.where((g == 0) & ~ends, np.minimum(p + 1, n), p)
+            g = np.where(ends, 1, np.where(g == 1, 2, g)).astype(np.int8)
+            first = False
+        place[who], stage[who] = p, g
+        by = np.lexsort((key, group[live]))
+        who, key = who[by], key[by]
+        order[live] = who
+        edge = np.r_[True, (group[live][1:] != group[live][:-1]) | (key[1:] != key[:-1])]
+        group[live] = np.maximum.accumulate(np.where(edge, live, 0))  # a group is named by its first place
+        new = group[live]
+        alone = edge & np.r_[edge[1:], True]
+        goes_on = ~alone & (stage[who] < (1 if rank is None else 2))
+        live = live[goes_on]
+        if not len(live):
+            return at[order], np.r_[False, group[1:] == group[:-1]]
+    return None
+
+
+def _by_doubling(s: np.ndarray) -> np.ndarray:
+    """The suffix array of numbers that come in long runs, by doubling."""
+    n = len(s)
+    rank = np.unique(s, return_inverse=True)[1] + 1
+    step = 1
+    while True:
+        after = np.r_[rank[step:], np.zeros(min(step, n), rank.dtype)]
+        key = rank.astype(np.int64) * (n + 2) + after
+        order = np.argsort(key, kind="stable")
+        fresh = np.r_[True, key[order][1:] != key[order][:-1]]
+        if fresh.all():
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh)
+        step *= 2
+
+
+def _order_of_numbers(s: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of numbers: leftmost substrings are sorted and numbered, ordered recursively, and all suffixes follow from their order and their heads."""
     n = len(s)
     if n < 2:
-        return list(range(n))
-    flag = _classes(s)
+        return np.arange(n)
+    small = _classes(s)
     is_left = np.zeros(n, bool)
-    is_left[1:] = flag[1:] & ~flag[:-1]
+    is_left[1:] = small[1:] & ~small[:-1]
     left = np.flatnonzero(is_left)
-    ends = np.cumsum(np.bincount(s, minlength=kinds))
-    starts = np.r_[0, ends[:-1]]
-    c, small = s.tolist(), flag.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, ends.tolist()
-        for i in reversed(order):
-            tail[c[i]] -= 1
-            sa[tail[c[i]]] = i
-        head = starts.tolist()
-        sa[head[c[-1]]] = n - 1
-        head[c[-1]] += 1
-        for i in sa:  # grows ahead of the loop
-            if i > 0 and not small[i - 1]:
-                k = c[i - 1]
-                sa[head[k]] = i - 1
-                head[k] += 1
-        tail = ends.tolist()
-        for at in range(n - 1, -1, -1):
-            i = sa[at]
-            if i > 0 and small[i - 1]:
-                k = c[i - 1]
-                tail[k] -= 1
-                sa[tail[k]] = i - 1
-        return sa
-
-    if len(left) < 2:
-        return induce(left.tolist())
-    by_substring = np.array(induce(left.tolist()))
-    by_substring = by_substring[is_left[by_substring]]
-    names, different = _names(s, left, by_substring)
-    return induce((by_substring if different == len(left) else left[_order_of_numbers(names, different)]).tolist())
+    rank = np.zeros(n + 1, np.int64)
+    if len(left):
+        sorted_ = _by_heads(s, is_left, left, None)
+        if sorted_ is None:
+            return _by_doubling(s)
+        order, same = sorted_
+        if same.any():
+            number = np.empty(n, np.int64)
+            number[order] = np.cumsum(~same) - 1
+            order = left[_order_of_numbers(number[left])]
+        rank[order] = np.arange(1, len(order) + 1)
+    every = _by_heads(s, is_left, np.arange(n), rank)
+    return _by_doubling(s) if every is None else every[0]
 
 
 def _names(s: np.ndarray, left: np.ndarray, by_substring: np.ndarray) -> tuple[np.ndarray, int]:
@@ -156,7 +199,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     by_substring = np.concatenate(ss)
     by_substring = by_substring[is_left[by_substring]]
     names, different = _names(s, left, by_substring)
-    sorted_left = by_substring if different == len(left) else left[_order_of_numbers(names, different)]
+    sorted_left = by_substring if different == len(left) else left[_order_of_numbers(names)]
     return both(*_induce(s, small, sorted_left))
 
 

@@ -143,8 +143,8 @@ def _behind_filter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def _with_text(rows: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
     """The rows of each document in one list (no longer than its text) beside the text; other texts aren't shuffled."""
-    listed = rows.groupBy("d", "k").agg(F.collect_set(F.struct(*fields)).alias("rows"))
-    return listed.join(_behind_filter(docs, rows.select("k").distinct(), "k").dropDuplicates(["d", "k"]), ["d", "k"])
+    listed = cut(rows.groupBy("d", "k").agg(F.collect_set(F.struct(*fields)).alias("rows")), "listed")
+    return listed.join(_behind_filter(docs, listed, "k").dropDuplicates(["d", "k"]), ["d", "k"])
 
 
 def _lists(batch: pa.RecordBatch, fields: list[str]) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
