@@ -49,6 +49,8 @@ FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
 END, RARE = 0, 1
+#: Bits of a hash by which it is looked up.
+BEGIN = 20
 
 
 class Vocabulary:
@@ -71,13 +73,24 @@ class Vocabulary:
         _, self.cls = np.unique(cls, return_inverse=True)  # contiguous: tokens are by frequency
         self.mass = mass
 
+        # where the hashes of each beginning stand
+        self.first = np.searchsorted(self.hashes, np.arange(1 << BEGIN, dtype=np.uint64) << np.uint64(64 - BEGIN))
+        self.first = np.r_[self.first, len(self.hashes)].astype(np.int32)
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers and counts (-1: not among the known) of word hashes."""
-        if not len(self.hashes):
-            return np.full(len(h), RARE, np.int32), np.full(len(h), -1.0)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = self.hashes[at] == h
-        return np.where(found, self.number[at], RARE).astype(np.int32), np.where(found, self.counts[at], -1.0)
+        number, count = np.full(len(h), RARE, np.int32), np.full(len(h), -1.0)
+        begin = (h >> np.uint64(64 - BEGIN)).astype(np.int32)
+        at, end = self.first[begin], self.first[begin + 1]
+        left = np.flatnonzero(at < end)
+        at, end, h = at[left], end[left], h[left]
+        while len(left):  # a few hashes at most have one beginning
+            found = self.hashes[at] == h
+            number[left[found]], count[left[found]] = self.number[at[found]], self.counts[at[found]]
+            at = at + 1
+            on = ~found & (at < end)
+            left, at, end, h = left[on], at[on], end[on], h[on]
+        return number, count
 
 
 def packed(sizes: list[int], lanes: int) -> list[list[int]]:
@@ -91,6 +104,23 @@ def packed(sizes: list[int], lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda lane: sum(sizes[i] for i in lane))
 
 
+def by_number(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, and the sums of their rows: numbers that come often one by one, the others' second, third, ... rows together."""
+    order = np.argsort(at.astype(np.uint16) if VOCAB < 60_000 else at, kind="stable")
+    at, rows = at[order], rows[order]
+    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    n = np.diff(np.r_[edge, len(at)])
+    out = rows[edge]
+    for k in np.flatnonzero(n > 16):
+        out[k] = rows[edge[k] : edge[k] + n[k]].sum(0)
+    for r in range(1, 16):
+        few = np.flatnonzero((n > r) & (n <= 16))
+        if not len(few):
+            break
+        out[few] += rows[edge[few] + r]
+    return at[edge], out
+
+
 class Lanes:
     """Texts one after the other in lanes side by side, by window; `first` stands before each text's first token."""
 
@@ -153,30 +183,27 @@ class Model:
         return z, r, c, c + z * (h - c)
 
     @staticmethod
-    def _soft(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural logs of the shares at the numbers `at`, and the shares' numerators (in place) and their sums."""
+    def _soft(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logs of the shares at the numbers `at`, and the shares' numerators and their sums; h ends in ones, w in the biases."""
+        logits = h @ w.T
         if len(logits) and logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
-        rows = np.arange(len(at))
-        out = logits[rows, at].astype(np.float64)
+        out = logits[np.arange(len(at)), at].astype(np.float64)
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(len(w), np.float32)
         return out - np.log(total), logits, total
 
     def log_prob(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
         """Natural logs of the probabilities of tokens y after states h; with learn, also the gradients (of the states, and by table)."""
-        p = self.p
+        p, H = self.p, HIDDEN
         order = np.argsort(self.cls[y].astype(np.uint16), kind="stable")
-        h, y = h[order], y[order]  # each class in one stretch
+        h, y = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)[order], y[order]  # each class in one stretch
         cls = self.cls[y]
-        got, e, total = self._soft(h @ p["wc"].T + p["bc"], cls)
-        grads = {}
-        dh = None
+        wc, wo = np.c_[p["wc"], p["bc"]], np.c_[p["wo"], p["bo"]]
+        got, e, total = self._soft(h, wc, cls)
+        dwo = np.zeros_like(wo) if learn else None
         if learn:
-            e /= total[:, None]
-            e[np.arange(len(y)), cls] -= 1
-            grads = {"wc": e.T @ h, "bc": e.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-            dh = e @ p["wc"]
+            dwc, dh = self._back(h, wc, cls, e, total)
         bounds = np.searchsorted(cls, np.arange(len(self.edges)))
         for c in np.flatnonzero(np.diff(bounds)):
             a, b = self.edges[c], self.edges[c + 1]
@@ -184,21 +211,24 @@ class Model:
                 continue
             rows = slice(bounds[c], bounds[c + 1])
             hc, t = h[rows], y[rows] - a
-            more, e, total = self._soft(hc @ p["wo"][a:b].T + p["bo"][a:b], t)
+            more, e, total = self._soft(hc, wo[a:b], t)
             got[rows] += more
             if learn:
-                e /= total[:, None]
-                e[np.arange(len(t)), t] -= 1
-                grads["wo"][a:b] = e.T @ hc
-                grads["bo"][a:b] = e.sum(0)
-                dh[rows] += e @ p["wo"][a:b]
+                dwo[a:b], d = self._back(hc, wo[a:b], t, e, total)
+                dh[rows] += d
         out = np.empty(len(y), np.float64)
         out[order] = got
-        if learn:
-            back = np.empty_like(dh)
-            back[order] = dh
-            dh = back
-        return out, dh, grads
+        if not learn:
+            return out, None, {}
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back, {"wc": dwc[:, :H], "bc": dwc[:, H], "wo": dwo[:, :H], "bo": dwo[:, H]}
+
+    @staticmethod
+    def _back(h: np.ndarray, w: np.ndarray, at: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the weights and of the states, of numerators that aren't divided by their sums yet."""
+        e[np.arange(len(at)), at] -= total
+        return e.T @ (h / total[:, None]), (e @ np.ascontiguousarray(w[:, :-1])) / total[:, None]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probabilities of token sequences: whole texts one after the other in lanes side by side, states carried from window to window, and new at each text."""
@@ -260,10 +290,7 @@ class Model:
         flat = dg.reshape(T * B, 3 * H)
         grads["u"] = starts.reshape(T * B, H).T @ flat[:, : 2 * H]
         grads["n"] = rh.reshape(T * B, H).T @ flat[:, 2 * H :]
-        at = np.where(given < 0, len(self.cls), given).ravel()
-        order = np.argsort(at, kind="stable")
-        edge = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-        grads["x"] = at[order[edge]], np.add.reduceat(flat[order], edge)
+        grads["x"] = by_number(np.where(given < 0, len(self.cls), given).ravel(), flat)
         scale = np.float32(RATE_LANES / max(1, int(on.sum())))
         for name, g in grads.items():
             where, g = g if isinstance(g, tuple) else (slice(None), g)
@@ -376,13 +403,13 @@ def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
         start = sc.broadcast(blob)
         trained = parts.mapInArrow(lambda it, start=start: replica(it, start), "n long, w binary")
         left = replicas
-        while left > FAN_IN:
+        while True:  # at least once, as more partitions than replicas may come
             left = -(-left // FAN_IN)
             trained = trained.repartition(left).mapInArrow(mean, "n long, w binary")
-        rows = trained.collect()
-        batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows], pa.schema([("n", pa.int64()), ("w", pa.binary())]))
-        for got in mean(iter([batch])):
-            blob = got.column("w")[0].as_py()
+            if left == 1:
+                break
+        for r in trained.collect():  # one row; none from an empty corpus
+            blob = bytes(r.w)
     return blob
 
 

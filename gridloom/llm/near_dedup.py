@@ -45,8 +45,9 @@ SKETCH_LEAST = 0.54
 FINE_SAMPLES, FINE_BITS, FINE_LEAST = 4096, 16384, 0.7
 #: A pair that the finer sketches show as this near, four and a half deviations over 0.75, stands for the node and that component.
 SURE = 0.8
-#: Nodes of a bucket in a part.
+#: Nodes of a bucket in a part; pairs whose sets a task holds at once.
 PART = 512
+PAIRS = 256
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
@@ -141,7 +142,7 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernels import shingle_sets
 
-        for batch in batches:
+        for batch in (whole.slice(at, PAIRS) for whole in batches for at in range(0, whole.num_rows, PAIRS)):
             sets = []
             for side in ("text_a", "text_b"):
                 got = []
@@ -178,8 +179,8 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for first, h, bounds in shingle_sets(batch.column("text"), SHINGLE):
                 full = np.flatnonzero(np.diff(bounds) > 0)
-                for at in range(0, len(full), 128):  # the samples of a text take 32 KB
-                    part = full[at : at + 128]
+                for at in range(0, len(full), 32):  # the samples of a text take 32 KB
+                    part = full[at : at + 32]
                     lo, hi = bounds[part[0]], bounds[part[-1] + 1]
                     inside = bounds[part[0] : part[-1] + 2] - lo
                     words = odd_sketches(min_hashes(h[lo:hi], inside, FINE_SAMPLES), FINE_BITS)
