@@ -44,7 +44,7 @@ RATE_LANES = 64
 SCORE_LANES = 1024
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
-REPLICA_TOKENS = 4_000_000
+REPLICA_TOKENS = 6_000_000
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
@@ -124,11 +124,11 @@ def by_number(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Lanes:
     """Texts one after the other in lanes side by side, by window; `first` stands before each text's first token."""
 
-    def __init__(self, texts: list[np.ndarray], lanes: list[list[int]], first: int):
+    def __init__(self, texts: list[np.ndarray], lanes: list[list[int]], first: int, numbered: bool = True):
         order = [i for lane in lanes for i in lane]
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         self.tokens = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int32)
-        self.of = np.repeat(np.array(order, np.int64), sizes)
+        self.of = np.repeat(np.array(order, np.int64), sizes) if numbered else None
         self.begins = np.zeros(len(self.tokens) + 1, bool)
         self.begins[np.r_[0, np.cumsum(sizes)]] = True
         self.size = np.array([sum(len(texts[i]) for i in lane) for lane in lanes], np.int64)
@@ -144,7 +144,7 @@ class Lanes:
         fresh = self.begins[at] & on
         y = np.where(on, self.tokens[at], -1)
         given = np.where(fresh | ~on, self.first, self.tokens[at - 1])
-        return done - (before if t else 0), y, given, fresh, self.of[at]
+        return done - (before if t else 0), y, given, fresh, None if self.of is None else self.of[at]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ class Model:
     def train(self, texts: list[np.ndarray]) -> None:
         """Every token once, each text from its start; texts stand one after the other in lanes of about equal length, in an order that their content scatters."""
         texts = sorted(texts, key=lambda t: zlib.crc32(t.tobytes()))
-        side = Lanes(texts, [sorted(lane) for lane in packed([len(t) for t in texts], LANES)], len(self.cls))
+        side = Lanes(texts, [sorted(lane) for lane in packed([len(t) for t in texts], LANES)], len(self.cls), numbered=False)
         h = np.zeros((len(side.size), HIDDEN), np.float32)
         for t in range(0, side.longest, WINDOW):
             done, y, given, fresh, _ = side.window(t)
@@ -349,9 +349,10 @@ def sequences(train: DataFrame, held) -> DataFrame:
         voc = held.value
         for batch in batches:
             for first, h, bounds in _tokens(batch.column("text")):
-                ids, _ = voc.look(h)
-                out = [np.r_[ids[a:b], np.int32(END)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, len(out)), pa.array(out, pa.list_(pa.int32()))], ["k", "ids"])
+                n = len(bounds) - 1
+                ids = np.insert(voc.look(h)[0], bounds[1:], END)  # after each text's words
+                listed = pa.ListArray.from_arrays(pa.array((bounds + np.arange(n + 1)).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, n), listed], ["k", "ids"])
 
     return train.select("k", "text").mapInArrow(run, "k long, ids array<int>")
 
@@ -402,8 +403,10 @@ def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
     for _ in range(rounds):
         start = sc.broadcast(blob)
         trained = parts.mapInArrow(lambda it, start=start: replica(it, start), "n long, w binary")
-        left = replicas
-        while True:  # at least once, as more partitions than replicas may come
+        # neighbours first, however many partitions there are, then FAN_IN means at a time
+        near = trained.withColumn("g", F.floor(F.spark_partition_id() / FAN_IN)).repartition("g").select("n", "w")
+        trained, left = near.mapInArrow(mean, "n long, w binary"), -(-replicas // FAN_IN)
+        while True:
             left = -(-left // FAN_IN)
             trained = trained.repartition(left).mapInArrow(mean, "n long, w binary")
             if left == 1:
