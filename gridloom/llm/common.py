@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import string
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +16,9 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
-_written: list[str] = []
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is written: texts are long.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,25 +26,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one of our own, but only with a local master (as in tests): elsewhere executors share no local folder, so that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return OWN_CHECKPOINT_DIR
+
+
+def cut(df: DataFrame, name: str = "t", batch_rows: int | None = BATCH_ROWS) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors. The file system deletes the table when the driver ends; `release` does so before. Arrow batches have batch_rows rows at most meanwhile (None: as the session says)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that `cut` has written in this process; results that still read them must have been saved before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    rows = spark.conf.get(ARROW_ROWS)
+    if batch_rows is not None and not 0 < int(rows) <= batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for `mapInArrow` after which the worker, which lives on, gives the memory that it has freed back to the system."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # the C library may have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut` has written and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lower_az(c: Column) -> Column:

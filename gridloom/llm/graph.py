@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are stars. Minima are pre-aggregated before their shuffle and go back to the edges by a join that Spark can split.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("v <> u").distinct()
-    e = cut(e, "edges")
+    e = old = cut(e, "edges")
     seen = None
     while True:
         # large star: for each node, its larger neighbours go to the smallest of all neighbours and itself
@@ -26,7 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         e = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(joined.select("v", F.col("m").alias("u"))).filter("v <> u").distinct()
-        e = cut(e, "edges")
+        before, e = old, cut(e, "edges")
+        release(before)
+        old = e
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).collect()[0]
         if state == seen:
             return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, row_key
+from .common import BLANKS, cut, row_key, tidy
 from .url_filter import blocks_for, bloom, marked, possible
 
 MIN_CHARS = 100
@@ -187,7 +187,7 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     earlier = lines.select(F.col("d").alias("ad"), F.col("k").alias("ak"), F.col("h").alias("ah"))
     own = lines.select("d", "k", "h", "n", "w")
     kind = "d long, k long, key long"
-    holders = cut(own.mapInArrow(keyed, kind), "holders")
+    holders = cut(own.mapInArrow(tidy(keyed), kind), "holders")
     shared = holders.groupBy("key").agg(F.min(F.struct("d", "k")).alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = cut(shared, "shared")
     n_keys = blocks_for(shared.count())
@@ -207,11 +207,11 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         both = pairs.join(earlier, ["ad", "ak"]).join(own, ["d", "k"]).select("d", "k", "ah", "h", "n")
-        found = both.mapInArrow(run, "d long, k long, gone array<int>")
+        found = both.mapInArrow(tidy(run), "d long, k long, gone array<int>")
         found = found if lost is None else found.union(lost)
         lost = cut(found.select("d", "k", F.explode("gone").alias("line")).groupBy("d", "k").agg(F.collect_set("line").alias("gone")), "lost")
         asked = asked.groupBy("d", "k").agg(F.collect_set("key").alias("keys"))
-        standing = cut(asked.join(own, ["d", "k"]).join(lost, ["d", "k"], "left").select("d", "k", "h", "n", "w", "keys", "gone").mapInArrow(left, kind), "standing")
+        standing = cut(asked.join(own, ["d", "k"]).join(lost, ["d", "k"], "left").select("d", "k", "h", "n", "w", "keys", "gone").mapInArrow(tidy(left), kind), "standing")
         if standing.isEmpty() or buckets >= 1 << 40:
             break
         # only the keys that are still asked for; once each holder has its bucket, all were tried

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, tidy
 
 VOCAB = 4096
 KNOWN = 1 << 18
@@ -339,7 +339,7 @@ def counts(train: DataFrame) -> DataFrame:
             w, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
 
-    return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def sequences(train: DataFrame, held) -> DataFrame:
@@ -354,7 +354,7 @@ def sequences(train: DataFrame, held) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array((bounds + np.arange(n + 1)).astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, n), listed], ["k", "ids"])
 
-    return train.select("k", "text").mapInArrow(run, "k long, ids array<int>")
+    return train.select("k", "text").mapInArrow(tidy(run), "k long, ids array<int>")
 
 
 def most_frequent(counted: DataFrame, most: int = KNOWN) -> DataFrame:
@@ -402,13 +402,13 @@ def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
 
     for _ in range(rounds):
         start = sc.broadcast(blob)
-        trained = parts.mapInArrow(lambda it, start=start: replica(it, start), "n long, w binary")
+        trained = parts.mapInArrow(tidy(lambda it, start=start: replica(it, start)), "n long, w binary")
         # neighbours first, however many partitions there are, then FAN_IN means at a time
         near = trained.withColumn("g", F.floor(F.spark_partition_id() / FAN_IN)).repartition("g").select("n", "w")
-        trained, left = near.mapInArrow(mean, "n long, w binary"), -(-replicas // FAN_IN)
+        trained, left = near.mapInArrow(tidy(mean), "n long, w binary"), -(-replicas // FAN_IN)
         while True:
             left = -(-left // FAN_IN)
-            trained = trained.repartition(left).mapInArrow(mean, "n long, w binary")
+            trained = trained.repartition(left).mapInArrow(tidy(mean), "n long, w binary")
             if left == 1:
                 break
         for r in trained.collect():  # one row; none from an empty corpus
@@ -421,14 +421,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     train = rows.filter(~F.col("held_out"))
-    counted = cut(counts(train), "counts")
+    counted = cut(counts(train), "counts", None)
     words, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     texts = train.count()
     top = most_frequent(counted).toArrow()
     n, v = words + texts, kinds + (texts > 0)
     voc = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, texts)
     held = sc.broadcast(voc)
-    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences"), held))
+    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences", None), held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
@@ -453,7 +453,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             cols = [batch.column("doc_id"), batch.column("k"), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), pa.array(rare, pa.int64()), pa.array(model.score(seqs), pa.float64()), pa.array(tw, pa.list_(pa.int64())), pa.array(tn, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "held_out", "size", "known", "base", "rest", "rare", "net", "tw", "tn"])
 
-    seen = cut(rows.mapInArrow(run, "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, net double, tw array<long>, tn array<int>"), "scored")
+    seen = cut(rows.mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, net double, tw array<long>, tn array<int>"), "scored", None)
     tail = seen.select("doc_id", "k", F.explode(F.arrays_zip("tw", "tn")).alias("t")).select("doc_id", "k", F.col("t.tw").alias("w"), F.col("t.tn").cast("long").alias("m"))
     tail = tail.join(counted, "w", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + ADD)

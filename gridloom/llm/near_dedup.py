@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import cut, row_key
+from .common import cut, row_key, tidy
 from .url_filter import blocks_for, bloom, marked, possible
 
 SHINGLE = 5
@@ -133,7 +133,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("k"), pa.array(nodes[at : at + len(size)], pa.binary()), pa.array(size.astype(np.int64)), *listed], ["d", "k", "node", "n_shingles", "bands", "sketch"])
                 at += len(size)
 
-    return docs.select("d", "k", "text").mapInArrow(run, "d long, k long, node binary, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.select("d", "k", "text").mapInArrow(tidy(run), "d long, k long, node binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
                 good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
                     fine = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), FINE_BITS // 64).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(first + part)), fine], ["node", "fine"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, fine array<long>")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node binary, fine array<long>")
 
 
 def near_in_buckets(rows: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def near_in_buckets(rows: DataFrame) -> DataFrame:
                 held.append(batch.slice(start))
         yield from flush()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(tidy(run), "a binary, b binary")
 
 
 class Groups:

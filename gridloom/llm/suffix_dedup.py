@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, tidy
 from .url_filter import blocks_for, bloom, marked, possible
 
 WIDTH = 200
@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 cols = [d[first + text], k[first + text], (lo - base).astype(np.int32), (hi - base).astype(np.int32), (a - base).astype(np.int32), g.view(np.int64), c.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "k", "lo", "hi", "anchor", "g", "c"])
 
-    return docs.mapInArrow(run, OCCURRENCES)
+    return docs.mapInArrow(tidy(run), OCCURRENCES)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 g, n = np.unique(contexts(data, off)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], ["g", "n"])
 
-    return docs.select("text").mapInArrow(run, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
+    return docs.select("text").mapInArrow(tidy(run), "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
 
 
 def _behind_filter(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -179,7 +179,7 @@ def split(occ: DataFrame, docs: DataFrame, starts: int) -> DataFrame:
                 cols = [np.full(len(lo), d[i]), np.full(len(lo), k[i]), lo.astype(np.int32), hi.astype(np.int32), a.astype(np.int32), g.view(np.int64), h(lo, hi + WIDTH).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "k", "lo", "hi", "anchor", "g", "c"])
 
-    return _with_text(occ, docs, fields).select("d", "k", "rows", "text").mapInArrow(run, OCCURRENCES)
+    return _with_text(occ, docs, fields).select("d", "k", "rows", "text").mapInArrow(tidy(run), OCCURRENCES)
 
 
 def segments(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def segments(reps: DataFrame, docs: DataFrame) -> DataFrame:
         if held:
             yield packed(held)
 
-    return _with_text(reps, docs, fields).select("d", "k", "rows", "text").mapInArrow(run, "g long, c long, n long, seg binary")
+    return _with_text(reps, docs, fields).select("d", "k", "rows", "text").mapInArrow(tidy(run), "g long, c long, n long, seg binary")
 
 
 def repeats(segs: list[bytes], copies: list[int], width: int = WIDTH) -> list[np.ndarray]:
@@ -250,7 +250,7 @@ def marks(segs: DataFrame, width: int = WIDTH) -> DataFrame:
         if rows:
             yield shard(rows)
 
-    return segs.repartition("g").sortWithinPartitions("g").select("g", "c", "n", "seg").mapInArrow(run, "g long, c long, a int, b int")
+    return segs.repartition("g").sortWithinPartitions("g").select("g", "c", "n", "seg").mapInArrow(tidy(run), "g long, c long, a int, b int")
 
 
 def _level(occ: DataFrame, docs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -323,4 +323,4 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept
     seen = marked(ids, bloom(gone, "k", n), "k", n)
     whole = seen.filter("NOT __gl_may").select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
     both = whole.union(seen.filter("__gl_may").join(gone, ["d", "k"], "left").select("doc_id", "text", "gone"))
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return both.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
