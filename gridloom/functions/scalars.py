@@ -67,10 +67,6 @@ def temperature_interactions(month: Column, special: Column, temp: Column) -> tu
     return F.pow(month * temp / 12, F.lit(3)), F.pow(special * temp / 100, F.lit(3))
 
 
-def round_to_hour(ts: Column) -> Column:
-    return F.date_trunc("HOUR", ts + F.expr("INTERVAL 30 MINUTES"))
-
-
 def pinball(y: Column, estimate: Column, q: float) -> Column:
     e = y - estimate
     return F.greatest(q * e, (q - 1) * e)
@@ -80,3 +76,77 @@ def rbf(x: Column, centre: list[float], width: float) -> Column:
     """exp(-||(x - c) * r||^2) of an array column."""
     c = F.array(*[F.lit(float(v)) for v in centre])
     return F.exp(-F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) * (width * width))
+
+
+def rbf_map(x: Column, centre: list[float], widths: list[float]) -> Column:
+    """exp(-((x_d - c_d) * r_d)^2) of each dimension: an array as long as x."""
+    parts = F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(float(r)).alias("r")) for c, r in zip(centre, widths, strict=True)])
+    return F.zip_with(x, parts, lambda a, p: F.exp(-F.pow((a - p["c"]) * p["r"], F.lit(2))))
+
+
+def pseudo_huber(y: Column, estimate: Column, delta: float = 1.0) -> Column:
+    """Quadratic near zero, linear far away."""
+    e = (y - estimate) / delta
+    return delta * delta * (F.sqrt(1 + e * e) - 1)
+
+
+def quantile_loss(y: Column, estimate: Column, q: float, delta: float = 1.0) -> Column:
+    """The pinball loss of the signed error, smoothed around zero: the pseudo-Huber size, weighed by q above and 1 - q below."""
+    return F.when(y >= estimate, q).otherwise(1 - q) * pseudo_huber(y, estimate, delta)
+
+
+def clamped(x: Column, kind: str = "") -> Column:
+    """Not below zero; radial-basis forecasts, which are shares, not above one either."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) if "RBF" in kind.upper() else F.greatest(F.lit(0.0), x)
+
+
+def noisy(x: Column, *key: Column, share: float = 0.05, seed: int = 0) -> Column:
+    """x with relative normal noise, drawn from the key alone."""
+    from ..operators.resample import uniform
+
+    u, v = uniform(*key, seed=seed), uniform(*key, seed=seed + 1)
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * 3.141592653589793 * v)
+    return x + share * normal * x
+
+
+def encoded(x: Column, kind: str, **more) -> Column:
+    """identity, string, log (base), unit (low, high to 0 and 1) or category (its number in a list; null for others)."""
+    if kind == "identity":
+        return x
+    if kind == "string":
+        return x.cast("string")
+    if kind == "log":
+        return F.log(x) / F.log(F.lit(float(more.get("base", 10))))
+    if kind == "unit":
+        return (x - more["low"]) / (more["high"] - more["low"])
+    if kind == "category":
+        at = F.array_position(F.array(*[F.lit(v) for v in more["values"]]), x)
+        return F.when(at > 0, at - 1)
+    raise ValueError(f"no such encoding: {kind}")
+
+
+def decoded(x: Column, kind: str, **more) -> Column:
+    """The inverse of `encoded`; string gives a string back."""
+    if kind in ("identity", "string"):
+        return x
+    if kind == "log":
+        return F.pow(F.lit(float(more.get("base", 10))), x)
+    if kind == "unit":
+        return x * (more["high"] - more["low"]) + more["low"]
+    if kind == "category":
+        return F.get(F.array(*[F.lit(v) for v in more["values"]]), x.cast("int"))
+    raise ValueError(f"no such encoding: {kind}")
+
+
+def closest_name(name: Column, names: list[str]) -> Column:
+    """The name of the fewest edits away, whatever the case (ties: the first in order)."""
+    each = [F.struct(F.levenshtein(F.lower(name), F.lit(n.lower())).alias("d"), F.lit(n).alias("n")) for n in sorted(names)]
+    return F.array_min(F.array(*each))["n"]
+
+
+def as_json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))
+
+
+def from_json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema)

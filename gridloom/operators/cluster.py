@@ -19,6 +19,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def correlation_distance(a: Column, b: Column) -> Column:
+    """1 - the correlation of two arrays."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    centred = lambda x: F.transform(x, lambda v: v - mean(x))
+    return cosine_distance(centred(a), centred(b))
+
+
+def image_distance(a: Column, b: Column, rows: int, cols: int, width: float = 1.0) -> Column:
+    """Squared distance of two images (row by row) in which near pixels count for one another: the sum of v_i * g_ij * v_j, g by the pixels' distance."""
+    import math
+
+    places = [(i, j) for i in range(rows) for j in range(cols)]
+    g = F.array(*[F.array(*[F.lit(math.exp(-((p - r) ** 2 + (q - c) ** 2) / (2 * width))) for r, c in places]) for p, q in places])
+    v = F.zip_with(a, b, lambda x, y: x - y)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    return dot(F.transform(g, lambda row: dot(row, v)), v)
+
+
 def memberships(rows: DataFrame, centres: DataFrame, m: float = 2.0) -> DataFrame:
     """id, features, c, d2, u: fuzzy memberships (they sum to one for each row). Centres are few: an array in each row, no cross join of rows."""
     listed = centres.agg(F.sort_array(F.collect_list(F.struct("c", "centre"))).alias("cs"))

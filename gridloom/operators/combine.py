@@ -21,6 +21,26 @@ def bcp_weights(pred: DataFrame, keys: list[str], method: str = "method") -> Dat
     return stats.select(*keys, method, F.try_divide(F.col("raw"), F.sum("raw").over(w)).alias("weight"))
 
 
+def bcp_masked(pred: DataFrame, keys: list[str], method: str = "method") -> DataFrame:
+    """Bayesian weights of methods with gaps: a method's mean exponent over the rows that it has stands for those that it hasn't, so gaps neither help nor harm it."""
+    e = F.col("y") - F.col("y_hat")
+    there = pred.filter(e.isNotNull())
+    stats = there.groupBy(*keys, method).agg(F.avg(e * e).alias("s"), F.stddev_pop(e).alias("sd"))
+    n = there.groupBy(*keys, method).count().groupBy(*keys).agg(F.max("count").alias("n"))
+    stats = stats.join(n, keys).withColumn("log_w", -F.try_divide(F.col("s") * F.col("n"), 2 * F.pi() * F.col("sd") * F.col("sd")))
+    w = Window.partitionBy(*keys)
+    stats = stats.withColumn("raw", F.coalesce(F.exp(F.col("log_w") - F.max("log_w").over(w)), F.lit(0.0)))
+    return stats.select(*keys, method, F.try_divide(F.col("raw"), F.sum("raw").over(w)).alias("weight"))
+
+
+def project_forecasts(pred: DataFrame, weights: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """average and bcp forecasts side by side: the mean of what there is, and the weighted mean with weights scaled over what there is; neither below zero."""
+    j = pred.join(weights, on, "left")
+    there = F.col("y_hat").isNotNull()
+    mass = F.sum(F.when(there, F.coalesce("weight", F.lit(0.0))))
+    return j.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.avg("y_hat")).alias("average"), F.greatest(F.lit(0.0), F.try_divide(F.sum(F.col("y_hat") * F.coalesce("weight", F.lit(0.0))), mass)).alias("bcp"))
+
+
 def weighted(pred: DataFrame, weights: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """Weighted mean over the forecasts that there are, the weights scaled to sum to one; not below zero."""
     j = pred.join(weights, on)

@@ -39,10 +39,6 @@ def in_area(cells: DataFrame, lat: tuple[float, float], lon: tuple[float, float]
     return cells.filter(F.col("lat").between(*lat) & F.col("lon").between(*lon))
 
 
-def area_mean(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return cells.groupBy(*keys).agg(F.avg(value).alias("mean"))
-
-
 def area_percentiles(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, and the 10th and 90th percentile, over an area."""
     p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))

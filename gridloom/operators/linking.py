@@ -36,3 +36,30 @@ def transfer_groups(links: DataFrame, threshold: float) -> list[set[str]]:
         elif len(home) == 1:
             home[0].update((r.p1, r.p2))
     return groups
+
+
+def grouped(corr: dict[tuple[str, str], float], threshold: float) -> list[set[str]]:
+    """Groups of sites by correlations of pairs (few, on the driver): pairs above the threshold, the strongest first, start a group or join one of theirs; then `settled`."""
+    groups: list[set[str]] = []
+    for (a, b), c in sorted(corr.items(), key=lambda x: (-x[1], x[0])):
+        if c <= threshold:
+            break
+        home = [g for g in groups if a in g or b in g]
+        if home:
+            for g in home:
+                g.update((a, b))
+        else:
+            groups.append({a, b})
+    return settled(groups, corr)
+
+
+def settled(groups: list[set[str]], corr: dict[tuple[str, str], float]) -> list[set[str]]:
+    """Groups without subsets of others, each site in one only: the one to whose members its correlations sum highest (ties: the first); groups that are left with one site go."""
+    kept = [g for n, g in enumerate(groups) if not any(g < h or (g == h and m < n) for m, h in enumerate(groups))]
+    of = lambda a, b: corr.get((a, b), corr.get((b, a), 0.0))
+    out = [set() for _ in kept]
+    for site in sorted(set().union(*kept)):
+        home = [n for n, g in enumerate(kept) if site in g]
+        best = max(home, key=lambda n: (sum(of(site, other) for other in kept[n] if other != site), -n))
+        out[best].add(site)
+    return [g for g in out if len(g) > 1]

@@ -13,6 +13,11 @@ def errors(pred: DataFrame, keys: list[str], y_hat: str = "y_hat", y: str = "y",
     return pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("sse"), F.sqrt(F.avg(e * e)).alias("rms"), F.avg(e).alias("mae"), (F.sum(d * d) / F.count(F.lit(1))).alias("mse"))
 
 
+def scaled_errors(pred: DataFrame, keys: list[str], rated: bool, y_hat: str = "y_hat", y: str = "y") -> DataFrame:
+    """`errors` of values that are already scaled by the rated power (rated: nothing is divided again) or not (they are relative to y)."""
+    return errors(pred.withColumn("__one", F.lit(1.0)), keys, y_hat, y, "__one" if rated else None)
+
+
 def best_trials(trials: DataFrame, keys: list[str], score: str, tie: list[str]) -> DataFrame:
     """The row of the smallest score of each key; ties by `tie`. One pass of min_by, no sort."""
     rest = [c for c in trials.columns if c not in keys]

@@ -14,31 +14,6 @@ def forest(train: DataFrame, features: list[str], y: str, trees: int = 20, depth
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed)]).fit(train)
 
 
-def elastic_net(train: DataFrame, features: list[str], y: str, reg: float = 0.0, mix: float = 0.0):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), LinearRegression(labelCol=y, regParam=reg, elasticNetParam=mix)]).fit(train)
-
-
-def forward_selection(train: DataFrame, test: DataFrame, features: list[str], y: str) -> list[str]:
-    """Features in the given order, each kept if it lowers the test error; rejected ones are tried again until none helps."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-
-    judge = RegressionEvaluator(labelCol=y, metricName="mae")
-    chosen, best = [], float("inf")
-    todo, moved = list(features), True
-    while moved:
-        moved = False
-        for f in list(todo):
-            mae = judge.evaluate(elastic_net(train, [*chosen, f], y).transform(test))
-            if mae < best - 1e-9:
-                chosen, best, moved = [*chosen, f], mae, True
-                todo.remove(f)
-    return chosen
-
-
 def rbf_ols(df: DataFrame, key: str, features: list[str], y: str, width: float = 1.0, centres: int = 48, rows: int = 3000) -> DataFrame:
     """Orthogonal least squares choice of radial-basis centres, by key: key, step, centre (features), weight. At most `rows` training rows a key, by hashed order (the operator's own limit), so a group is bounded."""
     import pandas as pd
@@ -76,3 +51,113 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> Da
     p = F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("p")
     out = df.groupBy(*keys).agg(p)
     return out.select(*keys, F.posexplode("p").alias("n", "value")).withColumn("q", F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("n") + 1)).select(*keys, "q", "value")
+
+
+def width_sweep(df: DataFrame, key: str, features: list[str], y: str, widths: list[float], centres: int = 48, rows: int = 3000) -> DataFrame:
+    """key, width, sse, mae of a radial-basis fit of every width on the rows' later quarter, and best (the smallest of both together): each (key, width) is one task over the same bounded rows."""
+    import pandas as pd
+
+    from .ranks import by_share
+    from .resample import uniform
+
+    kept = df.select(key, *features, y).dropna()
+    kept = by_share(kept, [key], uniform(*[F.col(c) for c in (*features, y)]), [*features, y], "__r").filter(F.col("__r") <= rows)
+    wide = kept.withColumn("__w", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        g = g.sort_values("__r")
+        cut, width = max(1, len(g) * 3 // 4), float(g["__w"].iloc[0])
+        x, t = g[features].to_numpy(float), g[y].to_numpy(float)
+        phi = np.exp(-((x[:, None] - x[None, :cut]) ** 2).sum(-1) * width**2)
+        chosen, rest = _centres(phi[:cut], t[:cut], centres)
+        w = np.linalg.lstsq(phi[:cut][:, chosen], t[:cut], rcond=None)[0] if chosen else np.zeros(0)
+        e = t[cut:] - phi[cut:][:, chosen] @ w
+        return pd.DataFrame({key: [g[key].iloc[0]], "width": [width], "centres": [len(chosen)], "sse": [float((e * e).sum())], "mae": [float(np.abs(e).mean()) if len(e) else 0.0]})
+
+    out = wide.groupBy(key, "__w").applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, width double, centres int, sse double, mae double")
+    best = out.groupBy(F.col(key).alias("__k")).agg(F.min_by("width", F.struct(F.col("sse") * F.col("mae"), F.col("width"))).alias("__best"))
+    return out.join(best, F.col(key) == F.col("__k")).select(*out.columns, (F.col("width") == F.col("__best")).alias("best"))
+
+
+def _centres(phi, t, most: int):
+    """Columns of phi by orthogonal least squares, the one of the largest gain first."""
+    import numpy as np
+
+    chosen, rest = [], phi.copy()
+    for _ in range(min(most, phi.shape[1])):
+        power = (rest**2).sum(0)
+        gain = np.where(power > 1e-9, (rest.T @ t) ** 2 / np.maximum(power, 1e-9), -1)
+        gain[chosen] = -1
+        k = int(gain.argmax())
+        if gain[k] <= 1e-12 * (t @ t + 1e-12):
+            break
+        q = rest[:, k] / np.sqrt(power[k])
+        rest = rest - np.outer(q, q @ rest)
+        chosen.append(k)
+    return chosen, rest
+
+
+def quantile_fits(df: DataFrame, key: str, features: list[str], y: str, qs: list[float], rounds: int = 500, rows: int = 3000) -> DataFrame:
+    """key, q, intercept, weights: linear quantile models by the pinball loss of the signed error, a group of `rows` rows at most (hashed) for each key."""
+    import pandas as pd
+
+    from .ranks import by_share
+    from .resample import uniform
+
+    kept = df.select(key, *features, y).dropna()
+    kept = by_share(kept, [key], uniform(*[F.col(c) for c in (*features, y)]), [*features, y], "__r").filter(F.col("__r") <= rows).drop("__r")
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x, t = g[features].to_numpy(float), g[y].to_numpy(float)
+        mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        a = np.c_[np.ones(len(x)), (x - mean) / sd]
+        out = []
+        for q in qs:
+            w = np.zeros(a.shape[1])
+            for _ in range(rounds):  # reweighted least squares
+                e = t - a @ w
+                weight = np.where(e > 0, q, 1 - q) / np.maximum(np.abs(e), 1e-6 * (np.abs(t).mean() + 1e-9))
+                new = np.linalg.solve(a.T @ (a * weight[:, None]) + 1e-12 * np.eye(len(w)), a.T @ (weight * t))
+                done = np.abs(new - w).max() < 1e-9 * (np.abs(w).max() + 1)
+                w = new
+                if done:
+                    break
+            out.append((g[key].iloc[0], q, float(w[0] - (w[1:] * mean / sd).sum()), (w[1:] / sd).tolist()))
+        return pd.DataFrame(out, columns=[key, "q", "intercept", "weights"])
+
+    return kept.groupBy(key).applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, q double, intercept double, weights array<double>")
+
+
+def kernel_components(df: DataFrame, key: str, features: list[str], gamma: float, n: int = 2, rows: int = 2000) -> DataFrame:
+    """key, id and n kernel principal components of each key's rows (df: key, id, features), by numpy for each key: at most `rows` rows by id order, more are an error, as the method has no partial form."""
+    import pandas as pd
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if len(g) > rows:
+            raise ValueError(f"{len(g)} rows of {g[key].iloc[0]}, more than {rows}")
+        g = g.sort_values("id")
+        x = g[features].to_numpy(float)
+        k = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(-1))
+        one = np.full_like(k, 1 / len(k))
+        k = k - one @ k - k @ one + one @ k @ one
+        value, vector = np.linalg.eigh(k)
+        top = vector[:, ::-1][:, :n] * np.sqrt(np.maximum(value[::-1][:n], 0))
+        top = top * np.where(top[np.abs(top).argmax(0), np.arange(top.shape[1])] < 0, -1, 1)  # signs don't depend on the solver
+        return pd.DataFrame({key: g[key].to_numpy(), "id": g["id"].to_numpy(), "components": top.tolist()})
+
+    kinds = dict(df.dtypes)
+    return df.groupBy(key).applyInPandas(fit, f"{key} {kinds[key]}, id {kinds['id']}, components array<double>")
+
+
+def transferred(params: DataFrame, donors: DataFrame) -> DataFrame:
+    """Parameters of every project (params: project, method, params): its own, or those of its donor (donors: project, donor) where it has none."""
+    own = params.select("project", "method", "params")
+    from_donor = donors.join(own.withColumnRenamed("project", "donor"), "donor").select("project", "method", F.col("params").alias("__donated"))
+    out = own.join(from_donor, ["project", "method"], "full")
+    return out.select("project", "method", F.coalesce("params", "__donated").alias("params"), F.col("params").isNull().alias("transferred"))

@@ -292,14 +292,14 @@ def shared_out(rows: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     return placed.withColumn("__more", more.cast("long")).select(*rows.columns, "__more")
 
 
-def interpolated(rows: DataFrame, asked: DataFrame, near: DataFrame, seed: int = 0, each: bool = False, half_foreign: bool = False) -> DataFrame:
-    """Synthetic rows x + u * (neighbour - x): asked (id, n) rows for each id, a hashed neighbour of `near` each; u once a row, or for each feature, and up to a half only towards another label with half_foreign."""
+def interpolated(rows: DataFrame, asked: DataFrame, near: DataFrame, seed: int = 0, each: bool = False, half_foreign: bool = False, scale: float = 1.0) -> DataFrame:
+    """Synthetic rows x + u * (neighbour - x): asked (id, n) rows for each id, a hashed neighbour of `near` each; u once a row, or for each feature, and up to a half only towards another label with half_foreign; steps are `scale` times as long (below zero: away)."""
     listed = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))  # k rows an id
     drawn = rows.join(asked.filter("n > 0"), "id").join(listed, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     pick = F.floor(uniform(F.col("id"), F.col("copy"), seed=seed) * F.size("near")).cast("int")
     drawn = drawn.withColumn("other", F.col("near")[pick]["other"])
     other = rows.select(F.col("id").alias("other"), F.col("features").alias("__f"), F.col("label").alias("__l"))
-    far = F.when(F.col("__l") != F.col("label"), 0.5).otherwise(1.0) if half_foreign else F.lit(1.0)
+    far = F.when(F.col("__l") != F.col("label"), 0.5).otherwise(scale) if half_foreign else F.lit(float(scale))
     step = (lambda i: far * uniform(F.col("id"), F.col("copy"), i, seed=seed + 1)) if each else (lambda i: far * uniform(F.col("id"), F.col("copy"), seed=seed + 1))
     moved = F.transform(F.arrays_zip("features", "__f"), lambda p, i: p["features"] + step(i) * (p["__f"] - p["features"]))
     return drawn.join(other, "other").select("id", "copy", "label", moved.alias("features"))

@@ -62,6 +62,14 @@ def rescued(df: DataFrame, rules: dict[str, list[Membership]], threshold: float
     return acts.withColumn("a", F.explode(F.when(F.size(active) > 0, active).otherwise(lone))).select(*df.columns, F.col("a.rule").alias("rule"), F.col("a.act").alias("act"))
 
 
+def rescue_count(df: DataFrame, rules: dict[str, list[Membership]], most: int = 50, threshold: float = ACTIVE) -> int:
+    """How many rows have no active rule; more than `most` are an error, as the rule base doesn't fit the data then."""
+    lone = with_activations(df, rules).filter(~F.exists("activations", lambda a: a["act"] >= threshold)).count()
+    if lone > most:
+        raise ValueError(f"{lone} rows have no active rule")
+    return lone
+
+
 def regressions(train: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """slope and intercept of y on x for each key; the sums are pre-aggregated."""
     return train.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n_train"))

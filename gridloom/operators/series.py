@@ -109,11 +109,6 @@ def contiguous_holdout(df: DataFrame, time: str, share: float, start: float, key
     return df.withColumn("test", (r >= first) & (r <= first + F.floor(n * share)))
 
 
-def evaluation_split(df: DataFrame, time: str, at: int, warm_up: int) -> tuple[DataFrame, DataFrame]:
-    """Rows to `at`, and rows after `at - warm_up`: the overlap feeds the lags of the evaluation."""
-    return df.filter(F.col(time) <= at), df.filter(F.col(time) > at - warm_up)
-
-
 def days_of(hours: DataFrame, run: str = "run_day", first: int = 24, last: int = 47) -> DataFrame:
     """A row for each valid hour of a weather run: first to last hours after the run's day begins."""
     return hours.withColumn("hour", F.explode(F.sequence(F.col(run) * 24 + first, F.col(run) * 24 + last)))

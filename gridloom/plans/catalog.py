@@ -653,3 +653,6 @@ def smote_tomek(spark, sf):
 SELECT id, label FROM n3 WHERE rank <= 3 GROUP BY 1, 2 HAVING count(*) FILTER (other_label <> label) = 0""")
 def smote_enn(spark, sf):
     return resample.smote_enn(vec(spark, sf), 1, 30).select("id", "label")
+
+
+from . import extended  # noqa: E402, F401  adds its queries
