@@ -36,13 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return OWN_CHECKPOINT_DIR
 
 
-def cut(df: DataFrame, name: str = "t", batch_rows: int | None = BATCH_ROWS) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors. The file system deletes the table when the driver ends; `release` does so before. Arrow batches have batch_rows rows at most meanwhile (None: as the session says)."""
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most: for operators whose result ships whole texts to Python when it is read."""
+    spark.conf.set(ARROW_ROWS, _fewer(spark))
+
+
+def _fewer(spark: SparkSession) -> str:
+    rows = int(spark.conf.get(ARROW_ROWS))
+    return str(rows if 0 < rows <= BATCH_ROWS else BATCH_ROWS)
+
+
+def settle(spark: SparkSession) -> None:
+    """Ask the executors' JVMs for a collection, one small task a core: heap that a stage has grown and no longer needs goes back to the system before the next stage's Python workers need it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("count(java_method('java.lang.System', 'gc'))").collect()
+
+
+def cut(df: DataFrame, name: str = "t", batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors. The file system deletes the table when the driver ends; `release` does so before. Arrow batches have batch_rows rows at most meanwhile (None: BATCH_ROWS, or fewer if the session says so)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
     rows = spark.conf.get(ARROW_ROWS)
-    if batch_rows is not None and not 0 < int(rows) <= batch_rows:
-        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    spark.conf.set(ARROW_ROWS, _fewer(spark) if batch_rows is None else str(batch_rows))
     try:
         df.write.parquet(path)
     finally:

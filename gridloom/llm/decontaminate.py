@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 SHINGLE = 5
 PERCENT = 75
@@ -126,6 +126,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """A row for each document and item that it contains."""
+    small_batches(docs.sparkSession)
     out = None
     for held in item_blocks(items, block_items=block_items):
 
@@ -143,6 +144,7 @@ def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) ->
 
 def clean(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for held in item_blocks(items, block_items=block_items):
 

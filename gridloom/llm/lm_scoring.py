@@ -42,6 +42,8 @@ LANES = 256
 #: Lanes whose mean gradient a step has the size of, whatever LANES is.
 RATE_LANES = 64
 SCORE_LANES = 1024
+#: Rows of an Arrow batch: many texts side by side make full lanes.
+WIDE = 10_000
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
 REPLICA_TOKENS = 6_000_000
@@ -421,14 +423,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     train = rows.filter(~F.col("held_out"))
-    counted = cut(counts(train), "counts", None)
+    counted = cut(counts(train), "counts", WIDE)
     words, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     texts = train.count()
     top = most_frequent(counted).toArrow()
     n, v = words + texts, kinds + (texts > 0)
     voc = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, texts)
     held = sc.broadcast(voc)
-    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences", None), held))
+    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences", WIDE), held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
@@ -453,7 +455,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             cols = [batch.column("doc_id"), batch.column("k"), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), pa.array(rare, pa.int64()), pa.array(model.score(seqs), pa.float64()), pa.array(tw, pa.list_(pa.int64())), pa.array(tn, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "held_out", "size", "known", "base", "rest", "rare", "net", "tw", "tn"])
 
-    seen = cut(rows.mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, net double, tw array<long>, tn array<int>"), "scored", None)
+    seen = cut(rows.mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, net double, tw array<long>, tn array<int>"), "scored", WIDE)
     tail = seen.select("doc_id", "k", F.explode(F.arrays_zip("tw", "tn")).alias("t")).select("doc_id", "k", F.col("t.tw").alias("w"), F.col("t.tn").cast("long").alias("m"))
     tail = tail.join(counted, "w", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + ADD)

@@ -28,7 +28,7 @@ from itertools import chain, groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import small_batches, tidy
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -283,6 +283,9 @@ def codec(model: str) -> Codec:
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text. One pass without a shuffle."""
+    small_batches(docs.sparkSession)
+
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
