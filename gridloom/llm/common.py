@@ -49,7 +49,7 @@ def _fewer(spark: SparkSession) -> str:
 def settle(spark: SparkSession) -> None:
     """Ask the executors' JVMs for a collection, one small task a core: heap that a stage has grown and no longer needs goes back to the system before the next stage's Python workers need it."""
     n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).selectExpr("count(java_method('java.lang.System', 'gc'))").collect()
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
 def cut(df: DataFrame, name: str = "t", batch_rows: int | None = None) -> DataFrame:
