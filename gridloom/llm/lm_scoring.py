@@ -46,7 +46,7 @@ SCORE_LANES = 1024
 WIDE = 10_000
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
-REPLICA_TOKENS = 6_000_000
+REPLICA_TOKENS = 4_000_000
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
@@ -249,7 +249,7 @@ class Model:
             anew = fresh.any(1)
             for t in range(len(y)):
                 if anew[t]:
-                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                    h[fresh[t]] = 0
                 states[t] = h = self.step(g[t], h)[3]
             on = y >= 0
             out += np.bincount(of[on], self.log_prob(states[on], y[on])[0], len(texts))
@@ -265,9 +265,10 @@ class Model:
         g = p["x"][given]
         starts, z, r, c, states = (np.empty((T, B, H), np.float32) for _ in range(5))
         anew = np.zeros(T, bool) if fresh is None else fresh.any(1)
+        h = h.copy()
         for t in range(T):
             if anew[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h[fresh[t]] = 0
             starts[t] = h
             z[t], r[t], c[t], h = self.step(g[t], h)
             states[t] = h
@@ -288,7 +289,7 @@ class Model:
             dg[t, :, H : 2 * H] = drh * inner_r[t]
             dh = d * z[t] + drh * r[t] + dg[t, :, : 2 * H] @ ut
             if anew[t]:
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
+                dh[fresh[t]] = 0
         flat = dg.reshape(T * B, 3 * H)
         grads["u"] = starts.reshape(T * B, H).T @ flat[:, : 2 * H]
         grads["n"] = rh.reshape(T * B, H).T @ flat[:, 2 * H :]
@@ -344,19 +345,34 @@ def counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def sequences(train: DataFrame, held) -> DataFrame:
-    """k, ids: the token numbers of each whole training text, its end included."""
+def sequences(rows: DataFrame, held) -> DataFrame:
+    """The columns of rows (doc_id, k, held_out, text) but the text, and of each whole text: ids (token numbers, the end included), size, known, and sums of the known words' logs (base: all; rest: of rare ones); rare (how many), tw and tn (unknown words and how often each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
+        end = np.log10(voc.texts + ADD)
         for batch in batches:
             for first, h, bounds in _tokens(batch.column("text")):
                 n = len(bounds) - 1
-                ids = np.insert(voc.look(h)[0], bounds[1:], END)  # after each text's words
+                numbers, c = voc.look(h)
+                of = np.repeat(np.arange(n), np.diff(bounds))
+                total = lambda weight: np.bincount(of, weight, n).astype(float)  # noqa: B023, E731
+                there, is_rare = c >= 0, numbers == RARE
+                log_c = np.where(there, np.log10(np.maximum(c, 0) + ADD), 0.0)
+                ids = np.insert(numbers, bounds[1:], END)  # after each text's words
                 listed = pa.ListArray.from_arrays(pa.array((bounds + np.arange(n + 1)).astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, n), listed], ["k", "ids"])
+                # unknown words: once a text, with their number
+                lost = np.flatnonzero(~there)
+                order = lost[np.lexsort((h[lost], of[lost]))]
+                w, t = h[order], of[order]
+                edge = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])]) if len(order) else np.zeros(0, np.int64)
+                at = pa.array(np.searchsorted(t[edge], np.arange(n + 1)).astype(np.int32))
+                tail = [pa.ListArray.from_arrays(at, pa.array(w[edge].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.diff(np.r_[edge, len(order)]).astype(np.int32)))]
+                part = batch.slice(first, n)
+                own = [pa.array(np.diff(bounds) + 1, pa.int64()), pa.array((total(there) + (voc.texts > 0)).astype(np.int64)), pa.array(total(log_c) + end), pa.array(total(log_c * is_rare)), pa.array(total(is_rare).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "k", "held_out")), listed, *own, *tail], ["doc_id", "k", "held_out", "ids", "size", "known", "base", "rest", "rare", "tw", "tn"])
 
-    return train.select("k", "text").mapInArrow(tidy(run), "k long, ids array<int>")
+    return rows.select("doc_id", "k", "held_out", "text").mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, ids array<int>, size long, known long, base double, rest double, rare long, tw array<long>, tn array<int>")
 
 
 def most_frequent(counted: DataFrame, most: int = KNOWN) -> DataFrame:
@@ -430,40 +446,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n, v = words + texts, kinds + (texts > 0)
     voc = Vocabulary(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, texts)
     held = sc.broadcast(voc)
-    weights = sc.broadcast(fit(cut(sequences(train, held), "sequences", WIDE), held))
+    read = cut(sequences(rows, held), "sequences", WIDE)
+    weights = sc.broadcast(fit(read.filter(~F.col("held_out")).select("k", "ids"), held))
+    own = ["doc_id", "k", "held_out", "size", "known", "base", "rest", "rare", "own_m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
         model = Model(voc.cls, voc.mass).load(weights.value)
-        end = np.log10(voc.texts + ADD)
         for batch in batches:
-            size, known, base, rest, rare, tw, tn, seqs = [], [], [], [], [], [], [], []
-            for _, h, bounds in _tokens(batch.column("text")):
-                ids, c = voc.look(h)
-                log_c = np.log10(np.maximum(c, 0) + ADD)
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    i, k = ids[a:b], c[a:b] >= 0
-                    seqs.append(np.r_[i, np.int32(END)])
-                    size.append(b - a + 1)
-                    known.append(int(k.sum()) + (voc.texts > 0))
-                    base.append(float(log_c[a:b][k].sum()) + end)
-                    rest.append(float(log_c[a:b][k & (i == RARE)].sum()))
-                    rare.append(int((i == RARE).sum()))
-                    w, m = np.unique(h[a:b][~k], return_counts=True)
-                    tw.append(w.view(np.int64))
-                    tn.append(m.astype(np.int32))
-            cols = [batch.column("doc_id"), batch.column("k"), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), pa.array(rare, pa.int64()), pa.array(model.score(seqs), pa.float64()), pa.array(tw, pa.list_(pa.int64())), pa.array(tn, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "held_out", "size", "known", "base", "rest", "rare", "net", "tw", "tn"])
-
-    seen = cut(rows.mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, net double, tw array<long>, tn array<int>"), "scored", WIDE)
-    tail = seen.select("doc_id", "k", F.explode(F.arrays_zip("tw", "tn")).alias("t")).select("doc_id", "k", F.col("t.tw").alias("w"), F.col("t.tn").cast("long").alias("m"))
+            ids, at = batch.column("ids").values.to_numpy(), batch.column("ids").offsets.to_numpy()
+            net = model.score([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(net)], [*own, "net"])
+
+    counted_own = read.withColumn("own_m", F.aggregate("tn", F.lit(0).cast("long"), lambda s, x: s + x)).select(*own, "ids")
+    seen = cut(counted_own.mapInArrow(tidy(run), "doc_id long, k long, held_out boolean, size long, known long, base double, rest double, rare long, own_m long, net double"), "scored", WIDE)
+    tail = read.select("doc_id", "k", F.explode(F.arrays_zip("tw", "tn")).alias("t")).select("doc_id", "k", F.col("t.tw").alias("w"), F.col("t.tn").cast("long").alias("m"))
     tail = tail.join(counted, "w", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + ADD)
     # rows equal in id and text come in together here, and are set apart again by their number
     tail = tail.groupBy("doc_id", "k").agg(F.sum("m").alias("all_m"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known_m"), F.sum(F.col("m") * log_c).alias("log_m"))
     tail = tail.withColumnsRenamed({"doc_id": "t_id", "k": "t_k"})
-    out = seen.withColumn("own_m", F.aggregate("tn", F.lit(0).cast("long"), lambda s, x: s + x)).drop("tw", "tn")
-    out = out.join(tail, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("k") == F.col("t_k")), "left")
+    out = seen.join(tail, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("k") == F.col("t_k")), "left")
     share = F.when(F.col("own_m") > 0, F.col("own_m") / F.col("all_m")).otherwise(0.0)
     more = F.coalesce(F.col("log_m") * share, F.lit(0.0))
     return out.select(
