@@ -565,9 +565,11 @@ def rbf_ols(spark, sf):
 
 @query()
 def forest_regressor(spark, sf):
+    """Forecasts of the last quarter by a forest that was fitted on the rest."""
     wide = series.lag_vector(hourly(spark, sf), "hour", [24, 48], keys=("project",)).withColumn("of_day", F.col("hour") % 24)
-    model = models.forest(wide, ["lag_0", "lag_1", "of_day"], "y")
-    return model.transform(wide).select("project", "hour", F.round("prediction", 4).alias("y_hat"))
+    split = series.chronological_split(wide, "hour", 0.25, ("project",))
+    model = models.forest(split.filter("split = 'train'"), ["lag_0", "lag_1", "of_day"], "y")
+    return model.transform(split.filter("split = 'test'")).select("project", "hour", F.round("prediction", 4).alias("y_hat"))
 
 
 @query(f"""WITH RECURSIVE {SERIES_SQL}, h AS (SELECT max(hour) AS h FROM series), pairs AS (SELECT s.project, s.y, l.y AS x FROM series s JOIN series l ON l.project = s.project AND l.hour = s.hour - 1), f AS (SELECT project, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pairs GROUP BY 1),

@@ -9,7 +9,7 @@ from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import alternating, cluster, combine, evolve, features, frames, metrics, oversample, resample, rules, series, weather
 from ..sources import tables as T
-from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
+from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
 
 RATED_SQL = f"{SERIES_SQL}, rated AS (SELECT project, max(y) AS rated FROM series GROUP BY 1)"
 WIDE_SQL = f"{SERIES_SQL}, wide AS (SELECT s.project, s.hour, s.y, a.y AS lag24, b.y AS lag48, c.y AS lag168 FROM series s LEFT JOIN series a ON a.project = s.project AND a.hour = s.hour - 24 LEFT JOIN series b ON b.project = s.project AND b.hour = s.hour - 48 LEFT JOIN series c ON c.project = s.project AND c.hour = s.hour - 168)"
@@ -387,3 +387,31 @@ def weighted_objective(spark, sf):
     e = F.abs(F.col("y") - F.col("y_hat"))
     parts = predictions(spark, sf).groupBy("project", "method").agg(F.avg(F.when(F.col("hour") % 2 == 0, e)).alias("a"), F.avg(F.when(F.col("hour") % 2 == 1, e)).alias("b"))
     return parts.select("project", "method", F.round(frames.objective(F.col("a"), F.col("b")), 4).alias("cost"))
+
+
+def _hourly_lags(name: str, lags: list[int]) -> None:
+    def run(spark, sf):
+        out = series.lag_vector(hourly(spark, sf), "hour", lags, keys=("project",), complete=False, prefix="load")
+        return out.select("project", "hour", r6("y", 4), *[r6(f"load_{i}", 4) for i in range(len(lags))])
+
+    run.__name__ = name
+    query(_lags_sql(lags))(run)
+
+
+def _daily_lags(name: str, lags: list[int]) -> None:
+    cols = ", ".join(f"round(l{i}.y, 2) AS lag_{i}" for i in range(len(lags)))
+    joins = " ".join(f"LEFT JOIN daily l{i} ON l{i}.day = s.day - {lag}" for i, lag in enumerate(lags))
+
+    def run(spark, sf):
+        out = series.lag_vector(daily(spark, sf), "day", lags, complete=False)
+        return out.select("day", r6("y", 2), *[r6(f"lag_{i}", 2) for i in range(len(lags))])
+
+    run.__name__ = name
+    query(f"WITH {DAILY_SQL} SELECT s.day, round(s.y, 2) AS y, {cols} FROM daily s {joins}")(run)
+
+
+_hourly_lags("load_year_back_lags", series.LOAD_YEAR_BACK)
+_hourly_lags("lv_load_lags", series.LV_LOAD)
+_hourly_lags("scada_load_lags", series.SCADA_LOAD)
+_daily_lags("gas_weather_lags", series.GAS_WEATHER)
+_daily_lags("gas_day_ahead_lags", [*series.GAS_DAY_AHEAD, *series.GAS_YEAR_BACK])

@@ -1,6 +1,7 @@
 """Operators beyond the catalog: goldens, sources, plans, streaming."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ def test_no_cartesian_products(spark):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.maxabs_scale(spark, duck.SF)._jdf.queryExecution().executedPlan().toString()
-    assert "l_comment" not in plan and "ReadSchema: struct<l_quantity" in plan.replace("l_orderkey:bigint,l_linenumber:int,", "") or "l_quantity" in plan
+    read = [{c.split(":")[0] for c in x.split(",")} for x in re.findall(r"ReadSchema: struct<([^>]*)>", plan)]
+    assert read and all(x <= {"l_orderkey", "l_linenumber", "l_quantity"} for x in read)
+    plan = catalog.T.read(spark, duck.SF, "lineitem").filter("l_quantity > 10").select("l_tax")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_quantity,10.0)" in plan and "l_comment" not in plan
 
 
 def test_gmean_of_the_documented_example(spark):
@@ -56,9 +60,20 @@ def test_nearest_by_blocks_equals_one_block(spark):
     assert key(resample.nearest(v, v, 3)) == key(resample.nearest(v, v, 3, block_rows=60))
 
 
-def test_repeated_edited_shrinks(spark):
-    rows = spark.createDataFrame([(i, int(i % 7 == 0), [float(i // 7), float(i % 3)]) for i in range(60)], "id long, label int, features array<double>")
-    assert resample.repeated_edited(rows, 3, targets=[0]).count() <= rows.count()
+def test_repeated_edited_loses_the_stray_rows(spark):
+    """Two groups, and three rows of the one among the other's."""
+    rows = [(i, i % 2, [i % 2 * 10.0 + i * 0.01, 0.0]) for i in range(40)] + [(40 + i, 0, [10.0 + 0.05 * i, 0.1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    assert sorted(r.id for r in resample.repeated_edited(df, 5).collect()) == list(range(40))
+
+
+def test_forest_forecasts_beat_the_mean(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    got = catalog.forest_regressor(spark, sf).join(catalog.hourly(spark, sf), ["project", "hour"])
+    r = got.agg(F.avg((F.col("y") - F.col("y_hat")) ** 2).alias("e"), F.var_pop("y").alias("v"), F.count("*").alias("n")).collect()[0]
+    assert r.n > 100 and r.e < 1.1 * r.v
 
 
 def test_fuzzy_c_means_finds_two_groups(spark):
