@@ -160,3 +160,18 @@ def assigned(rows: DataFrame, state: State) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(c.astype(np.int32)), pa.array(u[np.arange(len(u)), c])], ["id", "c", "u"])
 
     return rows.select(F.col("id").cast("long").alias("id"), "features").mapInArrow(run, "id long, c int, u double")
+
+
+def rbf_centres(rows: DataFrame, n: int, seed: int = 0, rounds: int = 10) -> list[list[float]]:
+    """n centres for radial bases: of linear varieties, or by k-means where these degenerate (a centre that isn't finite, or two that are one)."""
+    try:
+        got = fit(rows, initial_centres(rows, n, seed), "varieties", rounds).centres
+    except np.linalg.LinAlgError:
+        got = np.full((n, 1), np.nan)
+    if np.isfinite(got).all() and len(np.unique(np.round(got, 9), axis=0)) == n:
+        return got.tolist()
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    model = KMeans(k=n, seed=seed + 1, featuresCol="v").fit(rows.select(array_to_vector("features").alias("v")))
+    return [[float(x) for x in c] for c in model.clusterCenters()]

@@ -11,6 +11,14 @@ def average(pred: DataFrame, keys: list[str]) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg("y_hat").alias("y_hat"))
 
 
+def blended(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The mean of several combinations' forecasts where they have one; not below zero."""
+    both = parts[0].select(*keys, "y_hat")
+    for p in parts[1:]:
+        both = both.union(p.select(*keys, "y_hat"))
+    return both.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.avg("y_hat")).alias("y_hat"))
+
+
 def bcp_weights(pred: DataFrame, keys: list[str], method: str = "method") -> DataFrame:
     """Bayesian weights of methods without gaps, in closed form: softmax of -sum (y - y_hat)^2 / (2 pi sigma^2), sigma the population deviation of the residual. A method without deviation has no weight."""
     e = F.col("y") - F.col("y_hat")

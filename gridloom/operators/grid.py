@@ -48,4 +48,4 @@ def area_percentiles(cells: DataFrame, keys: list[str], value: str) -> DataFrame
 def best_cell(cells: DataFrame, target: DataFrame, on: str, value: str, y: str) -> DataFrame:
     """The cell whose values correlate best with the target, and the correlation; ties: smallest i, then j."""
     corr = cells.join(target, on).groupBy("i", "j").agg(F.corr(value, y).alias("corr")).filter("corr IS NOT NULL")
-    return corr.orderBy(F.desc("corr"), "i", "j").limit(1)
+    return corr.orderBy(F.desc(F.round("corr", 9)), "i", "j").limit(1)

@@ -285,3 +285,21 @@ def network_forecast(df: DataFrame, models: DataFrame, key: str, features: list[
     unit = lambda j: F.tanh(sum((F.col(c) * F.get("w1", i * F.size("b1") + j) for i, c in enumerate(features)), F.get("b1", j)))
     total = F.aggregate(F.sequence(F.lit(0), F.size("b1") - 1), F.lit(0.0), lambda s, j: s + unit(j) * F.get("w2", j))
     return joined.withColumn("y_hat", out + total).select(*df.columns, "y_hat")
+
+
+def selected(kind: str, df: DataFrame, features: list[str], y: str, key: str, **more) -> list[str]:
+    """Feature names by one of the methods: forward, backward, boruta (constant and correlated columns go first), recursive, or none."""
+    if kind == "none":
+        return list(features)
+    if kind in ("forward", "backward"):
+        return {"forward": forward, "backward": backward}[kind](fold_moments(df, features, y, key), **more)
+    if kind == "recursive":
+        return recursive_elimination(df, features, y, key, **more)
+    if kind == "boruta":
+        from .features import constant_features, spearman_drops
+
+        constant = {r.feature for r in constant_features(df, features, 0.999).filter("constant").collect()}  # a row for each column
+        left = [c for c in features if c not in constant]
+        dropped = {r.feature for r in spearman_drops(df, left, more.pop("correlated", 0.95)).filter("dropped").collect()} if len(left) > 1 else set()
+        return boruta(df, [c for c in left if c not in dropped], y, key, **more)
+    raise ValueError(f"no such method: {kind}")

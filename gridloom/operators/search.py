@@ -19,6 +19,16 @@ def task_grid(spark: SparkSession, projects: list[str], rules: list[str], params
     return spark.createDataFrame(rows, "project string, rule string, trial int, device int" + "".join(f", {n} double" for n in names))
 
 
+def second_stage(trials: DataFrame, steps: dict[str, float], score: str = "acc", devices: int = 2) -> DataFrame:
+    """The tasks after a first stage: around each (project, rule)'s best trial, every parameter of `steps` one step down, as it is and one step up; devices in turn. trials: project, rule, the parameters, score."""
+    names = sorted(steps)
+    best = trials.groupBy("project", "rule").agg(F.min_by(F.struct(*names), F.struct(score, *names)).alias("b")).select("project", "rule", "b.*")
+    for n in names:
+        best = best.withColumn(n, F.explode(F.array(F.col(n) - steps[n], F.col(n) * 1.0, F.col(n) + steps[n])))
+    w = Window.partitionBy("project", "rule").orderBy(*names)  # three to the number of parameters
+    return best.withColumn("trial", F.row_number().over(w) - 1).withColumn("device", F.col("trial") % devices)
+
+
 def pareto_front(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that none beats in one of two costs without losing in the other: by the best b among smaller a, not by pairs; least values of whole ranges first, then within a range."""
     best = df.groupBy(a).agg(F.min(b).alias("__b")).withColumn("__part", range_of(F.col(a).cast("double"), bounds_of(df, a)))

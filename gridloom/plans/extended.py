@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import alternating, cluster, combine, evolve, features, frames, metrics, oversample, resample, rules, series, weather
+from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, resample, rules, series, weather
 from ..sources import tables as T
 from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
 
@@ -389,6 +389,20 @@ def weighted_objective(spark, sf):
     return parts.select("project", "method", F.round(frames.objective(F.col("a"), F.col("b")), 4).alias("cost"))
 
 
+@query(f"WITH {SERIES_SQL}, {GRID_SQL}, t AS (SELECT hour, avg(y) AS y FROM series GROUP BY 1), c AS (SELECT i, j, corr(u, y) AS corr FROM grid JOIN t USING (hour) GROUP BY 1, 2) SELECT i, j, round(corr, 6) AS corr FROM c ORDER BY round(corr, 9) DESC, i, j LIMIT 1")
+def best_grid_cell(spark, sf):
+    """The cell whose wind goes best with the sites' mean: a report of one row."""
+    target = hourly(spark, sf).groupBy("hour").agg(F.avg("y").alias("y"))
+    return grid.best_cell(cells(spark, sf), target, "hour", "u", "y").select(F.col("i").cast("long"), F.col("j").cast("long"), r6("corr"))
+
+
+@query(f"WITH {PRED_SQL}, a AS (SELECT project, hour, avg(y_hat) AS y_hat FROM pred GROUP BY 1, 2), b AS (SELECT project, hour, y_hat FROM pred WHERE method = 'lag24') SELECT project, hour, round(avg(y_hat), 4) AS y_hat FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
+def blended(spark, sf):
+    """Two combinations' mean."""
+    p = predictions(spark, sf)
+    return combine.blended([combine.average(p, ["project", "hour"]), p.filter("method = 'lag24'")], ["project", "hour"]).select("project", "hour", r6("y_hat", 4))
+
+
 def _hourly_lags(name: str, lags: list[int]) -> None:
     def run(spark, sf):
         out = series.lag_vector(hourly(spark, sf), "hour", lags, keys=("project",), complete=False, prefix="load")

@@ -101,3 +101,29 @@ def test_transfer_groups_of_two_thresholds():
     assert sorted(map(sorted, linking.grouped(corr, 0.85))) == [["a", "b", "c"], ["d", "e", "f"]]
     nested = linking.settled([{"a", "b"}, {"a", "b", "c"}, {"c", "d"}], {("a", "b"): 0.9, ("b", "c"): 0.8, ("a", "c"): 0.7, ("c", "d"): 0.95})
     assert sorted(map(sorted, nested)) == [["a", "b", "c"]] or sorted(map(sorted, nested)) == [["a", "b"], ["c", "d"]]
+
+
+def test_second_stage_is_around_the_best(spark):
+    trials = spark.createDataFrame([("a", "rule.0", 1.0, 5.0, 0.3), ("a", "rule.0", 2.0, 5.0, 0.1), ("b", "rule.0", 3.0, 7.0, 0.2)], "project string, rule string, lr double, width double, acc double")
+    got = search.second_stage(trials, {"lr": 0.5, "width": 1.0}).collect()
+    assert len(got) == 18 and {r.lr for r in got if r.project == "a"} == {1.5, 2.0, 2.5} and {r.device for r in got} == {0, 1}
+
+
+def test_selection_and_centres(spark):
+    from gridloom.operators import alternating, regress
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 3))
+    rows = [(i, *map(float, r), float(r[0]), 1.0, float(2 * r[0] - r[1])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, twin double, one double, y double")
+    names = ["a", "b", "c", "twin", "one"]
+    assert regress.selected("none", df, names, "y", "id") == names
+    assert {"a", "b"} <= set(regress.selected("forward", df, ["a", "b", "c"], "y", "id"))
+    got = regress.selected("boruta", df, names, "y", "id", n_folds=2, rounds=2, trees=8)
+    assert "a" in got and not {"twin", "one"} & set(got)
+    with pytest.raises(ValueError, match="no such method"):
+        regress.selected("x", df, names, "y", "id")
+    v = spark.createDataFrame([(i, [float(i % 2 * 5), float(i % 7)]) for i in range(40)], "id long, features array<double>")
+    assert np.isfinite(alternating.rbf_centres(v, 2)).all()
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(10)], "id long, features array<double>")
+    assert len(alternating.rbf_centres(same, 1)) == 1
