@@ -165,7 +165,12 @@ class Codec:
     def pieces(self, s: str) -> list[int]:
         """The ids of s, whose characters are all pieces, and of which only the first may be a blank mark."""
         n, pairs, base = len(s), self.pairs, self.n
-        starts = Matches(self.trie, s, self.longest) if n > STRETCH else matches(self.trie, s, 0, n, n)
+        if n > STRETCH:
+            starts = Matches(self.trie, s, self.longest)
+        else:
+            starts = [[] for _ in range(n)]
+            for end, found in self.trie.iter(s):  # ends ascend, so the lengths at each start do too
+                starts[end + 1 - found[0]].append(found)
         if starts[0][-1][0] == n:
             return [starts[0][-1][1]]
         failed = bytearray((n >> 3) + 1)
