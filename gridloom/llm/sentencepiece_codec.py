@@ -32,7 +32,7 @@ from .common import small_batches, tidy
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE_PARTS = 150_000
+CACHE_PARTS = 400_000
 CACHE_PAIRS = 400_000
 #: Characters of a word whose matches are held at once, twice over.
 STRETCH = 1 << 16
@@ -217,7 +217,7 @@ class Codec:
             out += self.pieces("".join(run)) if known else [self.bytes[b] for b in "".join(run).encode()]
         return out
 
-    def part(self, s: str) -> tuple[int, str, tuple[int, ...]]:
+    def part(self, s: str, keep: bool = True) -> tuple[int, str, tuple[int, ...]]:
         """Number of ids, the ids as text, and the ids, of one run of blanks with the word after it."""
         known = self.parts.get(s)
         if known is None:
@@ -233,6 +233,8 @@ class Codec:
                 whole, rest = divmod(blanks, self.runs)
                 ids = [self.ids[MARK * self.runs]] * whole + ([self.ids[MARK * rest]] if rest else []) + got
                 known = len(ids), " ".join(map(str, ids)), tuple(ids)
+            if not keep:
+                return known
             if len(self.parts) >= CACHE_PARTS:  # what was used lately moves on to the new half
                 self.parts, self.older = {}, self.parts
             self.parts[s] = known
@@ -257,7 +259,8 @@ class Codec:
                 if (known := self.words.get(w)) is None:
                     known = self.old_words.get(w)
                     if known is None:
-                        got = [self.part(s) for s in self.parted.findall(MARK + w)]
+                        found = self.parted.findall(MARK + w)
+                        got = [self.part(s, len(found) > 1) for s in found]  # a word that is one part is remembered as a word
                         known = got[0][1:] if len(got) == 1 else (" ".join(g[1] for g in got), tuple(chain.from_iterable(g[2] for g in got)))
                         known = known[::-1]
                     if len(self.words) >= CACHE_PARTS:
@@ -290,8 +293,6 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text. One pass without a shuffle."""
     small_batches(docs.sparkSession)
 
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
@@ -309,6 +310,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids (array of int) and decoded (string)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
