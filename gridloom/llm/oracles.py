@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
 from .chat_format import END, START
 from .license_scan import GAP, GRAM, MIN_SCORE, NOT_WORD, PHRASES, TEMPLATES
 from .quality_rules import RULES, SYMBOLS
@@ -72,4 +73,26 @@ SELECT conv_id, perspective, turn, speaker, segment, trained, CAST(stop - length
   CAST(CASE WHEN trained THEN stop - length(segment) + length(head) END AS BIGINT) AS mask_start, CAST(CASE WHEN trained THEN stop - 1 END AS BIGINT) AS mask_end FROM p
 """
 
-ORACLES = {"op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
+
+
+def _centroids(rounds: int = ROUNDS) -> str:
+    """k-means in whole numbers, a round after the other."""
+    d = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v.q) AS q, min(struct_pack(d := CAST({d} AS BIGINT), k := k)) AS best FROM v CROSS JOIN c{t} c GROUP BY rid)")
+        if t < rounds:
+            steps.append(f"s{t} AS (SELECT best.k AS k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{t})")
+            steps.append(f"m{t} AS (SELECT k, list(x ORDER BY i) AS q FROM (SELECT k, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM s{t} GROUP BY k, i) GROUP BY k)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{t} c LEFT JOIN m{t} m USING (k))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < {CLUSTERS}),
+{", ".join(steps)}
+SELECT vec_id, CAST(best.k AS INT) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.best.k
+"""
+
+
+ORACLES = {"op13_centroid_clustering": _centroids(), "op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
