@@ -5,6 +5,8 @@ from __future__ import annotations
 from .centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
 from .chat_format import END, START
 from .license_scan import GAP, GRAM, MIN_SCORE, NOT_WORD, PHRASES, TEMPLATES
+from .pii import BASE, CONTEXT_BONUS, IBAN_LENGTH, KINDS, NAMED_BY, NEARBY, PRIOR
+from .pii import MIN_SCORE as MIN_PII
 from .quality_rules import RULES, SYMBOLS
 from .url_filter import RULES as URL_RULES
 
@@ -95,4 +97,52 @@ SELECT vec_id, CAST(best.k AS INT) AS cluster, best.d AS distance, CAST(sum(best
 """
 
 
-ORACLES = {"op13_centroid_clustering": _centroids(), "op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
+def _personal() -> str:
+    """Each kind's scan as a token list that covers the text: matches, and what they pass over."""
+    domain, digit = "[A-Za-z0-9-]+", "[0-9]"
+    email, ip, card = rf"[A-Za-z0-9._%+-]+@{domain}(\.{domain})+", rf"{digit}+(\.{digit}+)(\.{digit}+)(\.{digit}+)", rf"{digit}([\x20-]?{digit})+"
+    phone, iban, tel = r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+", r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}"
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CAST(substr(reverse({digits}), CAST(i AS INT), 1) AS INT) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND substr(reverse({digits}), CAST(i AS INT), 1) > '4' THEN 9 ELSE 0 END)) % 10 = 0"
+    long = f"map {{{', '.join(f"'{k}': {n}" for k, n in IBAN_LENGTH.items())}}}[substr(x, 1, 2)]"
+    moved = "replace(substr(y, 5) || substr(y, 1, 4), ' ', '')"
+    values = f"list_transform(string_split({moved}, ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    mod97 = f"list_reduce(list_concat([0], {values}), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+
+    def scan(kind: str, form: str, skip: str, needs: str, ok: str, y: str = "x", shift: str = "0") -> str:
+        named = ", ".join(f"'{w}'" for w in NAMED_BY[kind])
+        near = LOWER.format(f"substr(t, greatest(0, s - {NEARBY}) + 1, least(s, {NEARBY})) || ' ' || substr(t, e + 1, {NEARBY})")
+        return f"""
+{kind}_tokens AS (SELECT rid, t, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{form}|{skip}') AS l FROM d WHERE regexp_matches(t, '{needs}'))),
+{kind}_found AS (SELECT rid, t, y, s + {shift} AS s, s + {shift} + length(y) AS e FROM (SELECT *, {y} AS y FROM (SELECT rid, t, x, CAST(sum(length(x)) OVER (PARTITION BY rid ORDER BY i) - length(x) AS BIGINT) AS s FROM {kind}_tokens) WHERE regexp_full_match(x, '{form}')) WHERE {ok}),
+{kind}_all AS (SELECT rid, {KINDS.index(kind)} AS o, '{kind}' AS kind, s, e, CASE WHEN list_has_any(regexp_extract_all({near}, '[a-z]+'), [{named}]) THEN {PRIOR[kind] + CONTEXT_BONUS:.1f} ELSE {PRIOR[kind]:.1f} END AS score FROM {kind}_found)"""
+
+    def apart(kind: str, before: str) -> str:
+        return f"{kind}_kept AS (SELECT * FROM {kind}_all a WHERE score >= {MIN_PII} AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.rid = a.rid AND b.s < a.e AND a.s < b.e))"
+
+    n_digits = f"length({digits}) BETWEEN {{}} AND {{}}"
+    cut_off = f"substr(x, 1, list_filter(range(1, length(x) + 1), lambda i: length(replace(substr(x, 1, CAST(i AS INT)), ' ', '')) = {long})[1])"
+    scans = [
+        scan("email", email, r"[A-Za-z0-9._%+-]+|[^A-Za-z0-9._%+-]+", "@", "true"),
+        scan("ip", ip, "[0-9]+|[^0-9]+", "[0-9]", "list_max(list_transform(string_split(x, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(p, '0') AS INT) END)) <= 255"),
+        scan("card", card, "[0-9]|[^0-9]+", "[0-9]", f"{n_digits.format(12, 19)} AND {luhn}"),
+        scan("phone", phone, r"\+|[^+]+", r"\+", n_digits.format(9, 15)),
+        scan("iban", iban, "[A-Za-z0-9]+|[^A-Za-z0-9]+", "[A-Z]{2}[0-9]{2}", f"length(y) > 0 AND NOT regexp_matches(substr(t, s + length(y) + 1, 1), '[A-Za-z0-9]') AND {mod97}", y=f"coalesce({cut_off}, '')"),
+        scan("ssn", "[0-9-]+", "[^0-9-]+", "[0-9]", "regexp_full_match(x, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND x[1:3] NOT IN ('000', '666') AND x[1:3] < '900' AND x[5:6] <> '00' AND x[8:11] <> '0000'"),
+        scan("tel", r"[0-9().\x20-]+", r"[^0-9().\x20-]+", "[0-9]", rf"regexp_full_match(x, '[\x20.-]*{tel}[\x20.-]*')", y=f"regexp_extract(x, '{tel}')", shift=r"length(regexp_extract(x, '^[\x20.-]*'))"),
+    ]
+    order = "ORDER BY s, o"
+    one = "kind || ':' || s || ':' || e"
+    base = "kind IN ('email', 'ip', 'card', 'phone')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),{",".join(scans)},
+base AS MATERIALIZED (SELECT * FROM email_all UNION ALL SELECT * FROM ip_all UNION ALL SELECT * FROM card_all UNION ALL SELECT * FROM phone_all),
+{apart("iban", "base")}, with_iban AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM iban_kept),
+{apart("ssn", "with_iban")}, with_ssn AS MATERIALIZED (SELECT * FROM with_iban UNION ALL SELECT * FROM ssn_kept),
+{apart("tel", "with_ssn")}, spans AS (SELECT * FROM with_ssn UNION ALL SELECT * FROM tel_kept),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg({one}, ',' {order}) FILTER ({base}) AS base_said, string_agg({one}, ',' {order}) AS said, string_agg(CAST(CAST(score AS DECIMAL(3, 1)) AS VARCHAR), ',' {order}) AS scores FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base_said, '')) AS base_sha256, coalesce(said, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLES = {"op12_personal_data": _personal(), "op13_centroid_clustering": _centroids(), "op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
