@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
 from .chat_format import END, START
+from .collocations import ABSORBED_PERCENT, MIN_COUNT, TOP
 from .license_scan import GAP, GRAM, MIN_SCORE, NOT_WORD, PHRASES, TEMPLATES
 from .pii import BASE, CONTEXT_BONUS, IBAN_LENGTH, KINDS, NAMED_BY, NEARBY, PRIOR
 from .pii import MIN_SCORE as MIN_PII
@@ -145,4 +146,23 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256
 """
 
 
-ORACLES = {"op12_personal_data": _personal(), "op13_centroid_clustering": _centroids(), "op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}
+PHRASES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT rid, lang, unnest(l) AS piece, generate_subscripts(l, 1) AS p FROM (SELECT rid, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS l FROM d)),
+u AS (SELECT rid, lang, p, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT rid, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM p)),
+w AS (SELECT lang, x AS w1, lead(x, 1) OVER o AS w2, lead(x, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY rid, p ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY 1),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM w GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM w WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+cuts AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 c JOIN f1 x ON (x.lang, x.w1) = (c.lang, c.w1) JOIN f1 y ON (y.lang, y.w1) = (c.lang, c.w2)
+  WHERE c.f >= {MIN_COUNT} AND NOT EXISTS (SELECT 1 FROM f3 g WHERE g.lang = c.lang AND ((g.w1, g.w2) = (c.w1, c.w2) OR (g.w2, g.w3) = (c.w1, c.w2)) AND 100 * g.f >= {ABSORBED_PERCENT} * c.f)
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, x.f, y.f FROM f3 c JOIN f1 x ON (x.lang, x.w1) = (c.lang, c.w1) JOIN f2 y ON (y.lang, y.w1, y.w2) = (c.lang, c.w2, c.w3)
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, x.f, y.f FROM f3 c JOIN f2 x ON (x.lang, x.w1, x.w2) = (c.lang, c.w1, c.w2) JOIN f1 y ON (y.lang, y.w1) = (c.lang, c.w3)),
+s AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= {TOP}
+"""
+
+
+ORACLES = {"op11_collocations": PHRASES_SQL, "op12_personal_data": _personal(), "op13_centroid_clustering": _centroids(), "op3_license_scan": _license(), "op6_url_filter": _url(), "op9_quality_rules": QUALITY, "op10_chat_format": CHAT}

@@ -69,6 +69,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -82,7 +88,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format, op12_personal_data, op13_centroid_clustering)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_license_scan, op4_near_dedup, op5_decontaminate, op6_url_filter, op7_sentencepiece, op8_line_dedup, op9_quality_rules, op10_chat_format, op11_collocations, op12_personal_data, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
