@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .regress import moments, ridge
 from .rules import ACTIVE, Membership, partitioned
 
 #: Trapezoids of the forecast horizon, in hours.
@@ -117,19 +116,9 @@ def with_params(rules: dict[str, list[Membership]], params: list[float]) -> dict
 
 def rule_objectives(train: DataFrame, test: DataFrame, rules: dict[str, list[Membership]], features: list[str], y: str, key: list[str], rated: float, least: int = 500, share: float = 0.33) -> tuple[float, float]:
     """(sum of squares, mean size) of the scaled errors on test rows: each rule with more than `least` rows and less than `share` of all has a linear model of all features; a row's forecast is the mean of its active rules', or NONE_ACTIVE."""
-    n = train.count()
-    active = partitioned(train, rules, ACTIVE)
-    good = [r.rule for r in active.groupBy("rule").count().collect() if least < r["count"] < share * n]
-    models = {r: ridge(moments(active.filter(F.col("rule") == r), features, y)) for r in sorted(good)}
-    rows = partitioned(test, {r: rules[r] for r in models}, ACTIVE) if models else None
-    guess = None
-    for r, m in models.items():
-        guess = F.when(F.col("rule") == r, m.column()) if guess is None else guess.when(F.col("rule") == r, m.column())
-    base = test.select(*key, y)
-    pred = base.withColumn("p", F.lit(None).cast("double")) if rows is None else base.join(rows.groupBy(*key).agg(F.avg(guess).alias("p")), key, "left")
-    e = (F.coalesce("p", F.lit(NONE_ACTIVE)) - F.col(y)) / rated
-    got = pred.agg(F.sum(e * e), F.avg(F.abs(e))).collect()[0]
-    return float(got[0]), float(got[1])
+    from . import rulebase
+
+    return rulebase.Problem(train, test, rules, features, y, rated, least, share).score([rulebase.start_of(rules)])[0]
 
 
 def pruned(train: DataFrame, rules: dict[str, list[Membership]], key: list[str], least: int = 500, share: float = 0.4) -> dict[str, list[Membership]]:
@@ -156,10 +145,12 @@ def with_horizons(rules: dict[str, list[Membership]]) -> dict[str, list[Membersh
 
 def optimised_rules(train: DataFrame, test: DataFrame, rules: dict[str, list[Membership]], features: list[str], y: str, key: list[str], rated: float, settings: Settings | None = None, least: int = 500, share: float = 0.33) -> dict[str, list[Membership]]:
     """The rule base whose functions' parameters are the front's point of least mean error."""
+    from . import rulebase
+
     start = [p for name in sorted(rules) for f in rules[name] for p in f.params]
     kinds = [f.kind for name in sorted(rules) for f in rules[name] for _ in f.params]
     low, high = [p - 0.3 for p in start], [p + 0.3 for p in start]
     low = [0.01 if k == "gauss" and i % 2 else v for i, (k, v) in enumerate(zip(kinds, low, strict=True))] if set(kinds) == {"gauss"} else low
-    score = lambda points: [rule_objectives(train, test, with_params(rules, p), features, y, key, rated, least, share) for p in points]
+    score = rulebase.Problem(train, test, rules, features, y, rated, least, share).score  # a generation is a pass over the training rows and one over the test rows
     points, costs = search(score, low, high, settings, [start])
     return with_params(rules, min(zip(points, costs, strict=True), key=lambda pc: pc[1][1])[0])

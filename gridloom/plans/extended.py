@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, resample, rules, series, weather
+from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, resample, rulebase, rules, series, weather
 from ..sources import tables as T
 from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
 
@@ -291,9 +291,23 @@ def horizon_rules(spark, sf):
 @query(f"WITH {LAGGED_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT project, hour FROM lagged WHERE train)), a AS (SELECT rule, count(*) AS c, regr_slope(y, lag24) AS s, regr_intercept(y, lag24) AS i FROM lagged WHERE train GROUP BY 1), g AS (SELECT a.* FROM a, n WHERE c > 20 AND c < 1.1 * n), p AS (SELECT l.project, l.hour, any_value(l.y) AS y, avg(g.i + g.s * l.lag24) AS p FROM lagged l LEFT JOIN g USING (rule) WHERE NOT train GROUP BY 1, 2) SELECT round(sum(pow((coalesce(p, 1e15) - y) / 1000, 2)), 4) AS squares, round(avg(abs((coalesce(p, 1e15) - y) / 1000)), 6) AS mean FROM p")
 def rule_objectives(spark, sf):
     """Both costs of a rule base whose rules need more than 20 rows; none has too many here."""
+    return _base_problem(spark, sf, 20, 1.1).costs([rulebase.start_of(rules.rule_base({"x": _GAUSS}))]).select(F.round("squares", 4).alias("squares"), F.round("mean", 6).alias("mean"))
+
+
+def _base_problem(spark, sf, least, share):
     rows = lagged(spark, sf).select("project", "hour", "y", "lag24", "x", "train").distinct()
-    a, b = evolve.rule_objectives(rows.filter("train"), rows.filter("NOT train"), rules.rule_base({"x": _GAUSS}), ["lag24"], "y", ["project", "hour"], 1000.0, 20, 1.1)
-    return spark.range(1).select(F.round(F.lit(a), 4).alias("squares"), F.round(F.lit(b), 6).alias("mean"))
+    return rulebase.Problem(rows.filter("train"), rows.filter("NOT train"), rules.rule_base({"x": _GAUSS}), ["lag24"], "y", 1000.0, least, share)
+
+
+#: A generation: functions of which two reach far, narrow ones, and ones of which one is active nowhere.
+_POPULATION = [[0.0, 0.1, 0.5, 0.14, 1.0, 0.2], [0.1, 0.12, 0.5, -0.1, 0.9, 0.12], [0.2, 0.1, 0.8, 0.15, 9.0, 0.01]]
+_POPULATION_SQL = ", ".join(f"({i}, 'rule.{k}', {p[2 * k]}, {abs(p[2 * k + 1])})" for i, p in enumerate(_POPULATION) for k in range(3))
+
+
+@query(f"WITH {LAGGED_SQL}, r AS (SELECT DISTINCT project, hour, y, lag24, x, train FROM lagged JOIN xs USING (project, hour, y)), n AS (SELECT count(*) AS n FROM r WHERE train), pop(individual, rule, m, s) AS (VALUES {_POPULATION_SQL}), active AS (SELECT * FROM r, pop WHERE sqrt(exp(-pow(x - m, 2) / (2 * s * s))) >= 0.01), a AS (SELECT individual, rule, count(*) AS c, regr_slope(y, lag24) AS b, regr_intercept(y, lag24) AS i FROM active WHERE train GROUP BY 1, 2), g AS (SELECT a.* FROM a, n WHERE c > 20 AND c < 0.9 * n), k AS (SELECT t.individual, count(g.rule) AS rules FROM (SELECT DISTINCT individual FROM pop) t LEFT JOIN g USING (individual) GROUP BY 1), p AS (SELECT k.individual, k.rules, r.project, r.hour, any_value(r.y) AS y, avg(g.i + g.b * r.lag24) AS p FROM r CROSS JOIN k LEFT JOIN active v ON v.individual = k.individual AND v.project = r.project AND v.hour = r.hour LEFT JOIN g ON g.individual = v.individual AND g.rule = v.rule WHERE NOT r.train GROUP BY 1, 2, 3, 4) SELECT individual, rules, round(sum(pow((coalesce(p, 1e15) - y) / 1000, 2)), 4) AS squares, round(avg(abs((coalesce(p, 1e15) - y) / 1000)), 6) AS mean FROM p GROUP BY 1, 2")
+def generation_costs(spark, sf):
+    """Both costs of every individual of a generation of rule bases, by one pass over the training and one over the test rows."""
+    return _base_problem(spark, sf, 20, 0.9).costs(_POPULATION).select("individual", F.col("rules").cast("long").alias("rules"), F.round("squares", 4).alias("squares"), F.round("mean", 6).alias("mean"))
 
 
 _PAIR = f"{V_SQL}, p AS (SELECT a.id, a.f AS x, b.f AS y FROM v a JOIN v b ON b.id = 0 WHERE a.id <> 0)"
