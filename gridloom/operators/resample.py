@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.interim import dropped, written
 from .ranks import by_share, by_value
 
 BLOCK_ROWS = 20_000
@@ -190,23 +191,25 @@ def edited(rows: DataFrame, k: int = 3, kind: str = "mode", targets: list[int] |
 
 
 def repeated_edited(rows: DataFrame, k: int = 3, kind: str = "mode", targets: list[int] | None = None, most: int = 100) -> DataFrame:
-    """Edited nearest neighbours until nothing goes, a class would vanish, or the smallest class would no longer be it."""
+    """Edited nearest neighbours until nothing goes, a class would vanish, or the smallest class would no longer be it. Each round's rows are a table of their own, so a round's plan is that of one edit."""
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     minority = min(counts, key=lambda c: (counts[c], c)) if counts else None
     for _ in range(most):
-        left = edited(rows, k, kind, targets)
+        left = written(edited(rows, k, kind, targets), "edited")
         now = {r.label: r["count"] for r in left.groupBy("label").count().collect()}
         if now == counts or len(now) < len(counts) or any(n < now[minority] for c, n in now.items() if c != minority):
             return rows if len(now) < len(counts) else left
+        dropped(rows)
         rows, counts = left, now
     return rows
 
 
 def all_knn(rows: DataFrame, k: int = 3, kind: str = "mode", targets: list[int] | None = None) -> DataFrame:
     """Edited nearest neighbours with 1, 2, ... k neighbours in turn."""
-    for n in range(1, k + 1):
-        rows = edited(rows, n, kind, targets)
-    return rows
+    for n in range(1, k):
+        before, rows = rows, written(edited(rows, n, kind, targets), "edited")
+        dropped(before)
+    return edited(rows, k, kind, targets)
 
 
 def near_miss(rows: DataFrame, minority: int, k: int = 3, version: int = 1, keep: int | None = None) -> DataFrame:
@@ -236,33 +239,87 @@ def neighbourhood_cleaning(rows: DataFrame, minority: int, k: int = 3, share: fl
     return rows.join(a1.union(a2).distinct(), "id", "left_anti")
 
 
-def condensed(rows: DataFrame, minority: int) -> DataFrame:
+def condensed(rows: DataFrame, minority: int, prefix: int = 4096) -> DataFrame:
     """Condensed nearest neighbour: each class grows a store, by id order, with the rows that its store and the minority misclassify.
 
-    The distance to the minority is searched by blocks beforehand. The store grows in an order, so each class is one
-    group of the rows that its first row and the minority misclassify; all others never join, as a store only grows.
+    A row joins unless a row of its class that joined before is as near as the minority's nearest, so a row is decided
+    once all before it are. A round takes each class's first `prefix` undecided rows, decides them in order (a task a
+    class, of that many rows at most), and one pass drops all later rows that the newly stored ones keep out. The
+    distance to the minority is searched by blocks beforehand; the newly stored rows, at most `prefix` a class, are
+    what goes to all tasks. The result is that of the sequential store, whatever the prefix.
     """
-    import pandas as pd
-
     few, rest = rows.filter(F.col("label") == minority), rows.filter(F.col("label") != minority)
-    first = rest.groupBy("label").agg(F.min_by(F.struct("id", "features"), "id").alias("first"))  # a row for each class
     closest = nearest(rest, few, 1).select("id", "dist")
-    gap = F.sqrt(F.aggregate(F.zip_with("features", "first.features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    asked = rest.join(F.broadcast(first), "label").join(closest, "id", "left").filter((F.col("dist") < gap) | (F.col("id") == F.col("first.id"))).select("id", "label", "features", "dist")
-
-    def grow(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        x, far = np.array(g["features"].tolist(), float), g["dist"].to_numpy(float)
-        own = np.sqrt(((x - x[0]) ** 2).sum(1))
-        kept = [0]
-        for i in range(1, len(x)):
-            if far[i] < own[i]:
-                kept.append(i)
-                own = np.minimum(own, np.sqrt(((x - x[i]) ** 2).sum(1)))
-        return g.iloc[kept][["id", "label", "features"]]
-
-    store = asked.groupBy("label").applyInPandas(grow, asked.select("id", "label", "features").schema)
-    return few.select("id", "label", "features").union(store)
+    schema = rest.select("id", "label", "features").schema
+    # without a minority nothing is nearer than a class's first row
+    left = written(rest.select("id", "label", "features").join(closest, "id", "left").withColumn("dist", F.coalesce("dist", F.lit(float("inf")))), "undecided")
+    stored = None
+    while labels := [r.label for r in left.select("label").distinct().collect()]:
+        first = [left.filter(F.col("label") == c).orderBy("id").limit(prefix) for c in labels]
+        firsts = first[0]
+        for df in first[1:]:
+            firsts = firsts.union(df)
+        decided = written(firsts.groupBy("label").applyInArrow(_in_order, "id long, label int, features array<double>, stays boolean"), "decided")
+        last = {r.label: r.last for r in decided.groupBy("label").agg(F.max("id").alias("last")).collect()}
+        new = decided.filter("stays").drop("stays")
+        by_class: dict = {}
+        for r in new.collect():  # at most prefix rows a class
+            by_class.setdefault(r.label, []).append(r.features)
+        stored = new if stored is None else stored.union(new)
+        before, left = left, written(left.mapInArrow(_kept_out({c: np.array(v, float) for c, v in by_class.items()}, last), left.schema), "undecided")
+        dropped(before)
+    mine = few.select("id", "label", "features")
+    return mine if stored is None else mine.union(stored.select([F.col(f.name).cast(f.dataType) for f in schema]))
+
+
+def _vectors(column) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False).astype(float)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Whether each row, in order of id, is farther from all that stay before it than from the minority."""
+    rows = rows.sort_by("id").combine_chunks()
+    x = np.array(rows.column("features").to_pylist(), float)
+    far, own = rows.column("dist").to_numpy(), np.full(len(x), np.inf)
+    stays = np.zeros(len(x), bool)
+    for i in range(len(x)):
+        if i == 0 or far[i] < own[i]:
+            stays[i] = True
+            own[i:] = np.minimum(own[i:], np.sqrt(((x[i:] - x[i]) ** 2).sum(1)))
+    kinds = {"id": pa.int64(), "label": pa.int32(), "features": pa.list_(pa.float64())}
+    return pa.table({c: rows.column(c).cast(t) for c, t in kinds.items()} | {"stays": stays})
+
+
+def _kept_out(stored: dict[int, np.ndarray], last: dict[int, int]):
+    """The rows after those decided that no newly stored row of their class keeps out."""
+
+    def run(batches):
+        for batch in batches:
+            ids, labels, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "dist"))
+            on = np.zeros(len(ids), bool)
+            for c in np.unique(labels):
+                at = np.flatnonzero((labels == c) & (ids > last[int(c)]))
+                if len(at):
+                    x = _vectors(batch.column("features").take(pa.array(at)))
+                    on[at] = ~near_any(x, far[at], stored[int(c)])
+            yield batch.filter(pa.array(on))
+
+    return run
+
+
+def near_any(x: np.ndarray, far: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Whether a stored row is within each row's distance; products rule out, differences decide."""
+    out = np.zeros(len(x), bool)
+    ns = (stored * stored).sum(1)
+    step = max(1, 2_000_000 // max(1, len(stored)))
+    for a in range(0, len(x), step):
+        part, limit = x[a : a + step], far[a : a + step]
+        nx = (part * part).sum(1)
+        rough = nx[:, None] + ns[None] - 2 * (part @ stored.T)
+        row, col = np.nonzero(rough <= (limit * limit + 1e-9 * (nx + ns.max(initial=0)) + 1e-12)[:, None])
+        hit = np.sqrt(((part[row] - stored[col]) ** 2).sum(1)) <= limit[row]
+        out[a + row[hit]] = True
+    return out
 
 
 def uniform(*parts: Column, seed: int = 0) -> Column:

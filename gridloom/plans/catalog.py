@@ -465,7 +465,10 @@ def _rounded(made):
     return made.select("id", "copy", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V_SQL}, far AS (SELECT a.id, min(list_distance(a.f, b.f)) AS far FROM v a JOIN v b ON b.label = 0 WHERE a.label <> 0 GROUP BY 1),
+rest AS MATERIALIZED (SELECT a.id, a.label, row_number() OVER (PARTITION BY a.label ORDER BY a.id) AS k, list(b.id) FILTER (list_distance(a.f, b.f) <= far) AS near FROM v a JOIN far USING (id) LEFT JOIN v b ON b.label = a.label AND b.id < a.id GROUP BY a.id, a.label),
+grown AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS store FROM rest UNION ALL SELECT g.label, r.k, CASE WHEN list_has_any(store, coalesce(r.near, [])) THEN store ELSE list_append(store, r.id) END FROM grown g JOIN rest r ON r.label = g.label AND r.k = g.k + 1)
+SELECT id, label FROM v WHERE label = 0 UNION ALL SELECT unnest(store) AS id, label FROM (SELECT label, store FROM grown QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1)""")
 def condensed_nn(spark, sf):
     return resample.condensed(vec(spark, sf), 0).select("id", "label")
 
@@ -482,6 +485,26 @@ def all_knn(spark, sf):
     return resample.all_knn(vec(spark, sf), 3).select("id", "label")
 
 
+def _repeated_sql(rounds: int) -> str:
+    """CTEs q0 to q<rounds>: what is left after each round, and whether it was the last one."""
+    out = ["q0 AS MATERIALIZED (SELECT id, CAST(label % 2 AS INTEGER) AS label, f FROM v)", "few AS (SELECT label FROM q0 GROUP BY 1 ORDER BY count(*), label LIMIT 1)", "s0 AS (SELECT false AS over, false AS back)"]
+    for r in range(1, rounds + 1):
+        out += [
+            _edited_sql(3, f"q{r - 1}", f"t{r}"),
+            f"n{r} AS (SELECT label, count(*) AS n FROM t{r} GROUP BY 1)",
+            f"b{r} AS (SELECT s.over OR (SELECT count(*) FROM n{r}) < (SELECT count(DISTINCT label) FROM q0) AS back FROM s{r - 1} s)",
+            f"s{r} AS (SELECT back OR (SELECT min(n) FROM n{r}) < (SELECT n FROM n{r} JOIN few USING (label)) AS over, back FROM b{r})",
+            f"q{r} AS MATERIALIZED (SELECT t.* FROM t{r} t, s{r} WHERE NOT back UNION ALL SELECT q.* FROM q{r - 1} q, s{r} WHERE back)",
+        ]
+    return ", ".join(out)
+
+
+@query(f"WITH {V_SQL}, {_repeated_sql(8)} SELECT id, label FROM q8")
+def repeated_enn(spark, sf):
+    """Edited nearest neighbours of two classes until nothing goes."""
+    return resample.repeated_edited(vec(spark, sf).withColumn("label", (F.col("label") % 2).cast("int")), 3, most=8).select("id", "label")
+
+
 def _targets(spark, sf):
     return vec(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

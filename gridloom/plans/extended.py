@@ -9,6 +9,7 @@ from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, resample, rulebase, rules, series, weather
 from ..sources import tables as T
+from ..streaming import stateful
 from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
 
 RATED_SQL = f"{SERIES_SQL}, rated AS (SELECT project, max(y) AS rated FROM series GROUP BY 1)"
@@ -443,3 +444,11 @@ _hourly_lags("lv_load_lags", series.LV_LOAD)
 _hourly_lags("scada_load_lags", series.SCADA_LOAD)
 _daily_lags("gas_weather_lags", series.GAS_WEATHER)
 _daily_lags("gas_day_ahead_lags", [*series.GAS_DAY_AHEAD, *series.GAS_YEAR_BACK])
+
+
+@query(f"WITH RECURSIVE {SERIES_SQL}, cut AS (SELECT max(hour) - 240 AS start FROM series), w AS (SELECT project, list(y ORDER BY hour) AS h FROM (SELECT p.project, t.hour, s.y FROM (SELECT DISTINCT project FROM series, cut WHERE hour <= start AND hour > start - 24) p CROSS JOIN (SELECT unnest(range(start - 23, start + 1)) AS hour FROM cut) t LEFT JOIN series s ON s.project = p.project AND s.hour = t.hour) GROUP BY 1), r AS (SELECT project, 0 AS step, h FROM w UNION ALL SELECT project, step + 1, list_append(h, 5 + 0.6 * h[-1] + 0.3 * h[-24]) FROM r WHERE step < 240) SELECT project, start + step AS hour, round(h[-1], 4) AS y_hat FROM r, cut WHERE step > 0")
+def recursive_horizon(spark, sf):
+    """Forecasts of 240 hours from lags of 1 and 24 hours, each fed back as later ones' lags, in one projection."""
+    s = hourly(spark, sf)
+    start = s.agg(F.max("hour")).collect()[0][0] - 240
+    return stateful.feedback(s, ["project"], "hour", "y", [1, 24], 240, "5 + 0.6 * lag_0 + 0.3 * lag_1", start).select("project", "hour", r6("y_hat", 4))

@@ -67,13 +67,69 @@ def serve(requests: DataFrame, consumers: dict[str, Callable[[DataFrame], DataFr
 
 
 def feedback(series: DataFrame, keys: list[str], time: str, y: str, lags: list[int], steps: int, model, start: int) -> DataFrame:
-    """Forecasts of `steps` times after `start` of any model over lags: each step is scored for all keys at once from what was observed to `start` and what was forecast since. model: a function from a frame with lag_0, lag_1, ... to a Column."""
-    known = series.filter((F.col(time) <= start) & (F.col(time) > start - max(lags))).select(*keys, time, F.col(y).alias("y_hat"))
-    out = None
-    for s in range(1, steps + 1):
-        at = start + s
-        wide = known.groupBy(*keys).agg(*[F.max(F.when(F.col(time) == at - l, F.col("y_hat"))).alias(f"lag_{i}") for i, l in enumerate(lags)])
-        made = wide.select(*keys, F.lit(at).cast("long").alias(time), model(wide).alias("y_hat"))
-        out = made if out is None else out.union(made)
-        known = known.union(made)
-    return out
+    """Forecasts of `steps` times after `start` of any model over lags, each fed back as a later one's lag: keys, time, y_hat.
+
+    One grouped pass gathers each key's last max(lags) values (of several at one time the largest); from there on no row
+    leaves its task. model: SQL text over lag_0, lag_1, ... (one projection, whatever the number of steps), a `Vectors`
+    function (one Arrow pass), or a function from a frame with these columns to a Column (a projection a step). A lag
+    that is null or was never observed gives null, as long as the model does.
+    """
+    ring = _rings(series, keys, time, y, max(lags), start)
+    if isinstance(model, Vectors):
+        return ring.mapInArrow(_recursion(keys, max(lags), list(lags), steps, model.f, start), _forecast_schema(ring, keys, time))
+    size = max(lags)
+    if isinstance(model, str):
+        one = f"array(CAST({model} AS DOUBLE))"
+        for i in reversed(range(len(lags))):  # each lag is the variable of a lambda around the model
+            one = f"flatten(transform(array(element_at(h, {-lags[i]})), lag_{i} -> {one}))"
+        h = F.expr(f"aggregate(sequence(1, {int(steps)}), ring, (h, s) -> concat(h, {one}))")
+    else:
+        frame = ring
+        for _ in range(steps):
+            wide = frame.select(*keys, "ring", *[F.element_at("ring", -l).alias(f"lag_{i}") for i, l in enumerate(lags)])
+            frame = wide.select(*keys, F.concat("ring", F.array(model(wide).cast("double"))).alias("ring"))
+        ring, h = frame, F.col("ring")
+    made = ring.select(*keys, F.posexplode(F.slice(h, size + 1, steps)).alias("__at", "y_hat")) if steps else ring.select(*keys, F.lit(0).alias("__at"), F.lit(None).cast("double").alias("y_hat")).limit(0)
+    return made.select(*keys, (F.lit(start + 1).cast("long") + F.col("__at")).alias(time), "y_hat")
+
+
+class Vectors:
+    """Marks a model that takes a numpy matrix (rows by lags) and gives a vector."""
+
+    def __init__(self, f: Callable[[np.ndarray], np.ndarray]):
+        self.f = f
+
+
+def _rings(series: DataFrame, keys: list[str], time: str, y: str, size: int, start: int) -> DataFrame:
+    """keys and ring: the values at start - size + 1, ... start, null where there are none; size values a key at most, whatever the series' length."""
+    last = series.filter((F.col(time) <= start) & (F.col(time) > start - size)).select(*keys, (F.col(time) - (start - size + 1)).cast("int").alias("__at"), F.col(y).cast("double").alias("__y"))
+    last = last.groupBy(*keys, "__at").agg(F.max("__y").alias("__y")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__at", "__y"))).alias("__m"))
+    return last.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("__m", k)).alias("ring"))
+
+
+def _forecast_schema(ring: DataFrame, keys: list[str], time: str):
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    return StructType([ring.schema[k] for k in keys] + [StructField(time, LongType()), StructField("y_hat", DoubleType())])
+
+
+def _recursion(keys: list[str], size: int, lags: list[int], steps: int, f: Callable, start: int):
+    """All steps of a batch of keys, side by side."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_rows
+            h = np.full((n, size + steps), np.nan)
+            h[:, :size] = np.array(batch.column("ring").flatten().to_numpy(zero_copy_only=False), float).reshape(n, size)
+            for s in range(steps):
+                x = h[:, [size + s - l for l in lags]]
+                on = ~np.isnan(x).any(1)  # a model need not know of missing values
+                if on.any():
+                    h[on, size + s] = np.asarray(f(x[on]), float)
+            row = pa.array(np.repeat(np.arange(n), steps))
+            y = h[:, size:].ravel()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), pa.array(np.tile(start + 1 + np.arange(steps), n)), pa.array(y, mask=np.isnan(y))], schema=pa.schema([*(batch.schema.field(k) for k in keys), pa.field("t", pa.int64()), pa.field("y_hat", pa.float64())]))
+
+    return run
