@@ -1,14 +1,14 @@
 """Phrase collocations by language: phrases whose words meet more often than their counts alone would have it.
 
 Three passes over the texts, none of which shuffles text:
-1. A count-min sketch of all words and phrases: each task fills one with saturating cells, equal blocks are added up by
-   a shuffle, and the whole, of bounded size (`cells`), is broadcast. A phrase's bound is the least of its cells and of
+1. A count-min sketch of all words and phrases: each task (one a core) fills one with saturating cells, equal blocks are
+   added up by a shuffle, and the whole, of bounded size (`cells`), is broadcast. A phrase's bound is the least of its cells and of
    its parts' bounds, so no phrase that reaches the threshold is missed; a saturated sketch lets more through, which
    costs time and never changes results.
-2. A task takes its texts a shard (`SHARD_BYTES` of one language) at a time. The shard's words and phrases whose bound
-   reaches the threshold are the candidates; they compile, space-guarded on both sides so that only whole words match,
-   into Aho-Corasick automata of at most `AUTOMATON_CHARS`, which scan the shard and count overlapping matches. Counts by
-   language and phrase are summed before and after the shuffle.
+2. A task takes its texts a shard (`SHARD_BYTES` of one language) at a time. The shard's phrases whose bound reaches the
+   threshold are the candidates; they compile, space-guarded on both sides so that only whole words match, into
+   Aho-Corasick automata of at most `AUTOMATON_CHARS`, which scan the shard and count overlapping matches. Counts by
+   language and phrase (words, too) are summed before and after the shuffle.
 3. What falls below the threshold goes; cuts, scores, drops and ranks are joins and windows over the counted phrases.
 
 Words never cross documents or pieces. A stretch without any delimiter that is longer than a shard is cut between words;
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, tidy
-from .kernels import mix
+from .kernels import mix, word_hashes
 
 MAX_WORDS = 3
 MIN_COUNT = 10
@@ -130,19 +130,40 @@ def shards(batches, max_words: int = MAX_WORDS, size: int | None = None) -> Iter
 
 
 class Words:
-    """A shard's words as numbers, in pieces."""
+    """A shard's words as numbers, in pieces, and its text with one space between words and a guarded newline between pieces."""
 
     def __init__(self, lang: str, texts: list[bytes]):
         import pyarrow as pa
         import xxhash
 
-        pieces = [p for t in texts for piece in t.split(b"\n") if (p := piece.split())]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        coded = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
-        self.ids, self.vocabulary, self.pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), pieces
-        self.left = np.repeat(np.cumsum(size), size) - np.arange(len(self.ids))  # words from here to the end of the piece
-        seed = xxhash.xxh3_64_intdigest(lang.encode(errors="replace"))
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        line = data == 10
+        full = ~line & (data != 32)
+        edge = np.diff(np.r_[False, full, False].astype(np.int8))
+        starts, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+        n = len(starts)
+        # only the words' bytes, one word after the other
+        flat, ends = data[full], np.cumsum(size)
+        coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
+        self.ids, self.distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        piece = np.cumsum(line)[starts]
+        begins = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if n else np.zeros(0, np.int64)
+        many = np.diff(np.r_[begins, n])
+        self.left = np.repeat(begins + many, many) - np.arange(n)  # words from here to the end of the piece
+        before = np.ones(n, np.int64)
+        before[begins[1:]] = 3
+        self.starts = np.cumsum(before + size) - size
+        self.ends = self.starts + size
+        guarded = np.full(int(self.ends[-1]) + 1 if n else 1, 32, np.uint8)
+        guarded[np.repeat(self.starts - (ends - size), size) + np.arange(len(flat))] = flat
+        guarded[self.starts[begins[1:]] - 2] = 10
+        self.text = guarded.tobytes()
+        off = np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: self.distinct + 1].astype(np.int64)
+        kinds = np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)
+        self.hashes = mix(word_hashes(kinds, off[:-1], off[1:], lower=False) ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(errors="replace"))))
+
+    def phrase(self, at: int, m: int) -> str:
+        return self.text[self.starts[at] : self.ends[at + m - 1]].decode(errors="replace")
 
     def grams(self, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each number of words: it, the places where so many stand in a piece, and the phrases' hashes at all places (others are undefined)."""
@@ -168,33 +189,49 @@ def _sketched(cells: int, max_words: int):
     return tidy(run)
 
 
+def one_each(codes: np.ndarray) -> np.ndarray:
+    """A place of each distinct number."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    return order[np.r_[True, codes[1:] != codes[:-1]]] if len(order) else order
+
+
 def candidates(words: Words, sketch: Sketch, min_count: int, max_words: int) -> Iterator[str]:
-    """The shard's words and phrases that may reach min_count in the whole corpus, each once."""
-    n = len(words.ids)
-    v = max(1, len(words.vocabulary))
-    code, below = words.ids, None  # a number for the phrase at each place; what the phrases of a word less have as bounds
+    """The shard's phrases of two words or more that may reach min_count in the whole corpus, each once."""
+    n, v = len(words.ids), max(1, words.distinct)
+    code, top, below = words.ids, v, None  # a number for the phrase at each place, what all are below, and what the phrases of a word less have as bounds
     for m, at, h in words.grams(max_words):
         bound = np.zeros(n + 1, np.uint8)
-        if m > 1:
-            at = at[(below[at] >= min_count) & (below[at + 1] >= min_count)]
-            # dense numbers keep the products below 2^63
-            _, code_at = np.unique(code[at], return_inverse=True)
-            code = np.zeros(n, np.int64)
-            code[at] = code_at * v + words.ids[at + m - 1]
+        if m == 1:
+            bound[:n] = sketch.bound(words.hashes)[words.ids]
+            below = bound
+            continue
+        at = at[(below[at] >= min_count) & (below[at + 1] >= min_count)]
+        if top * v >= 1 << 63:  # dense numbers keep the products small enough
+            _, dense = np.unique(code[at], return_inverse=True)
+            code, top = np.zeros(n, np.int64), n
+            code[at] = dense
+        longer = np.zeros(n, np.int64)
+        longer[at] = code[at] * v + words.ids[at + m - 1]
+        code, top = longer, top * v
         bound[at] = sketch.bound(h[at])
         at = at[bound[at] >= min_count]
-        _, first = np.unique(code[at], return_index=True)
-        for i in at[first]:
-            yield b" ".join([words.vocabulary[k] for k in words.ids[i : i + m]]).decode(errors="replace")
+        for i in at[one_each(code[at])].tolist():
+            yield words.phrase(i, m)
         below = bound
 
 
-def counted(found: Iterator[str], texts: list[bytes], runs: list[list[bytes]]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Phrases and their counts in the pieces (less those in the runs), an automaton's worth at a time."""
-    import ahocorasick
+def word_counts(words: Words, sketch: Sketch, min_count: int) -> tuple[list[str], np.ndarray]:
+    """The shard's words that may reach min_count in the whole corpus, and their counts here."""
+    n = np.bincount(words.ids, minlength=words.distinct)
+    at = one_each(words.ids)
+    at = at[sketch.bound(words.hashes[words.ids[at]]) >= min_count]
+    return [words.phrase(i, 1) for i in at.tolist()], n[words.ids[at]]
 
-    guarded = lambda pieces: " " + " \n ".join(b" ".join(p).decode(errors="replace") for p in pieces) + " "
-    text, twice = guarded(texts), guarded(runs) if runs else ""
+
+def counted(found: Iterator[str], text: str, twice: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Phrases and their counts in the guarded text less those in `twice`, an automaton's worth at a time."""
+    import ahocorasick
 
     def scan(keys, longest):
         machine = ahocorasick.Automaton()
@@ -203,8 +240,8 @@ def counted(found: Iterator[str], texts: list[bytes], runs: list[list[bytes]]) -
         machine.make_automaton()
         n = np.zeros(len(keys), np.int64)
         for sign, t in ((1, text), (-1, twice)):
-            for a in range(0, len(t), AUTOMATON_CHARS):  # a bounded list of matches at a time
-                hits = [k for end, k in machine.iter(t, max(0, a - longest), min(len(t), a + AUTOMATON_CHARS)) if end >= a]
+            for a in range(0, len(t), AUTOMATON_CHARS):  # a bounded number of matches at a time
+                hits = np.fromiter((k for end, k in machine.iter(t, max(0, a - longest), min(len(t), a + AUTOMATON_CHARS)) if end >= a), np.int64)
                 n += sign * np.bincount(hits, minlength=len(keys))
         return keys, n
 
@@ -220,17 +257,26 @@ def counted(found: Iterator[str], texts: list[bytes], runs: list[list[bytes]]) -
         yield scan(keys, longest)
 
 
+def _batch(lang: str, phrases: list[str], n):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "n": pa.array(n, pa.int64())})
+
+
 def _scanned(sketch_of, min_count: int, max_words: int):
     def run(batches):
-        import pyarrow as pa
-
         sketch = sketch_of()
         for lang, texts, runs in shards(batches, max_words):
             words = Words(lang, texts)
-            total = len(words.ids) - sum(map(len, runs))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "phrase": pa.array([""]), "n": pa.array([total], pa.int64())})
-            for keys, n in counted(candidates(words, sketch, min_count, max_words), words.pieces, runs):
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "phrase": pa.array(keys, pa.string()), "n": pa.array(n)})
+            shared = Words(lang, [b" ".join(r) for r in runs])
+            yield _batch(lang, [""], [len(words.ids) - len(shared.ids)])
+            yield _batch(lang, *word_counts(words, sketch, min_count))
+            if runs:
+                keys, n = word_counts(shared, sketch, min_count)
+                yield _batch(lang, keys, -n)
+            twice = shared.text.decode(errors="replace") if runs else ""
+            for keys, n in counted(candidates(words, sketch, min_count, max_words), words.text.decode(errors="replace"), twice):
+                yield _batch(lang, keys, n)
 
     return tidy(run)
 
@@ -247,7 +293,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     if cells is None:
         cells = cells_for(texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0)
-    blocks = texts.mapInArrow(_sketched(cells, max_words), "k int, cells binary").rdd.map(lambda r: (r.k, bytes(r.cells)))
+    # a task a core: what is shuffled grows with the cluster, not with the texts
+    few = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    blocks = few.mapInArrow(_sketched(cells, max_words), "k int, cells binary").rdd.map(lambda r: (r.k, bytes(r.cells)))
     size = min(BLOCK, cells)
     data = np.zeros(2 * cells, np.uint8)
     for k, block in blocks.reduceByKey(_both, int(spark.conf.get("spark.sql.shuffle.partitions"))).collect():
