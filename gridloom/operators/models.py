@@ -15,35 +15,12 @@ def forest(train: DataFrame, features: list[str], y: str, trees: int = 20, depth
 
 
 def rbf_ols(df: DataFrame, key: str, features: list[str], y: str, width: float = 1.0, centres: int = 48, rows: int = 3000) -> DataFrame:
-    """Orthogonal least squares choice of radial-basis centres, by key: key, step, centre (features), weight. At most `rows` training rows a key, by hashed order (the operator's own limit), so a group is bounded."""
-    import pandas as pd
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(F.xxhash64(*features, y))
-    kept = df.select(key, *features, y).dropna().withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= rows).drop("__r")
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    """Orthogonal least squares choice of radial-basis centres, by key: key, step, centre (features), weight. All rows are fitted; the candidates are at most `rows` distinct ones of each key, by hashed order."""
+    from . import rbf
 
-        x, t = g[features].to_numpy(float), g[y].to_numpy(float)
-        phi = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) * width**2)
-        chosen, basis, rest = [], np.zeros((len(x), 0)), phi.copy()
-        for _ in range(min(centres, len(x))):
-            power = (rest**2).sum(0)
-            gain = np.where(power > 1e-9, (rest.T @ t) ** 2 / np.maximum(power, 1e-9), -1)
-            gain[chosen] = -1
-            k = int(gain.argmax())
-            if gain[k] <= 1e-12 * (t @ t + 1e-12):
-                break
-            q = rest[:, k] / np.sqrt(power[k])
-            basis = np.c_[basis, q]
-            rest = rest - np.outer(q, q @ rest)
-            chosen.append(k)
-        weight = np.linalg.lstsq(phi[:, chosen], t, rcond=None)[0] if chosen else np.zeros(0)
-        return pd.DataFrame({key: [g[key].iloc[0]] * len(chosen), "step": range(len(chosen)), "centre": [x[k].tolist() for k in chosen], "weight": weight})
-
-    kind = dict(df.dtypes)[key]
-    return kept.groupBy(key).applyInPandas(fit, f"{key} {kind}, step int, centre array<double>, weight double")
+    own = rbf.distinct_rows(df, key, features, y)
+    models = rbf.fitted(rbf.in_parts(own), rbf.candidate_centres(own, rows), rbf.same_widths(own, [[width]]), centres)
+    return models.select(F.col("key").alias(key), F.posexplode(F.arrays_zip("centres", "weights")).alias("step", "__m")).select(key, "step", F.col("__m.centres").alias("centre"), F.col("__m.weights").alias("weight"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
@@ -53,50 +30,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> Da
     return out.select(*keys, F.posexplode("p").alias("n", "value")).withColumn("q", F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("n") + 1)).select(*keys, "q", "value")
 
 
-def width_sweep(df: DataFrame, key: str, features: list[str], y: str, widths: list[float], centres: int = 48, rows: int = 3000) -> DataFrame:
-    """key, width, sse, mae of a radial-basis fit of every width on the rows' later quarter, and best (the smallest of both together): each (key, width) is one task over the same bounded rows."""
-    import pandas as pd
-
-    from .ranks import by_share
-    from .resample import uniform
-
-    kept = df.select(key, *features, y).dropna()
-    kept = by_share(kept, [key], uniform(*[F.col(c) for c in (*features, y)]), [*features, y], "__r").filter(F.col("__r") <= rows)
-    wide = kept.withColumn("__w", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def width_sweep(df: DataFrame, key: str, features: list[str], y: str, widths: list[float], centres: int = 48, rows: int = 512) -> DataFrame:
+    """key, width, centres, sse, mae, best: `rbf.swept`, with at most `rows` candidate centres a key; all rows are fitted or judged."""
+    from . import rbf
 
-        g = g.sort_values("__r")
-        cut, width = max(1, len(g) * 3 // 4), float(g["__w"].iloc[0])
-        x, t = g[features].to_numpy(float), g[y].to_numpy(float)
-        phi = np.exp(-((x[:, None] - x[None, :cut]) ** 2).sum(-1) * width**2)
-        chosen, rest = _centres(phi[:cut], t[:cut], centres)
-        w = np.linalg.lstsq(phi[:cut][:, chosen], t[:cut], rcond=None)[0] if chosen else np.zeros(0)
-        e = t[cut:] - phi[cut:][:, chosen] @ w
-        return pd.DataFrame({key: [g[key].iloc[0]], "width": [width], "centres": [len(chosen)], "sse": [float((e * e).sum())], "mae": [float(np.abs(e).mean()) if len(e) else 0.0]})
-
-    out = wide.groupBy(key, "__w").applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, width double, centres int, sse double, mae double")
-    best = out.groupBy(F.col(key).alias("__k")).agg(F.min_by("width", F.struct(F.col("sse") * F.col("mae"), F.col("width"))).alias("__best"))
-    return out.join(best, F.col(key) == F.col("__k")).select(*out.columns, (F.col("width") == F.col("__best")).alias("best"))
-
-
-def _centres(phi, t, most: int):
-    """Columns of phi by orthogonal least squares, the one of the largest gain first."""
-    import numpy as np
-
-    chosen, rest = [], phi.copy()
-    for _ in range(min(most, phi.shape[1])):
-        power = (rest**2).sum(0)
-        gain = np.where(power > 1e-9, (rest.T @ t) ** 2 / np.maximum(power, 1e-9), -1)
-        gain[chosen] = -1
-        k = int(gain.argmax())
-        if gain[k] <= 1e-12 * (t @ t + 1e-12):
-            break
-        q = rest[:, k] / np.sqrt(power[k])
-        rest = rest - np.outer(q, q @ rest)
-        chosen.append(k)
-    return chosen, rest
+    return rbf.swept(df, key, features, y, widths, centres, rows)
 
 
 def quantile_fits(df: DataFrame, key: str, features: list[str], y: str, qs: list[float], rounds: int = 500, rows: int = 3000) -> DataFrame:
