@@ -6,8 +6,9 @@ times its share of the rare words' counts, so the probabilities of all words, un
 fall into classes of about equal mass, so a token costs a softmax over the classes and one over its class.
 
 Training: every token of every training text is learned, each text from its start in windows of WINDOW tokens by
-truncated backpropagation, the state carried from window to window. Texts are dealt to replicas by a hash of id and text,
-so the result doesn't depend on the input's partitions; replicas are averaged, FAN_IN at a time, ROUNDS times. Only
+truncated backpropagation, the state carried from window to window. Texts are dealt to replicas by a hash of id and text
+and put in order by it, and a replica trains on one group of GROUP_TOKENS after the other, so the result depends neither
+on the input's partitions nor on the size of Arrow batches; replicas are averaged, FAN_IN at a time, ROUNDS times. Only
 counts of KNOWN words at most and averaged weights, both of fixed size, reach the driver. Scoring runs whole texts in
 windows with the state carried, many texts side by side.
 
@@ -47,6 +48,8 @@ WIDE = 10_000
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
 REPLICA_TOKENS = 4_000_000
+#: Tokens of the texts that a replica trains on side by side.
+GROUP_TOKENS = 500_000
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
@@ -387,19 +390,32 @@ def most_frequent(counted: DataFrame, most: int = KNOWN) -> DataFrame:
     return counted.filter(step >= least)
 
 
+def groups(batches: Iterator[pa.RecordBatch], tokens: int = GROUP_TOKENS) -> Iterator[list[np.ndarray]]:
+    """The texts in order, in groups that end with the text by which they hold so many tokens, whatever the batches."""
+    texts, size = [], 0
+    for batch in batches:
+        for x in batch.column("ids").to_numpy(zero_copy_only=False):
+            texts.append(np.array(x))
+            size += len(x)
+            if size >= tokens:
+                yield texts
+                texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
     """Average of the replicas that the partitions of `parts` (k, ids; dealt by k) train, `rounds` times over; means of FAN_IN at a time till a few are left."""
     sc = parts.sparkSession.sparkContext
     tokens = parts.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).collect()[0][0]
     replicas = max(8, tokens // REPLICA_TOKENS)
-    parts = parts.repartition(replicas, "k").select("ids")
+    parts = parts.repartition(replicas, "k").sortWithinPartitions("k", "ids").select("ids")
     voc = held.value
     blob = Model(voc.cls, voc.mass).dump()
 
     def replica(batches: Iterator[pa.RecordBatch], start) -> Iterator[pa.RecordBatch]:
         model, n = Model(held.value.cls, held.value.mass).load(start.value), 0
-        for batch in batches:
-            texts = [np.asarray(x) for x in batch.column("ids").to_numpy(zero_copy_only=False)]
+        for texts in groups(batches):
             model.train(texts)
             n += sum(map(len, texts))
         if n:
@@ -410,7 +426,7 @@ def fit(parts: DataFrame, held, rounds: int = ROUNDS) -> bytes:
         for batch in batches:
             for n, w in zip(batch.column("n").to_pylist(), batch.column("w").to_pylist(), strict=True):
                 with np.load(io.BytesIO(w)) as z:
-                    got = {k: z[k] * n for k in z.files}
+                    got = {k: z[k].astype(np.float64) * n for k in z.files}
                 sums = got if sums is None else {k: sums[k] + got[k] for k in got}
                 total += n
         if total:
