@@ -28,8 +28,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
-    pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.repeated_urls(pages))
+    decided = url_filter.ruled(table(spark, sf_dir, "pages"))
+    return url_filter.looked_up(decided, url_filter.repeated(decided))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

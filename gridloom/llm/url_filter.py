@@ -121,25 +121,36 @@ def possible(urls: DataFrame, filt: DataFrame, url: str = "canonical", n_blocks:
     return marked(urls, filt, url, n_blocks).filter("__gl_may").select(*urls.columns)
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """A row for each row of `pages`: page_id, host, path, rule, listed (boolean) and verdict. `listed`: a column `canonical`."""
+def ruled(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """page_id, host, path, canonical, rule and its verdict of every row, as a table of its own: the urls are a small part of the pages, and their canonical form, worked out here only, is dear."""
     u = F.col(url)
     base = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical"))
+    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    return cut(base.withColumns({"rule": name, "__gl_v": verdict}), "urls")
+
+
+def looked_up(decided: DataFrame, listed: DataFrame) -> DataFrame:
+    """The verdicts of rows of `ruled`. Only rows that no rule decides and that the filter passes are shuffled, to meet the list; all others keep to their tasks."""
     listed = cut(listed.select("canonical").filter(F.col("canonical").isNotNull()).distinct(), "listed")
     n_blocks = blocks_for(listed.count())
-    filt = bloom(listed, n_blocks=n_blocks)
-    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    # written once: the urls are a small part of the pages, and their canonical form is dear
-    ruled = cut(base.withColumns({"rule": name, "__gl_v": verdict}), "urls")
-    # only urls that no rule decides are looked up, each distinct one once; the others never meet the join
-    open_ = F.col("__gl_v").isNull() & F.col("canonical").isNotNull()
-    asked = ruled.filter(open_).select("canonical").distinct()
-    hits = possible(asked, filt, n_blocks=n_blocks).join(listed, "canonical").select("canonical", F.lit(True).alias("__gl_hit"))
-    out = ruled.filter(open_).join(hits, "canonical", "left").select(*ruled.columns, "__gl_hit").union(ruled.filter(~open_).withColumn("__gl_hit", F.lit(False)))
+    may = marked(decided, bloom(listed, n_blocks=n_blocks), n_blocks=n_blocks).withColumn("__gl_may", F.col("__gl_may") & F.col("__gl_v").isNull() & F.col("canonical").isNotNull())
+    # a url that very many pages carry is a large partition of this join, which Spark splits: the list has it once
+    met = may.filter("__gl_may").join(listed.withColumn("__gl_hit", F.lit(True)), "canonical", "left").select(*decided.columns, "__gl_hit")
+    out = met.union(may.filter(~F.col("__gl_may")).select(*decided.columns, F.lit(False)))
     on = F.coalesce(F.col("__gl_hit"), F.lit(False))
     return out.select("page_id", "host", "path", "rule", on.alias("listed"), F.coalesce("__gl_v", F.when(on, "block").otherwise("allow")).alias("verdict"))
 
 
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """A row for each row of `pages`: page_id, host, path, rule, listed (boolean) and verdict. `listed`: a column `canonical`."""
+    return looked_up(ruled(pages, rules, url, page_id), listed)
+
+
+def repeated(decided: DataFrame) -> DataFrame:
+    """Of rows of `ruled`: canonical urls carried by two pages or more."""
+    return decided.filter("canonical IS NOT NULL").groupBy("canonical").count().filter("count > 1").select("canonical")
+
+
 def repeated_urls(pages: DataFrame, url: str = "url") -> DataFrame:
-    """The list that the query uses: canonical urls carried by two pages or more."""
-    return pages.select(canonical(F.col(url)).alias("canonical")).filter("canonical IS NOT NULL").groupBy("canonical").count().filter("count > 1").select("canonical")
+    """Canonical urls carried by two pages or more, as a list for `judge`."""
+    return repeated(pages.select(canonical(F.col(url)).alias("canonical")))
