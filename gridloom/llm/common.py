@@ -36,11 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
     return OWN_CHECKPOINT_DIR
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have BATCH_ROWS rows at most: for operators whose result ships whole texts to Python when it is read."""
-    spark.conf.set(ARROW_ROWS, _fewer(spark))
-
-
 def _fewer(spark: SparkSession) -> str:
     rows = int(spark.conf.get(ARROW_ROWS))
     return str(rows if 0 < rows <= BATCH_ROWS else BATCH_ROWS)
@@ -69,12 +64,19 @@ def cut(df: DataFrame, name: str = "t", batch_rows: int | None = None) -> DataFr
     return out
 
 
-def tidy(run: Callable) -> Callable:
-    """A function for `mapInArrow` after which the worker, which lives on, gives the memory that it has freed back to the system."""
+def sliced(batches, rows: int):
+    """The same rows in batches of so many at most: for functions whose results ship whole texts, whatever the session's batches are."""
+    for batch in batches:
+        for a in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(a, rows)
+
+
+def tidy(run: Callable, rows: int | None = None) -> Callable:
+    """A function for `mapInArrow` after which the worker, which lives on, gives the memory that it has freed back to the system; `rows`: of its batches, at most."""
 
     def inner(batches):
         try:
-            yield from run(batches)
+            yield from run(batches if rows is None else sliced(batches, rows))
         finally:
             import pyarrow as pa
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import BATCH_ROWS, tidy
 
 SHINGLE = 5
 PERCENT = 75
@@ -126,7 +126,6 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """A row for each document and item that it contains."""
-    small_batches(docs.sparkSession)
     out = None
     for held in item_blocks(items, block_items=block_items):
 
@@ -137,14 +136,13 @@ def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) ->
                 cols = [batch.column("doc_id").take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([held.value.ids[n] for _, n, _ in hits], pa.int64()), pa.array(q, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([s for *_, s in hits], pa.int64()), pa.array([s / n for (*_, s), n in zip(hits, q, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, BATCH_ROWS), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for held in item_blocks(items, block_items=block_items):
 
@@ -154,5 +152,5 @@ def clean(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) ->
                 bad[[r for r, _, _ in held.value.search(batch.column(at))]] = True
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+        docs = docs.mapInArrow(tidy(run, BATCH_ROWS), docs.schema)
     return docs

@@ -28,7 +28,7 @@ from itertools import chain, groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, tidy
+from .common import BATCH_ROWS, tidy
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -291,7 +291,6 @@ def codec(model: str) -> Codec:
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text. One pass without a shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -305,12 +304,11 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run, BATCH_ROWS), SCHEMA)
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids (array of int) and decoded (string)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -318,4 +316,4 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             ids = [c.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(run, BATCH_ROWS), "doc_id long, ids array<int>, decoded string")

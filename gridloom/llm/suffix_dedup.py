@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small_batches, tidy
+from .common import BATCH_ROWS, cut, row_key, tidy
 from .url_filter import blocks_for, bloom, marked, possible
 
 WIDTH = 200
@@ -289,7 +289,6 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary: the bytes that stay)."""
-    small_batches(docs.sparkSession)
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     gone = cut(removed(ids.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "gone")
 
@@ -324,4 +323,4 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept
     seen = marked(ids, bloom(gone, "k", n), "k", n)
     whole = seen.filter("NOT __gl_may").select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
     both = whole.union(seen.filter("__gl_may").join(gone, ["d", "k"], "left").select("doc_id", "text", "gone"))
-    return both.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return both.mapInArrow(tidy(run, BATCH_ROWS), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
