@@ -38,7 +38,7 @@ ABSORBED_PERCENT = 50
 SCALE = 1_000_000
 NO_LANGUAGE = "und"
 DELIMITERS = ".,;:!?\n\x0b\x0c\r"
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Characters of the phrases in one automaton; a node for each at most, about 60 bytes.
 AUTOMATON_CHARS = 1 << 22
 #: Cells of a row of the sketch: a power of two that grows with the texts within these bounds; a cell is a byte, rows are two.
