@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import before, bounds_of, range_of
+from ..sources.interim import written
+from .ranks import before, range_of
 
 
 def scaled(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), kind: str = "minmax") -> DataFrame:
@@ -42,16 +43,34 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode("m").alias("m")).select("m.*")
 
 
+#: A column's ranks are broadcast up to so many distinct values (16 bytes each); beyond that they meet the rows by a shuffle.
+BROADCAST_VALUES = 1_000_000
+RANK_RANGES = 200
+
+
+def value_ranks(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """feature, v, rank: the average rank of every distinct value of all columns, as a table of its own; and how many there are by column. One pass over df counts all columns' values, whose numbering is by ranges, so that no task holds a column's."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "v")
+    counts = written(long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    found = {r.feature: r for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("kinds"), F.percentile_approx("v", [k / RANK_RANGES for k in range(1, RANK_RANGES)], 1000).alias("p")).collect()}
+    part = F.lit(0)
+    for c, r in found.items():
+        part = F.when(F.col("feature") == c, range_of(F.col("v"), sorted(set(r.p or [])))).otherwise(part)
+    placed = counts.withColumn("part", part)
+    base = before(placed.groupBy("feature", "part").agg(F.sum("n").alias("n")), ["feature"], "part", "n")  # RANK_RANGES rows a column
+    w = Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = placed.withColumn("own", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(base), ["feature", "part"])
+    return written(ranks.select("feature", "v", (F.col("base") + F.col("own") + (F.col("n") + 1) / 2).alias("rank")), "ranks"), {c: r.kinds for c, r in found.items()}
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column's average ranks: distinct values are counted, numbered by ranges (so no task holds them all), and joined back."""
+    """Each column's average ranks: `value_ranks`, joined back by value."""
+    ranks, kinds = value_ranks(df, columns)
     out = df
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).withColumn("part", range_of(F.col(c).cast("double"), bounds_of(df, c)))
-        base = before(counts.groupBy("part").agg(F.sum("n").alias("n")), [], "part", "n")
-        w = Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.withColumn("own", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(base), "part")
-        ranks = ranks.select(F.col(c).alias("__v"), (F.col("base") + F.col("own") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
-        out = out.join(ranks, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
+        own = ranks.filter(F.col("feature") == c).select(F.col("v").alias("__v"), F.col("rank").alias(f"rank_{c}"))
+        own = F.broadcast(own) if kinds.get(c, 0) <= BROADCAST_VALUES else own
+        out = out.join(own, F.col(c).cast("double").eqNullSafe(F.col("__v"))).drop("__v")
     return out
 
 

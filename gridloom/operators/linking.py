@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .series import row_shifts
+
 
 def aligned_pairs(series: DataFrame) -> DataFrame:
     """p1 < p2 and their values at common times: an equi-join on time, as wide as there are sites."""
@@ -15,11 +17,9 @@ def aligned_pairs(series: DataFrame) -> DataFrame:
 
 def best_lags(series: DataFrame, reach: int = 4) -> DataFrame:
     """For each pair of sites, the row shift of the second from -reach to reach of highest correlation; zero first, then by size, wins ties."""
-    w = Window.partitionBy("p1", "p2").orderBy("hour")
-    pairs = aligned_pairs(series)
-    for s in range(-reach, reach + 1):
-        pairs = pairs.withColumn(f"s{s + reach}", (F.lag("y2", s) if s >= 0 else F.lead("y2", -s)).over(w))
-    corr = pairs.groupBy("p1", "p2").agg(*[F.corr("y1", f"s{s + reach}").alias(str(s)) for s in range(-reach, reach + 1)])
+    shifts = list(range(-reach, reach + 1))
+    pairs = row_shifts(aligned_pairs(series), "hour", shifts, "y2", ("p1", "p2"), ("y1",))
+    corr = pairs.groupBy("p1", "p2").agg(*[F.corr("y1", f"shift_{'m' if s < 0 else ''}{abs(s)}").alias(str(s)) for s in shifts])
     long = corr.unpivot(["p1", "p2"], [str(s) for s in range(-reach, reach + 1)], "shift", "corr").withColumn("shift", F.col("shift").cast("int"))
     long = long.filter("corr IS NOT NULL")
     order = F.struct(F.round("corr", 9), -F.abs("shift"), -F.col("shift"))

@@ -52,23 +52,23 @@ def svm_smote(rows: DataFrame, label: int, n_new: int, k: int = 5, m: int = 10,
 
 
 def with_categories(rows: DataFrame, label: int, n_new: int, categories: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """Synthetic rows of a class with number columns (`features`) and category columns: a differing category counts as the median deviation of the numbers; numbers move towards one neighbour, categories are the most frequent of all k (ties: the first by name)."""
+    """Synthetic rows of a class with number columns (`features`) and category columns: a differing category counts as the median deviation of the numbers; numbers move towards one neighbour, categories are the most frequent of all k (ties: the first by name). A null category is a category of its own, before all names."""
     own = rows.filter(F.col("label") == label)
     dims = own.select(F.posexplode("features").alias("dim", "x")).groupBy("dim").agg(F.stddev_pop("x").alias("sd"))
     median = dims.agg(F.median("sd")).collect()[0][0] or 0.0
     encoded = F.col("features")
     for c in categories:
-        seen = sorted(str(r[0]) for r in rows.select(c).distinct().limit(MAX_CATEGORIES + 1).collect())
+        seen = sorted({r[0] for r in rows.select(F.col(c).cast("string")).distinct().limit(MAX_CATEGORIES + 1).collect()}, key=lambda v: (v is not None, v))
         if len(seen) > MAX_CATEGORIES:
             raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-        encoded = F.concat(encoded, F.array(*[F.when(F.col(c).cast("string") == v, median / 2).otherwise(0.0) for v in seen]))
+        encoded = F.concat(encoded, F.array(*[F.when(F.col(c).cast("string").eqNullSafe(F.lit(v)), median / 2).otherwise(0.0) for v in seen]))
     coded = own.withColumn("features", encoded)
     near = nearest(coded, coded, k)
     made = interpolated(own, _asked(own, n_new, seed), near, seed)
     votes = near.join(own.select(F.col("id").alias("other"), *categories), "other")
     for c in categories:
         count = votes.groupBy("id", c).agg(F.count(F.lit(1)).alias("n"))
-        made = made.join(count.groupBy("id").agg(F.max_by(c, F.struct("n", F.expr(f"transform(split({c}, ''), x -> -ascii(x))"))).alias(c)), "id")
+        made = made.join(count.groupBy("id").agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c)), "id")
     return made.select("id", "copy", "label", "features", *categories)
 
 
@@ -162,8 +162,8 @@ def instance_hardness(rows: DataFrame, targets: DataFrame, folds: int = 5) -> Da
 
 def nearest_representatives(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """Hard cluster centroids: of each class, the row nearest to each of its centres (centres: label, features)."""
-    c = by_value(centres.withColumn("id", F.hash("features").cast("long")), ["label"], "id", [], "__c").select((-F.col("__c") - 1).alias("id"), "label", "features")
-    key = c.withColumn("id", F.col("id") * 1_000 - F.col("label"))
+    least = rows.agg(F.min("id")).collect()[0][0] or 0  # ids below all rows' own, so that no row is left out of a search as the centre itself
+    key = by_value(centres.withColumn("__h", F.xxhash64("label", "features")), [], "__h", ["label", "features"], "__c").select((F.lit(least).cast("long") - F.col("__c")).alias("id"), "label", "features")
     found = nearest(key, rows, 1, within=True)
     return rows.join(found.select(F.col("other").alias("id")).distinct(), "id", "left_semi")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import halos
+
 #: Lags of the forecasts, in hours (load) or days (gas).
 LOAD_DAY_AHEAD = [*range(48, 75), *range(95, 98), 96, 120, 144, *range(166, 175), 192]
 LOAD_SHORT_TERM = [*range(1, 12), *range(22, 26), *range(47, 52), *range(166, 175), 192]
@@ -39,41 +41,45 @@ def lag_vector(series: DataFrame, time: str, lags: list[int], value: str = "y",
 
 
 def neighbours(series: DataFrame, time: str, value: str = "y", keys: tuple[str, ...] = (), step: int = 1) -> DataFrame:
-    """The values one step before and after, by time, not by row: null in gaps."""
-    w = Window.partitionBy(*keys).orderBy(time)
+    """The values one step before and after, by time, not by row: null in gaps. A value goes to its stretch of time, and to the next or last one if that is a step away."""
+    stretch = max(STRETCH, 2 * step)
+    at = lambda t: F.floor(t / stretch)
+    placed = series.select(*keys, time, value).withColumn("__at", F.explode(F.sequence(at(F.col(time) - step), at(F.col(time) + step))))
+    w = Window.partitionBy(*keys, "__at").orderBy(time)
     before, after = w.rangeBetween(-step, -step), w.rangeBetween(step, step)
-    return series.select(*keys, time, value, F.max(value).over(before).alias("prev"), F.max(value).over(after).alias("next"))
+    wide = placed.withColumns({"prev": F.max(value).over(before), "next": F.max(value).over(after)})
+    return wide.filter(F.col("__at") == at(F.col(time))).drop("__at")
 
 
-def row_shifts(series: DataFrame, time: str, shifts: list[int], value: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Positional shifts: row n takes the value of row n - shift."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    shifted = [(F.lag(value, s) if s >= 0 else F.lead(value, -s)).over(w).alias(f"shift_{'m' if s < 0 else ''}{abs(s)}") for s in shifts]
-    return series.select(*keys, time, value, *shifted)
+def row_shifts(series: DataFrame, time: str, shifts: list[int], value: str = "y", keys: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """Positional shifts: row n takes the value of row n - shift; `also`: further columns to keep."""
+    placed, size = halos.dealt(halos.numbered(series.select(*keys, time, value, *also), time, keys), max([0, *map(abs, shifts)]))
+    w = halos.over(keys)
+    names = {f"shift_{'m' if s < 0 else ''}{abs(s)}": (F.lag(value, s) if s >= 0 else F.lead(value, -s)).over(w) for s in shifts}
+    return placed.withColumns(names).filter(halos.home(size)).select(*keys, time, value, *also, *names)
 
 
 def backfill(df: DataFrame, time: str, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The next value that isn't null."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(value, F.first(value, ignorenulls=True).over(w))
+    return halos.next_known(df, time, value, keys)
 
 
 def smooth(df: DataFrame, time: str, value: str, half: int, keys: tuple[str, ...] = (), kind: str = "hanning") -> DataFrame:
     """Weighted mean (hanning or flat) of the rows up to `half` away; beyond an end the series is reflected at its last row."""
     import math
 
-    w = Window.partitionBy(*keys).orderBy(time)
     weight = {k: 0.5 + 0.5 * math.cos(math.pi * k / (half + 1)) if kind == "hanning" else 1.0 for k in range(-half, half + 1)}
-    r, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    near = F.collect_list(value).over(w.rowsBetween(-half, half))  # 2 * half + 1 values
-    placed = df.withColumns({"__near": near, "__r": r, "__n": n})
-    first = F.greatest(F.col("__r") - half, F.lit(1))
+    placed, size = halos.dealt(halos.numbered(df, time, keys, total=True), half)
+    r, n = F.col(halos.R), F.col(halos.N)
+    near = F.collect_list(F.struct(F.col(value).alias("v"))).over(halos.over(keys).rowsBetween(-half, half))  # 2 * half + 1 values, nulls in place
+    first = F.greatest(r - half, F.lit(1))
     total = F.lit(0.0)
     for k, x in weight.items():
-        at = F.col("__r") + k
-        at = F.when(at < 1, 2 - at).when(at > F.col("__n"), 2 * F.col("__n") - at).otherwise(at)
-        total = total + F.get("__near", (at - first).cast("int")) * x
-    return placed.withColumn("smooth", total / sum(weight.values())).drop("__near", "__r", "__n")
+        at = r + k
+        at = F.when(at < 1, 2 - at).when(at > n, 2 * n - at).otherwise(at)
+        total = total + F.get("__near", (at - first).cast("int"))["v"] * x
+    wide = placed.withColumn("__near", near).filter(halos.home(size))
+    return wide.withColumn("smooth", total / sum(weight.values())).select(*df.columns, "smooth")
 
 
 def day_extrema(hourly: DataFrame, hour: str = "hour", value: str = "y") -> DataFrame:
@@ -85,9 +91,9 @@ def day_extrema(hourly: DataFrame, hour: str = "hour", value: str = "y") -> Data
 
 def chronological_split(df: DataFrame, time: str, rate: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """split: test for all rows after the earliest of the keys' split times; each key splits at its row round(n * (1 - rate)) + 1, counted from 0."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumns({"__n": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(time)) - 1})
-    cut = placed.filter(F.col("__r") == F.least(F.bround(F.col("__n") * (1 - rate)) + 1, F.col("__n") - 1)).agg(F.min(time).alias("__cut"))
+    placed = halos.numbered(df.select(*keys, time), time, keys, total=True)
+    r, n = F.col(halos.R) - 1, F.col(halos.N)
+    cut = placed.filter(r == F.least(F.bround(n * (1 - rate)) + 1, n - 1)).agg(F.min(time).alias("__cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(time) > F.col("__cut"), "test").otherwise("train")).drop("__cut")  # one row
 
 
@@ -103,10 +109,10 @@ def shrinking_split(df: DataFrame, time: str, keys: tuple[str, ...], rate: float
 
 def contiguous_holdout(df: DataFrame, time: str, share: float, start: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """test: a block of int(n * share) + 1 rows from the row int(n * start)."""
-    w = Window.partitionBy(*keys)
-    n, r = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(time)) - 1
+    placed = halos.numbered(df, time, keys, total=True)
+    r, n = F.col(halos.R) - 1, F.col(halos.N)
     first = F.floor(n * start)
-    return df.withColumn("test", (r >= first) & (r <= first + F.floor(n * share)))
+    return placed.withColumn("test", (r >= first) & (r <= first + F.floor(n * share))).select(*df.columns, "test")
 
 
 def days_of(hours: DataFrame, run: str = "run_day", first: int = 24, last: int = 47) -> DataFrame:

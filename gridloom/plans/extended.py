@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, resample, rulebase, rules, series, weather
+from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, recursive, resample, rulebase, rules, series, weather
 from ..sources import tables as T
 from ..streaming import stateful
 from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
@@ -452,3 +452,18 @@ def recursive_horizon(spark, sf):
     s = hourly(spark, sf)
     start = s.agg(F.max("hour")).collect()[0][0] - 240
     return stateful.feedback(s, ["project"], "hour", "y", [1, 24], 240, "5 + 0.6 * lag_0 + 0.3 * lag_1", start).select("project", "hour", r6("y_hat", 4))
+
+
+#: The recursion of two methods, a row a step: errors, their tail probability, the factor, gain, weights and covariance.
+_RLS_STEPS = """SELECT *, y - a * w1 - b * w2 AS e, a * p11 + b * p12 AS pa, a * p12 + b * p22 AS pb, CASE WHEN n > 0 THEN sq / n ELSE 1.0 END AS var FROM (SELECT s.*, t.y, t.a, t.b FROM s JOIN t ON t.project = s.project AND t.r = s.r + 1)"""
+_RLS_SQL = f"""t AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY pass, hour) AS r, y, lag24 AS a, lag168 AS b FROM wide, (SELECT unnest([1, 2, 3]) AS pass) WHERE lag24 IS NOT NULL AND lag168 IS NOT NULL),
+s AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS r, 0.5::DOUBLE AS w1, 0.5::DOUBLE AS w2, 1e-4::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1e-4::DOUBLE AS p22, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS sq, 0.0::DOUBLE AS tails FROM t UNION ALL
+SELECT project, r + 1, CASE WHEN v1 + v2 > 0 THEN v1 / (v1 + v2) ELSE 0.5 END, CASE WHEN v1 + v2 > 0 THEN v2 / (v1 + v2) ELSE 0.5 END, (p11 - g1 * pa) / f, (p12 - g1 * pb) / f, (p22 - g2 * pb) / f, n + 1, mean + (e - mean) / (n + 1), sq + (e - mean) * (e - mean - (e - mean) / (n + 1)), tails2
+FROM (SELECT *, greatest(w1 + g1 * e, 0) AS v1, greatest(w2 + g2 * e, 0) AS v2 FROM (SELECT *, pa / (f + spread) AS g1, pb / (f + spread) AS g2 FROM (SELECT *, 0.75 + 0.249 * tails2 / (n + 1) AS f FROM (SELECT *, a * pa + b * pb AS spread, tails + CASE WHEN var > 0 THEN exp(-e * e * (a * pa + b * pb) / (var * (1 + a * pa + b * pb)) / 2) ELSE 0 END AS tails2 FROM ({_RLS_STEPS}))))))"""
+
+
+@query(f"WITH RECURSIVE {WIDE_SQL}, {_RLS_SQL}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY project ORDER BY r DESC) = 1) SELECT project, 'lag24' AS method, round(w1, 4) AS weight FROM l UNION ALL SELECT project, 'lag168', round(w2, 4) FROM l")
+def recursive_weights(spark, sf):
+    """Weights of two methods by least squares with adaptive forgetting, three passes over all rows of each site."""
+    rows = wide(spark, sf).select("project", "hour", "y", "lag24", "lag168")
+    return recursive.weights(rows, "project", "hour", ["lag24", "lag168"]).select("project", "method", r6("weight", 4))

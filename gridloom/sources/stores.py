@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
 from .tables import first_present, write_partitioned
 
 
@@ -46,8 +47,10 @@ def provider(name: str, readers: dict):
     return readers[name]
 
 
-def kept(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at the path, made by make() and written first if it isn't there."""
+def kept(spark: SparkSession, path: str, make, inputs: list[str] | None = None, params: dict | None = None) -> DataFrame:
+    """The table at the path, made by make() and written first if it isn't there; with `inputs` (paths) or `params`, also if these aren't what it was made from."""
+    if inputs is not None or params is not None:
+        return versions.made_from(spark, path, make, inputs or [], params)
     if first_present(spark, [f"{path}/_SUCCESS"]) is None:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -92,17 +95,18 @@ def save_linear(models: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame(rows, "key string, intercept double, features array<string>, weights array<double>").write.mode("overwrite").parquet(path)
 
 
-def put_projects(projects: DataFrame, path: str) -> None:
-    """The project table (one row a project, settings in `static_data`); a project that is put again replaces its row."""
+def put_projects(projects: DataFrame, path: str) -> DataFrame:
+    """The project table (one row a project, settings in `static_data`) after a project that is put again has replaced its row. A crash leaves the old rows or the new ones, never none."""
     spark = projects.sparkSession
-    if first_present(spark, [f"{path}/_SUCCESS"]) is None:
-        projects.write.mode("overwrite").parquet(path)
-        return
-    old = spark.read.parquet(path)
-    both = old.join(projects.select("project"), "project", "left_anti").unionByName(projects)
-    both.write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
-    remove(spark, f"{path}.new")
+    if versions.current(spark, path) is None:
+        return versions.commit(projects, path)
+    old = versions.read(spark, path)
+    return versions.commit(old.join(projects.select("project"), "project", "left_anti").unionByName(projects), path)
+
+
+def projects(spark: SparkSession, path: str) -> DataFrame:
+    """The project table as last put."""
+    return versions.read(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> bool:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "w array<double>, p array<double>, n long, mean double, squares double"
+from ..operators.recursive import State
+
+STATE = "w array<double>, p array<double>, n long, mean double, squares double, tails double"
 
 
 def updated(state: tuple | None, x: np.ndarray, y: np.ndarray, forget: float = 0.99) -> tuple:
@@ -30,20 +32,31 @@ def updated(state: tuple | None, x: np.ndarray, y: np.ndarray, forget: float = 0
     return w.tolist(), p.ravel().tolist(), n, float(mean), float(squares)
 
 
-def online_weights(stream: DataFrame, key: str, time: str, methods: list[str], forget: float = 0.99) -> DataFrame:
-    """A row of weights for each key and micro-batch that has rows of it; the state goes on from batch to batch and outlives restarts by the query's checkpoint."""
+def online_weights(stream: DataFrame, key: str, time: str, methods: list[str], forget: float | None = 0.99) -> DataFrame:
+    """A row of weights for each key and micro-batch that has rows of it; the state goes on from batch to batch and outlives restarts by the query's checkpoint. forget None: the adaptive factor of `recursive`, whose weights after all batches are those of one pass over all rows."""
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(time)
-        new = updated(tuple(state.get) if state.exists else None, rows[methods].to_numpy(float), rows["y"].to_numpy(float), forget)
-        state.update(new)
-        yield pd.DataFrame({key: [k[0]], "n": [new[2]], "weights": [new[0]]})
+        rows = pd.concat(list(batches)).sort_values([time, "y", *methods])
+        x, y = rows[methods].to_numpy(float), rows["y"].to_numpy(float)
+        if forget is None:
+            new = _unpacked(state.get, len(methods)) if state.exists else State.first(len(methods))
+            new.update(x, y)
+            packed = (new.w.tolist(), new.p.ravel().tolist(), new.n, float(new.mean), float(new.squares), float(new.tails))
+        else:
+            packed = (*updated(tuple(state.get)[:5] if state.exists else None, x, y, forget), 0.0)
+        state.update(packed)
+        yield pd.DataFrame({key: [k[0]], "n": [packed[2]], "weights": [packed[0]]})
 
     rows = stream.select(key, time, "y", *methods).dropna()
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, weights array<double>", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _unpacked(state: tuple, k: int) -> State:
+    w, p, n, mean, squares, tails = state
+    return State(np.array(w, float), np.array(p, float).reshape(k, k), n, mean, squares, tails)
+
+
 def dispatched(batch: DataFrame, consumers: dict[str, Callable[[DataFrame], DataFrame]], late: int | None = None, now: int | None = None) -> DataFrame:
     """Answers (correlation_id, reply_to, status, body) of a batch of requests (consumer_name, correlation_id, reply_to, sent, static_data): each consumer gets its own requests at once; unknown consumers and requests older than `late` seconds are answered by a status."""
     ok = F.lit(True) if late is None else F.col("sent") >= (now - late)
@@ -55,6 +68,65 @@ def dispatched(batch: DataFrame, consumers: dict[str, Callable[[DataFrame], Data
     return bad
 
 
+PENDING = "asked timestamp, reply_to string, body string"
+
+
+def matched(requests: DataFrame, replies: DataFrame, wait: str, late: str = "0 seconds") -> DataFrame:
+    """An answer to every request of a stream (correlation_id, reply_to, sent) from a stream of replies (correlation_id, body, at): correlation_id, reply_to, status, body.
+
+    A request waits in the state, by its id, until a reply comes (`done`), or until the event time, which `late` rows may
+    lag behind, has passed `wait` since it was sent (`timeout`); either ends it. A reply that comes before its request
+    waits for it as long. A reply to no pending request, one that comes after its time-out, and one that comes again, is
+    given as `unclaimed`. What waits outlives restarts by the query's checkpoint.
+    """
+    asks = requests.select("correlation_id", F.lit(True).alias("asks"), "reply_to", F.lit(None).cast("string").alias("body"), F.col("sent").alias("at"))
+    gives = replies.select("correlation_id", F.lit(False).alias("asks"), F.lit(None).cast("string").alias("reply_to"), "body", "at")
+    both = asks.union(gives).withWatermark("at", late)
+    ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            asked, reply_to, body = state.get
+            out.append((key[0], reply_to, "timeout" if asked is not None else "unclaimed", body))
+            state.remove()
+        else:
+            asked = reply_to = body = since = None
+            if state.exists:
+                asked, reply_to, body = state.get
+            rows = pd.concat(list(batches)).sort_values(["at", "asks"], ascending=[True, False])
+            for r in rows.itertuples():
+                if r.asks and asked is None:
+                    asked, reply_to = r.at, r.reply_to
+                    if body is not None:  # its reply came first
+                        out.append((key[0], reply_to, "done", body))
+                        asked = reply_to = body = None
+                elif not r.asks:
+                    if asked is not None and (r.at - pd.Timestamp(asked)) <= pd.Timedelta(wait):
+                        out.append((key[0], reply_to, "done", r.body))
+                        asked = reply_to = body = None
+                    elif asked is not None:  # too late
+                        out += [(key[0], reply_to, "timeout", None), (key[0], None, "unclaimed", r.body)]
+                        asked = reply_to = body = None
+                    else:
+                        if body is not None:
+                            out.append((key[0], None, "unclaimed", r.body))
+                        else:
+                            body = r.body
+                since = r.at
+            if asked is None and body is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((asked, reply_to, body))
+                end = int(pd.Timestamp(asked if asked is not None else since).timestamp() * 1000) + ms
+                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["correlation_id", "reply_to", "status", "body"])
+
+    kind = dict(requests.dtypes)["correlation_id"]
+    return both.groupBy("correlation_id").applyInPandasWithState(step, f"correlation_id {kind}, reply_to string, status string, body string", PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def serve(requests: DataFrame, consumers: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, late: int | None = None):
     """Answer a stream of requests into JSON files; a batch that is run again after a failure overwrites its own answers."""
 
