@@ -49,7 +49,7 @@ ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
 REPLICA_TOKENS = 4_000_000
 #: Tokens of the texts that a replica trains on side by side.
-GROUP_TOKENS = 500_000
+GROUP_TOKENS = 4_000_000
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
