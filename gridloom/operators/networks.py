@@ -24,6 +24,8 @@ QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 PART_ROWS = 20_000
 BATCH = 64
 EPOCHS = 5
+#: Models of a few hundred numbers each that are broadcast to score rows.
+BROADCAST_MODELS = 2000
 MODEL = "x_mean array<double>, x_sd array<double>, y_mean double, y_sd double, hidden int, p array<double>"
 
 
@@ -127,22 +129,49 @@ def fit(df: DataFrame, key: str, features: list[str], y: str, quantiles: tuple[f
 
 
 def forecast(df: DataFrame, key: str, features: list[str], models: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """df with y_hat and q (an array, ascending, one for each quantile): null where a feature is null or the key has no model. The model joins its key's rows as columns, and batches are worked out by key."""
-    heads = 1 + len(quantiles)
-    own = models.select(F.col(key).alias("__k"), F.struct("x_mean", "x_sd", "y_mean", "y_sd", "hidden", "p").alias("__m"))
-    wide = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in features])).join(own, F.col(key) == F.col("__k"), "left").drop("__k")
-    z = F.transform(F.arrays_zip(F.col("__x").alias("x"), F.col("__m.x_mean").alias("m"), F.col("__m.x_sd").alias("s")), lambda v: (v["x"] - v["m"]) / v["s"])
-    d = len(features)
-    p, size = F.col("__m.p"), F.col("__m.hidden")
-    # sums over the parameters' places, in generated code: no key's rows need come together
-    unit = lambda j: F.tanh(F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), F.get(p, d * size + j), lambda s, i: s + F.get("__z", i) * F.get(p, i * size + j)))
-    base = (d + 1) * size
-    head = lambda o: F.aggregate(F.sequence(F.lit(0), size - 1), F.get(p, base + size * heads + o), lambda s, j: s + F.get("__h", j) * F.get(p, base + j * heads + o)) * F.col("__m.y_sd") + F.col("__m.y_mean")
-    there = F.col("__m").isNotNull() & F.forall("__x", lambda v: v.isNotNull())
-    wide = wide.withColumn("__z", F.when(there, z))
-    wide = wide.withColumn("__h", F.when(there, F.transform(F.sequence(F.lit(0), size - 1), unit)))
-    out = wide.withColumns({"y_hat": F.when(there, head(F.lit(0))), "q": F.when(there, F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(heads - 1)), head) if heads > 1 else F.array().cast("array<double>")))})
-    return out.select(*df.columns, "y_hat", "q")
+    """df with y_hat and q (an array, ascending, one for each quantile): null where a feature is null or the key has no model. Up to BROADCAST_MODELS models go to all tasks, and rows stay where they are; more meet their rows by key, in parts."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    spark, heads = df.sparkSession, 1 + len(quantiles)
+    schema = StructType([*df.schema.fields, StructField("y_hat", DoubleType()), StructField("q", ArrayType(DoubleType()))])
+    kept = ["x_mean", "x_sd", "y_mean", "y_sd", "hidden", "p"]
+    if models.count() <= BROADCAST_MODELS:
+        held = spark.sparkContext.broadcast({r[0]: r.asDict() for r in models.select(key, *kept).collect()})
+        return df.mapInArrow(lambda batches: (_scored(b, key, features, held.value, heads) for b in batches), schema)
+    rows = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(spark.sparkContext.defaultParallelism)))
+    places = rows.select(F.col(key).alias("__k"), F.col("__part").alias("__at")).distinct()
+    theirs = models.select(F.col(key).alias("__k"), *kept).join(places, "__k", "right")
+    theirs = theirs.select(*[F.col(c).alias(c) for c in theirs.columns])  # both sides may come from one table
+
+    def run(left, right):
+        import pyarrow as pa
+
+        m = {} if not right.num_rows else {right.column("__k")[0].as_py(): right.slice(0, 1).to_pylist()[0]}
+        return pa.Table.from_batches([_scored(b, key, features, {k: v for k, v in m.items() if v["p"] is not None}, heads) for b in left.drop_columns(["__part"]).to_batches()]) if left.num_rows else pa.table([pa.array([], f.type) for f in _schema(left.schema)], schema=pa.schema(_schema(left.schema)))
+
+    return rows.groupBy(F.col(key), "__part").cogroup(theirs.groupBy("__k", "__at")).applyInArrow(run, schema)
+
+
+def _schema(schema) -> list:
+    import pyarrow as pa
+
+    return [*(f for f in schema if f.name != "__part"), pa.field("y_hat", pa.float64()), pa.field("q", pa.list_(pa.float64()))]
+
+
+def _scored(batch, key: str, features: list[str], models: dict, heads: int):
+    """The batch with its rows' forecasts, worked out by key."""
+    import pyarrow as pa
+
+    x = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features], 1) if batch.num_rows else np.zeros((0, len(features)))
+    keys = np.array(batch.column(key).to_pylist(), object)
+    out = np.full((len(x), heads), np.nan)
+    for k in set(keys.tolist()) & set(models):
+        at = np.flatnonzero((keys == k) & ~np.isnan(x).any(1))
+        if len(at):
+            out[at] = outputs(x[at], models[k], heads)
+    none = np.isnan(out[:, 0])
+    q = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, heads - 1))], pa.int32()), pa.array(out[~none, 1:].ravel()), mask=pa.array(none))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[:, 0], mask=none), q], schema=pa.schema(_schema(batch.schema)))
 
 
 def stacked(pred: DataFrame, keys: list[str], methods: list[str], key: str, **more) -> DataFrame:

@@ -379,7 +379,7 @@ def knn_self_join(spark, sf):
     return resample.nearest(v, v, 3).select("id", "other", r6("dist", 5), "rank")
 
 
-@query(f"WITH {NEAR_SQL}, one AS (SELECT * FROM near WHERE rank = 1 AND label <> other_label) SELECT x.id AS a, x.other AS b FROM one x JOIN one y ON x.other = y.id AND y.other = x.id WHERE x.id < x.other")
+@query(f"WITH {NEAR_SQL} SELECT least(id, other) AS a, greatest(id, other) AS b FROM near WHERE rank = 1 AND label <> other_label GROUP BY 1, 2 HAVING count(*) = 2")
 def tomek_links(spark, sf):
     return resample.tomek_links(vec(spark, sf))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import alternating, cluster, combine, evolve, features, frames, grid, metrics, oversample, recursive, resample, rulebase, rules, series, weather
+from ..operators import alternating, cluster, combine, evolve, features, frames, grid, machines, metrics, networks, oversample, rbf, recursive, resample, rulebase, rules, series, weather
 from ..sources import tables as T
 from ..streaming import stateful
 from .catalog import _GAUSS, ACT_SQL, BCP_SQL, DAILY_SQL, GRID_SQL, LAGGED_SQL, NEAR_SQL, PRED_SQL, SCORES_SQL, SERIES_SQL, V_SQL, XS_SQL, _draw, _lags_sql, _MADE, _rounded, _smote_sql, cells, daily, first_centres, hourly, lagged, predictions, query, r6, scores, vec, xs
@@ -281,12 +281,13 @@ def _horizon_sql() -> str:
     return " UNION ALL ".join(acts)
 
 
-@query(f"WITH hs AS (SELECT CAST(h AS DOUBLE) AS h FROM range(1, 49) t(h)), m AS ({_horizon_sql()}) SELECT CAST(h AS BIGINT) AS h, 'rule.' || k AS rule, round(pow(m, 0.5), 6) AS act FROM m WHERE pow(m, 0.5) >= 0.01")
+@query(f"WITH {SERIES_SQL}, hs AS (SELECT project, hour, CAST(hour - start AS DOUBLE) AS h FROM series, (SELECT max(hour) - 48 AS start FROM series) WHERE hour > start), k AS (SELECT DISTINCT h FROM hs), m AS ({_horizon_sql().replace('FROM hs', 'FROM k')}) SELECT project, hour, 'rule.' || k AS rule, round(pow(m, 0.5), 6) AS act FROM hs JOIN m USING (h) WHERE pow(m, 0.5) >= 0.01")
 def horizon_rules(spark, sf):
-    """Which horizon rules each hour of a forecast activates."""
-    base = evolve.with_horizons({"rule.0": []})
-    hours = spark.range(1, 49).select(F.col("id").cast("double").alias("horizon"))
-    return rules.partitioned(hours, base).select(F.col("horizon").cast("long").alias("h"), "rule", r6("act"))
+    """Which horizon rules each of the sites' last 48 hours activates, as hours of a forecast."""
+    s = hourly(spark, sf)
+    start = s.agg(F.max("hour")).collect()[0][0] - 48
+    hours = s.filter(F.col("hour") > start).select("project", "hour", (F.col("hour") - start).cast("double").alias("horizon"))
+    return rules.partitioned(hours, evolve.with_horizons({"rule.0": []})).select("project", "hour", "rule", r6("act"))
 
 
 @query(f"WITH {LAGGED_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT project, hour FROM lagged WHERE train)), a AS (SELECT rule, count(*) AS c, regr_slope(y, lag24) AS s, regr_intercept(y, lag24) AS i FROM lagged WHERE train GROUP BY 1), g AS (SELECT a.* FROM a, n WHERE c > 20 AND c < 1.1 * n), p AS (SELECT l.project, l.hour, any_value(l.y) AS y, avg(g.i + g.s * l.lag24) AS p FROM lagged l LEFT JOIN g USING (rule) WHERE NOT train GROUP BY 1, 2) SELECT round(sum(pow((coalesce(p, 1e15) - y) / 1000, 2)), 4) AS squares, round(avg(abs((coalesce(p, 1e15) - y) / 1000)), 6) AS mean FROM p")
@@ -467,3 +468,47 @@ def recursive_weights(spark, sf):
     """Weights of two methods by least squares with adaptive forgetting, three passes over all rows of each site."""
     rows = wide(spark, sf).select("project", "hour", "y", "lag24", "lag168")
     return recursive.weights(rows, "project", "hour", ["lag24", "lag168"]).select("project", "method", r6("weight", 4))
+
+
+def _scaled_wide(spark, sf):
+    """Each site's series and two lags, scaled to its range."""
+    return features.scaled(wide(spark, sf).select("project", "hour", "y", "lag24", "lag168").dropna(), ["y", "lag24", "lag168"], ("project",))
+
+
+@query()
+def rbf_width_sweep(spark, sf):
+    """Radial-basis models of every width, for each site, on a part of its rows, and their errors on the rest."""
+    out = rbf.swept(_scaled_wide(spark, sf), "project", ["lag24", "lag168"], "y", [0.5, 1.0, 2.0, 4.0, 8.0], candidates=128)
+    return out.select("project", "width", "centres", r6("sse", 4), r6("mae", 4), "best")
+
+
+@query()
+def rbf_feature_widths(spark, sf):
+    """Widths by feature that an evolutionary search finds for each site: two short generations."""
+    found = rbf.searched(_scaled_wide(spark, sf), "project", ["lag24", "lag168"], "y", settings=evolve.Settings(parents=6, children=6, generations=2), candidates=64)
+    return found.select("project", "width", F.size("centres").alias("centres"), r6("sse", 4), r6("mae", 4))
+
+
+@query()
+def quantile_network(spark, sf):
+    """Each row's forecast and nine quantiles, by a network for each site that all its rows train."""
+    rows = _scaled_wide(spark, sf)
+    models = networks.fit(rows, "project", ["lag24", "lag168"], "y", hidden=8, rounds=4)
+    out = networks.forecast(rows, "project", ["lag24", "lag168"], models)
+    return out.select("project", "hour", r6("y_hat", 3), F.transform("q", lambda x: F.round(x, 3)).alias("q"))
+
+
+@query()
+def landmark_components(spark, sf):
+    """Two kernel principal components of each site's rows, by landmarks, by size (a component has no sign of its own)."""
+    out = machines.components(_scaled_wide(spark, sf).withColumn("id", F.col("hour")), "project", ["lag24", "lag168"], 2.0, most=64)
+    return out.select("project", F.col("id").alias("hour"), F.transform("components", lambda x: F.round(F.abs(x), 4)).alias("components"))
+
+
+@query()
+def support_vector_forecasts(spark, sf):
+    """Forecasts by support-vector regression on landmark features of all sites' rows."""
+    rows = _scaled_wide(spark, sf)
+    phi, names = machines.landmark_features(rows, ["lag24", "lag168"], machines.landmarks(rows, ["lag24", "lag168"], 24), 2.0)
+    model, _ = machines.support_regression(phi, names, "y", penalty=1.0, epsilon=0.05, rounds=20)
+    return phi.select("project", "hour", F.round(model.column(), 3).alias("y_hat"))

@@ -9,7 +9,7 @@ from gridloom.operators import machines, models
 
 def frame(spark, n, seed, key=lambda i: "s"):
     rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, 2))
+    x = rng.normal(size=(n, 2)) * [1.0, 0.4]
     return spark.createDataFrame([(key(i), i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, id long, a double, b double"), x
 
 

@@ -63,7 +63,15 @@ def test_forecasts_equal_numpy(df, models):
         want = N.outputs(np.array([[r.u, r.v] for r in rows]), m.asDict(), 10)
         assert np.allclose([[r.y_hat, *r.q] for r in rows], want)
     assert got.filter("site = 'd' OR u IS NULL").filter("y_hat IS NOT NULL OR q IS NOT NULL").count() == 0
-    assert [round(r.y_hat, 3) for r in got.filter("site = 'c'").collect()] == [5.0] * 3  # a constant
+    assert [r.y_hat for r in got.filter("site = 'c'").collect()] == pytest.approx([5.0] * 3, abs=0.02)  # a constant
+
+
+def test_models_that_are_too_many_to_broadcast(df, models, monkeypatch):
+    few = df.limit(200).union(df.filter("site <> 'a' AND t < 0.2 OR u IS NULL"))
+    of = lambda: sorted(str((r.site, r.u, r.v, r.t, r.y_hat and round(r.y_hat, 6), r.q and [round(x, 6) for x in r.q])) for r in N.forecast(few, "site", ["u", "v"], models).collect())
+    want = of()
+    monkeypatch.setattr(N, "BROADCAST_MODELS", 1)
+    assert of() == want
 
 
 def test_partitions_do_not_matter_and_copies_count(spark, df):
