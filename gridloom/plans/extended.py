@@ -512,3 +512,51 @@ def support_vector_forecasts(spark, sf):
     phi, names = machines.landmark_features(rows, ["lag24", "lag168"], machines.landmarks(rows, ["lag24", "lag168"], 24), 2.0)
     model, _ = machines.support_regression(phi, names, "y", penalty=1.0, epsilon=0.05, rounds=20)
     return phi.select("project", "hour", F.round(model.column(), 3).alias("y_hat"))
+
+
+_IMAGE = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * list_sum(list_transform(range(1, 65), lambda j: (x[j] - y[j]) * exp(-(pow((i - 1) // 8 - (j - 1) // 8, 2) + pow((i - 1) % 8 - (j - 1) % 8, 2)) / 2)))))"
+
+
+@query(f"WITH {_PAIR} SELECT id, round({_IMAGE}, 4) AS image FROM p")
+def image_distances(spark, sf):
+    """Every vector, as an image of 8 by 8, to one of them: near pixels count for one another."""
+    v = vec(spark, sf)
+    one = v.filter("id = 0").select(F.col("features").alias("y"))
+    return v.filter("id <> 0").crossJoin(F.broadcast(one)).select("id", F.round(cluster.image_distance(F.col("features"), F.col("y"), 8, 8), 4).alias("image"))  # one row
+
+
+_ANY = _smote_sql("SELECT 1 AS label, count(*) + 40 AS target FROM w").replace("FROM v) o", "FROM w) o").replace("JOIN v b ON a.label = b.label AND a.id <> b.id", "JOIN v b ON a.id <> b.id").replace("b.f AS g,", "b.f AS g, b.label AS gl,").replace("c.f, n.g FROM", "c.f, n.g, n.gl FROM").replace("f[i] + ", "f[i] + CASE WHEN gl <> label THEN 0.5 ELSE 1.0 END * ")
+
+
+@query(f"WITH {NEAR_SQL}, q AS (SELECT id, count(*) FILTER (other_label <> 1) AS f, count(*) AS m FROM near WHERE label = 1 AND rank <= 10 GROUP BY 1), w AS (SELECT v.* FROM v JOIN q USING (id) WHERE 2 * q.f >= m AND q.f < m), {_ANY} {_MADE}")
+def borderline_smote_any(spark, sf):
+    """Forty rows of one class from its rows in danger, towards neighbours of any class."""
+    return _rounded(resample.borderline_smote(vec(spark, sf), 1, 40, kind=2))
+
+
+_NOMINAL = _smote_sql("SELECT 1 AS label, count(*) + 50 AS target FROM v WHERE label = 1").replace("ORDER BY list_distance(a.f, b.f), b.id", "ORDER BY pow(list_distance(a.f, b.f), 2) + CASE WHEN a.id % 3 <> b.id % 3 THEN (SELECT m * m / 2 FROM med) ELSE 0 END, b.id")
+
+
+@query(f"WITH {V_SQL}, med AS (SELECT median(sd) AS m FROM (SELECT stddev_pop(x) AS sd FROM (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS i FROM v WHERE label = 1) GROUP BY i)), {_NOMINAL}, k AS (SELECT id, chr(CAST(97 + other % 3 AS INTEGER)) AS kind FROM nn WHERE rank <= 5 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, kind) = 1) SELECT id, copy, label, kind, list_transform(features, lambda x: round(x, 6)) AS features FROM made JOIN k USING (id)")
+def smote_nominal(spark, sf):
+    """Fifty rows of one class whose rows have a category, too."""
+    rows = vec(spark, sf).withColumn("kind", F.char(F.lit(97) + F.col("id") % 3))
+    made = oversample.with_categories(rows, 1, 50, ["kind"])
+    return made.select("id", "copy", "label", "kind", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query(f"WITH w AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, CAST(embedding[1] AS DOUBLE) AS y FROM embeddings), v AS (SELECT id, CAST(greatest(ceil((y - (SELECT min(y) FROM w)) / (SELECT stddev_pop(y) FROM w)), 0) AS INTEGER) AS label, f, y FROM w), {_smote_sql('SELECT label, max(count(*)) OVER () AS target FROM v GROUP BY label HAVING count(*) > 1')} SELECT made.id, copy, round(y, 6) AS y, list_transform(features, lambda x: round(x, 6)) AS features FROM made JOIN w USING (id)")
+def regression_oversampled(spark, sf):
+    """Rows for the rarer values of a number, by bins a deviation wide, each filled up to the largest."""
+    rows = vec(spark, sf).select("id", "features", F.col("features")[0].alias("y"))
+    made = oversample.regression_adasyn(rows, "y")
+    return made.select("id", "copy", r6("y"), F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query(f"WITH {V_SQL}, c AS (SELECT label, list(m ORDER BY i) AS g FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1) SELECT id, label FROM v JOIN c USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_distance(f, g), id) = 1")
+def class_representatives(spark, sf):
+    """Of each class, the row nearest to its mean."""
+    rows = vec(spark, sf)
+    means = rows.select("label", F.posexplode("features").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("features"))
+    return oversample.nearest_representatives(rows, centres).select("id", "label")
