@@ -40,20 +40,30 @@ class Moments:
 def moments(df: DataFrame, features: list[str], y: str) -> Moments:
     """One pass; rows with a null are left out."""
     size = len(features) + 2
+    return moments_by(df, features, y, F.lit(0)).get(0, Moments(list(features), np.zeros((size, size))))
+
+
+def moments_by(df: DataFrame, features: list[str], y: str, group: Column) -> dict[int, Moments]:
+    """The sums of each group (a small number a row, such as its fold), in one pass over all; groups without rows are left out."""
+    size = len(features) + 2
 
     def run(batches):
-        total = np.zeros((size, size))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(size - 1)], 1)
-            x = np.c_[np.ones(len(x)), x]
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], ["k", "v"])
+            x, of = np.c_[np.ones(len(x)), x], batch.column(size - 1).to_numpy(zero_copy_only=False)
+            for g in np.unique(of):
+                own = x[of == g]
+                total[int(g)] = total.get(int(g), 0) + own.T @ own
+        for g, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size * size, g), pa.int32()), pa.array(np.arange(size * size)), pa.array(t.ravel())], ["g", "k", "v"])
 
-    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate([*features, y])]).dropna()
-    got = rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size * size)
-    out[got.column("k").to_numpy()] = got.column("v").to_numpy()
-    return Moments(list(features), out.reshape(size, size))
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate([*features, y])], group.cast("int").alias("g")).dropna()
+    got = rows.mapInArrow(run, "g int, k long, v double").groupBy("g", "k").agg(F.sum("v").alias("v")).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for g, k, v in zip(got.column("g").to_pylist(), got.column("k").to_pylist(), got.column("v").to_pylist(), strict=True):
+        out.setdefault(g, np.zeros(size * size))[k] = v
+    return {g: Moments(list(features), v.reshape(size, size)) for g, v in out.items()}
 
 
 @dataclass
@@ -127,8 +137,10 @@ def folds(df: DataFrame, key: str, n: int = 3) -> Column:
 
 
 def fold_moments(df: DataFrame, features: list[str], y: str, key: str, n: int = 3) -> list[tuple[Moments, Moments]]:
-    """(train, test) sums of each fold; the train sums are the others' sums together."""
-    parts = [moments(df.filter(folds(df, key, n) == k), features, y) for k in range(n)]
+    """(train, test) sums of each fold, from one pass; the train sums are the others' sums together."""
+    found = moments_by(df, features, y, folds(df, key, n))
+    none = np.zeros((len(features) + 2, len(features) + 2))
+    parts = [found.get(k, Moments(list(features), none)) for k in range(n)]
     return [(Moments(features, sum(p.products for j, p in enumerate(parts) if j != k)), parts[k]) for k in range(n)]
 
 
@@ -200,6 +212,51 @@ def forest_importances(df: DataFrame, features: list[str], y: str, trees: int =
     return dict(zip(features, model.featureImportances.toArray().tolist(), strict=True))
 
 
+def permutation_importances(df: DataFrame, features: list[str], y: str, key: str, predict: Callable[[DataFrame], DataFrame], seed: int = 0) -> dict[str, float]:
+    """How much the mean squared error of a fitted model grows when one feature's values are dealt to other rows.
+
+    predict: gives a frame with the features `prediction` beside its columns. Every row gets, by one join for all
+    features, the values of the row a drawn number of places further in a hashed order, so nothing is collected.
+    """
+    from .ranks import by_share
+    from .resample import uniform
+
+    placed = by_share(df.select(key, y, *features).dropna(), [], uniform(F.col(key), seed=seed), [key], "__r")
+    n = placed.count()
+    if n < 2:
+        return dict.fromkeys(features, 0.0)
+    shift = 1 + int(np.random.default_rng(seed).integers(n - 1))
+    donors = placed.select(F.pmod(F.col("__r") - 1 + shift, F.lit(n)).alias("__d"), *[F.col(c).alias(f"__{c}") for c in features])
+    both = placed.withColumn("__d", F.col("__r") - 1).join(donors, "__d").persist()
+    error = F.avg((F.col("prediction") - F.col(y)) ** 2)
+    try:
+        base = predict(both).agg(error).collect()[0][0]
+        return {c: predict(both.withColumn(c, F.col(f"__{c}"))).agg(error).collect()[0][0] - base for c in features}
+    finally:
+        both.unpersist()
+
+
+def searched_regressor(kind: str, df: DataFrame, features: list[str], y: str, key: str, grid: dict[str, list], n_folds: int = 3) -> tuple[dict, object, list[tuple[dict, float]]]:
+    """The parameters of the least cross-validated mean squared error among all of a grid, the estimator fitted with them on all rows, and every trial. A trial is a fit of Spark's own, over all rows but a fold's."""
+    from itertools import product
+
+    rows = df.withColumn("__fold", folds(df, key, n_folds)).persist()
+    trials = []
+    try:
+        for values in product(*grid.values()):
+            params = dict(zip(grid, values, strict=True))
+            errors = []
+            for k in range(n_folds):
+                model = regressor(kind, features, y, **params).fit(rows.filter(F.col("__fold") != k))
+                got = model.transform(rows.filter(F.col("__fold") == k)).agg(F.avg((F.col("prediction") - F.col(y)) ** 2)).collect()[0][0]
+                errors += [] if got is None else [got]
+            trials.append((params, float(np.mean(errors)) if errors else float("inf")))
+        best = min(trials, key=lambda t: t[1])[0]
+        return best, regressor(kind, features, y, **best).fit(rows), trials
+    finally:
+        rows.unpersist()
+
+
 def boruta(df: DataFrame, features: list[str], y: str, key: str, n_folds: int = 3, rounds: int = 5, trees: int = 20) -> list[str]:
     """Features that beat the best of their shadows (the same columns in a hashed order) in most rounds of two folds or more.
 
