@@ -1,7 +1,7 @@
 """Phrase collocations by language: phrases whose words meet more often than their counts alone would have it.
 
 Three passes over the texts, none of which shuffles text:
-1. A count-min sketch of all words and phrases: each task (one a core) fills one with saturating cells, equal blocks are
+1. A count-min sketch of all words and phrases: each task (about one a core) fills one with saturating cells, equal blocks are
    added up by a shuffle, and the whole, of bounded size (`cells`), is broadcast. A phrase's bound is the least of its cells and of
    its parts' bounds, so no phrase that reaches the threshold is missed; a saturated sketch lets more through, which
    costs time and never changes results.
@@ -44,6 +44,8 @@ AUTOMATON_CHARS = 1 << 22
 #: Cells of a row of the sketch: a power of two that grows with the texts within these bounds; a cell is a byte, rows are two.
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 25
 BYTES_A_CELL = 32
+#: Texts that one task sketches, at most (as far as the input's own partitions allow).
+SKETCH_BYTES = 4 << 30
 BLOCK = 1 << 16
 FULL = 255
 #: Parts of a language that are ranked apart before its best meet.
@@ -291,10 +293,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         raise ValueError(f"min_count must be from 1 to {FULL}")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    if cells is None:
-        cells = cells_for(texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0)
-    # a task a core: what is shuffled grows with the cluster, not with the texts
-    few = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    cells = cells or cells_for(n_bytes)
+    # a task a core, or more where its texts would pass SKETCH_BYTES: what is shuffled is a small part of the texts
+    few = texts.coalesce(max(1, spark.sparkContext.defaultParallelism, -(-n_bytes // SKETCH_BYTES)))
     blocks = few.mapInArrow(_sketched(cells, max_words), "k int, cells binary").rdd.map(lambda r: (r.k, bytes(r.cells)))
     size = min(BLOCK, cells)
     data = np.zeros(2 * cells, np.uint8)
