@@ -28,7 +28,7 @@ def test_gradient_equals_differences():
 def df(spark):
     rng = np.random.default_rng(2)
     rows = []
-    for key, n in (("a", 6000), ("b", 1200)):  # above the 3000 of any cap
+    for key, n in (("a", 4000), ("b", 800)):  # above the 3000 of any cap
         x = rng.uniform(-1, 1, (n, 2))
         y = np.sin(3 * x[:, 0]) + x[:, 1] + rng.normal(0, 1, n) * (0.1 + 0.3 * (x[:, 0] > 0))
         rows += [(key, *map(float, r), float(t)) for r, t in zip(x, y, strict=True)]
@@ -38,7 +38,7 @@ def df(spark):
 
 @pytest.fixture(scope="module")
 def models(df):
-    out = N.fit(df, "site", ["u", "v"], "t", hidden=12, rounds=6, part_rows=2500).persist()
+    out = N.fit(df, "site", ["u", "v"], "t", hidden=10, rounds=5, part_rows=1500).persist()
     assert {r.site for r in out.collect()} == {"a", "b", "c"}
     return out
 
