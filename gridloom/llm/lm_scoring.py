@@ -48,8 +48,8 @@ WIDE = 10_000
 ROUNDS = 2
 #: Tokens that a replica trains on in a round; more tokens are more replicas, so no task grows with the corpus.
 REPLICA_TOKENS = 4_000_000
-#: Tokens of the texts that a replica trains on side by side.
-GROUP_TOKENS = 4_000_000
+#: Tokens of the texts that a replica trains on side by side: more than nearly all replicas have, as a small last group leaves lanes empty.
+GROUP_TOKENS = 4 * REPLICA_TOKENS
 FAN_IN = 16
 RATE = 0.1
 ADD = 0.1
