@@ -59,3 +59,10 @@ def test_rows_far_from_a_minority_of_another_size(spark):
     kept = {i for c in (1, 2) for i in sorted((i for i in score if label[i] == c), key=score.get)[:7]}
     got = resample.near_miss(frame(spark, range(60), label, x), 0, version=2, keep=7)
     assert {r.id for r in got.collect()} == kept | set(range(0, 60, 3))
+
+
+def test_searches_of_synthetic_rows_have_short_plans(spark):
+    x, label = np.random.default_rng(6).normal(size=(90, 3)), np.arange(90) % 3
+    rows = frame(spark, range(90), label, x)
+    for df in (resample.smote_tomek(rows, 1, 10), resample.smote_enn(rows, 1, 10), resample.one_sided(rows, 0, [1, 2])):
+        assert len(df._jdf.queryExecution().logical().toString()) < 20_000
