@@ -10,7 +10,8 @@ full sets. Texts are shuffled only of nodes that share a bucket, found behind a
 Pairs are few. Every node is first held against one other: of the smallest nodes of its buckets, the one that most of
 its bands name. Buckets that hold several components after that are searched whole, by finer sketches (FINE_SAMPLES):
 nodes outside a bucket's largest component against all of other components, in parts of bounded size that a task holds
-at once; only pairs near enough leave it, each from the first of its buckets, and of a node and a component only the
+at once. Of the pairs near enough, at first only those leave it that would join all its components, the likeliest, fewer
+than its nodes; then, of what is still apart, each from the first of its buckets, and of a node and a component only the
 nearest where that is SURE. So no link between nodes of a bucket is lost, and no pair within a component is made, but for
 chances of about 5e-6: that two texts at 0.75 share no band, or that a sketch is four and a half deviations off. Sets
 are of 64-bit hashes of shingles: two of a pair's n shingles coincide with n * n chances in 2^64, 1e-11 for 10,000 words.
@@ -190,9 +191,28 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(tidy(run), "node binary, fine array<long>")
 
 
-def near_in_buckets(rows: DataFrame) -> DataFrame:
+def spanning(left: np.ndarray, right: np.ndarray, alike: np.ndarray) -> list[int]:
+    """Of edges between numbered components: those that join two trees, the likeliest first."""
+    tree: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while (up := tree.get(n, n)) != n:
+            tree[n] = n = tree.get(up, up)
+        return n
+
+    out, order = [], np.argsort(-alike, kind="stable")
+    for k, x, y in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        if (a := top(x)) != (b := top(y)):
+            tree[a] = b
+            out.append(k)
+    return out
+
+
+def near_in_buckets(rows: DataFrame, forest: bool = False) -> DataFrame:
     """a, b: nodes of different components that share a bucket and whose finer sketches are near enough, each pair in the first of its buckets only.
 
+    forest: of all these only the likeliest that, were they links, would join the components of two parts: fewer than there are rows.
+
     rows: band, fa, fb (a part of the bucket's nodes outside its largest component, and a part of all its nodes), outside
     (whether the row is of the first part), node, root, bands, fine. A part has about PART nodes, so a task holds two
     parts, whatever the bucket's size, and only near pairs leave it.
@@ -210,8 +230,8 @@ def near_in_buckets(rows: DataFrame) -> DataFrame:
         if not len(own) or not len(others):
             return [], []
         place = int(np.flatnonzero(bands[own[0]] == key)[0])
-        earlier, at, their, names = bands[others, :place], root[others], fine[others], nodes[others]
-        a, b = [], []
+        earlier, at, their = bands[others, :place], root[others], fine[others]
+        a, b, likely = [], [], []
         for x in own:
             # both outside the largest component: the pair is met twice, and taken once
             ok = (at != root[x]) & (top[others] | (name[others] > name[x]))
@@ -226,10 +246,17 @@ def near_in_buckets(rows: DataFrame) -> DataFrame:
                 theirs_ = at[cand[near]]
                 head = np.r_[True, theirs_[1:] != theirs_[:-1]] if len(near) else np.zeros(0, bool)
                 sure = (alike[near] >= SURE)[np.flatnonzero(head)][np.cumsum(head) - 1]
-                for y in cand[near[head | ~sure]]:
-                    a.append(nodes[x].tobytes())
-                    b.append(names[y].tobytes())
-        return a, b
+                near = near[head if forest else head | ~sure]
+                a.append(np.full(len(near), x))
+                b.append(others[cand[near]])
+                likely.append(alike[near])
+        if not a:
+            return [], []
+        a, b, likely = (np.concatenate(v) for v in (a, b, likely))
+        if forest:
+            at = spanning(root[a], root[b], likely)
+            a, b = a[at], b[at]
+        return [v.tobytes() for v in nodes[a]], [v.tobytes() for v in nodes[b]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -302,11 +329,22 @@ class Groups:
         star = banded.join(leaders, "band").filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
         links = self.links(star.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("n", "leader")).alias("b")), texts)
         roots = cut(graph.components(links), "roots")
-        mixed = self.mixed(banded, roots)
-        if mixed.isEmpty():
-            return roots
-        theirs = cut(mixed.select("node").distinct(), "theirs")
-        fine = cut(fine_sketches(texts.join(theirs, "node", "left_semi")), "fine")
+        fine = None
+        for forest in (True, False):  # most links come from few pairs; the others are then of components that stay apart
+            mixed = self.mixed(banded, roots)
+            if mixed.isEmpty():
+                break
+            if fine is None:  # buckets that hold several components are fewer each time
+                theirs = cut(mixed.select("node").distinct(), "theirs")
+                fine = cut(fine_sketches(texts.join(theirs, "node", "left_semi")), "fine")
+            more = self.links(near_in_buckets(self.parts(mixed, fine), forest), texts, True)
+            if not more.isEmpty():
+                links = links.union(more)
+                roots = cut(graph.components(links), "roots")
+        return roots
+
+    def parts(self, mixed: DataFrame, fine: DataFrame) -> DataFrame:
+        """The rows of `near_in_buckets`, one bucket's pair of parts after the other."""
         parts = mixed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("nb"), F.ceil(F.count_if(F.col("root") != F.col("top")) / PART).cast("int").alias("na"))
         rows = mixed.join(parts, "band").withColumn("top", F.col("root") == F.col("top"))
         dealt = lambda n: F.pmod(F.hash("node"), F.col(n))
@@ -314,9 +352,7 @@ class Groups:
         outside = rows.filter("NOT top").select("band", dealt("na").alias("fa"), every("nb").alias("fb"), F.lit(True).alias("outside"), "top", "node", "root")
         all_ = rows.select("band", every("na").alias("fa"), dealt("nb").alias("fb"), F.lit(False).alias("outside"), "top", "node", "root")
         both = outside.union(all_).join(self.nodes.select("node", "bands"), "node").join(fine, "node")
-        both = both.repartition("band", "fa", "fb").sortWithinPartitions("band", "fa", "fb").select("band", "fa", "fb", "outside", "top", "node", "root", "bands", "fine")
-        more = self.links(near_in_buckets(both), texts, True)
-        return roots if more.isEmpty() else cut(graph.components(links.union(more)), "roots")
+        return both.repartition("band", "fa", "fb").sortWithinPartitions("band", "fa", "fb").select("band", "fa", "fb", "outside", "top", "node", "root", "bands", "fine")
 
     def mixed(self, banded: DataFrame, roots: DataFrame) -> DataFrame:
         """band, node, root, top (the root of the bucket's largest component) of the buckets that hold several components."""
