@@ -73,12 +73,12 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     heads = off[:-1][off[:-1] < off[1:]]  # texts that aren't empty: a word may start right where the text before ends
     begin[heads] = full[heads]
     starts = np.flatnonzero(begin)
-    stop = np.ones(len(data) + 1, bool)
-    stop[:-1] = ~full
-    stop[off] = True
-    stops = np.flatnonzero(stop)
-    ends = stops[np.searchsorted(stops, starts, "right")]
-    return starts, ends, np.searchsorted(off, starts, "right") - 1
+    last = full.copy()
+    last[:-1] &= ~full[1:]
+    tails = off[1:][off[:-1] < off[1:]] - 1
+    last[tails] = full[tails]
+    # a word has one start and one last byte, so they are in the same order
+    return starts, np.flatnonzero(last) + 1, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:

@@ -3,7 +3,7 @@
 Tokens are words (A-Z lower-cased, between blanks) and an end for each text. Counts over all training texts come from
 one shuffle with map-side sums. The VOCAB most frequent words are tokens of their own; any other is the token `rare`
 times its share of the rare words' counts, so the probabilities of all words, unseen ones included, sum to one. Words
-fall into classes of about equal mass, so a token costs a softmax over the classes and one over its class.
+fall into classes by the roots of their masses, so a token costs a short softmax over the classes and one over its class.
 
 Training: every token of every training text is learned, each text from its start in windows of WINDOW tokens by
 truncated backpropagation, the state carried from window to window. Texts are dealt to replicas by a hash of id and text
@@ -37,6 +37,10 @@ from .common import cut, row_key, tidy
 VOCAB = 4096
 KNOWN = 1 << 18
 CLASSES = 64
+#: Most tokens that may be a class each before the others are divided.
+ALONE = 16
+#: Handling a token in its class costs about as much as so many logits.
+OWN_LOGITS = 24
 HIDDEN = 16
 WINDOW = 32
 LANES = 256
@@ -58,6 +62,25 @@ END, RARE = 0, 1
 BEGIN = 20
 
 
+def price(cls: np.ndarray, mass: np.ndarray) -> float:
+    """What a token costs on average, in logits: one for each class, and in a class of several tokens theirs and OWN_LOGITS more."""
+    size = np.bincount(cls)
+    return len(size) + (np.bincount(cls, mass) * (size + OWN_LOGITS))[size > 1].sum() / mass.sum()
+
+
+def classes(mass: np.ndarray) -> np.ndarray:
+    """The class of each token (by frequency): the first ones stand alone, then come stretches with equal sums of the roots of their masses, for which the logits of a token are fewest. Of all such divisions into CLASSES classes at most, the one with the least price."""
+    roots, found = np.sqrt(mass), []
+    for alone in range(min(ALONE, len(mass) - 1) + 1):
+        share = np.cumsum(roots[alone:])
+        share /= share[-1]
+        for n in range(1, CLASSES - alone + 1):
+            cls = np.minimum((share * n).astype(np.int64), n - 1)
+            _, cls = np.unique(cls, return_inverse=True)  # contiguous
+            found.append(np.r_[np.arange(alone), alone + cls])
+    return min(found, key=lambda cls: price(cls, mass))
+
+
 class Vocabulary:
     """The KNOWN most frequent words (by hash, sorted) with their counts and token numbers, and the totals."""
 
@@ -73,10 +96,7 @@ class Vocabulary:
         mass = np.r_[texts + ADD, self.rare_n + ADD * (self.rare_v + 1), top + ADD]
         self.log_rare = np.log10(self.rare_n + ADD * (self.rare_v + 1))
         self.log_all = np.log10(n + ADD * (v + 1))
-        share = np.cumsum(mass) / mass.sum()
-        cls = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
-        _, self.cls = np.unique(cls, return_inverse=True)  # contiguous: tokens are by frequency
-        self.mass = mass
+        self.cls, self.mass = classes(mass), mass
 
         # where the hashes of each beginning stand
         self.first = np.searchsorted(self.hashes, np.arange(1 << BEGIN, dtype=np.uint64) << np.uint64(64 - BEGIN))
@@ -110,19 +130,22 @@ def packed(sizes: list[int], lanes: int) -> list[list[int]]:
 
 
 def by_number(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers, and the sums of their rows: numbers that come often one by one, the others' second, third, ... rows together."""
+    """The distinct numbers, the most frequent first, and the sums of their rows: numbers that come often one by one, the others' second, third, ... rows together."""
     order = np.argsort(at.astype(np.uint16) if VOCAB < 60_000 else at, kind="stable")
-    at, rows = at[order], rows[order]
+    at = at[order]
     edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     n = np.diff(np.r_[edge, len(at)])
-    out = rows[edge]
-    for k in np.flatnonzero(n > 16):
-        out[k] = rows[edge[k] : edge[k] + n[k]].sum(0)
+    most = np.argsort(-n, kind="stable")  # those that have an r-th row are the first ones
+    edge, n = edge[most], n[most]
+    out = rows[order[edge]]
+    often = int((n > 16).sum())
+    for k in range(often):
+        out[k] = rows[order[edge[k] : edge[k] + n[k]]].sum(0)
     for r in range(1, 16):
-        few = np.flatnonzero((n > r) & (n <= 16))
-        if not len(few):
+        few = slice(often, int((n > r).sum()))
+        if few.start == few.stop:
             break
-        out[few] += rows[edge[few] + r]
+        out[few] += rows[order[edge[few] + r]]
     return at[edge], out
 
 
@@ -152,13 +175,6 @@ class Lanes:
         return done - (before if t else 0), y, given, fresh, None if self.of is None else self.of[at]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Model:
     """A gated recurrent network over token numbers; its input table holds the gates' inputs of each token."""
 
@@ -182,58 +198,84 @@ class Model:
 
     def step(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         p, H = self.p, HIDDEN
-        zr = _sigmoid(g[:, : 2 * H] + h @ p["u"])
+        zr = h @ -p["u"]
+        zr -= g[:, : 2 * H]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :H], zr[:, H:]
-        c = np.tanh(g[:, 2 * H :] + (r * h) @ p["n"])
-        return z, r, c, c + z * (h - c)
+        c = (r * h) @ p["n"]
+        c += g[:, 2 * H :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return z, r, c, after
 
     @staticmethod
-    def _soft(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural logs of the shares at the numbers `at`, and the shares' numerators and their sums; h ends in ones, w in the biases."""
-        logits = h @ w.T
-        if len(logits) and logits.max() > 60:
-            logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(at)), at].astype(np.float64)
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(len(w), np.float32)
-        return out - np.log(total), logits, total
-
-    def log_prob(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
-        """Natural logs of the probabilities of tokens y after states h; with learn, also the gradients (of the states, and by table)."""
-        p, H = self.p, HIDDEN
-        order = np.argsort(self.cls[y].astype(np.uint16), kind="stable")
-        h, y = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)[order], y[order]  # each class in one stretch
-        cls = self.cls[y]
-        wc, wo = np.c_[p["wc"], p["bc"]], np.c_[p["wo"], p["bo"]]
-        got, e, total = self._soft(h, wc, cls)
-        dwo = np.zeros_like(wo) if learn else None
-        if learn:
-            dwc, dh = self._back(h, wc, cls, e, total)
+    def _soft(h: np.ndarray, w: np.ndarray, at: np.ndarray, high: bool) -> tuple[np.ndarray, ...]:
+        """Logits at the numbers `at`, all shares' numerators and their sums, and where the numerators of `at` stand; h ends in ones, w in the biases, and high logits are made smaller."""
+        e = h @ w.T
+        if high:
+            e -= e.max(1, keepdims=True)
+        where = np.arange(0, e.size, len(w)) + at
+        own = e.ravel()[where]
+        np.exp(e, out=e)
+        return own, e, e @ np.ones(len(w), np.float32), where
+
+    def _heads(self) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
+        """Weights with their biases, of the classes and of the words, and whether logits may be high: no state is beyond -1 and 1."""
+        both = np.c_[self.p["wc"], self.p["bc"]], np.c_[self.p["wo"], self.p["bo"]]
+        return tuple((w, not np.abs(w).sum(1).max() <= 60) for w in both)
+
+    def _by_class(self, cls: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+        """The rows of each class that has several tokens, from sorted class numbers, and these tokens' bounds."""
         bounds = np.searchsorted(cls, np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(bounds)):
-            a, b = self.edges[c], self.edges[c + 1]
-            if b - a == 1:
-                continue
-            rows = slice(bounds[c], bounds[c + 1])
-            hc, t = h[rows], y[rows] - a
-            more, e, total = self._soft(hc, wo[a:b], t)
-            got[rows] += more
-            if learn:
-                dwo[a:b], d = self._back(hc, wo[a:b], t, e, total)
-                dh[rows] += d
+        for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.edges) > 1)):
+            yield slice(bounds[c], bounds[c + 1]), self.edges[c], self.edges[c + 1]
+
+    def _order(self, y: np.ndarray) -> np.ndarray:
+        """In which order the tokens y are one stretch for each class."""
+        return np.argsort(self.cls[y].astype(np.uint16), kind="stable")
+
+    def log_prob(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of tokens y after states h."""
+        order = self._order(y)
+        h, y = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)[order], y[order]
+        cls = self.cls[y]
+        (wc, high_c), (wo, high_o) = self._heads()
+        own, _, total, _ = self._soft(h, wc, cls, high_c)
+        got = own - np.log(total, dtype=np.float64)
+        for rows, a, b in self._by_class(cls):
+            own, _, total, _ = self._soft(h[rows], wo[a:b], y[rows] - a, high_o)
+            got[rows] += own - np.log(total, dtype=np.float64)
         out = np.empty(len(y), np.float64)
         out[order] = got
-        if not learn:
-            return out, None, {}
-        back = np.empty_like(dh)
-        back[order] = dh
-        return out, back, {"wc": dwc[:, :H], "bc": dwc[:, H], "wo": dwo[:, :H], "bo": dwo[:, H]}
+        return out
+
+    def gradients(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of minus the log probability of tokens y, one stretch for each class, after states h: of the states, and by table."""
+        p = self.p
+        grads = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wo", "bo")}
+        ends = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        cls = self.cls[y]
+        (wc, high_c), (wo, high_o) = self._heads()
+        dh = self._back(h, p["wc"], *self._soft(ends, wc, cls, high_c)[1:], grads["wc"], grads["bc"])
+        for rows, a, b in self._by_class(cls):
+            soft = self._soft(ends[rows], wo[a:b], y[rows] - a, high_o)
+            dh[rows] += self._back(h[rows], p["wo"][a:b], *soft[1:], grads["wo"][a:b], grads["bo"][a:b])
+        return dh, grads
 
     @staticmethod
-    def _back(h: np.ndarray, w: np.ndarray, at: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the weights and of the states, of numerators that aren't divided by their sums yet."""
-        e[np.arange(len(at)), at] -= total
-        return e.T @ (h / total[:, None]), (e @ np.ascontiguousarray(w[:, :-1])) / total[:, None]
+    def _back(h: np.ndarray, w: np.ndarray, e: np.ndarray, total: np.ndarray, where: np.ndarray, dw: np.ndarray, db: np.ndarray) -> np.ndarray:
+        """Gradients of the states, and into dw and db those of the weights and biases, of numerators that aren't divided by their sums yet. The biases' are a product of their own: a 17th column slows a product down."""
+        e.ravel()[where] -= total
+        part = np.reciprocal(total)[:, None]
+        np.matmul(e.T, h * part, out=dw)
+        np.matmul(part[:, 0], e, out=db)
+        dh = e @ w
+        dh *= part
+        return dh
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probabilities of token sequences: whole texts one after the other in lanes side by side, states carried from window to window, and new at each text."""
@@ -255,7 +297,7 @@ class Model:
                     h[fresh[t]] = 0
                 states[t] = h = self.step(g[t], h)[3]
             on = y >= 0
-            out += np.bincount(of[on], self.log_prob(states[on], y[on])[0], len(texts))
+            out += np.bincount(of[on], self.log_prob(states[on], y[on]), len(texts))
         return out / np.log(10)
 
     def train_window(self, y: np.ndarray, before: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> np.ndarray:
@@ -275,10 +317,11 @@ class Model:
             starts[t] = h
             z[t], r[t], c[t], h = self.step(g[t], h)
             states[t] = h
-        on = y >= 0
-        _, dh_out, grads = self.log_prob(states[on], y[on], learn=True)
-        dhs = np.zeros((T, B, H), np.float32)
-        dhs[on] = dh_out
+        on = np.flatnonzero(y >= 0)
+        on = on[self._order(y.ravel()[on])]
+        dhs = np.zeros((T * B, H), np.float32)
+        dhs[on], grads = self.gradients(states.reshape(T * B, H)[on], y.ravel()[on])
+        dhs = dhs.reshape(T, B, H)
         dg = np.empty((T, B, 3 * H), np.float32)
         rh = r * starts
         inner_z, inner_c, inner_r = (starts - c) * z * (1 - z), (1 - z) * (1 - c * c), starts * r * (1 - r)
@@ -297,13 +340,17 @@ class Model:
         grads["u"] = starts.reshape(T * B, H).T @ flat[:, : 2 * H]
         grads["n"] = rh.reshape(T * B, H).T @ flat[:, 2 * H :]
         grads["x"] = by_number(np.where(given < 0, len(self.cls), given).ravel(), flat)
-        scale = np.float32(RATE_LANES / max(1, int(on.sum())))
+        scale = np.float32(RATE_LANES / max(1, len(on)))
         for name, g in grads.items():
             where, g = g if isinstance(g, tuple) else (slice(None), g)
-            g = np.clip(g * scale, -1, 1)
-            sums = self.sums[name]
-            sums[where] += g * g
-            p[name][where] -= RATE * g / np.sqrt(sums[where])
+            g = g * scale
+            np.clip(g, -1, 1, out=g)
+            sums = self.sums[name][where]
+            sums += g * g
+            self.sums[name][where] = sums
+            g *= RATE
+            g /= np.sqrt(sums)
+            p[name][where] -= g
         return states[-1]
 
     def train(self, texts: list[np.ndarray]) -> None:
