@@ -4,8 +4,9 @@ import inspect
 import zlib
 
 import numpy as np
+import pytest
 
-from gridloom.operators import combine, models
+from gridloom.operators import combine, models, resample
 from gridloom.plans import catalog
 
 from . import duck
@@ -43,3 +44,37 @@ def test_rls_forgets_by_the_residuals(spark):
             w /= w.sum()
             errors.append(e)
     assert np.allclose([got["a"], got["b"]], w, atol=1e-6)
+
+
+def test_repeated_enn_goes_on_until_nothing_goes(spark, tmp_path):
+    """A chain of class 1, held at its end, that loses its first row in each of nine rounds to the rows of class 0 beside it."""
+    rows = [(10 * j, 1, [float(j), 0.0]) for j in range(10)] + [(101 + n, 1, [9.9 + n / 10, 0.0]) for n in range(3)]
+    rows += [(10 * j + n, 0, [float(j), 1.5 + n / 100]) for j in range(9) for n in range(1, 5)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "made"))
+    (sf := tmp_path / "sf").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(sf / "embeddings.parquet")
+    left = catalog.repeated_enn(spark, str(sf))
+    assert sorted(r.id for r in left.collect() if r.label == 1) == [90, 101, 102, 103]
+    duck.compare(duck.connect(str(sf)), left, catalog.SQL["repeated_enn"])
+    assert inspect.signature(resample.repeated_edited).parameters["most"].default is None
+
+
+@pytest.mark.parametrize(("kind", "targets"), [("mode", [0, 2]), ("all", [0, 1])])
+def test_rounds_of_edits_equal_searches_anew(spark, kind, targets):
+    """Whole numbers, so that many distances are ties."""
+    rng = np.random.default_rng(4)
+    label = rng.choice(3, 240, p=[0.5, 0.2, 0.3])
+    x = np.round(rng.normal(0, 3, (240, 2)) + 3 * label[:, None])
+    rows = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(240)], "id long, label int, features array<double>")
+    ids, counts, rounds = np.arange(240), np.bincount(label), 0
+    while True:
+        far = ((x[ids][:, None] - x[ids]) ** 2).sum(2)
+        np.fill_diagonal(far, np.inf)
+        votes = np.array([np.bincount(v, minlength=3) for v in label[ids][far.argsort(1, kind="stable")[:, :3]]])
+        good = votes.argmax(1) == label[ids] if kind == "mode" else votes[np.arange(len(ids)), label[ids]] == 3
+        kept = ids[good | ~np.isin(label[ids], [0, 1, 2] if targets is None else targets)]
+        now, rounds = np.bincount(label[kept], minlength=3), rounds + 1
+        same, ids = len(kept) == len(ids), kept if now.all() else ids
+        if same or now.min() < now[counts.argmin()] or not now.all():
+            break
+    assert rounds > 1 and sorted(r.id for r in resample.repeated_edited(rows, 3, kind, targets).collect()) == ids.tolist()
